@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lines, neardup, quality
+from . import bpe, chat, decontam, lines, neardup, quality
 from .oracles import ORACLES
 
 
@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and pattern of the tokenizer that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -46,4 +53,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_benchmark_decontamination, op4_line_dedup, op7_minhash_near_dedup)}
+def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer(), decoded=True)
+    return bpe.digests(encoded)
+
+
+_ALL = (
+    op1_chat_formatting,
+    op2_quality_rules,
+    op3_benchmark_decontamination,
+    op4_line_dedup,
+    op7_minhash_near_dedup,
+    op10_byte_level_bpe,
+)
+QUERIES = {f.__name__: f for f in _ALL}
