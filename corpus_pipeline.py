@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, lines, quality
+from tidemark.llm import bpe, decontam, lines, neardup, quality
+from tidemark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +22,12 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return d.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near duplicates."""
+    stays = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents contaminated by the benchmark."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -29,7 +36,18 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return clean.select(*COLUMNS)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("decontamination", benchmark_stage)]
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left (little-endian unsigned 32-bit integers), with the bytes they decode to."""
+    return bpe.encode(docs.select(*COLUMNS), *tokenizer(), decoded=True).select("doc_id", "lang", "source", "n_tokens", "tokens", F.col("decoded").cast("string").alias("text"))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_duplicate_stage),
+    ("decontamination", benchmark_stage),
+    ("byte_bpe", token_stage),
+]
 
 #: Near-duplicate removal and byte-level BPE aren't expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
