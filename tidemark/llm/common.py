@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the word rules of this subpackage see it; every other character belongs to a word.
@@ -45,3 +48,25 @@ def grams(array: Column, n: int) -> Column:
 def name128(*cols: Column) -> Column:
     """A 128-bit name of some columns, as a struct of two hashes."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(SECOND), *cols).alias("b"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all machines share; a temporary one where none is set, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a Parquet table in the shared folder: its lineage is cut, and lost executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
+from .common import checkpointed
 
 
 @dataclass(frozen=True)
@@ -140,7 +141,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each is a minimum per vertex (pre-aggregated) and a join
     back. Each round is checkpointed; the loop ends when a round changes nothing, or raises.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct().checkpoint()
+    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -151,7 +152,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = least(large)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+        edges = checkpointed(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -184,19 +185,19 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     """
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = rows.mapInArrow(_describe(p), f"id {id_type}, n long, sa long, sb long, bands array<long>, low array<tinyint>").checkpoint()
+    sets = checkpointed(rows.mapInArrow(_describe(p), f"id {id_type}, n long, sa long, sb long, bands array<long>, low array<tinyint>"))
 
     full = sets.filter("n > 0 AND id IS NOT NULL")
     classes = full.groupBy("sa", "sb").agg(F.min("id").alias("rep"))
-    members = full.select("id", "sa", "sb").distinct().join(classes, ["sa", "sb"]).select("id", "rep").checkpoint()
+    members = checkpointed(full.select("id", "sa", "sb").distinct().join(classes, ["sa", "sb"]).select("id", "rep"))
     reps = full.join(members.filter("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
 
     banded = reps.select("id", F.posexplode("bands").alias("band", "value"))
     centres = banded.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "value", "centre")
-    buckets = banded.join(centres, ["band", "value"]).checkpoint()
+    buckets = checkpointed(banded.join(centres, ["band", "value"]))
     stars = buckets.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    texts = rows.filter("id IS NOT NULL").join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).checkpoint()
-    links = _confirmed(stars, texts, p, id_type).checkpoint()
+    texts = checkpointed(rows.filter("id IS NOT NULL").join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    links = checkpointed(_confirmed(stars, texts, p, id_type))
     found = components(links, p.max_rounds)
 
     # Buckets that hold more than one component: pairs across components, each in its first common band.

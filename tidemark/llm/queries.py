@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lines, neardup, quality
+from . import bpe, chat, decontam, lines, neardup, quality, repeats
 from .oracles import ORACLES
 
 
@@ -53,6 +53,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *tokenizer(), decoded=True)
     return bpe.digests(encoded)
@@ -64,6 +69,7 @@ _ALL = (
     op3_benchmark_decontamination,
     op4_line_dedup,
     op7_minhash_near_dedup,
+    op9_repeated_bytes,
     op10_byte_level_bpe,
 )
 QUERIES = {f.__name__: f for f in _ALL}
