@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lines, neardup, quality, repeats
+from . import bpe, chat, decontam, lines, neardup, quality, repeats, secrets
 from .oracles import ORACLES
 
 
@@ -53,6 +53,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -69,6 +73,7 @@ _ALL = (
     op3_benchmark_decontamination,
     op4_line_dedup,
     op7_minhash_near_dedup,
+    op8_secret_scan,
     op9_repeated_bytes,
     op10_byte_level_bpe,
 )
