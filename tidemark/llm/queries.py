@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, lines, neardup, quality, repeats, secrets
+from . import bpe, chat, decontam, kneser, lines, lm, neardup, quality, repeats, secrets
+from .common import small_side
 from .oracles import ORACLES
 
 
@@ -49,6 +50,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target documents are those labelled good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good, _ = small_side(table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct(), 500_000)
+    docs = docs.join(good, F.col("doc_id") == F.col("good_id"), "left")
+    return lm.cross_entropy_difference(docs.withColumn("target", F.col("good_id").isNotNull()))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -72,6 +85,8 @@ _ALL = (
     op2_quality_rules,
     op3_benchmark_decontamination,
     op4_line_dedup,
+    op5_cross_entropy_difference,
+    op6_quality_classifier,
     op7_minhash_near_dedup,
     op8_secret_scan,
     op9_repeated_bytes,
