@@ -2,24 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import aggregates, history, joins, metrics, profiles, rowwise, serving, shrinkage, streams  # noqa: F401  (they register)
+from .queries.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "dom1_inseason_split"
 
-
-def query(name: str, oracle: str | None = None):
-    """Registers ``f(spark, sf_dir)`` under ``name``, with its SQL."""
-
-    def add(f):
-        if name in QUERIES:
-            raise ValueError(f"two queries named {name}")
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
