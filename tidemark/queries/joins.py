@@ -1 +1,206 @@
-"""Queries."""
+"""Queries of joins and lookups, and of entity resolution built on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import resolve as E
+from ..operators import sessions as S
+from ..sources.tables import event_log, line_log, table
+from .history import SESSION, sessions_of
+from .registry import EV, LI, query, r6
+
+CELLS = LI + ", c AS (SELECT entity, season, count(*) AS n, avg(y) AS rate FROM li GROUP BY ALL)"
+
+
+def _cells(spark, d):
+    return line_log(spark, d).groupBy("entity", "season").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
+
+
+@query("jn2_season_offset", f"WITH {CELLS} SELECT c.entity, c.season, round(p.rate, 6) AS prev1_rate, round(p.rate - q.rate, 6) AS delta FROM c LEFT JOIN c p ON p.entity = c.entity AND p.season = c.season - 1 LEFT JOIN c q ON q.entity = c.entity AND q.season = c.season - 2")
+def jn2(spark, d):
+    c = _cells(spark, d)
+    j = J.season_offset(J.season_offset(c, c, ["rate"]), c, ["rate"], 2)
+    return j.select("entity", "season", r6("prev1_rate").alias("prev1_rate"), r6(F.col("prev1_rate") - F.col("prev2_rate")).alias("delta"))
+
+
+@query("jn3_composite_lookup", f"WITH {CELLS}, l AS (SELECT * FROM c WHERE n >= 90), e AS (SELECT l_suppkey AS entity, CAST(year(l_shipdate) AS INTEGER) AS season, l_orderkey FROM lineitem) SELECT l_orderkey, e.entity, e.season, round(sum(coalesce(l.rate, 0.333)), 6) AS rate FROM e LEFT JOIN l USING (entity, season) GROUP BY ALL")
+def jn3(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("entity"), F.year("l_shipdate").alias("season"), "l_orderkey")
+    j = J.fallback_lookup(rows, _cells(spark, d).filter("n >= 90").drop("n"), ["entity", "season"], {"rate": 0.333})
+    return j.groupBy("l_orderkey", "entity", "season").agg(r6(F.sum("rate")).alias("rate"))
+
+
+@query("jn4_dimension", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def jn4(spark, d):
+    # nation and region have a fixed number of rows.
+    places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("jn5_two_key_merge", f"WITH {CELLS}, e AS (SELECT l_partkey % 100 AS entity, CAST(year(l_shipdate) AS INTEGER) AS season, count(*) AS m FROM lineitem GROUP BY ALL) SELECT entity, season, n, m FROM c JOIN e USING (entity, season)")
+def jn5(spark, d):
+    e = line_log(spark, d).groupBy((F.col("partner") % 100).alias("entity"), "season").agg(F.count("*").alias("m"))
+    return _cells(spark, d).join(e, ["entity", "season"]).select("entity", "season", "n", "m")
+
+
+@query("jn6_merge_filled", f"WITH {EV}, p AS (SELECT row_id, 0.25 AS q FROM ev WHERE row_id % 3 = 0) SELECT row_id, round(coalesce(q, value / 1000), 6) AS p FROM ev LEFT JOIN p USING (row_id)")
+def jn6(spark, d):
+    e = event_log(spark, d)
+    given = e.filter("row_id % 3 = 0").select("row_id", F.lit(0.25).alias("q")).unionByName(e.filter("row_id % 6 = 0").select("row_id", F.lit(0.25).alias("q")))
+    return e.join(given.dropDuplicates(["row_id"]), "row_id", "left").select("row_id", r6(F.coalesce("q", F.col("value") / 1000)).alias("p"))
+
+
+@query("jn7_next_session", f"WITH {SESSION}, c AS (SELECT entity, session, count(*) AS n, sum(y) AS k FROM s GROUP BY ALL) SELECT entity, session, lead(n) OVER w AS next_n, CAST(lead(k) OVER w AS BIGINT) AS next_k FROM c WINDOW w AS (PARTITION BY entity ORDER BY session)")
+def jn7(spark, d):
+    c = sessions_of(spark, d).groupBy("entity", "session").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    return J.next_of(c, "entity", "session", ["n", "k"]).select("entity", "session", "next_n", "next_k")
+
+
+@query("jn8_outer_channels", f"WITH {LI}, f AS (SELECT entity, season, count(*) AS n_f FROM li WHERE grp = 'F' AND discount > 0.09 GROUP BY ALL), o AS (SELECT entity, season, count(*) AS n_o FROM li WHERE grp = 'O' AND discount > 0.09 GROUP BY ALL) SELECT entity, season, n_f, n_o FROM f FULL JOIN o USING (entity, season)")
+def jn8(spark, d):
+    # One conditional aggregation instead of a full outer join of two.
+    li = line_log(spark, d).filter("discount > 0.09")
+    g = li.groupBy("entity", "season").agg(*(F.count_if(F.col("grp") == v).alias(f"n_{v.lower()}") for v in ("F", "O")))
+    return g.select("entity", "season", *(F.nullif(F.col(c), F.lit(0)).alias(c) for c in ("n_f", "n_o"))).filter("n_f IS NOT NULL OR n_o IS NOT NULL")
+
+
+TUPLES = SESSION + """, a AS (SELECT entity, session, season, CAST(min(ts) AS DATE) AS day, count(*) AS n FROM s GROUP BY ALL),
+b AS (SELECT entity + 1000 AS other, session AS b_session, season, CAST(min(ts) AS DATE) AS day, count(*) AS n FROM s WHERE season <> 1 GROUP BY ALL)"""
+
+
+@query("jn9_unique_tuples", f"""WITH {TUPLES}, ua AS (SELECT season, day, n, min(entity) AS entity, min(session) AS session FROM a GROUP BY ALL HAVING count(*) = 1), ub AS (SELECT season, day, n, min(other) AS other FROM b GROUP BY ALL HAVING count(*) = 1)
+SELECT season, day, n, entity, session, other FROM ua JOIN ub USING (season, day, n)""")
+def jn9(spark, d):
+    s = sessions_of(spark, d)
+    a = s.groupBy("entity", "session", "season").agg(F.min("day").alias("day"), F.count("*").alias("n")).withColumn("a", F.struct("entity", "session"))
+    b = s.filter("season <> 1").groupBy((F.col("entity") + 1000).alias("other"), "session", "season").agg(F.min("day").alias("day"), F.count("*").alias("n"))
+    return J.unique_tuple_match(a, b, ["season", "day", "n"], "a", "other").select("season", "day", "n", "a.entity", "a.session", "other")
+
+
+@query("jn10_semi", f"WITH {EV} SELECT row_id FROM ev WHERE entity IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
+def jn10(spark, d):
+    rich = table(spark, d, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("entity"))
+    return event_log(spark, d).join(rich, "entity", "left_semi").select("row_id")
+
+
+@query("jn11_unmatched", f"WITH {EV} SELECT DISTINCT entity FROM ev WHERE entity NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def jn11(spark, d):
+    known = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("entity"))
+    return event_log(spark, d).select("entity").distinct().join(known, "entity", "left_anti")
+
+
+COST = LI + """, v AS (SELECT entity, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM li GROUP BY ALL),
+p AS (SELECT a.entity AS a, b.entity AS b, sum(1.0 * abs(a.q - b.q) + 2.0 * abs(a.c - b.c)) AS cost FROM v a JOIN v b USING (season) WHERE a.entity <= 30 AND b.entity BETWEEN 31 AND 70 GROUP BY ALL)"""
+
+
+def _pairs(spark, d):
+    v = line_log(spark, d).groupBy("entity", "season").agg(F.avg("quantity").alias("q"), (F.avg("discount") * 100).alias("c"))
+    return J.pair_cost(v.filter("entity <= 30"), v.filter("entity BETWEEN 31 AND 70"), ["season"], "entity", "entity", {"q": 1.0, "c": 2.0})
+
+
+@query("jn12_pair_cost", f"WITH {COST} SELECT a, b, round(cost, 6) AS cost FROM p")
+def jn12(spark, d):
+    return _pairs(spark, d).select("a", "b", r6("cost").alias("cost"))
+
+
+@query("jn14_mutual_nearest", f"""WITH {COST}, ra AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r FROM p), rb AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY cost, a) AS r FROM p)
+SELECT ra.a, ra.b, round(ra.cost, 6) AS cost FROM ra JOIN rb ON ra.a = rb.a AND ra.b = rb.b WHERE ra.r = 1 AND rb.r = 1""")
+def jn14(spark, d):
+    return J.mutual_nearest(_pairs(spark, d)).select("a", "b", r6("cost").alias("cost"))
+
+
+@query("srt7_margins", f"""WITH {COST}, x AS (SELECT 'a' AS side, a AS id, cost, row_number() OVER (PARTITION BY a ORDER BY cost) AS r, lead(cost) OVER (PARTITION BY a ORDER BY cost) AS s FROM p UNION ALL SELECT 'b', b, cost, row_number() OVER (PARTITION BY b ORDER BY cost), lead(cost) OVER (PARTITION BY b ORDER BY cost) FROM p)
+SELECT side, id, round(s - cost, 6) AS margin FROM x WHERE r = 1""")
+def srt7(spark, d):
+    return J.margins(_pairs(spark, d)).select("side", "id", r6("margin").alias("margin"))
+
+
+@query("jn15_ordered_realign", f"WITH {EV} SELECT row_id, round(value / 100, 6) AS p FROM ev WHERE season = 3")
+def jn15(spark, d):
+    e = event_log(spark, d)
+    return J.ordered_realign(e.filter("season = 3").select("row_id"), e.select("row_id", r6(F.col("value") / 100).alias("p")), "row_id", "p")
+
+
+@query("jn16_group_mean_back", f"WITH {EV}, g AS (SELECT partner, avg(y) AS m FROM ev WHERE season < 2 GROUP BY partner) SELECT row_id, round(coalesce(m, (SELECT avg(y) FROM ev WHERE season < 2)), 6) AS m FROM ev LEFT JOIN g USING (partner)")
+def jn16(spark, d):
+    e = event_log(spark, d)
+    fit = e.filter("season < 2")
+    level = F.broadcast(fit.agg(F.avg("y").alias("level")))
+    return e.join(fit.groupBy("partner").agg(F.avg("y").alias("m")), "partner", "left").crossJoin(level).select("row_id", r6(F.coalesce("m", "level")).alias("m"))
+
+
+@query("jn17_blended_keys", f"""WITH {EV}, a AS (SELECT entity, min_by(value, row_id) AS v FROM ev WHERE season = 3 GROUP BY entity), b AS (SELECT entity, max_by(value, row_id) AS v FROM ev WHERE season = 2 GROUP BY entity)
+SELECT entity, coalesce(a.v, b.v) AS v, a.v IS NOT NULL AS fresh FROM a FULL JOIN b USING (entity)""")
+def jn17(spark, d):
+    e = event_log(spark, d)
+    g = e.filter("season IN (2, 3)").groupBy("entity").agg(F.min_by(F.when(F.col("season") == 3, F.col("value")), F.when(F.col("season") == 3, F.col("row_id"))).alias("a"), F.max_by(F.when(F.col("season") == 2, F.col("value")), F.when(F.col("season") == 2, F.col("row_id"))).alias("b"))
+    return g.select("entity", F.coalesce("a", "b").alias("v"), F.col("a").isNotNull().alias("fresh"))
+
+
+@query("srt5_knn", """WITH q AS (SELECT vec_id AS query, embedding AS e, label AS l FROM embeddings WHERE vec_id % 20 = 0),
+d AS (SELECT query, vec_id AS neighbour, list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS dist FROM embeddings, q WHERE label <> l)
+SELECT query, neighbour, round(dist, 6) AS distance, r AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY dist, neighbour) AS INTEGER) AS r FROM d) WHERE r <= 5""")
+def srt5(spark, d):
+    e = table(spark, d, "embeddings")
+    return J.nearest_rows(e.filter("vec_id % 20 = 0"), e, 5, "vec_id", "embedding", exclude="label").select("query", "neighbour", r6("distance").alias("distance"), "rank")
+
+
+SIGNATURE = LI + """, m AS (SELECT entity, season, grp, avg(quantity) AS q, avg((discount < 0.05)::INT) AS h FROM li GROUP BY ALL),
+r AS (SELECT *, (rank() OVER (PARTITION BY season, grp ORDER BY q) + (count(*) OVER (PARTITION BY season, grp, q) - 1) / 2) / count(*) OVER (PARTITION BY season, grp) AS pct FROM m)"""
+
+
+@query("er3_rank_cost", f"""WITH {SIGNATURE} SELECT a.entity AS a, b.entity AS b, round(sum(abs(a.pct - b.pct) + 0.5 * sqrt(greatest(0.0, 1 - (sqrt(a.h * b.h) + sqrt((1 - a.h) * (1 - b.h)))))), 6) AS cost, count(*) AS blocks
+FROM r a JOIN r b USING (season, grp) WHERE a.entity <= 20 AND b.entity BETWEEN 21 AND 50 GROUP BY ALL""")
+def er3(spark, d):
+    return E.signature_cost(*_signatures(spark, d), ["season", "grp"]).select("a", "b", r6("cost").alias("cost"), "blocks")
+
+
+def _signatures(spark, d):
+    m = line_log(spark, d).groupBy("entity", "season", "grp").agg(F.avg("quantity").alias("q"), F.avg((F.col("discount") < 0.05).cast("int")).alias("h"))
+    r = S.average_rank(m, "q", ["season", "grp"]).withColumn("hist", F.array(F.col("h"), 1 - F.col("h")))
+    return r.filter("entity <= 20"), r.filter("entity BETWEEN 21 AND 50")
+
+
+@query("er4_assignment")
+def er4(spark, d):
+    """One-to-one pairs of least total cost: 20 ids against 30, by a solver in one task per block."""
+    pairs = E.signature_cost(*_signatures(spark, d), ["season", "grp"])
+    return E.assign(pairs.withColumn("block", F.lit(0)), "block").select("a", "b", r6("cost").alias("cost"))
+
+
+@query("er5_tiers", f"""WITH {COST}, ra AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r, lead(cost) OVER (PARTITION BY a ORDER BY cost, b) AS nxt FROM p), rb AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY cost, a) AS r FROM p),
+m AS (SELECT ra.a, ra.b, nxt - ra.cost AS margin, rb.r = 1 AS agree FROM ra JOIN rb ON ra.a = rb.a AND ra.b = rb.b WHERE ra.r = 1)
+SELECT a, b, round(margin, 6) AS margin, CASE WHEN agree AND margin >= 1.0 THEN 1 WHEN agree OR margin >= 1.0 THEN 2 ELSE 3 END AS tier FROM m""")
+def er5(spark, d):
+    return E.tiers(_pairs(spark, d), 1.0).select("a", "b", r6("margin").alias("margin"), "tier")
+
+
+@query("er7_permutation_test")
+def er7(spark, d):
+    """How far agreement on a held-out trait stands above that of permuted pairs."""
+    r = line_log(spark, d).groupBy("entity").agg(F.round(F.avg("discount"), 3).alias("x"), F.avg("quantity").alias("q"))
+    pairs = r.select(F.col("entity").alias("a"), (F.col("x") * 1000).cast("int").alias("ta"), ((F.col("x") * 1000).cast("int") + F.when(F.col("q") > 25.5, 1).otherwise(0)).alias("tb"))
+    return E.permutation_test(pairs, "ta", "tb", "a", 200)
+
+
+@query("er11_soft_profile", f"""WITH {COST}, k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r FROM p), w AS (SELECT *, exp(-(cost - min(cost) OVER (PARTITION BY a)) / 5.0) AS e FROM k WHERE r <= 5), s AS (SELECT *, e / sum(e) OVER (PARTITION BY a) AS w FROM w)
+SELECT a, round(sum(w * b), 4) AS mean_b, round(-sum(w * ln(w)), 6) AS entropy, round(max(w), 6) AS top FROM s GROUP BY a""")
+def er11(spark, d):
+    w = E.soft_top_k(_pairs(spark, d), 5, 5.0)
+    return w.groupBy("a").agg(F.round(F.sum(F.col("w") * F.col("b")), 4).alias("mean_b"), r6(-F.sum(F.col("w") * F.ln("w"))).alias("entropy"), r6(F.max("w")).alias("top"))
+
+
+@query("er9_antimode_threshold")
+def er9(spark, d):
+    margins = J.margins(_pairs(spark, d)).filter("side = 'a'").select("margin")
+    return E.antimode(margins, "margin", 50)
+
+
+@query("jn13_greedy_match")
+def jn13(spark, d):
+    s = sessions_of(spark, d).groupBy("entity", "session", "season").agg(F.count("*").alias("n"))
+    return E.greedy_match(s.filter("entity % 2 = 0"), s.filter("entity % 2 = 1"), ["season"], "entity", "entity", "n")
+
+
