@@ -1 +1,187 @@
-"""Queries."""
+"""Queries of scores, calibration, ensembles and validation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as A
+from ..operators import history as H
+from ..operators import metrics as M
+from ..sources.tables import counted_log, line_log
+from .registry import LI, LOG, query, r6
+
+#: Three predictors of the label and the log they stand in.
+PRED = LOG + """, f AS (SELECT *, (k + 10.0) / (n + 50.0) AS p, 0.15 + value / 1000 AS q, 0.2 + (partner % 7) / 100.0 AS r FROM log)"""
+
+
+def predictions(spark, d):
+    log = counted_log(spark, d)
+    return log.withColumns({"p": (F.col("k") + 10.0) / (F.col("n") + 50.0), "q": 0.15 + F.col("value") / 1000, "r": 0.2 + F.col("partner") % 7 / 100.0})
+
+
+def _score_sql(group: str) -> str:
+    return f"""SELECT {group}, count(*) AS n, round(avg(y), 6) AS rate, round(avg(power(y - p, 2)), 6) AS brier, round(-avg(y * ln(p) + (1 - y) * ln(1 - p)), 6) AS logloss, round(avg(p) - avg(y), 6) AS shift,
+  round(1e5 * (1 - avg(power(y - p, 2)) / (avg(y) * (1 - avg(y)))), 3) AS score, round(1e5 * (1 - avg(power(y - p, 2)) / (avg(y) * (1 - avg(y)))) + 1e5 * power(avg(p) - avg(y), 2) / (avg(y) * (1 - avg(y))), 3) AS refinement FROM f"""
+
+
+def _score_rows(df, *keys):
+    return df.select(*keys, "n", *(r6(c).alias(c) for c in ("rate", "brier", "logloss", "shift")), F.round("score", 3).alias("score"), F.round("refinement", 3).alias("refinement"))
+
+
+@query("met1_score_by_season", f"WITH {PRED} {_score_sql('season')} GROUP BY season")
+def met1(spark, d):
+    return _score_rows(M.score(predictions(spark, d), ["season"]), "season")
+
+
+@query("met3_segment_scores", f"WITH {PRED} {_score_sql('partner % 5 AS segment')} GROUP BY partner % 5 HAVING count(*) > 100 AND avg(y) > 0 AND avg(y) < 1")
+def met3(spark, d):
+    f = predictions(spark, d).withColumn("segment", F.col("partner") % 5)
+    return _score_rows(M.score(f, ["segment"], least=100), "segment")
+
+
+@query("met3_auc", f"WITH {PRED}, c AS (SELECT season, p, sum(y) AS pos, sum(1 - y) AS neg FROM f GROUP BY ALL), w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY season ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c) SELECT season, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) AS auc FROM w GROUP BY season")
+def met3_auc(spark, d):
+    return M.auc(predictions(spark, d), ["season"]).select("season", r6("auc").alias("auc"))
+
+
+@query("met4_paired_error", f"WITH {PRED} SELECT round(1e5 * avg(power(y - p, 2) - power(y - q, 2)) / (avg(y) * (1 - avg(y))), 2) AS gain, round(1e5 * stddev_samp(power(y - p, 2) - power(y - q, 2)) / sqrt(count(*)) / (avg(y) * (1 - avg(y))), 2) AS se FROM f")
+def met4(spark, d):
+    e = M.paired_error(predictions(spark, d), "y", "p", "q")
+    return e.select(F.round("gain", 2).alias("gain"), F.round("se", 2).alias("se"))
+
+
+@query("met5_reliability", f"WITH {PRED} SELECT CAST(least(floor(q * 15), 14) AS INTEGER) AS bin, count(*) AS n, round(avg(q), 6) AS mean_p, round(avg(y), 6) AS rate FROM f GROUP BY ALL")
+def met5(spark, d):
+    return M.reliability(predictions(spark, d), p="q").select("bin", "n", r6("mean_p").alias("mean_p"), r6("rate").alias("rate"))
+
+
+@query("met6_brier_parts", f"""WITH {PRED}, e AS (SELECT quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM f), b AS (SELECT y, p, len(list_filter(e, lambda x: x < p)) AS b FROM f, e),
+g AS (SELECT b, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM b GROUP BY b), t AS (SELECT sum(n) AS N_, sum(n * my) / sum(n) AS r FROM g)
+SELECT round(sum(n / N_ * power(mp - my, 2)), 6) AS rel, round(sum(n / N_ * power(my - r, 2)), 6) AS res, round(max(r * (1 - r)), 6) AS unc FROM g, t""")
+def met6(spark, d):
+    return M.brier_parts(predictions(spark, d)).select(*(r6(c).alias(c) for c in ("rel", "res", "unc")))
+
+
+@query("met8_model_distances", f"WITH {PRED} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sqrt(avg(power({a} - {b}, 2))), 6) AS rms, round(corr({a}, {b}), 5) AS corr FROM f" for a, b in (("p", "q"), ("p", "r"), ("q", "r"))))
+def met8(spark, d):
+    return M.model_distances(predictions(spark, d), ["p", "q", "r"]).select("a", "b", r6("rms").alias("rms"), F.round("corr", 5).alias("corr"))
+
+
+@query("cal2_affine", f"WITH {PRED} SELECT season, round(regr_slope(y, q), 5) AS slope, round(regr_intercept(y, q), 5) AS intercept FROM f GROUP BY season")
+def cal2(spark, d):
+    return M.affine(predictions(spark, d), ["season"], p="q").select("season", F.round("slope", 5).alias("slope"), F.round("intercept", 5).alias("intercept"))
+
+
+@query("cal1_affine_clip", f"WITH {PRED} SELECT row_id, round(greatest(0.0, least(1.0, 0.5 + 1.5 * (q - 0.5) + 0.04)), 6) AS c FROM f")
+def cal1(spark, d):
+    return predictions(spark, d).select("row_id", r6(M.affine_clip(F.col("q"), 1.5, 0.04)).alias("c"))
+
+
+@query("cal3_affine_grid", f"WITH {PRED} SELECT s.v AS slope, c.v AS shift, round(avg(power(y - (0.5 + s.v * (q - 0.5) + c.v), 2)), 6) AS brier FROM f, (VALUES (0.8::DOUBLE), (1.0), (1.2)) s(v), (VALUES (-0.02::DOUBLE), (0.0), (0.02)) c(v) GROUP BY ALL")
+def cal3(spark, d):
+    return M.affine_grid(predictions(spark, d), [0.8, 1.0, 1.2], [-0.02, 0.0, 0.02], p="q").select("slope", "shift", r6("brier").alias("brier"))
+
+
+@query("cal4_recalibration")
+def cal4(spark, d):
+    f = predictions(spark, d)
+    a, b = M.fit_recalibration(f)
+    return spark.createDataFrame([(round(a, 4), round(b, 4))], "a double, b double")
+
+
+@query("cal5_isotonic")
+def cal5(spark, d):
+    return spark.createDataFrame(M.isotonic_map(predictions(spark, d), p="q"), "p double, rate double")
+
+
+@query("cal7_segment_offset", f"WITH {PRED}, s AS (SELECT avg((kind = 'click')::INT) AS m FROM f) SELECT row_id, round(p + 0.05 * ((kind = 'click')::INT - m), 6) AS c FROM f, s")
+def cal7(spark, d):
+    f = predictions(spark, d).withColumn("i", (F.col("kind") == "click").cast("int"))
+    m = F.broadcast(f.agg(F.avg("i").alias("m")))
+    return f.crossJoin(m).select("row_id", r6(F.col("p") + 0.05 * (F.col("i") - F.col("m"))).alias("c"))
+
+
+@query("cal8_moment_matching", f"WITH {PRED}, m AS (SELECT avg(p) AS mp, stddev_pop(p) AS sp, avg(q) AS mq, stddev_pop(q) AS sq FROM f) SELECT row_id, round(mp + (q - mq) * sp / sq, 6) AS c, round(0.3 * (power(p - 0.5, 2) - 0.01), 6) AS curve FROM f, m")
+def cal8(spark, d):
+    f = predictions(spark, d)
+    m = F.broadcast(f.agg(F.avg("p").alias("mp"), F.stddev_pop("p").alias("sp"), F.avg("q").alias("mq"), F.stddev_pop("q").alias("sq")))
+    return f.crossJoin(m).select("row_id", r6(F.col("mp") + (F.col("q") - F.col("mq")) * F.col("sp") / F.col("sq")).alias("c"), r6(0.3 * (F.pow(F.col("p") - 0.5, 2) - 0.01)).alias("curve"))
+
+
+@query("lin1_gram", f"WITH {PRED} " + " UNION ALL ".join(f"SELECT '{a}{b}' AS pair, round(sum({a} * {b}), 4) AS s FROM f" for a, b in (("p", "p"), ("p", "q"), ("q", "q"), ("p", "y"), ("q", "y"))))
+def lin1_gram(spark, d):
+    g = M.gram(predictions(spark, d), ["p", "q", "y"])
+    at = {"p": 0, "q": 1, "y": 2}
+    return spark.createDataFrame([(a + b, round(float(g[at[a], at[b]]), 4)) for a, b in ("pp", "pq", "qq", "py", "qy")], "pair string, s double")
+
+
+@query("lin1_ridge")
+def lin1_ridge(spark, d):
+    w = M.ridge(predictions(spark, d), ["p", "q", "r"], "y", 10.0)
+    return spark.createDataFrame([(k, round(v, 5)) for k, v in w.items()], "name string, weight double")
+
+
+@query("lin2_orthogonal_block", f"WITH {PRED}, s AS (SELECT regr_slope(q, p) AS b, regr_intercept(q, p) AS a FROM f WHERE season < 3) SELECT row_id, round(q - a - b * p, 5) AS q FROM f, s")
+def lin2(spark, d):
+    return M.orthogonalise(predictions(spark, d), ["q"], ["p"], F.col("season") < 3).select("row_id", F.round("q", 5).alias("q"))
+
+
+@query("ens1_blend", f"WITH {PRED} SELECT row_id, round((CASE WHEN n >= 5 THEN 2 * p ELSE 0 END + q + r) / (CASE WHEN n >= 5 THEN 2 ELSE 0 END + 2) + 1e-9, 6) AS b FROM f")
+def ens1(spark, d):
+    f = predictions(spark, d).withColumn("p", F.when(F.col("n") >= 5, F.col("p")))
+    return f.select("row_id", r6(M.blend({"p": 2.0, "q": 1.0, "r": 1.0}) + 1e-9).alias("b"))
+
+
+@query("ens4_bounded_correction", f"WITH {PRED} SELECT row_id, round(p + 0.05 * tanh((q - p) / 0.05), 6) AS c FROM f")
+def ens4(spark, d):
+    from ..functions.scalars import tanh_cap
+
+    return predictions(spark, d).select("row_id", r6(F.col("p") + tanh_cap(F.col("q") - F.col("p"), 0.05)).alias("c"))
+
+
+_SUBSETS = {"p": "p", "q": "q", "r": "r", "p,q": "(p + q) / 2", "p,r": "(p + r) / 2", "q,r": "(q + r) / 2", "p,q,r": "(p + q + r) / 3"}
+
+
+@query("ens5_subset_blends", f"WITH {PRED} " + " UNION ALL ".join(f"SELECT '{k}' AS models, CAST({k.count(',') + 1} AS INTEGER) AS size, round(avg(power({v} - y, 2)), 6) AS brier FROM f" for k, v in _SUBSETS.items()))
+def ens5(spark, d):
+    return M.subset_blends(predictions(spark, d), ["p", "q", "r"], 3).select("models", "size", r6("brier").alias("brier"))
+
+
+@query("ens2_greedy_selection")
+def ens2(spark, d):
+    return M.greedy_selection(predictions(spark, d), ["p", "q", "r"], 5)
+
+
+@query("val1_folds", f"WITH {PRED}, t(fold, role, season) AS (VALUES (0, 'fit', 0), (0, 'cal', 1), (0, 'val', 2), (1, 'fit', 0), (1, 'fit', 1), (1, 'cal', 2), (1, 'val', 3), (2, 'fit', 0), (2, 'fit', 1), (2, 'fit', 2), (2, 'cal', 3), (2, 'val', 4)) SELECT CAST(fold AS INTEGER) AS fold, role, count(*) AS n, round(avg(power(y - p, 2)), 6) AS brier FROM f JOIN t USING (season) GROUP BY ALL")
+def val1(spark, d):
+    f = M.with_roles(predictions(spark, d), M.folds([0, 1, 2, 3, 4]))
+    return f.groupBy("fold", "role").agg(F.count("*").alias("n"), r6(F.avg(F.pow(F.col("y") - F.col("p"), 2))).alias("brier"))
+
+
+@query("val2_group_folds", f"WITH {LI} SELECT CAST(entity * 2654435761 % 4294967296 % 5 AS BIGINT) AS fold, count(*) AS n, round(avg(y), 6) AS rate FROM li GROUP BY ALL")
+def val2(spark, d):
+    fold = F.pmod(F.col("entity") * F.lit(2654435761), F.lit(4294967296)) % 5
+    return line_log(spark, d).groupBy(fold.alias("fold")).agg(F.count("*").alias("n"), r6(F.avg("y")).alias("rate"))
+
+
+@query("val3_placebo_gate")
+def val3(spark, d):
+    """The in-season feature against its placebo: histories swapped among entities, coverage kept."""
+    log = counted_log(spark, d)
+    ends = H.season_end(log)
+    arms = []
+    for arm, e in (("own", ends), ("placebo", M.placebo_swap(ends, "entity"))):
+        s = H.in_season_split(H.as_of_season(log, e))
+        s = s.withColumn("hat", 0.2 + 0.5 * F.col("is_delta"))
+        arms.append(s.groupBy("season").agg((F.avg(F.pow(F.col("y") - 0.2, 2)) - F.avg(F.pow(F.col("y") - F.col("hat"), 2))).alias("delta")).withColumn("arm", F.lit(arm)))
+    return A.gate(arms[0].unionByName(arms[1]), "arm", "delta")
+
+
+@query("val6_leaderboard", f"WITH {PRED}, u AS (SELECT season, unnest(['p', 'q', 'r']) AS model, unnest([p, q, r]) AS v, y FROM f), s AS (SELECT model, season, avg(power(y - v, 2)) AS brier FROM u GROUP BY ALL) SELECT model, " + ", ".join(f"round(max(brier) FILTER (season = {i}), 6) AS s{i}" for i in range(5)) + ", round(avg(brier), 6) AS mean FROM s GROUP BY model")
+def val6(spark, d):
+    f = predictions(spark, d)
+    u = f.unpivot(["season", "y"], ["p", "q", "r"], "model", "v")
+    s = u.groupBy("model", "season").agg(F.avg(F.pow(F.col("y") - F.col("v"), 2)).alias("brier"))
+    return s.groupBy("model").agg(*(r6(F.max(F.when(F.col("season") == i, F.col("brier")))).alias(f"s{i}") for i in range(5)), r6(F.avg("brier")).alias("mean"))
+
+

@@ -1 +1,125 @@
-"""Queries."""
+"""Queries of shrinkage features."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import history as H
+from ..operators import shrinkage as D
+from ..sources.tables import counted_log, event_log, line_log
+from .registry import BASED, ENDS, EV, LI, query, r6
+
+
+def _split(spark, d, K=100.0):
+    log = counted_log(spark, d)
+    return H.in_season_split(H.as_of_season(log, H.season_end(log)), K)
+
+
+IS = BASED + ", s AS (SELECT *, greatest(0, n - base_n) AS is_n, greatest(0, k - base_k) AS is_k FROM based)"
+
+
+@query("dom4_innovation", f"""WITH {IS}, q AS (SELECT *, CASE WHEN base_n > 0 THEN base_k / base_n ELSE 0.2 END AS q0 FROM s)
+SELECT row_id, round(q0, 6) AS q_prior, round((is_k + 30.0 * q0) / (is_n + 30.0), 6) AS q_post, round((is_k - is_n * q0) / (is_n + 30.0), 6) AS innovation, round(is_n / (is_n + 30.0), 6) AS reliability FROM q""")
+def dom4(spark, d):
+    return D.innovation(_split(spark, d), 30.0, 0.2).select("row_id", *(r6(c).alias(c) for c in ("q_prior", "q_post", "innovation", "reliability")))
+
+
+@query("dom5_mix_log_ratio", f"""WITH {EV}, c AS (SELECT entity, season, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'view') AS b, count(*) FILTER (kind = 'purchase') AS c FROM ev GROUP BY ALL),
+p AS (SELECT *, greatest(1e-4, (a + 10 * 0.4) / (a + b + c + 10)) AS pa, greatest(1e-4, (b + 10 * 0.4) / (a + b + c + 10)) AS pb, greatest(1e-4, (c + 10 * 0.2) / (a + b + c + 10)) AS pc FROM c)
+SELECT entity, season, round(ln(pb / pa), 6) AS lr_b, round(ln(pc / pa), 6) AS lr_c FROM p""")
+def dom5(spark, d):
+    kinds = {"a": "click", "b": "view", "c": "purchase"}
+    c = event_log(spark, d).groupBy("entity", "season").agg(*(F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()))
+    m = D.log_ratio_mix(c, list(kinds), {"a": 0.4, "b": 0.4, "c": 0.2}, 10.0)
+    return m.select("entity", "season", r6("lr_b").alias("lr_b"), r6("lr_c").alias("lr_c"))
+
+
+PRIOR = ENDS + """, inc AS (SELECT entity, season, n_end - coalesce(lag(n_end) OVER w, 0) AS dn, k_end - coalesce(lag(k_end) OVER w, 0) AS dk FROM ends WINDOW w AS (PARTITION BY entity ORDER BY season)),
+t AS (SELECT DISTINCT entity, season AS target_season FROM log),
+j AS (SELECT t.entity, t.target_season, power(0.7, t.target_season - i.season) * sqrt(i.dn / (i.dn + 20.0)) AS w, i.dk / i.dn AS r FROM t LEFT JOIN inc i ON i.entity = t.entity AND i.season < t.target_season),
+g AS (SELECT entity, target_season, coalesce(sum(w), 0) AS weight, sum(w * r) AS wr, sum(w * r * r) AS wrr FROM j GROUP BY ALL),
+p AS (SELECT entity, target_season, weight, CASE WHEN weight > 0 THEN wr / weight ELSE 0.2 END AS prior, CASE WHEN weight > 0 THEN greatest(0.0, wrr / weight - power(wr / weight, 2)) ELSE 0 END AS spread FROM g)"""
+
+
+def _prior(spark, d):
+    log = counted_log(spark, d)
+    return D.season_prior(H.season_increment(H.season_end(log)), log.select("entity", "season").distinct(), 0.7, 20.0, 0.2)
+
+
+@query("agg7_season_prior", f"WITH {PRIOR} SELECT entity, target_season, round(prior, 6) AS prior, round(weight, 6) AS weight, round(spread, 6) AS spread FROM p")
+def agg7(spark, d):
+    return _prior(spark, d).select("entity", "target_season", *(r6(c).alias(c) for c in ("prior", "weight", "spread")))
+
+
+@query("dom6_state_transform", f"""WITH {PRIOR}, b AS (SELECT l.*, coalesce(e.n_end, 0) AS base_n, coalesce(e.k_end, 0) AS base_k FROM log l ASOF LEFT JOIN ends e ON l.entity = e.entity AND l.season > e.season)
+SELECT row_id, round((greatest(0, k - base_k) + 40 * prior) / (greatest(0, n - base_n) + 40), 6) AS posterior, round((greatest(0, k - base_k) - greatest(0, n - base_n) * prior) / (greatest(0, n - base_n) + 40), 6) + 0.0 AS innovation FROM b JOIN p ON p.entity = b.entity AND p.target_season = b.season""")
+def dom6(spark, d):
+    s = D.apply_artifact(_split(spark, d), _prior(spark, d))
+    post = (F.col("is_k") + 40 * F.col("prior")) / (F.col("is_n") + 40)
+    return s.select("row_id", r6(post).alias("posterior"), (r6((F.col("is_k") - F.col("is_n") * F.col("prior")) / (F.col("is_n") + 40)) + F.lit(0.0)).alias("innovation"))
+
+
+@query("dom8_interactions", f"""WITH {IS}, q AS (SELECT *, (is_k + 30.0 * 0.2) / (is_n + 30.0) - 0.2 AS inn FROM s) SELECT row_id, """ + ", ".join(f"round(CASE WHEN partner % 3 = {i} THEN inn ELSE 0 END, 6) AS x_{i}" for i in range(3)) + ", round(inn * (value - 50) / 50, 6) AS x_value FROM q")
+def dom8(spark, d):
+    inn = (F.col("is_k") + 30 * 0.2) / (F.col("is_n") + 30) - 0.2
+    s = _split(spark, d).withColumn("inn", inn)
+    return s.select("row_id", *(r6(F.when(F.col("partner") % 3 == i, F.col("inn")).otherwise(0.0)).alias(f"x_{i}") for i in range(3)), r6(F.col("inn") * (F.col("value") - 50) / 50).alias("x_value"))
+
+
+def _backfit_sql() -> str:
+    head = f"WITH {LI}, m AS (SELECT avg(y) AS m FROM li), r AS (SELECT entity, partner, y - m AS r FROM li, m), c AS (SELECT entity, partner, sum(r) AS s, count(*) AS n FROM r GROUP BY ALL)"
+    return head + """, e1 AS (SELECT entity, sum(s) / (sum(n) + 100) AS e FROM c GROUP BY entity), p1 AS (SELECT partner, sum(s - n * e) / (sum(n) + 100) AS e FROM c JOIN e1 USING (entity) GROUP BY partner),
+e2 AS (SELECT entity, sum(s - n * e) / (sum(n) + 100) AS e FROM c JOIN p1 USING (partner) GROUP BY entity), p2 AS (SELECT partner, sum(s - n * e) / (sum(n) + 100) AS e FROM c JOIN e2 USING (entity) GROUP BY partner)
+SELECT 'entity' AS what, entity AS id, round(e, 6) AS effect FROM e2 UNION ALL SELECT 'partner', partner, round(e, 6) FROM p2"""
+
+
+@query("dom9_residual_effects", _backfit_sql())
+def dom9(spark, d):
+    li = line_log(spark, d)
+    mean = F.broadcast(li.agg(F.avg("y").alias("m")))
+    fx = D.residual_effects(li.crossJoin(mean).withColumn("r", F.col("y") - F.col("m")), ["entity", "partner"], "r", 100.0)
+    one = lambda k: fx[k].select(F.lit(k).alias("what"), F.col(k).alias("id"), r6("effect").alias("effect"))
+    return one("entity").unionByName(one("partner"))
+
+
+@query("dom12_grid_inversion", f"""WITH {LI}, v AS (SELECT entity, avg(quantity) AS q, avg(discount) AS c FROM li GROUP BY entity), g AS (SELECT i * 20 + j AS point, 24 + i * 0.15 AS q, 0.04 + j * 0.001 AS c FROM range(20) a(i), range(20) b(j))
+SELECT entity, point, round(dist, 6) AS distance FROM (SELECT v.entity, g.point, power((v.q - g.q) / 2, 2) + power((v.c - g.c) / 0.01, 2) AS dist, row_number() OVER (PARTITION BY v.entity ORDER BY power((v.q - g.q) / 2, 2) + power((v.c - g.c) / 0.01, 2), g.point) AS r FROM v, g) WHERE r = 1""")
+def dom12(spark, d):
+    v = line_log(spark, d).groupBy("entity").agg(F.avg("quantity").alias("q"), F.avg("discount").alias("c"))
+    grid = spark.range(400).select(F.col("id").alias("point"), (24 + F.floor(F.col("id") / 20) * 0.15).alias("q"), (0.04 + F.col("id") % 20 * 0.001).alias("c"))
+    return D.nearest_grid_point(v, grid, "entity", {"q": 2.0, "c": 0.01}, "point").select("entity", "point", r6("distance").alias("distance"))
+
+
+@query("dom13_extrapolation", f"""WITH {LI}, m AS (SELECT grp, season, avg(y) AS r, row_number() OVER (PARTITION BY grp ORDER BY season DESC) AS i FROM li GROUP BY ALL)
+SELECT grp, round(greatest(0.3, least(0.7, regr_intercept(r, season) + regr_slope(r, season) * (max(season) + 1))), 5) AS forecast FROM m WHERE i <= 3 GROUP BY grp""".replace("row_number() OVER (PARTITION BY grp ORDER BY season DESC) AS i FROM li GROUP BY ALL)", "2001 - season + 1 AS i FROM li GROUP BY ALL)"))
+def dom13(spark, d):
+    m = line_log(spark, d).groupBy("grp", "season").agg(F.avg("y").alias("r"))
+    return D.extrapolate(m, ["grp"], "season", "r", 1).select("grp", F.round("forecast", 5).alias("forecast"))
+
+
+@query("dom14_log5", f"""WITH {LI}, e AS (SELECT entity, (sum(y) + 30 * 0.333) / (count(*) + 30) AS p FROM li GROUP BY entity), b AS (SELECT partner, (sum(y) + 30 * 0.333) / (count(*) + 30) AS q FROM li GROUP BY partner), x AS (SELECT DISTINCT entity, partner FROM li)
+SELECT entity, partner, round((p * q / 0.333) / (p * q / 0.333 + (1 - p) * (1 - q) / 0.667), 6) AS chance FROM x JOIN e USING (entity) JOIN b USING (partner)""")
+def dom14(spark, d):
+    li = line_log(spark, d)
+    rate = lambda k, n: li.groupBy(k).agg(H.shrunk(F.sum("y"), F.count("*"), 30.0, 0.333).alias(n))
+    x = li.select("entity", "partner").distinct().join(rate("entity", "p"), "entity").join(rate("partner", "q"), "partner")
+    return x.select("entity", "partner", r6(D.log5(F.col("p"), F.col("q"), F.lit(0.333))).alias("chance"))
+
+
+@query("shr1_shrunk_logit", f"WITH {LI}, c AS (SELECT entity, season, count(*) AS n, sum(y) AS k FROM li GROUP BY ALL), p AS (SELECT *, (k + 80 * 0.333) / (n + 80) AS p FROM c) SELECT entity, season, round(0.8 * ln(p / (1 - p)) + 0.2 * ln(0.333 / 0.667), 6) AS z FROM p")
+def shr1(spark, d):
+    c = line_log(spark, d).groupBy("entity", "season").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    return c.select("entity", "season", r6(D.shrunk_logit(c, 80.0, 0.8, 0.333)).alias("z"))
+
+
+@query("shr2_grid_scan", f"""WITH {LI}, c AS (SELECT entity, season, count(*) AS n, sum(y) AS k FROM li GROUP BY ALL), b AS (SELECT a.n AS an, a.k AS ak, c.n, c.k FROM c a JOIN c ON a.entity = c.entity AND c.season = a.season + 1)
+SELECT g.w AS weight, round(sum(k * power(1 - (ak + w * 0.333) / (an + w), 2) + (n - k) * power((ak + w * 0.333) / (an + w), 2)) / sum(n), 6) AS brier FROM b, (VALUES (10.0::DOUBLE), (50.0), (250.0), (1000.0)) g(w) GROUP BY g.w""")
+def shr2(spark, d):
+    from ..operators.joins import season_offset
+
+    c = line_log(spark, d).groupBy("entity", "season").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    b = season_offset(c, c, ["n", "k"]).filter("prev1_n IS NOT NULL")
+    weights = F.explode(F.array(*(F.lit(w) for w in (10.0, 50.0, 250.0, 1000.0)))).alias("weight")
+    p = (F.col("prev1_k") + F.col("weight") * 0.333) / (F.col("prev1_n") + F.col("weight"))
+    loss = F.col("k") * F.pow(1 - p, 2) + (F.col("n") - F.col("k")) * F.pow(p, 2)
+    return b.select("*", weights).groupBy("weight").agg(r6(F.sum(loss) / F.sum("n")).alias("brier"))
