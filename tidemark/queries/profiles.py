@@ -1 +1,52 @@
-"""Queries."""
+"""Queries of measurement profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as A
+from ..operators import profiles as P
+from ..sources.tables import event_log, line_log
+from .registry import EV, LI, query, r6
+
+CELLS = LI + ", c AS (SELECT entity, season, grp, count(*) AS n, sum(quantity) AS s, sum(quantity * quantity) AS q FROM li GROUP BY ALL)"
+
+
+@query("ph1_career_prefix", f"""WITH {CELLS}, w AS (SELECT entity, season, """ + ", ".join(f"sum({c}) FILTER (grp = '{g}') AS {c}_{g}" for g in "FO" for c in "nsq") + """ FROM c GROUP BY ALL),
+p AS (SELECT entity, season, """ + ", ".join(f"coalesce(sum({c}_{g}) OVER (PARTITION BY entity ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {c}_{g}" for g in "FO" for c in "nsq") + """ FROM w)
+SELECT entity, season, """ + ", ".join(f'round(CASE WHEN n_{g} >= 100 THEN s_{g} / n_{g} END, 6) AS "mean_{g}", round(CASE WHEN n_{g} >= 100 THEN sqrt(greatest(0.0, (q_{g} - s_{g} * s_{g} / n_{g}) / (n_{g} - 1))) END, 6) AS "sd_{g}"' for g in "FO") + " FROM p")
+def ph1(spark, d):
+    cells = A.cell_moments(line_log(spark, d), ["entity", "season", "grp"], "quantity")
+    p = P.career_prefix(cells, "entity", "season", "grp", ["F", "O"], 100)
+    return p.select("entity", "season", *(r6(c).alias(c) for c in p.columns[2:]))
+
+
+@query("ph3_group_mix", f"""WITH {LI}, v AS (SELECT entity, grp, avg(quantity) AS v FROM li WHERE season = 1996 GROUP BY ALL), m AS (SELECT entity, season, avg((grp = 'F')::INT) AS mf, avg((grp = 'O')::INT) AS mo FROM li GROUP BY ALL),
+w AS (SELECT entity, max(v) FILTER (grp = 'F') AS vf, max(v) FILTER (grp = 'O') AS vo FROM v GROUP BY entity)
+SELECT entity, season, round((mf * coalesce(vf, 0) + mo * coalesce(vo, 0)) / nullif(CASE WHEN vf IS NULL THEN 0 ELSE mf END + CASE WHEN vo IS NULL THEN 0 ELSE mo END, 0), 6) AS mixed FROM m LEFT JOIN w USING (entity)""")
+def ph3(spark, d):
+    li = line_log(spark, d)
+    profile = li.filter("season = 1996").groupBy("entity", "grp").agg(F.avg("quantity").alias("value"))
+    mix = A.shares(li, ["entity", "season"], "grp", ["F", "O"])
+    return P.group_mix(mix, profile, "entity", {"F": "share_F", "O": "share_O"}).select("entity", "season", r6("mixed").alias("mixed"))
+
+
+@query("ph4_conditional_delta", f"""WITH {LI}, c AS (SELECT entity, grp, month, count(*) AS n, sum(quantity) AS s FROM li GROUP BY ALL)
+SELECT entity, grp, month, n, round((s / n - sum(s) OVER w / sum(n) OVER w) * n / (n + 30.0), 6) AS delta FROM c WINDOW w AS (PARTITION BY entity, grp)""")
+def ph4(spark, d):
+    return P.conditional_delta(line_log(spark, d), "entity", "grp", "month", "quantity", 30.0).select("entity", "grp", "month", "n", r6("delta").alias("delta"))
+
+
+@query("ph5_posterior_tilt", f"""WITH {EV}, c AS (SELECT entity, season, kind, count(*) AS n FROM ev GROUP BY ALL), o AS (SELECT entity, kind, sum(n) / sum(sum(n)) OVER (PARTITION BY entity) AS p0 FROM c GROUP BY entity, kind)
+SELECT entity, season, kind, round((n + 30 * p0) / (sum(n) OVER (PARTITION BY entity, season) + 30) - p0, 6) + 0.0 AS tilt FROM c JOIN o USING (entity, kind)""")
+def ph5(spark, d):
+    t = P.posterior_tilt(event_log(spark, d), "entity", "season", "kind", 30.0)
+    return t.select("entity", "season", "kind", (r6("tilt") + F.lit(0.0)).alias("tilt"))
+
+
+@query("ph6_snapshot", f"""WITH {LI}, l AS (SELECT entity, season, avg(quantity) AS q, avg(y) AS r FROM li WHERE season < 2000 GROUP BY ALL), x AS (SELECT *, q - lag(q) OVER w AS d_q, r - lag(r) OVER w AS d_r, row_number() OVER (PARTITION BY entity ORDER BY season DESC) AS i FROM l WINDOW w AS (PARTITION BY entity ORDER BY season))
+SELECT entity, CAST(2000 - season AS INTEGER) AS age, round(q, 6) AS q, round(r, 6) AS r, round(d_q, 6) AS d_q, round(d_r, 6) AS d_r FROM x WHERE i = 1""")
+def ph6(spark, d):
+    levels = line_log(spark, d).groupBy("entity", "season").agg(F.avg("quantity").alias("q"), F.avg("y").alias("r"))
+    s = P.snapshot(levels, "entity", "season", ["q", "r"], 2000)
+    return s.select("entity", "age", *(r6(c).alias(c) for c in ("q", "r", "d_q", "d_r")))

@@ -1 +1,62 @@
-"""Queries."""
+"""Queries of serving and of sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import history as H
+from ..plans import scoring as S
+from ..sources import files
+from ..sources.tables import counted_log, event_log, table
+from .registry import ENDS, EV, query, r6
+
+
+@query("srv1_row_scorer", f"""WITH {ENDS}, l AS (SELECT entity, max_by(k_end / n_end, season) AS base FROM ends WHERE season < 3 GROUP BY entity),
+m AS (SELECT log.*, 0.1 + 0.5 * base AS a, 0.15 + 0.001 * value AS b FROM log LEFT JOIN l USING (entity) WHERE season >= 3),
+p AS (SELECT *, (CASE WHEN a IS NULL THEN 0 ELSE 2 * a END + b) / (CASE WHEN a IS NULL THEN 0 ELSE 2 END + 1) AS p FROM m)
+SELECT row_id, round(greatest(0.0, least(1.0, greatest(0.0, least(1.0, 0.5 + 1.1 * (p - 0.5) + 0.01)) + CASE WHEN kind = 'click' THEN 0.02 ELSE 0 END)), 6) AS score FROM p""")
+def srv1(spark, d):
+    log = counted_log(spark, d)
+    ends = H.season_end(log).filter("season < 3").withColumn("rate", F.col("k_end") / F.col("n_end"))
+    lookup = ends.groupBy("entity").agg(F.max_by("rate", "season").alias("base"))
+    rows = log.filter("season >= 3")
+    members = {"a": {"base": 0.5, "intercept": 0.1}, "b": {"value": 0.001, "intercept": 0.15}}
+    s = S.score_rows(rows, lookup, "entity", members, {"a": 2.0, "b": 1.0}, 1.1, 0.01, [(F.col("kind") == "click", 0.02)], safety=0.2)
+    return s.select("row_id", r6("score").alias("score"))
+
+
+@query("cmp1_provenance", f"WITH {EV} SELECT CAST(row_id AS VARCHAR) AS name, CASE WHEN partner = 42 THEN 'BLOCK' WHEN true THEN 'REVIEW' END AS verdict FROM ev")
+def cmp1(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), "props")
+    return S.provenance(S.flatten_json(e, "props", "name"), "^k$", [42.0])
+
+
+@query("src3_cleansing", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(least(month(o_orderdate), 10) AS INTEGER) AS month, CASE WHEN o_totalprice > 1000 THEN o_totalprice END AS price, replace(lower(o_orderpriority), 'not specified', 'none') AS priority FROM orders WHERE o_orderstatus <> 'P'")
+def src3(spark, d):
+    o = table(spark, d, "orders").filter("o_orderstatus <> 'P'")
+    return o.select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.least(F.month("o_orderdate"), F.lit(10)).alias("month"), F.when(F.col("o_totalprice") > 1000, F.col("o_totalprice")).alias("price"), F.replace(F.lower("o_orderpriority"), F.lit("not specified"), F.lit("none")).alias("priority"))
+
+
+@query("src4_projected_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+def src4(spark, d):
+    return table(spark, d, "lineitem").filter("l_quantity > 45").select("l_orderkey", "l_quantity")
+
+
+@query("prj12_contract", f"WITH {EV} SELECT row_id, kind, value FROM ev")
+def prj12(spark, d):
+    from ..operators.rowwise import contract
+
+    return contract(event_log(spark, d), ["row_id", "kind", "value"])
+
+
+@query("src7_keyed_cache", f"WITH {EV} SELECT season, count(*) AS n FROM ev GROUP BY season")
+def src7(spark, d):
+    """A table that is computed once per key and read again; the folder is temporary here."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    counts = event_log(spark, d).groupBy("season").agg(F.count("*").alias("n"))
+    key = f"counts-{uuid.uuid4().hex}"
+    files.cached(counts, folder, key)
+    return files.cached(counts, folder, key)
