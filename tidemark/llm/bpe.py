@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Words a task remembers; when there are more it starts anew.
 REMEMBERED = 200_000
 #: Bytes of distinct new words, and tokens to decode, in one DuckDB query.
-WORD_BYTES, TOKENS = 1 << 20, 1 << 20
+WORD_BYTES, TOKENS = 1 << 19, 1 << 20
 #: Words of more bytes contract every occurrence of a pair at a time, where that can't change the outcome.
 SHORT = 48
 #: Rows (positions times steps) that one recursive query may produce for long words.
@@ -163,7 +163,7 @@ class Codec:
                     continue
                 batch.append(w)
                 held += len(raw)
-                if held > WORD_BYTES // 4:
+                if held > WORD_BYTES:
                     flush()
                     batch, held = [], 0
             if batch:
@@ -225,7 +225,7 @@ def _codec(raw: bytes, pattern: str) -> Codec:
     return _codecs[name]
 
 
-def _parts(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, list]]:
+def _parts(column: pa.Array, size: int = 1 << 22) -> Iterator[tuple[int, list]]:
     """(first row, values) of runs of about ``size`` bytes."""
     first, held, part = 0, 0, []
     for i, v in enumerate(column):
