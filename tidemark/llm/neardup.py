@@ -35,6 +35,8 @@ class MinHash:
     #: 32 bands of 6 rows miss a pair at the threshold with probability 3e-7, and then only if no other path links it.
     bands: int = 32
     rows: int = 6
+    #: Bins of the finer sketch that rules out pairs before their texts are read.
+    sketch: int = 512
     max_rounds: int = 60
 
     @property
@@ -66,6 +68,16 @@ def _signatures(owner: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.
     return sig
 
 
+def _sketches(owner: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.ndarray:
+    """n x bins bytes of the least hashes in each bin, 1 to 255; 0 where a bin is empty."""
+    which = ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    first = np.ones(len(hashes), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (which[1:] != which[:-1])
+    out = np.zeros((n, bins), np.uint8)
+    out[owner[first], which[first]] = rolling.mix(hashes[first]) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def _describe(p: MinHash):
     """Arrow function: (id, text) to (id, n, sa, sb, bands, low)."""
 
@@ -81,7 +93,7 @@ def _describe(p: MinHash):
                 sig = _signatures(owner, h, n, p.bins)
                 power = np.arange(1, p.rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
                 bands = rolling.mix((sig.reshape(n, p.bands, p.rows) * power).sum(axis=2, dtype=np.uint64) + np.arange(p.bands, dtype=np.uint64))
-                low = (rolling.mix(sig) & np.uint64(0xFF)).astype(np.uint8).view(np.int8)
+                low = _sketches(owner, h, n, p.sketch).view(np.int8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
@@ -89,7 +101,7 @@ def _describe(p: MinHash):
                         pa.array(sa.view(np.int64)),
                         pa.array(sb.view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), p.bands).cast(pa.list_(pa.int64())),
-                        pa.FixedSizeListArray.from_arrays(pa.array(low.reshape(-1)), p.bins).cast(pa.list_(pa.int8())),
+                        pa.FixedSizeListArray.from_arrays(pa.array(low.reshape(-1)), p.sketch).cast(pa.list_(pa.int8())),
                     ],
                     names=["id", "n", "sa", "sb", "bands", "low"],
                 )
@@ -163,12 +175,18 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _may_be_similar(p: MinHash, x: str, y: str) -> Column:
-    """Whether sizes allow the similarity and signatures agree to within six standard deviations of it."""
+    """Whether sizes allow the similarity and sketches agree to within five standard deviations of it.
+
+    A bin that either text fills samples one shingle of their union, without replacement.
+    """
     j = p.percent / 100
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    agree = F.size(F.filter(F.zip_with(f"{x}.low", f"{y}.low", lambda a, b: a == b), lambda e: e))
-    slack = 6 * F.sqrt(F.lit(j * (1 - j)) / F.least(F.lit(p.bins), small))
-    return (small * 100 >= large * p.percent) & (agree >= p.bins * (j - slack))
+    pairs = F.filter(F.arrays_zip(F.col(f"{x}.low").alias("a"), F.col(f"{y}.low").alias("b")), lambda e: (e["a"] != 0) | (e["b"] != 0))
+    union = (small + large) / (1 + j)
+    sampled = F.lit(float(p.sketch)) * (1 - F.exp(-union / p.sketch))
+    deviation = F.sqrt(F.lit(j * (1 - j)) / sampled * F.greatest(F.lit(0.0), 1 - sampled / union))
+    agree = F.size(F.filter(pairs, lambda e: e["a"] == e["b"]))
+    return (small * 100 >= large * p.percent) & (agree + 2 >= F.size(pairs) * (j - 5 * deviation))
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
