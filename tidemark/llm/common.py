@@ -27,6 +27,11 @@ def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     return F.broadcast(spark.createDataFrame(rows, df.schema)), True
 
 
+def packed(docs: DataFrame, replaced: list[str], **named: Column) -> DataFrame:
+    """``row_`` with all columns of ``docs`` but the replaced ones, and the named columns: no name of a caller's column can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in replaced)).alias("row_"), *(c.alias(n) for n, c in named.items()))
+
+
 def words_of(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

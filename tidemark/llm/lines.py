@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import name128
+from .common import name128, packed
 
 
 def solid_lines(text: Column) -> Column:
@@ -78,18 +78,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result.
     """
     made = ["n_lines", "n_removed", "n_runs"]
-    given = [c for c in docs.columns if c not in made]
     runs = line_runs(docs, id_col, text_col, min_lines).withColumnsRenamed({"id": "l_id", "text_hash": "l_hash", "runs": "l_runs"})
-    d = docs.select(*given, F.xxhash64(text_col).alias("l_text_hash"))
-    d = d.join(runs, F.col(id_col).eqNullSafe(F.col("l_id")) & (F.col("l_text_hash") == F.col("l_hash")), "left")
+    d = packed(docs, made, l_doc=F.col(id_col), l_text=F.col(text_col), l_text_hash=F.xxhash64(text_col))
+    d = d.join(runs, F.col("l_doc").eqNullSafe(F.col("l_id")) & (F.col("l_text_hash") == F.col("l_hash")), "left")
 
     # Runs as places among all lines, for texts that lose some.
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
+    lines = F.split(F.coalesce(F.col("l_text"), F.lit("")), "\n")
     solid = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
     d = d.withColumns({"l_lines": F.when(F.col("l_runs").isNotNull(), lines), "l_at": F.when(F.col("l_runs").isNotNull(), solid)})
     d = d.withColumn("l_gone", F.transform("l_runs", lambda r: F.struct(F.get(F.col("l_at"), r["start"]).alias("start"), F.get(F.col("l_at"), r["end"] - 1).alias("end"))))
     stays = F.filter("l_lines", lambda _, i: ~F.exists("l_gone", lambda r: i.between(r["start"], r["end"])))
-    text = F.when(F.col("l_runs").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    text = F.when(F.col("l_runs").isNull(), F.col("l_text")).otherwise(F.array_join(stays, "\n"))
     removed = F.coalesce(F.aggregate("l_runs", F.lit(0), lambda acc, r: acc + r["end"] - r["start"]), F.lit(0))
-    d = d.withColumns({"n_lines": F.size(solid_lines(F.col(text_col))).cast("long"), "n_removed": removed.cast("long"), "n_runs": F.coalesce(F.size("l_runs"), F.lit(0)).cast("long"), "l_text": text})
-    return d.select(*(F.col("l_text").alias(c) if c == text_col else F.col(c) for c in given), *made)
+    counts = {"n_lines": F.size(solid_lines(F.col("l_text"))), "n_removed": removed, "n_runs": F.coalesce(F.size("l_runs"), F.lit(0))}
+    given = [c for c in docs.columns if c not in made]
+    return d.select(*(text.alias(c) if c == text_col else F.col(f"row_.`{c}`") for c in given), *(c.cast("long").alias(n) for n, c in counts.items()))

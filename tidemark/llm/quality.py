@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import grams, small_side, words_of
+from .common import grams, packed, small_side, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes, each taken from what the former ones leave; what is left over is the last class.
@@ -121,9 +121,8 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
     refs, _ = small_side(references(docs, rules, text_col, lang_col), rules.broadcast_languages)
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     made = [*own, "char_js", "word_js", "kept"]
-    given = [c for c in docs.columns if c not in made]
-    d = _base(docs.select(*given), text_col, rules)
-    d = d.join(refs, F.coalesce(F.col(lang_col), F.lit("")) == F.col("ref_lang"), "left")
+    d = _base(packed(docs, made, q_text=F.col(text_col), q_lang=F.coalesce(F.col(lang_col), F.lit(""))), "q_text", rules)
+    d = d.join(refs, F.col("q_lang") == F.col("ref_lang"), "left")
 
     # Every word stands between two spaces of its own, so replacing " word " finds each occurrence.
     spaced = F.concat(F.lit(" "), F.array_join("q_words", "  "), F.lit(" "))
@@ -138,4 +137,4 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
     d = d.withColumns({"word_js": F.when(F.col("q_judged"), js_distance(F.concat("q_common", F.array(rest)), F.col("ref_word_p"))), "char_js": F.when(F.col("q_judged"), js_distance(F.col("q_class_p"), F.col("ref_char_p")))})
     far = F.coalesce((F.col("char_js") > rules.max_char_js) | (F.col("word_js") > rules.max_word_js), F.lit(False))
     d = d.withColumn("kept", ~F.col("base_failed") & ~far)
-    return d.select(*given, *made)
+    return d.select("row_.*", *made)
