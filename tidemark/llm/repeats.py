@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import written
+from .common import packed, written
 
 _KEEP = "id {id}, th long"
 
@@ -34,8 +34,8 @@ class Repeats:
     length: int = 200
     gram: int = 48
     #: Contexts in a group beyond which it is split, and about so many in one task's index.
-    max_group: int = 2000
-    bucket: int = 4000
+    max_group: int = 10_000
+    bucket: int = 10_000
 
     @property
     def reach(self) -> int:
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     made = ["n_bytes", "n_removed", "n_spans", "kept_bytes"]
     given = [c for c in docs.columns if c not in made]
     marks = repeated_bytes(docs, p, id_col, text_col).groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("r_ranges")).withColumnsRenamed({"id": "r_id", "th": "r_th"})
-    source = docs.select(*given).withColumn("r_hash", F.xxhash64(text_col))
-    joined = source.join(marks, F.col(id_col).eqNullSafe(F.col("r_id")) & (F.col("r_hash") == F.col("r_th")), "left").select(*given, "r_ranges")
+    source = packed(docs, made, r_doc=F.col(id_col), r_hash=F.xxhash64(text_col))
+    joined = source.join(marks, F.col("r_doc").eqNullSafe(F.col("r_id")) & (F.col("r_hash") == F.col("r_th")), "left").select("row_.*", F.col("r_ranges").alias("r_ranges"))
     full = StructType(docs.select(*given).schema.fields + StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_bytes binary").fields)
     return joined.mapInArrow(_remove(p, given.index(text_col), len(given), [f.name for f in full.fields]), full)
