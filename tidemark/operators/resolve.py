@@ -130,6 +130,8 @@ def greedy_match(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: s
     """One-to-one pairs within each key, closest sizes first: (keys, a, b, gap). Each key is one cogrouped task, to be kept small by the keys."""
 
     def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return pd.DataFrame(columns=[*keys, "a", "b", "gap"])
         x, y = x.sort_values([size, a_id], kind="stable"), y.sort_values([size, b_id], kind="stable").reset_index(drop=True)
         free, sizes, out = np.ones(len(y), bool), y[size].to_numpy(), []
         for _, r in x.iterrows():

@@ -140,9 +140,9 @@ def agg22(spark, d):
     return A.gate(f, "arm", "delta").select("arm", r6("mean").alias("mean"), r6("sd").alias("sd"), r6("worst").alias("worst"), "positive", "n", "passed")
 
 
-@query("agg23_pivot_report", f"WITH {EV} SELECT kind, " + ", ".join(f"round(avg(value) FILTER (season = {s}), 4) AS s{s}" for s in range(5)) + " FROM ev GROUP BY kind")
+@query("agg23_pivot_report", f"WITH {EV} SELECT kind, " + ", ".join(f"round(avg(value) FILTER (season = {s}) + 1e-9, 4) AS s{s}" for s in range(5)) + " FROM ev GROUP BY kind")
 def agg23(spark, d):
-    p = event_log(spark, d).groupBy("kind").pivot("season", [0, 1, 2, 3, 4]).agg(F.round(F.avg("value"), 4))
+    p = event_log(spark, d).groupBy("kind").pivot("season", [0, 1, 2, 3, 4]).agg(F.round(F.avg("value") + 1e-9, 4))
     return p.select("kind", *(F.col(str(s)).alias(f"s{s}") for s in range(5)))
 
 

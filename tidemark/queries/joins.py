@@ -45,10 +45,11 @@ def jn5(spark, d):
     return _cells(spark, d).join(e, ["entity", "season"]).select("entity", "season", "n", "m")
 
 
-@query("jn6_merge_filled", f"WITH {EV}, p AS (SELECT row_id, 0.25 AS q FROM ev WHERE row_id % 3 = 0) SELECT row_id, round(coalesce(q, value / 1000), 6) AS p FROM ev LEFT JOIN p USING (row_id)")
+@query("jn6_merge_filled", f"WITH {EV}, p AS (SELECT row_id, 0.25 AS q FROM ev WHERE kind IN ('click', 'view')) SELECT row_id, round(coalesce(q, value / 1000), 6) AS p FROM ev LEFT JOIN p USING (row_id)")
 def jn6(spark, d):
     e = event_log(spark, d)
-    given = e.filter("row_id % 3 = 0").select("row_id", F.lit(0.25).alias("q")).unionByName(e.filter("row_id % 6 = 0").select("row_id", F.lit(0.25).alias("q")))
+    one = lambda kinds: e.filter(F.col("kind").isin(*kinds)).select("row_id", F.lit(0.25).alias("q"))
+    given = one(["click", "view"]).unionByName(one(["click"]))
     return e.join(given.dropDuplicates(["row_id"]), "row_id", "left").select("row_id", r6(F.coalesce("q", F.col("value") / 1000)).alias("p"))
 
 
@@ -91,13 +92,15 @@ def jn11(spark, d):
     return event_log(spark, d).select("entity").distinct().join(known, "entity", "left_anti")
 
 
-COST = LI + """, v AS (SELECT entity, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM li GROUP BY ALL),
-p AS (SELECT a.entity AS a, b.entity AS b, sum(1.0 * abs(a.q - b.q) + 2.0 * abs(a.c - b.c)) AS cost FROM v a JOIN v b USING (season) WHERE a.entity <= 30 AND b.entity BETWEEN 31 AND 70 GROUP BY ALL)"""
+#: Two id spaces: suppliers in one channel, and re-keyed suppliers in the other.
+COST = LI + """, va AS (SELECT entity, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM li WHERE grp = 'F' GROUP BY ALL), vb AS (SELECT entity + 1000000 AS entity, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM li WHERE grp = 'O' GROUP BY ALL),
+p AS (SELECT a.entity AS a, b.entity AS b, sum(1.0 * abs(a.q - b.q) + 2.0 * abs(a.c - b.c)) AS cost FROM va a JOIN vb b USING (season) GROUP BY ALL)"""
 
 
 def _pairs(spark, d):
-    v = line_log(spark, d).groupBy("entity", "season").agg(F.avg("quantity").alias("q"), (F.avg("discount") * 100).alias("c"))
-    return J.pair_cost(v.filter("entity <= 30"), v.filter("entity BETWEEN 31 AND 70"), ["season"], "entity", "entity", {"q": 1.0, "c": 2.0})
+    v = line_log(spark, d).groupBy("entity", "season", "grp").agg(F.avg("quantity").alias("q"), (F.avg("discount") * 100).alias("c"))
+    other = v.filter("grp = 'O'").withColumn("entity", F.col("entity") + 1_000_000)
+    return J.pair_cost(v.filter("grp = 'F'"), other, ["season"], "entity", "entity", {"q": 1.0, "c": 2.0})
 
 
 @query("jn12_pair_cost", f"WITH {COST} SELECT a, b, round(cost, 6) AS cost FROM p")
@@ -147,26 +150,27 @@ def srt5(spark, d):
     return J.nearest_rows(e.filter("vec_id % 20 = 0"), e, 5, "vec_id", "embedding", exclude="label").select("query", "neighbour", r6("distance").alias("distance"), "rank")
 
 
-SIGNATURE = LI + """, m AS (SELECT entity, season, grp, avg(quantity) AS q, avg((discount < 0.05)::INT) AS h FROM li GROUP BY ALL),
+SIGNATURE = LI + """, m AS (SELECT entity + CASE WHEN grp = 'O' THEN 1000000 ELSE 0 END AS entity, season, grp, avg(quantity) AS q, avg((discount < 0.05)::INT) AS h FROM li GROUP BY ALL),
 r AS (SELECT *, (rank() OVER (PARTITION BY season, grp ORDER BY q) + (count(*) OVER (PARTITION BY season, grp, q) - 1) / 2) / count(*) OVER (PARTITION BY season, grp) AS pct FROM m)"""
 
 
 @query("er3_rank_cost", f"""WITH {SIGNATURE} SELECT a.entity AS a, b.entity AS b, round(sum(abs(a.pct - b.pct) + 0.5 * sqrt(greatest(0.0, 1 - (sqrt(a.h * b.h) + sqrt((1 - a.h) * (1 - b.h)))))), 6) AS cost, count(*) AS blocks
-FROM r a JOIN r b USING (season, grp) WHERE a.entity <= 20 AND b.entity BETWEEN 21 AND 50 GROUP BY ALL""")
+FROM r a JOIN r b USING (season) WHERE a.grp = 'F' AND b.grp = 'O' GROUP BY ALL""")
 def er3(spark, d):
-    return E.signature_cost(*_signatures(spark, d), ["season", "grp"]).select("a", "b", r6("cost").alias("cost"), "blocks")
+    return E.signature_cost(*_signatures(spark, d), ["season"]).select("a", "b", r6("cost").alias("cost"), "blocks")
 
 
 def _signatures(spark, d):
-    m = line_log(spark, d).groupBy("entity", "season", "grp").agg(F.avg("quantity").alias("q"), F.avg((F.col("discount") < 0.05).cast("int")).alias("h"))
+    key = F.col("entity") + F.when(F.col("grp") == "O", 1_000_000).otherwise(0)
+    m = line_log(spark, d).groupBy(key.alias("entity"), "season", "grp").agg(F.avg("quantity").alias("q"), F.avg((F.col("discount") < 0.05).cast("int")).alias("h"))
     r = S.average_rank(m, "q", ["season", "grp"]).withColumn("hist", F.array(F.col("h"), 1 - F.col("h")))
-    return r.filter("entity <= 20"), r.filter("entity BETWEEN 21 AND 50")
+    return r.filter("grp = 'F'"), r.filter("grp = 'O'")
 
 
 @query("er4_assignment")
 def er4(spark, d):
-    """One-to-one pairs of least total cost: 20 ids against 30, by a solver in one task per block."""
-    pairs = E.signature_cost(*_signatures(spark, d), ["season", "grp"])
+    """One-to-one pairs of least total cost between the two id spaces."""
+    pairs = E.signature_cost(*_signatures(spark, d), ["season"])
     return E.assign(pairs.withColumn("block", F.lit(0)), "block").select("a", "b", r6("cost").alias("cost"))
 
 
@@ -201,6 +205,6 @@ def er9(spark, d):
 @query("jn13_greedy_match")
 def jn13(spark, d):
     s = sessions_of(spark, d).groupBy("entity", "session", "season").agg(F.count("*").alias("n"))
-    return E.greedy_match(s.filter("entity % 2 = 0"), s.filter("entity % 2 = 1"), ["season"], "entity", "entity", "n")
+    return E.greedy_match(s, s.filter("season <> 1").withColumn("entity", F.col("entity") + 1_000_000), ["season"], "entity", "entity", "n")
 
 
