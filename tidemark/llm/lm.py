@@ -5,7 +5,7 @@ documents, the background model over all. A document's score is its loss per tok
 under the background model; the lower, the more it reads like the target.
 
 1. Words are counted over all documents; the most common ones become the vocabulary, the rest one unknown word.
-2. Documents are rewritten as blocks of token numbers, some two million to a block.
+2. Documents are rewritten as blocks of token numbers, some four million to a block.
 3. Each block counts its bigrams, target and all; a pre-aggregated sum over blocks is the model.
 4. Each block asks for the counts of its own bigrams: a join by bigram, so the model stays sharded and a bigram
    costs one row a block, however often it occurs. Block and answers meet, and its documents are scored.
@@ -29,10 +29,10 @@ from .common import lower_ascii, words_of, written
 @dataclass(frozen=True)
 class Bigrams:
     #: Words in the vocabulary at most, with at most so many bytes each: what is broadcast has a fixed bound.
-    vocabulary: int = 65_000
+    vocabulary: int = 16_000
     word_bytes: int = 64
     min_count: int = 2
-    block_tokens: int = 2_000_000
+    block_tokens: int = 4_000_000
 
 
 #: Token numbers of the start of a text and of unknown words; the vocabulary follows.
