@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import aggregates, history, joins, metrics, profiles, rowwise, serving, shrinkage, streams  # noqa: F401  (they register)
+from .queries import aggregates, history, joins, metrics, models, profiles, rowwise, serving, shrinkage, streams  # noqa: F401  (they register)
 from .queries.registry import ORACLES, QUERIES
 
 FLAGSHIP = "dom1_inseason_split"
