@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, lines, neardup, quality
+from tidemark.llm.common import written
 from tidemark.llm.queries import tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the quality rules."""
-    return quality.quality_rules(docs).filter("kept").select(*COLUMNS)
+    """Keeps the documents that pass the quality rules.
+
+    The verdict goes through a generator: Spark would push a plain filter below the projections that make it
+    and write their expressions out into each other, which takes the planner forever.
+    """
+    judged = quality.quality_rules(docs)
+    return judged.select(*COLUMNS, F.explode_outer(F.array("kept")).alias("stays")).filter("stays").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a scale-factor folder."""
+    """All stages over the documents of a scale-factor folder; each stage's result is a table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
