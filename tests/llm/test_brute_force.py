@@ -222,3 +222,34 @@ def test_classifier_on_held_out_documents(spark):
     got = kneser.quality_classifier(docs, labels, kneser.KneserNey(seed=1)).join(labels, "doc_id").filter("n_words >= 20")
     rate = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
     assert rate[1] > 0.97 and rate[0] < 0.5
+
+
+def _bigram_scores(texts, target, known):
+    """(target loss, background loss) a token of each text; words that aren't known are one."""
+    docs = [[w.lower() if w.lower() in known else "<u>" for w in WORDS.findall(t)] for t in texts]
+    pairs = [list(zip(["<s>", *d], d, strict=False)) for d in docs]
+    size, out = len(known) + 2, []
+    for chosen in (target, [True] * len(texts)):
+        c = collections.Counter(x for ps, ok in zip(pairs, chosen, strict=True) if ok for x in ps)
+        left, kinds, word = collections.Counter(), collections.Counter(), collections.Counter()
+        for (a, b), n in c.items():
+            left[a] += n
+            kinds[a] += 1
+            word[b] += n
+        one = {b: (word[b] + 1) / (sum(word.values()) + size) for b in [*known, "<u>"]}
+        loss = lambda a, b: -math.log2((c[a, b] + kinds[a] * one[b]) / (left[a] + kinds[a]) if left[a] else one[b])  # noqa: E731, B023
+        out.append([sum(loss(*x) for x in ps) / len(ps) for ps in pairs])
+    return list(zip(*out, strict=True))
+
+
+def test_cross_entropy_vocabulary_is_every_repeated_word(spark):
+    """More words than the 16,000 that were once the bound, and one of over 64 bytes; all that occur twice are in the model."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(18_000)] + ["z" * 90]
+    texts = [" ".join(rng.sample(words, len(words))) for _ in range(2)] + ["once V1 v2", "z" * 90 + " v3 v3 never"]
+    target = [True, False, False, True]
+    want = _bigram_scores(texts, target, set(words))
+    df = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, target, strict=True))], "doc_id long, text string, target boolean").repartition(3)
+    got = {r.doc_id: (r.target_loss, r.background_loss) for r in lm.cross_entropy_difference(df, p=lm.Bigrams(block_tokens=5_000)).collect()}
+    for i, pair in enumerate(want):
+        assert np.allclose(got[i], pair, rtol=0, atol=1e-9)

@@ -4,20 +4,26 @@ Two bigram models are counted over the same documents with one vocabulary: the t
 documents, the background model over all. A document's score is its loss per token under the target model less that
 under the background model; the lower, the more it reads like the target.
 
-1. Words are counted over all documents; the most common ones become the vocabulary, the rest one unknown word.
-2. Documents are rewritten as blocks of token numbers, some four million to a block.
-3. Each block counts its bigrams, target and all; a pre-aggregated sum over blocks is the model.
-4. Each block asks for the counts of its own bigrams: a join by bigram, so the model stays sharded and a bigram
-   costs one row a block, however often it occurs. Block and answers meet, and its documents are scored.
+1. Documents are rewritten as blocks of token numbers, some four million to a block.
+2. Every word that occurs ``min_count`` times over all documents is in the vocabulary, however many there are; the
+   rest are one unknown word.
+3. Each block counts its bigrams, target and all. The model is their sum over blocks.
+4. Each block gets the counts of its own bigrams and contexts, and its documents are scored.
+
+Words and bigrams are named by 64-bit hashes. What has to be summed over blocks (words, bigrams, contexts) goes to
+shards: a block sends each shard its slice of sorted names with counts, and the shard answers with the totals in
+the same order, without names. So no machine holds the vocabulary or the model, a name costs one entry a block
+however often it occurs, and the entries are compressed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +34,21 @@ from .common import lower_ascii, words_of, written
 
 @dataclass(frozen=True)
 class Bigrams:
-    #: Words in the vocabulary at most, with at most so many bytes each: what is broadcast has a fixed bound.
-    vocabulary: int = 16_000
+    #: Words in the vocabulary at most, with at most so many bytes each; None takes every word that occurs often enough.
+    vocabulary: int | None = None
     word_bytes: int = 64
     min_count: int = 2
     block_tokens: int = 4_000_000
 
 
-#: Token numbers of the start of a text and of unknown words; the vocabulary follows.
+#: Names of the start of a text and of unknown words; all others are hashes of words.
 START, UNKNOWN, FIRST = 0, 1, 2
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_REQUEST, _ANSWER = "shard long, block long, payload binary", "block long, shard long, payload binary, names long"
 
 
 def vocabulary(docs: DataFrame, p: Bigrams, text_col: str) -> np.ndarray:
-    """Hashes of the most common words, sorted; a word's number is its place. Ties go to the smaller word."""
+    """Hashes of the ``p.vocabulary`` most common words, sorted. Ties go to the smaller word."""
     words = docs.select(F.explode(words_of(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     top = words.filter((F.col("n") >= p.min_count) & (F.octet_length("word") <= p.word_bytes)).orderBy(F.desc("n"), "word").limit(p.vocabulary)
     column = top.select("word").toArrow().column(0).combine_chunks()
@@ -52,30 +60,73 @@ def vocabulary(docs: DataFrame, p: Bigrams, text_col: str) -> np.ndarray:
     return np.unique(hashes)
 
 
-def _blocks(words: np.ndarray, p: Bigrams):
-    """Arrow function: (id, target, text) to blocks (block, ids, targets, sizes, tokens)."""
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers of 4 or 8 bytes as compressed planes of bytes, their count ahead."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def _unpack(data: bytes, dtype: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(dtype)
+
+
+def _names(data: bytes) -> np.ndarray:
+    """Sorted names from their packed differences."""
+    return np.cumsum(_unpack(data, np.uint64), dtype=np.uint64)
+
+
+def _steps(names: np.ndarray) -> np.ndarray:
+    return np.diff(names, prepend=np.uint64(0))
+
+
+def _block(block: int, ids: pa.Array, targets: pa.Array, sizes: np.ndarray, hashes: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """One row: documents with their sizes; names of the block's words, sorted; each token's place among them."""
+    one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+    known = targets.to_numpy(zero_copy_only=False).astype(bool)
+    row = [pa.array([block], pa.int64()), one(ids), one(targets), one(pa.array(sizes, pa.int32())), pa.array([_pack(_steps(hashes))], pa.binary()), pa.array([_pack(tokens.astype(np.uint32))], pa.binary())]
+    return pa.RecordBatch.from_arrays([*row, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[known].sum())], pa.int64())], names=["block", "ids", "targets", "sizes", "words", "tokens", "n_all", "n_target"])
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted different values, each element's place among them, and counts, in less memory than ``np.unique`` takes."""
+    order = np.argsort(x)
+    x = x[order]
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    which = np.empty(len(x), np.int32)
+    which[order] = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
+    return x[fresh], which, np.diff(np.append(np.flatnonzero(fresh), len(x)))
+
+
+def _known(hashes: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words and tokens with all but the known words as UNKNOWN."""
+    kept, place, _ = _distinct(np.where(known, hashes, np.uint64(UNKNOWN)))
+    return kept, place[tokens]
+
+
+def _blocks(words: np.ndarray | None, p: Bigrams):
+    """Arrow function: (id, target, text) to blocks; with ``words``, all others are UNKNOWN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, held = TaskContext.get().partitionId() << 24, 0, 0
         parts: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]] = []
 
         def block() -> pa.RecordBatch:
-            ids = pa.concat_arrays([x[0] for x in parts])
-            targets = pa.concat_arrays([x[1] for x in parts])
-            sizes = np.concatenate([x[2] for x in parts])
-            tokens = np.concatenate([x[3] for x in parts]).astype("<u2").tobytes()
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            return pa.RecordBatch.from_arrays([pa.array([base + made], pa.int64()), one(ids), one(targets), one(pa.array(sizes, pa.int32())), pa.array([tokens], pa.binary())], names=["block", "ids", "targets", "sizes", "tokens"])
+            hashes, tokens, _ = _distinct(np.concatenate([x[3] for x in parts]))
+            if words is not None:
+                hashes, tokens = _known(hashes, tokens, np.isin(hashes, words))
+            return _block(base + made, pa.concat_arrays([x[0] for x in parts]), pa.concat_arrays([x[1] for x in parts]), np.concatenate([x[2] for x in parts]), hashes, tokens)
 
         for batch in batches:
             for first, last, data, starts in rolling.chunks(batch.column(2)):
                 text, h = rolling.word_hashes(data, starts)
-                at = np.searchsorted(words, h)
-                known = words[np.minimum(at, len(words) - 1)] == h if len(words) else np.zeros(len(h), bool)
-                tokens = np.where(known, at + FIRST, UNKNOWN)
                 n = last - first
-                parts.append((batch.column(0).slice(first, n), batch.column(1).slice(first, n), np.bincount(text, minlength=n), tokens))
-                held += len(tokens)
+                parts.append((batch.column(0).slice(first, n), batch.column(1).slice(first, n), np.bincount(text, minlength=n), h))
+                held += len(h)
                 if held >= p.block_tokens:
                     yield block()
                     made, held, parts = made + 1, 0, []
@@ -85,57 +136,173 @@ def _blocks(words: np.ndarray, p: Bigrams):
     return run
 
 
-def _pairs(sizes: np.ndarray, tokens: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, bigram) of each token of a block; a text's first token follows START."""
-    x = np.frombuffer(tokens, "<u2").astype(np.int64)
-    before = np.empty_like(x)
-    before[1:] = x[:-1]
-    at = np.cumsum(sizes) - sizes
-    before[at[sizes > 0]] = START
-    return np.repeat(np.arange(len(sizes)), sizes), before << 16 | x
+def _requests(block: int, names: np.ndarray, values: list[np.ndarray], shards: int) -> pa.RecordBatch:
+    """A block's sorted names and their values, cut into the shards' ranges of names."""
+    bounds = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
+    edges = [0, *np.searchsorted(names, bounds).tolist(), len(names)]
+    rows = []
+    for i in range(shards):
+        cut = slice(edges[i], edges[i + 1])
+        if cut.stop > cut.start:
+            rows.append((i, _pack(np.concatenate([_steps(names[cut]).view(np.int64), *(v[cut].astype(np.int64) for v in values)]))))
+    return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(np.full(len(rows), block), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["shard", "block", "payload"])
+
+
+def _totals(width: int):
+    """Group function of a shard: each block's entries answered by totals over blocks and a mask, in the entries' order.
+
+    Bit j of the mask says that the entry is the first of its name whose value j isn't 0. ``names`` is the
+    number of different words among the shard's names, in one row.
+    """
+
+    def run(asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("block")
+        parts = [_unpack(x.as_py(), np.int64).reshape(width + 1, -1) for x in asked.column("payload")]
+        names = np.concatenate([np.cumsum(x[0].view(np.uint64), dtype=np.uint64) for x in parts])
+        different, inverse, _ = _distinct(names)
+        out = np.zeros((width + 1, len(names)), np.int64)
+        for j in range(width):
+            value = np.concatenate([x[j + 1] for x in parts])
+            out[j] = np.bincount(inverse, weights=value, minlength=len(different)).astype(np.int64)[inverse]
+            some = np.flatnonzero(value)[::-1]
+            first = np.full(len(different), -1)
+            first[inverse[some]] = some
+            out[width, first[first >= 0]] |= 1 << j
+        edges = np.cumsum([0, *(x.shape[1] for x in parts)])
+        payload = [_pack(np.ascontiguousarray(out[:, a:b]).reshape(-1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        count = np.zeros(len(parts), np.int64)
+        count[0] = np.count_nonzero(different >= FIRST)
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "payload": pa.array(payload, pa.binary()), "names": pa.array(count)})
+
+    return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, targets, sizes, tokens) to the block's bigrams with their counts in all and in target documents."""
+def _answers(rows: pa.Table, width: int, *wanted: int) -> list[np.ndarray]:
+    """The wanted ones of what the shards answered to a block (totals, then the mask), in the order of its names."""
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in wanted]
+    for x in rows.sort_by("shard").column("payload"):
+        part = _unpack(x.as_py(), np.int64).reshape(width + 1, -1)
+        for kept, j in zip(parts, wanted, strict=True):
+            kept.append(part[j].copy())
+    return [np.concatenate(parts.pop(0)) for _ in wanted]
+
+
+@dataclass
+class _Counted:
+    """A block's different bigrams: place of the left and right word, counts, and names in ascending order of name."""
+
+    which: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    n: np.ndarray
+    n_target: np.ndarray
+    names: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, targets: pa.Array, sizes: np.ndarray, words: bytes, tokens: bytes) -> _Counted:
+        names = np.append(_names(words), np.uint64(START))
+        x = _unpack(tokens, np.uint32)
+        pair = np.zeros(len(x), np.int64)
+        pair[1:] = x[:-1]
+        pair[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(names) - 1  # a text's first token follows START
+        pair <<= 32
+        pair |= x
+        del x
+        pair, which, n = _distinct(pair)
+        n_target = np.bincount(which[np.repeat(targets.to_numpy(zero_copy_only=False).astype(bool), sizes)], minlength=len(pair))
+        left, right = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+        del pair
+        name = rolling.mix(rolling.mix(names[left] * _LEFT + _RIGHT) + names[right] * _RIGHT)
+        order = np.argsort(name)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return cls(place[which], left[order], right[order], n.astype(np.int32)[order], n_target.astype(np.int32)[order], name[order], names)
+
+    def per_word(self, side: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(side, weights=weights, minlength=len(self.words)).astype(np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list]:
     for batch in batches:
         for i in range(batch.num_rows):
-            sizes = batch.column(2)[i].values.to_numpy().astype(np.int64)
-            doc, pair = _pairs(sizes, batch.column(3)[i].as_py())
-            target = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-            pairs, inverse, n = np.unique(pair, return_inverse=True, return_counts=True)
-            n_target = np.bincount(inverse[target[doc]], minlength=len(pairs))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(pairs), batch.column(0)[i].as_py()), pa.int64()), pa.array(pairs), pa.array(n.astype(np.int32)), pa.array(n_target.astype(np.int32))], names=["block", "pair", "n", "n_target"]
-            )
-
-
-def _losses(stats: dict[str, np.ndarray]):
-    """Cogroup function: a block, and the counts of its bigrams, to (id, n_tokens, target_loss, background_loss)."""
-
-    def loss(kind: str, pair: np.ndarray, n: np.ndarray) -> np.ndarray:
-        left, right = pair >> 16, pair & 0xFFFF
-        total, kinds, word = stats[f"total_{kind}"], stats[f"kinds_{kind}"], stats[f"word_{kind}"]
-        # Witten-Bell: a context gives its number of different successors to the word's own share.
-        weight = total[left] + kinds[left]
-        return -np.log2(np.where(weight > 0, (n + kinds[left] * word[right]) / np.maximum(weight, 1), word[right]))
-
-    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
-        pair = counts.column("pair").to_numpy()
-        order = np.argsort(pair)
-        pair = pair[order]
-        each = {k: loss(k, pair, counts.column(c).to_numpy()[order]) for k, c in (("target", "n_target"), ("all", "n"))} if len(pair) else {}
-        ids, sizes_out, sums = [], [], {"target": [], "all": []}
-        for i in range(blocks.num_rows):
-            sizes = blocks.column("sizes")[i].values.to_numpy().astype(np.int64)
-            doc, own = _pairs(sizes, blocks.column("tokens")[i].as_py())
-            at = np.searchsorted(pair, own)
-            ids.append(blocks.column("ids")[i].values)
-            sizes_out.append(sizes)
-            for k in sums:
-                sums[k].append(np.bincount(doc, weights=each[k][at] if len(at) else None, minlength=len(sizes)))
-        n = np.concatenate(sizes_out)
-        mean = {k: pa.array(np.concatenate(v) / np.maximum(n, 1), mask=n == 0) for k, v in sums.items()}
-        return pa.table({"id": pa.concat_arrays(ids), "n_tokens": pa.array(n), "target_loss": mean["target"], "background_loss": mean["all"]})
+            yield [batch.column(n)[i] for n in names]
+
+
+def _ask_words(shards: int):
+    """Arrow function: the words of a block with their counts, to shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, tokens in _rows(batches, ("block", "words", "tokens")):
+            hashes = _names(words.as_py())
+            yield _requests(block.as_py(), hashes, [np.bincount(_unpack(tokens.as_py(), np.uint32), minlength=len(hashes))], shards)
+
+    return run
+
+
+def _hide_rare(min_count: int):
+    """Cogroup function: a block with its rare words as UNKNOWN."""
+
+    def run(blocks: pa.Table, totals: pa.Table) -> pa.Table:
+        row = blocks.to_batches()[0]
+        hashes, n = _names(row.column("words")[0].as_py()), _answers(totals, 1, 0)[0]
+        hashes, tokens = _known(hashes, _unpack(row.column("tokens")[0].as_py(), np.uint32), n >= min_count)
+        sizes = row.column("sizes")[0].values.to_numpy().astype(np.int64)
+        return pa.Table.from_batches([_block(row.column("block")[0].as_py(), row.column("ids")[0].values, row.column("targets")[0].values, sizes, hashes, tokens)])
+
+    return run
+
+
+def _counted(row: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, _Counted]:
+    sizes = row.column("sizes")[0].values.to_numpy().astype(np.int64)
+    return sizes, _Counted.of(row.column("targets")[0].values, sizes, row.column("words")[0].as_py(), row.column("tokens")[0].as_py())
+
+
+def _ask_bigrams(shards: int):
+    """Arrow function: a block's bigrams with their counts in all and in target documents, to shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, c = _counted(batch.slice(i, 1))
+                yield _requests(batch.column("block")[i].as_py(), c.names, [c.n, c.n_target], shards)
+
+    return run
+
+
+def _ask_contexts(shards: int):
+    """Cogroup function: a block's words, as the second and as the first of a bigram, to shards. A bigram counts as one kind in one block."""
+
+    def run(blocks: pa.Table, bigrams: pa.Table) -> pa.Table:
+        _, c = _counted(blocks)
+        (mask,) = _answers(bigrams, 2, 2)
+        values = [c.per_word(c.right, c.n), c.per_word(c.right, c.n_target), c.per_word(c.left, c.n), c.per_word(c.left, c.n_target), c.per_word(c.left, mask & 1), c.per_word(c.left, mask >> 1 & 1)]
+        order = np.argsort(c.words)
+        return pa.Table.from_batches([_requests(blocks.column("block")[0].as_py(), c.words[order], [v[order] for v in values], shards)])
+
+    return run
+
+
+def _losses(size: int, n_all: int, n_target: int):
+    """Cogroup function: a block, and the totals of its bigrams and words, to (id, n_tokens, target_loss, background_loss)."""
+
+    def run(blocks: pa.Table, totals: pa.Table) -> pa.Table:
+        sizes, c = _counted(blocks)
+        of_words = pc.equal(totals.column("about"), "words")
+        pairs, words = _answers(totals.filter(pc.invert(of_words)), 2, 0, 1), _answers(totals.filter(of_words), 6, *range(6))
+        place = np.empty(len(c.words), np.int64)
+        place[np.argsort(c.words)] = np.arange(len(c.words))
+        mean = {}
+        for k, at, tokens in (("all", 0, n_all), ("target", 1, n_target)):
+            loss = np.zeros(0)
+            if len(c.n):
+                word, total, kinds = ((words[at + j])[place] for j in (0, 2, 4))
+                word = (word + 1) / (tokens + size)
+                # Witten-Bell: a context gives its number of different successors to the word's own share.
+                weight = (total + kinds)[c.left]
+                loss = -np.log2(np.where(weight > 0, (pairs[at] + kinds[c.left] * word[c.right]) / np.maximum(weight, 1), word[c.right]))
+            mean[k] = pa.array(np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=loss[c.which], minlength=len(sizes)) / np.maximum(sizes, 1), mask=sizes == 0)
+        return pa.table({"id": blocks.column("ids")[0].values, "n_tokens": pa.array(sizes), "target_loss": mean["target"], "background_loss": mean["all"]})
 
     return run
 
@@ -148,29 +315,29 @@ def cross_entropy_difference(docs: DataFrame, target: str = "target", p: Bigrams
     target document the target model is uniform. Repeated rows count as often as they occur. Other columns
     are ignored; an empty table gives an empty result.
 
-    Scale: texts are read twice and not shuffled; the word count and the bigram counts are combined before they
-    shuffle; of a block only its different bigrams are sent and answered.
+    Scale: texts are read once and not shuffled; blocks of token numbers are. Of a block only its different words
+    and bigrams are sent and answered. There are as many shards as blocks' worth of tokens, so a shard's entries are
+    about as many as a block's, at any size of the input.
     """
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(target), F.lit(False)).alias("target"), F.col(text_col).alias("text"))
-    words = vocabulary(source, p, "text")
-    blocks = written(source.mapInArrow(_blocks(words, p), f"block long, ids array<{id_type}>, targets array<boolean>, sizes array<int>, tokens binary"))
-    asked = written(blocks.select("block", "targets", "sizes", "tokens").mapInArrow(_count, "block long, pair long, n int, n_target int"))
-    counts = written(asked.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")))
-
-    # Both tables have a row per word of the vocabulary at most.
-    size = len(words) + FIRST
-    some = F.when(F.col("n_target") > 0, 1)
-    left = counts.groupBy(F.shiftright("pair", 16).alias("w")).agg(F.sum("n").alias("total_all"), F.count("*").alias("kinds_all"), F.sum("n_target").alias("total_target"), F.count(some).alias("kinds_target"))
-    right = counts.groupBy(F.col("pair").bitwiseAND(F.lit(0xFFFF)).alias("w")).agg(F.sum("n").alias("word_all"), F.sum("n_target").alias("word_target"))
-    stats: dict[str, np.ndarray] = {}
-    for found in (left.toArrow(), right.toArrow()):
-        for name in found.column_names[1:]:
-            stats[name] = np.zeros(size)
-            stats[name][found.column("w").to_numpy()] = found.column(name).to_numpy()
-    for k in ("all", "target"):
-        stats[f"word_{k}"] = (stats[f"word_{k}"] + 1) / (stats[f"word_{k}"].sum() + size)
-
-    answers = asked.select("block", "pair").join(counts, "pair")
-    scored = blocks.select("block", "ids", "sizes", "tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_losses(stats), f"id {id_type}, n_tokens long, target_loss double, background_loss double")
+    words = None if p.vocabulary is None else vocabulary(source, p, "text")
+    schema = f"block long, ids array<{id_type}>, targets array<boolean>, sizes array<int>, words binary, tokens binary, n_all long, n_target long"
+    blocks = written(source.mapInArrow(_blocks(words, p), schema))
+    n_all, n_target = (int(n or 0) for n in blocks.agg(F.sum("n_all"), F.sum("n_target")).first())
+    shards = max(1, -(-n_all // p.block_tokens))
+
+    def totals(asked: DataFrame, width: int) -> DataFrame:
+        return written(asked.groupBy("shard").applyInArrow(_totals(width), _ANSWER))
+
+    def meet(answers: DataFrame, f: Callable, out: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, out)
+
+    if words is None:
+        blocks = written(meet(totals(blocks.mapInArrow(_ask_words(shards), _REQUEST), 1), _hide_rare(p.min_count), schema))
+    bigrams = totals(blocks.mapInArrow(_ask_bigrams(shards), _REQUEST), 2)
+    contexts = totals(meet(bigrams, _ask_contexts(shards), _REQUEST), 6)
+    size = FIRST + int(contexts.agg(F.sum("names")).first()[0] or 0)
+    both = bigrams.withColumn("about", F.lit("bigrams")).unionByName(contexts.withColumn("about", F.lit("words")))
+    scored = meet(both, _losses(size, n_all, n_target), f"id {id_type}, n_tokens long, target_loss double, background_loss double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))
