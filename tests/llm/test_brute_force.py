@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, kneser, lm, neardup, repeats, secrets
+from tidemark.llm import bpe, kneser, lines, lm, neardup, repeats, secrets
 from tidemark.llm.queries import tokenizer
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -253,3 +253,28 @@ def test_cross_entropy_vocabulary_is_every_repeated_word(spark):
     got = {r.doc_id: (r.target_loss, r.background_loss) for r in lm.cross_entropy_difference(df, p=lm.Bigrams(block_tokens=5_000)).collect()}
     for i, pair in enumerate(want):
         assert np.allclose(got[i], pair, rtol=0, atol=1e-9)
+
+
+def test_line_runs_of_over_fifty_words(spark):
+    """Repeated runs count by lines or by words: one long line, two half-long ones, and texts of fewer than three lines."""
+    rng = random.Random(3)
+    passage = lambda n: " ".join(f"p{rng.randint(0, 10**6)}" for _ in range(n))
+    pool = [passage(n) for n in (51, 50, 30, 21, 20, 60, 3, 2, 1)]
+    texts = [pool[0], "x\n" + pool[0], pool[1], "y\n" + pool[1], None, "", pool[0] + "\n \n" + pool[0]]
+    texts += ["\n".join(rng.choice([*pool, f"own {k}", " "]) for _ in range(rng.randint(1, 9))) for k in range(40)]
+    solid = [[x for x in (t or "").split("\n") if WORDS.search(x)] for t in texts]
+    seen, want = set(), {}
+    for k, ls in enumerate(solid):
+        gone = set()
+        for i in range(len(ls)):
+            for j in range(i + 1, len(ls) + 1):
+                run = tuple(ls[i:j])
+                if (j - i >= 3 or sum(len(WORDS.findall(x)) for x in run) > 50) and run in seen:
+                    gone |= set(range(i, j))
+            # From here on a run that started at i is an earlier one.
+            seen |= {tuple(ls[i:j]) for j in range(i + 1, len(ls) + 1)}
+        want[k] = (len(ls), len(gone), [x for i, x in enumerate(ls) if i not in gone])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_lines, r.n_removed, [x for x in (r.text or "").split("\n") if WORDS.search(x)]) for r in lines.dedup_lines(df).collect()}
+    assert got == want
+    assert want[1][1] == 1 and want[3][1] == 0

@@ -1,11 +1,14 @@
-"""Line dedup: repeated runs of lines, found in a suffix array over line ids made by prefix doubling.
-
-Documents become sequences of line ids. Prefix doubling names the run of 1, 2, 4, ... lines that starts at
-each place: a run's name is made from the names of its two halves, which lie in the same document. After
-the last round, suffixes with the same name form one interval of the suffix array whose longest common
-prefix has at least ``min_lines`` lines. Within an interval the first suffix (by document, then line) stays
-and the lines under later ones are deleted; overlapping later suffixes join to maximal repeated runs.
-Doubling ends at ``min_lines``: deeper rounds would only split intervals further and delete the same lines.
+"""Line dedup: repeated runs of lines, found by counting names of windows of lines.
+
+Documents become sequences of line ids. The window of 1, 2, 3, ... lines that starts at each place is named
+from the names of two shorter ones, up to ``min_lines``. Windows of ``min_lines`` lines, and shorter ones of over
+``long_words`` words, are grouped by name; the first of a group (by document, then line) stays and the lines
+under later ones are deleted. Overlapping and adjacent windows join to runs.
+
+A run that repeats an earlier one counts if it has ``min_lines`` lines or over ``long_words`` words. Every such run is
+covered by such windows, each of which repeats an earlier one too, and every window is such a run: so the lines
+deleted are those under maximal repeated runs. No suffix array is made: neither the order of suffixes nor the
+match length of a run with each of its copies is known.
 """
 
 from __future__ import annotations
@@ -28,6 +31,24 @@ def _doubled(names: Column, step: int) -> Column:
     return F.slice(F.zip_with(names, second, lambda x, y: name128(x["a"], x["b"], y["a"], y["b"])), 1, count)
 
 
+def _windows(docs: DataFrame, text_col: str, min_lines: int, long_words: int) -> DataFrame:
+    """Adds ``windows``: (at, end, name) of all windows of ``min_lines`` lines, and of shorter ones of over ``long_words`` words."""
+    lines = solid_lines(F.col(text_col))
+    d = docs.withColumn("lines", lines).withColumn("sizes", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))))
+    d = d.withColumn("names_1", F.transform("lines", lambda x: name128(x))).drop("lines")
+    parts = []
+    for length in range(1, min_lines + 1):
+        if length > 1:
+            d = d.withColumn(f"names_{length}", _doubled(F.col(f"names_{length - 1}"), 1))
+        name = F.col(f"names_{length}")
+        window = F.transform(name, lambda x, i: F.struct(i.alias("at"), (i + length).alias("end"), x.alias("name")))  # noqa: B023
+        if length < min_lines:
+            words = lambda w: F.aggregate(F.slice("sizes", w["at"] + 1, F.lit(length)), F.lit(0), lambda acc, x: acc + x)  # noqa: E731, B023
+            window = F.filter(window, lambda w: words(w) > long_words)  # noqa: B023
+        parts.append(window)
+    return d.withColumn("windows", F.concat(*parts))
+
+
 def suffix_names(docs: DataFrame, text_col: str, min_lines: int) -> DataFrame:
     """Adds ``names``: for each line that ``min_lines`` lines start at, the name of that prefix of its suffix."""
     d = docs.withColumn("names", F.transform(solid_lines(F.col(text_col)), lambda x: name128(x)))
@@ -39,46 +60,54 @@ def suffix_names(docs: DataFrame, text_col: str, min_lines: int) -> DataFrame:
     return d
 
 
-def repeated_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
-    """(id, text_hash, at): places, counted in lines with a word, where ``min_lines`` lines start that an earlier place has too.
+def repeated_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
+    """(id, text_hash, at, end): windows, counted in lines with a word, that an earlier place has too; None for ``long_words`` leaves out the shorter ones.
 
-    Intervals are found by a pre-aggregated count, so a line that fills a third of the corpus costs one
+    Groups are found by a pre-aggregated count, so a line that fills a third of the corpus costs one
     row per task; the join back is one that Spark can split where it is skewed.
     """
     key = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")]
-    suffixes = suffix_names(docs.select(*key, F.col(text_col).alias("text")), "text", min_lines).select("id", "text_hash", F.posexplode_outer("names").alias("at", "name")).filter("at IS NOT NULL")
-    suffixes = suffixes.select(F.struct("id", "text_hash", "at").alias("place"), F.col("name.a").alias("a"), F.col("name.b").alias("b"))
+    texts = docs.select(*key, F.col(text_col).alias("text"))
+    if long_words is None:
+        suffixes = suffix_names(texts, "text", min_lines).select("id", "text_hash", F.posexplode_outer("names").alias("at", "name")).filter("at IS NOT NULL")
+        place = F.struct("id", "text_hash", "at", (F.col("at") + min_lines).alias("end"))
+    else:
+        suffixes = _windows(texts, "text", min_lines, long_words).select("id", "text_hash", F.explode_outer("windows").alias("w")).filter("w IS NOT NULL")
+        suffixes = suffixes.select("id", "text_hash", "w.at", "w.end", "w.name")
+        place = F.struct("id", "text_hash", "at", "end")
+    suffixes = suffixes.select(place.alias("place"), F.col("name.a").alias("a"), F.col("name.b").alias("b"))
     intervals = suffixes.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
     later = suffixes.join(intervals, ["a", "b"]).filter(F.col("place") > F.col("first"))
-    return later.select("place.id", "place.text_hash", "place.at")
+    return later.select("place.id", "place.text_hash", "place.at", "place.end")
 
 
-def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
+def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
     """(id, text_hash, runs): per document with repeats, its maximal repeated runs as (start, end) of lines with a word."""
 
-    def join(acc: Column, at: Column) -> Column:
+    def join(acc: Column, w: Column) -> Column:
+        at, end = w["at"], w["end"]
         last = F.element_at(acc, -1)
         meets = (F.size(acc) > 0) & (at <= F.get(acc, F.size(acc) - 1)["end"])
-        new = F.array(F.struct(at.alias("start"), (at + min_lines).alias("end")))
-        longer = F.array(F.struct(last["start"].alias("start"), (at + min_lines).alias("end")))
+        new = F.array(F.struct(at.alias("start"), end.alias("end")))
+        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end")))
         return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, new))
 
     none = F.array().cast("array<struct<start:int,end:int>>")
-    places = repeated_suffixes(docs, id_col, text_col, min_lines).groupBy("id", "text_hash").agg(F.sort_array(F.collect_list("at")).alias("places"))
+    places = repeated_suffixes(docs, id_col, text_col, min_lines, long_words).groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("places"))
     return places.select("id", "text_hash", F.aggregate("places", none, join).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its later copies, and ``n_lines``, ``n_removed``, ``n_runs`` added.
 
-    A run is ``min_lines`` or more consecutive lines with a word; blank lines between them don't count and go
+    A run is consecutive lines with a word, ``min_lines`` or more of them or with over ``long_words`` words together, down
+    to a single line; None for ``long_words`` leaves only the count of lines. Blank lines between them don't count and go
     with the run. Order is by id (nulls first), then text hash, then line. Rows that repeat an id and its
-    text count as one document. A null text stays null and has no lines. Texts with fewer lines than
-    ``min_lines`` aren't changed. Columns of ``docs`` that bear one of the added names are replaced; an empty
+    text count as one document. A null text stays null and has no lines. Columns of ``docs`` that bear one of the added names are replaced; an empty
     table gives an empty result.
     """
     made = ["n_lines", "n_removed", "n_runs"]
-    runs = line_runs(docs, id_col, text_col, min_lines).withColumnsRenamed({"id": "l_id", "text_hash": "l_hash", "runs": "l_runs"})
+    runs = line_runs(docs, id_col, text_col, min_lines, long_words).withColumnsRenamed({"id": "l_id", "text_hash": "l_hash", "runs": "l_runs"})
     d = packed(docs, made, l_doc=F.col(id_col), l_text=F.col(text_col), l_text_hash=F.xxhash64(text_col))
     d = d.join(runs, F.col("l_doc").eqNullSafe(F.col("l_id")) & (F.col("l_text_hash") == F.col("l_hash")), "left")
 
