@@ -9,6 +9,9 @@ from tidemark.llm import bpe, decontam, lines, neardup, quality
 from tidemark.llm.common import written
 from tidemark.llm.queries import tokenizer
 
+#: The stage links from 0.80 up. 38 bands of 5 rows miss a pair at the threshold with probability 3e-7, and then only if no other path links it.
+NEAR = neardup.MinHash(percent=80, bands=38, rows=5)
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,8 +32,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates."""
-    stays = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    """Keeps the document with the least id of each group of near duplicates, linked by a similarity of 0.80 or more of five-word shingles."""
+    stays = neardup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
 
 
