@@ -56,9 +56,11 @@ def name128(*cols: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that all machines share; a temporary one where none is set, as in tests."""
+    """The folder for checkpoints that all machines share. Where none is set, a temporary one, on one machine only, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -72,6 +74,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` from a table in the shared folder, bucketed by ``key``: what is grouped or joined by it comes to the table, which isn't shuffled."""
+    name = f"tidemark_{uuid.uuid4().hex}"
+    # 100,000 is as many buckets as Spark allows.
+    df.write.bucketBy(min(max(1, buckets), 100_000), key).option("path", f"{shared_folder(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()

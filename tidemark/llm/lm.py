@@ -4,7 +4,8 @@ Two bigram models are counted over the same documents with one vocabulary: the t
 documents, the background model over all. A document's score is its loss per token under the target model less that
 under the background model; the lower, the more it reads like the target.
 
-1. Documents are rewritten as blocks of token numbers, some four million to a block.
+1. Documents are rewritten as blocks of token numbers, some four million to a block. The blocks are a table bucketed by
+   block, written once; in what follows only answers travel to them.
 2. Every word that occurs ``min_count`` times over all documents is in the vocabulary, however many there are; the
    rest are one unknown word.
 3. Each block counts its bigrams, target and all. The model is their sum over blocks.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import lower_ascii, words_of, written
+from .common import bucketed, lower_ascii, words_of, written
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,8 @@ class Bigrams:
     word_bytes: int = 64
     min_count: int = 2
     block_tokens: int = 4_000_000
+    #: Bytes of text to a bucket of the table of blocks.
+    bucket_bytes: int = 16_000_000
 
 
 #: Names of the start of a text and of unknown words; all others are hashes of words.
@@ -200,9 +203,8 @@ class _Counted:
     words: np.ndarray
 
     @classmethod
-    def of(cls, targets: pa.Array, sizes: np.ndarray, words: bytes, tokens: bytes) -> _Counted:
-        names = np.append(_names(words), np.uint64(START))
-        x = _unpack(tokens, np.uint32)
+    def of(cls, targets: pa.Array, sizes: np.ndarray, words: np.ndarray, x: np.ndarray) -> _Counted:
+        names = np.append(words, np.uint64(START))
         pair = np.zeros(len(x), np.int64)
         pair[1:] = x[:-1]
         pair[(np.cumsum(sizes) - sizes)[sizes > 0]] = len(names) - 1  # a text's first token follows START
@@ -240,42 +242,36 @@ def _ask_words(shards: int):
     return run
 
 
-def _hide_rare(min_count: int):
-    """Cogroup function: a block with its rare words as UNKNOWN."""
-
-    def run(blocks: pa.Table, totals: pa.Table) -> pa.Table:
-        row = blocks.to_batches()[0]
-        hashes, n = _names(row.column("words")[0].as_py()), _answers(totals, 1, 0)[0]
-        hashes, tokens = _known(hashes, _unpack(row.column("tokens")[0].as_py(), np.uint32), n >= min_count)
-        sizes = row.column("sizes")[0].values.to_numpy().astype(np.int64)
-        return pa.Table.from_batches([_block(row.column("block")[0].as_py(), row.column("ids")[0].values, row.column("targets")[0].values, sizes, hashes, tokens)])
+def _counted(row: pa.RecordBatch | pa.Table, answers: pa.Table, min_count: int) -> tuple[np.ndarray, _Counted]:
+    """A block's document sizes and bigrams, its rare words as UNKNOWN by what the shards answered about words."""
+    sizes = row.column("sizes")[0].values.to_numpy().astype(np.int64)
+    words, tokens = _names(row.column("words")[0].as_py()), _unpack(row.column("tokens")[0].as_py(), np.uint32)
+    (n,) = _answers(_about(answers, "words"), 1, 0)
+    if len(n):
+        words, tokens = _known(words, tokens, n >= min_count)
+    return sizes, _Counted.of(row.column("targets")[0].values, sizes, words, tokens)
 
-    return run
 
+def _about(answers: pa.Table, what: str) -> pa.Table:
+    return answers.filter(pc.equal(answers.column("about"), what))
 
-def _counted(row: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, _Counted]:
-    sizes = row.column("sizes")[0].values.to_numpy().astype(np.int64)
-    return sizes, _Counted.of(row.column("targets")[0].values, sizes, row.column("words")[0].as_py(), row.column("tokens")[0].as_py())
 
+def _ask_bigrams(shards: int, min_count: int):
+    """Cogroup function: a block's bigrams with their counts in all and in target documents, to shards."""
 
-def _ask_bigrams(shards: int):
-    """Arrow function: a block's bigrams with their counts in all and in target documents, to shards."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                _, c = _counted(batch.slice(i, 1))
-                yield _requests(batch.column("block")[i].as_py(), c.names, [c.n, c.n_target], shards)
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        _, c = _counted(blocks, answers, min_count)
+        return pa.Table.from_batches([_requests(blocks.column("block")[0].as_py(), c.names, [c.n, c.n_target], shards)])
 
     return run
 
 
-def _ask_contexts(shards: int):
+def _ask_contexts(shards: int, min_count: int):
     """Cogroup function: a block's words, as the second and as the first of a bigram, to shards. A bigram counts as one kind in one block."""
 
-    def run(blocks: pa.Table, bigrams: pa.Table) -> pa.Table:
-        _, c = _counted(blocks)
-        (mask,) = _answers(bigrams, 2, 2)
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        _, c = _counted(blocks, answers, min_count)
+        (mask,) = _answers(_about(answers, "bigrams"), 2, 2)
         values = [c.per_word(c.right, c.n), c.per_word(c.right, c.n_target), c.per_word(c.left, c.n), c.per_word(c.left, c.n_target), c.per_word(c.left, mask & 1), c.per_word(c.left, mask >> 1 & 1)]
         order = np.argsort(c.words)
         return pa.Table.from_batches([_requests(blocks.column("block")[0].as_py(), c.words[order], [v[order] for v in values], shards)])
@@ -283,13 +279,12 @@ def _ask_contexts(shards: int):
     return run
 
 
-def _losses(size: int, n_all: int, n_target: int):
-    """Cogroup function: a block, and the totals of its bigrams and words, to (id, n_tokens, target_loss, background_loss)."""
+def _losses(size: int, n_all: int, n_target: int, min_count: int):
+    """Cogroup function: a block, and the totals of its bigrams and contexts, to (id, n_tokens, target_loss, background_loss)."""
 
-    def run(blocks: pa.Table, totals: pa.Table) -> pa.Table:
-        sizes, c = _counted(blocks)
-        of_words = pc.equal(totals.column("about"), "words")
-        pairs, words = _answers(totals.filter(pc.invert(of_words)), 2, 0, 1), _answers(totals.filter(of_words), 6, *range(6))
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, c = _counted(blocks, answers, min_count)
+        pairs, words = _answers(_about(answers, "bigrams"), 2, 0, 1), _answers(_about(answers, "contexts"), 6, *range(6))
         place = np.empty(len(c.words), np.int64)
         place[np.argsort(c.words)] = np.arange(len(c.words))
         mean = {}
@@ -315,29 +310,30 @@ def cross_entropy_difference(docs: DataFrame, target: str = "target", p: Bigrams
     target document the target model is uniform. Repeated rows count as often as they occur. Other columns
     are ignored; an empty table gives an empty result.
 
-    Scale: texts are read once and not shuffled; blocks of token numbers are. Of a block only its different words
-    and bigrams are sent and answered. There are as many shards as blocks' worth of tokens, so a shard's entries are
-    about as many as a block's, at any size of the input.
+    Scale: texts are read once and not shuffled, nor are the blocks made of them: they are bucketed where they were made.
+    Of a block only its different words and bigrams are sent and answered. There are as many shards as blocks' worth
+    of tokens, so a shard's entries are about as many as a block's, at any size of the input.
     """
     id_type = dict(docs.dtypes)[id_col]
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(target), F.lit(False)).alias("target"), F.col(text_col).alias("text"))
     words = None if p.vocabulary is None else vocabulary(source, p, "text")
     schema = f"block long, ids array<{id_type}>, targets array<boolean>, sizes array<int>, words binary, tokens binary, n_all long, n_target long"
-    blocks = written(source.mapInArrow(_blocks(words, p), schema))
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    blocks = bucketed(source.mapInArrow(_blocks(words, p), schema), "block", -(-n_bytes // p.bucket_bytes))
     n_all, n_target = (int(n or 0) for n in blocks.agg(F.sum("n_all"), F.sum("n_target")).first())
     shards = max(1, -(-n_all // p.block_tokens))
 
-    def totals(asked: DataFrame, width: int) -> DataFrame:
-        return written(asked.groupBy("shard").applyInArrow(_totals(width), _ANSWER))
+    def totals(asked: DataFrame, width: int, about: str) -> DataFrame:
+        return written(asked.groupBy("shard").applyInArrow(_totals(width), _ANSWER)).withColumn("about", F.lit(about))
 
     def meet(answers: DataFrame, f: Callable, out: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, out)
 
-    if words is None:
-        blocks = written(meet(totals(blocks.mapInArrow(_ask_words(shards), _REQUEST), 1), _hide_rare(p.min_count), schema))
-    bigrams = totals(blocks.mapInArrow(_ask_bigrams(shards), _REQUEST), 2)
-    contexts = totals(meet(bigrams, _ask_contexts(shards), _REQUEST), 6)
+    answers = totals(blocks.mapInArrow(_ask_words(shards), _REQUEST), 1, "words")
+    if words is not None:  # all others are unknown already
+        answers = answers.limit(0)
+    answers = answers.unionByName(totals(meet(answers, _ask_bigrams(shards, p.min_count), _REQUEST), 2, "bigrams"))
+    contexts = totals(meet(answers, _ask_contexts(shards, p.min_count), _REQUEST), 6, "contexts")
     size = FIRST + int(contexts.agg(F.sum("names")).first()[0] or 0)
-    both = bigrams.withColumn("about", F.lit("bigrams")).unionByName(contexts.withColumn("about", F.lit("words")))
-    scored = meet(both, _losses(size, n_all, n_target), f"id {id_type}, n_tokens long, target_loss double, background_loss double")
+    scored = meet(answers.unionByName(contexts), _losses(size, n_all, n_target, p.min_count), f"id {id_type}, n_tokens long, target_loss double, background_loss double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("score"))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, kneser, lines, lm, neardup, quality, repeats, secrets
-from .common import small_side
 from .oracles import ORACLES
 
 
@@ -54,7 +53,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target documents are those labelled good."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good, _ = small_side(table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct(), 500_000)
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     docs = docs.join(good, F.col("doc_id") == F.col("good_id"), "left")
     return lm.cross_entropy_difference(docs.withColumn("target", F.col("good_id").isNotNull()))
 
