@@ -5,10 +5,10 @@
    ``length`` bytes around it can cover.
 2. Anchors with the same gram form a group. Contexts that occur twice are repeated throughout; they are found
    by a pre-aggregated count, and one copy of each goes on.
-3. Groups that still hold different contexts are indexed: their contexts are sorted by suffix, the
-   Burrows-Wheeler transform of each column is kept as runs, with the two places at each run's ends and the
-   match length across the boundary. Matching statistics are streamed from these samples alone: within a run
-   a match is one byte shorter than at the place before. Strings with a match of ``length`` bytes are marked.
+3. Groups that still hold different contexts are indexed: their contexts are sorted by suffix, and of the
+   Burrows-Wheeler transform of each column only the ends of its runs are kept, with the match length across the
+   boundary. Matching statistics are streamed from these samples alone: within a run a match is one byte shorter
+   than at the place before. Strings with a match of ``length`` bytes are marked.
 4. A group too large for one task is first split by the bytes that strings in either half of the context must
    share, again and again; what is alone in its part is done, what is repeated throughout its part is marked.
 """
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
@@ -101,20 +101,20 @@ def _cut_contexts(p: Repeats):
         for batch in batches:
             raw = batch.column(2).cast(pa.binary())
             places = batch.column(3)
-            rows, pos, grp, left, ctx = [], [], [], [], []
+            rows, pos, left, ctx, group = [], [], [], [], []
             for i in range(batch.num_rows):
                 text = raw[i].as_py()
                 for at in places[i].as_py():
                     lo = max(0, at["pos"] - p.reach)
                     rows.append(i)
                     pos.append(at["pos"])
-                    grp.append((at["grp"], at["single"]))
+                    group.append((at["grp"], at["single"], at["size"]))
                     left.append(at["pos"] - lo)
                     ctx.append(text[lo : at["pos"] + p.length])
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array([g for g, _ in grp], pa.int64()), pa.array([s for _, s in grp], pa.bool_()), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())],
-                names=["id", "th", "pos", "grp", "single", "left", "ctx"],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), *(pa.array([g[k] for g in group], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64()))), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())],
+                names=["id", "th", "pos", "grp", "single", "size", "left", "ctx"],
             )
 
     return run
@@ -155,60 +155,76 @@ def _halve(p: Repeats):
 
 
 class RunIndex:
-    """Run-compressed transform of aligned contexts, with samples at the ends of runs.
-
-    ``sym`` holds a context per row with its anchor at column ``reach``; 256 stands where there is no byte.
-    Only rows of one group, and only the same columns, are held against each other. ``runs`` has for each
-    column the symbols before the sorted suffixes as (symbol, length) runs; ``above`` and ``below`` hold, at the
-    places that run heads and tails sample, the match with the suffix above or below, and -1 elsewhere.
+    """Run-compressed transform of aligned contexts: matches are kept at the ends of runs alone.
+
+    ``sym`` holds a context per row with its anchor at column ``reach``; 256 stands where there is no byte. Only rows of
+    one group, and only the same columns, are held against each other. The columns' suffixes are sorted from the last
+    column to the first, with the longest common prefix of neighbours carried along. The transform of a column is the
+    sequence of bytes before its sorted suffixes; ``row``, ``col`` and ``match`` hold, for the first and the last place
+    of each of its runs, the match across the boundary. Inside a run both neighbours go on to the same byte, so there
+    the match is one more than at the next column, and nothing is kept. Memory is that of the contexts and the runs.
     """
 
     def __init__(self, group: np.ndarray, sym: np.ndarray, p: Repeats):
         m, width = sym.shape
-        self.p, self.runs = p, []
-        self.above = np.full((m, p.reach + 1), -1, np.int32)
-        self.below = np.full((m, p.reach + 1), -1, np.int32)
+        self.p, self.runs = p, 0
         rank = np.unique(group, return_inverse=True)[1].astype(np.int64) * 512
         order = np.argsort(rank, kind="stable")
-        # Hashes of row prefixes tell whether ``length`` bytes agree; only such rows are compared byte by byte.
-        powers = rolling._power(rolling.BASE, width)
-        prefix = np.zeros((m, width + 1), np.uint64)
-        np.cumsum(rolling._T[np.minimum(sym, 255)] * powers, axis=1, out=prefix[:, 1:])
+        common = np.zeros(m, np.int32)  # of the suffixes at a place and the one above
+        first: list[tuple[np.ndarray, ...]] = []
+        last: list[tuple[np.ndarray, ...]] = []
         for col in range(width - 1, -1, -1):
-            order = order[np.argsort((rank + sym[:, col])[order], kind="stable")]
+            key = (rank + sym[:, col])[order]
+            place = np.argsort(key, kind="stable")
+            key = key[place]
+            same = np.zeros(m, bool)
+            same[1:] = (key[1:] == key[:-1]) & (key[1:] & 511 != 256)
+            longer = np.zeros(m, np.int32)
+            at = np.flatnonzero(same)
+            longer[at] = 1 + _range_minima(common, place[at - 1] + 1, place[at])
+            order, common = order[place], longer
             if col > p.reach:
                 continue
             before = sym[order, col - 1] if col else np.arange(m) + 1000
-            same_group = np.zeros(m, bool)
-            same_group[1:] = rank[order[1:]] == rank[order[:-1]]
             head = np.ones(m, bool)
-            head[1:] = ~same_group[1:] | (before[1:] != before[:-1]) | (before[1:] == 256)
+            head[1:] = (rank[order[1:]] != rank[order[:-1]]) | (before[1:] != before[:-1]) | (before[1:] == 256)
             at = np.flatnonzero(head)
-            self.runs.append((before[at], np.diff(np.append(at, m))))
-            match = np.zeros(len(at), np.int32)
-            x, y = order[at], order[np.maximum(at - 1, 0)]
-            end = col + p.length
-            near = np.flatnonzero(same_group[at] & (prefix[x, end] - prefix[x, col] == prefix[y, end] - prefix[y, col]))
-            if len(near):
-                equal = (sym[x[near], col:] == sym[y[near], col:]) & (sym[x[near], col:] < 256)
-                full = equal.all(axis=1)
-                match[near] = np.where(full, width - col, np.argmin(equal, axis=1))
-            self.above[x, col] = match
-            self.below[order[at[1:] - 1], col] = match[1:]
-            self.below[order[-1], col] = 0
-
-    def matching_statistics(self) -> np.ndarray:
-        """Longest match of the string at each row and column with another row's, as far as it may reach ``length``."""
-        place = np.arange(self.p.reach + 1)
-        out = None
-        for samples in (self.above, self.below):
-            last = np.maximum.accumulate(np.where(samples >= 0, place, 0), axis=1)
-            value = np.take_along_axis(samples, last, axis=1) - (place - last)
-            out = value if out is None else np.maximum(out, value)
-        return out
-
-
-def _index(p: Repeats, kinds: list[str]):
+            self.runs += len(at)
+            first.append((order[at], np.full(len(at), col, np.int32), common[at]))
+            last.append((order[np.append(at[1:], m) - 1], np.full(len(at), col, np.int32), np.append(common[at[1:]], np.int32(0))))
+        self.samples = [tuple(np.concatenate(x) for x in zip(*part, strict=True)) for part in (first, last)]
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, first column, last column) of strings with a match of ``length`` bytes, streamed along each row from sample to sample.
+
+        A match kept at a column shrinks by one a column until the row's next sample.
+        """
+        out = []
+        for row, col, match in self.samples:
+            order = np.lexsort((col, row))
+            row, col, match = row[order], col[order], match[order]
+            end = np.full(len(row), self.p.reach, np.int64)
+            end[:-1] = np.where(row[1:] == row[:-1], col[1:] - 1, self.p.reach)
+            long = match >= self.p.length
+            out.append((row[long], col[long], np.minimum(end, col.astype(np.int64) + match - self.p.length)[long]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _range_minima(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Least of x[first] ... x[last] of each range, by minima of ranges of 1, 2, 4, ... places."""
+    out = np.empty(len(first), x.dtype)
+    level = np.frexp(last - first + 1)[1] - 1
+    step, width = x, 1
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        if k:
+            step = np.minimum(step[:-width], step[width:])
+            width *= 2
+        some = level == k
+        out[some] = np.minimum(step[first[some]], step[last[some] - width + 1])
+    return out
+
+
+def _index(p: Repeats):
     def run(table: pa.Table) -> pa.Table:
         width = p.reach + p.length
         m = table.num_rows
@@ -217,32 +233,57 @@ def _index(p: Repeats, kinds: list[str]):
         for i, ctx in enumerate(table.column("ctx")):
             x = np.frombuffer(ctx.as_py(), np.uint8)
             sym[i, p.reach - left[i] : p.reach - left[i] + len(x)] = x
-        statistics = RunIndex(table.column("grp").to_numpy(), sym, p).matching_statistics()
-        column = np.arange(p.reach + 1)
-        # A string that begins k bytes before its anchor stands in column reach - k.
-        own = (column >= (p.reach - high)[:, None]) & (column <= (p.reach - low)[:, None])
-        hit = (statistics >= p.length) & own & table.column("single").to_numpy()[:, None]
-        edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, first = np.nonzero(edge == 1)
-        _, last = np.nonzero(edge == -1)
+        row, first, last = RunIndex(table.column("grp").to_numpy(), sym, p).marks()
+        # A string that begins k bytes before its anchor stands in column reach - k; those of other halves aren't the row's own.
+        first, last = np.maximum(first, p.reach - high[row]), np.minimum(last, p.reach - low[row])
+        own = (first <= last) & table.column("single").to_numpy()[row]
+        row, first, last = row[own], first[own], last[own]
         base = table.column("pos").to_numpy().astype(np.int64)[row] - p.reach
         at = pa.array(row)
-        return pa.table({"id": table.column("id").take(at), "th": table.column("th").take(at), "start": pa.array((base + first).astype(np.int32)), "end": pa.array((base + last - 1 + p.length).astype(np.int32))})
+        return pa.table({"id": table.column("id").take(at), "th": table.column("th").take(at), "start": pa.array((base + first).astype(np.int32)), "end": pa.array((base + last + p.length).astype(np.int32))})
 
     return run
 
 
+#: Parts that the rows of one group, or of one context, are dealt to where they are joined.
+PARTS = 32
+
+
+def _part(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
+
+
+def _bit(part: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(1 << i) for i in range(PARTS))).cast("array<bigint>"), part + 1)
+
+
+def _parts(part: str) -> Column:
+    """Aggregate of the parts met, a bit each."""
+    return F.bit_or(_bit(F.col(part))).alias("parts")
+
+
+def _dealt(d: DataFrame) -> DataFrame:
+    """A row for each bit of ``parts``, as ``part``."""
+    met = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.col("parts").bitwiseAND(_bit(i)) != 0)
+    return d.withColumn("part", F.explode(met)).drop("parts")
+
+
 def _judge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (grp, hull, id, th, pos, ...): those whose hull repeats, and one row of each hull in a group with others.
 
-    Both aggregations are combined before they shuffle, so a group with a third of all rows costs a task no more.
+    All aggregations are combined before they shuffle, so a group with a third of all rows costs a task no more. Where
+    rows are joined with their group, a part of ``PARTS`` by hull is in the key, and with their hull a part by id and
+    place: a group's aggregate has a bit for each part that its rows are in, and a row for each such bit goes to the join.
     """
-    repeated = rows.groupBy("grp").agg(F.count("*").alias("rows")).filter("rows > 1").select("grp")
-    live = written(rows.join(repeated, "grp"))
-    hulls = live.groupBy("grp", "hull").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("place"))
-    sizes = hulls.groupBy("grp").agg(F.count("*").alias("size"))
-    judged = written(hulls.join(sizes, "grp").filter("n > 1 OR size > 1"))
-    whole = live.join(judged.filter("n > 1").select("grp", "hull"), ["grp", "hull"], "left_semi")
+    rows = rows.withColumn("part", _part("hull"))
+    repeated = rows.groupBy("grp").agg(F.count("*").alias("rows"), _parts("part")).filter("rows > 1")
+    live = written(rows.join(_dealt(repeated).select("grp", "part"), ["grp", "part"]))
+    copy = _part("id", "th", "pos")
+    hulls = live.groupBy("grp", "hull", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("place"), F.bit_or(_bit(copy)).alias("copies"))
+    sizes = hulls.groupBy("grp").agg(F.count("*").alias("size"), _parts("part"))
+    judged = written(hulls.join(_dealt(sizes), ["grp", "part"]).filter("n > 1 OR size > 1"))
+    several = _dealt(judged.filter("n > 1").select("grp", "hull", F.col("copies").alias("parts")))
+    whole = live.withColumn("part", copy).join(several, ["grp", "hull", "part"], "left_semi")
     unclear = judged.filter("size > 1").select("grp", "hull", "size", (F.col("n") == 1).alias("single"), "place.id", "place.th", "place.pos")
     return whole, unclear
 
@@ -256,12 +297,11 @@ def repeated_bytes(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     whole, unclear = _judge(anchors)
     out = whole.select("id", "th", F.greatest(F.lit(0), F.col("pos") - p.reach).alias("start"), (F.col("pos") + p.length).alias("end"))
 
-    places = unclear.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "grp", "single")).alias("places"))
+    places = unclear.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "grp", "single", "size")).alias("places"))
     places = places.withColumnsRenamed({"id": "id_", "th": "th_"})
     found = texts.join(places, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))).dropDuplicates(["id", "th"]).select("id", "th", "text", "places")
-    cut = found.mapInArrow(_cut_contexts(p), f"{keep}, pos int, grp long, single boolean, left int, ctx binary")
-    sizes = unclear.select("grp", "size").distinct()
-    state = cut.join(sizes, "grp").withColumns({"low": F.lit(0), "high": F.lit(p.reach)})
+    cut = found.mapInArrow(_cut_contexts(p), f"{keep}, pos int, grp long, single boolean, size long, left int, ctx binary")
+    state = cut.withColumns({"low": F.lit(0), "high": F.lit(p.reach)})
     columns = ["id", "th", "pos", "grp", "low", "high", "left", "ctx"]
     small = written(state.select(*columns, "single", "size"))
     large = small.filter(F.col("size") > p.max_group).select(*columns)
@@ -270,16 +310,16 @@ def repeated_bytes(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
         halves = written(large.mapInArrow(_halve(p), f"{keep}, pos int, grp long, low int, high int, left int, ctx binary, hull long"))
         whole, unclear = _judge(halves)
         out = out.unionByName(whole.select("id", "th", F.greatest(F.lit(0), F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + p.length).alias("end")))
-        mine = unclear.withColumnsRenamed({"id": "id_", "th": "th_", "pos": "pos_"})
-        same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_")) & (F.col("pos") == F.col("pos_"))
-        state = halves.join(mine, ["grp", "hull"]).filter(same).dropDuplicates(["grp", "hull"]).filter("low < high")
+        # The row that stands for a hull is found by its own place, so a large group is spread over its rows.
+        mine = unclear.withColumn("copy", F.xxhash64("id", "th", "pos")).select("grp", "hull", "copy", "single", "size")
+        state = halves.withColumn("copy", F.xxhash64("id", "th", "pos")).join(mine, ["grp", "hull", "copy"]).dropDuplicates(["grp", "hull"]).filter("low < high")
         state = written(state.select(*columns, "single", "size"))
         large = state.filter(F.col("size") > p.max_group).select(*columns)
         ready = ready.unionByName(state.filter(F.col("size") <= p.max_group).drop("size"))
 
     buckets = max(1, -(-ready.count() // p.bucket))
     dealt = ready.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets)))
-    marks = dealt.groupBy("bucket").applyInArrow(_index(p, columns), f"{keep}, start int, end int")
+    marks = dealt.groupBy("bucket").applyInArrow(_index(p), f"{keep}, start int, end int")
     return out.unionByName(marks)
 
 
