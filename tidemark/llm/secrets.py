@@ -4,9 +4,12 @@ Base kinds (``assign``, ``access``, ``hex``) are found by pattern alone and alwa
 reported only if their content holds together:
 
 * ``jwt``: three base64url parts, of which the first two are JSON objects and the first names an algorithm;
-* ``pem``: an armoured private key whose body is base64 of one DER sequence with exact nested lengths;
-* ``der``: a base64 or hex run that decodes to such a sequence and begins as a private key does;
-* ``sshkey``: a base64 run that decodes to an OpenSSH private key or key blob whose length fields fill it.
+* ``pem``: an armoured private key, headers allowed, whose body is base64 of one DER sequence with exact nested lengths, or
+  of an OpenSSH private key;
+* ``der``: a base64, base64url or hex run that decodes to such a sequence and begins as a private key does;
+* ``sshkey``: such a run that decodes to an OpenSSH private key or key blob whose length fields fill it.
+
+A run of base64 may be wrapped over lines. A run inside an armoured key, and a key blob inside a key, is part of it and isn't reported.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ _ASSIGN = re.compile(
 )
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-#: Base64 of a DER sequence begins with M, of an OpenSSH key with b3Blbn or AAAA.
-_RUN = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-Za-z0-9+/]|b3Blbn|AAAA)[A-Za-z0-9+/]{30,}={0,2}")
-_HEX_DER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{62,}(?![0-9A-Fa-f])")
+_JWT = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:\s*[A-Za-z0-9-]+:[^\n]*\n)*)([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+#: Base64 of a DER sequence begins with M, of an OpenSSH key with b3Blbn or AAAA. Lines of one length may follow, and a shorter last one.
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:M[A-Za-z0-9+/_-]|b3Blbn|AAAA)[A-Za-z0-9+/_-]{14,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]{1,128})*={0,2}")
+#: Hex of a DER sequence begins with 30, of an OpenSSH key with "openssh" or a length of less than 256.
+_HEX_KEY = re.compile(r"(?<![0-9A-Fa-f])(?:30|6[fF]70656[eE]737368|000000)[0-9A-Fa-f]{26,}(?![0-9A-Fa-f])")
+_SSH_MAGIC = b"openssh-key-v1\0"
+_SSH_KEY = re.compile(rb"(?:ssh-|ecdsa-|sk-)[a-z0-9@.-]+")
 
 
 def _base64(text: str, url: bool = False) -> bytes | None:
@@ -92,21 +98,45 @@ def is_private_der(data: bytes) -> bool:
     return bool(algorithm) and algorithm[0][0] == 0x06
 
 
+def _strings(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """``count`` strings with 32-bit lengths ahead, from ``at`` on, and where they end; without a count, those that fill the rest."""
+    parts: list[bytes] = []
+    while at < len(data) if count is None else len(parts) < count:
+        body = at + 4
+        end = body + int.from_bytes(data[at:body], "big")
+        if body > len(data) or end > len(data):
+            return None
+        parts.append(data[body:end])
+        at = end
+    return parts, at
+
+
+def _is_blob(data: bytes) -> bool:
+    """A key blob: two strings or more that fill it, of which the first names an algorithm."""
+    found = _strings(data, 0)
+    return found is not None and len(found[0]) >= 2 and _SSH_KEY.fullmatch(found[0][0]) is not None
+
+
 def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key file's body, or a key blob whose string lengths fill it and whose first string names an algorithm."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, parts = 0, []
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
-        size = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if at + size > len(data):
-            return False
-        parts.append(data[at : at + size])
-        at += size
-    return len(parts) >= 2 and re.match(rb"(?:ssh-|ecdsa-|sk-)[a-z0-9@.-]+$", parts[0]) is not None
+    """An OpenSSH private key file's body, or a key blob.
+
+    The body holds, after the magic, cipher, derivation and its options as strings, a number of keys, a public key blob
+    for each, and one encrypted or plain section; they must fill it, and a plain section begins with one number twice.
+    """
+    if not data.startswith(_SSH_MAGIC):
+        return _is_blob(data)
+    head = _strings(data, len(_SSH_MAGIC), 3)
+    if head is None:
+        return False
+    (cipher, derivation, _), at = head
+    count = int.from_bytes(data[at : at + 4], "big")
+    if not (re.fullmatch(rb"[a-z0-9@.-]+", cipher) and re.fullmatch(rb"[a-z0-9@.-]+", derivation)) or not 1 <= count <= 64:
+        return False
+    keys = _strings(data, at + 4, count + 1)
+    if keys is None or keys[1] != len(data) or not all(map(_is_blob, keys[0][:-1])):
+        return False
+    section = keys[0][-1]
+    return len(section) >= 8 and (cipher != b"none" or section[:4] == section[4:8])
 
 
 def is_jwt(header: str, payload: str) -> bool:
@@ -121,29 +151,59 @@ def is_jwt(header: str, payload: str) -> bool:
     return all(isinstance(x, dict) for x in found) and isinstance(found[0].get("alg"), str)
 
 
+def _key_kind(raw: bytes | None) -> int | None:
+    if raw is None:
+        return None
+    if raw[:1] == b"\x30":
+        return 5 if is_private_der(raw) else None
+    return 6 if is_ssh_key(raw) else None
+
+
+def _run_key(run: str) -> tuple[int, int] | None:
+    """(length, kind) of the key that a run of base64 begins with: as one line, or with lines that are as long and a shorter last one."""
+    lines = re.split(r"(\r?\n[\x20\t]*)", run)
+    ends, wide, end = [len(lines[0])], len(lines[0]), len(lines[0])
+    for gap, line in zip(lines[1::2], lines[2::2], strict=True):
+        end += len(gap) + len(line)
+        if len(line) > wide:
+            break
+        ends.append(end)
+        if len(line) < wide:
+            break
+    # The whole run, and its first line alone: a word on the next line may look like base64 too.
+    for end in dict.fromkeys((ends[-1], ends[0], *ends[-2:-1])):
+        text = re.sub(r"\s+", "", run[:end])
+        kind = _key_kind(_base64(text, url="-" in text or "_" in text))
+        if kind:
+            return end, kind
+    return None
+
+
 def scan(text: str) -> list[tuple[int, int, int]]:
     """(start, end, number of the kind) of all spans, sorted by start and kind; ends are exclusive."""
     spans = [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[1]) >= 6]
     if "AKIA" in text:
         spans += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
+    if "ey" in text:
         spans += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_jwt(m[1], m[2])]
+    armoured = []
     if "PRIVATE KEY-----" in text:
         for m in _PEM.finditer(text):
-            raw = _base64(re.sub(r"\s+", "", m[2]))
-            if raw is not None and (is_private_der(raw) or is_ssh_key(raw)):
-                spans.append((m.start(), m.end(), 4))
-    for m in _RUN.finditer(text):
-        raw = _base64(m[0])
-        if raw is not None:
-            if raw[:1] == b"\x30" and is_private_der(raw):
-                spans.append((m.start(), m.end(), 5))
-            elif raw[:1] != b"\x30" and is_ssh_key(raw):
-                spans.append((m.start(), m.end(), 6))
-    for m in _HEX_DER.finditer(text):
-        if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0])):
-            spans.append((m.start(), m.end(), 5))
+            raw = _base64(re.sub(r"\s+", "", m[3]))
+            # An encrypted body under headers isn't DER: the headers name its cipher.
+            if raw is not None and (is_private_der(raw) or is_ssh_key(raw) or ("DEK-Info:" in m[2] and len(raw) >= 64 and len(raw) % 8 == 0)):
+                armoured.append((m.start(), m.end()))
+        spans += [(a, b, 4) for a, b in armoured]
+    outside = lambda m: not any(a <= m.start() and m.end() <= b for a, b in armoured)
+    for m in filter(outside, _RUN.finditer(text)):
+        found = _run_key(m[0])
+        if found:
+            spans.append((m.start(), m.start() + found[0], found[1]))
+    for m in filter(outside, _HEX_KEY.finditer(text)):
+        kind = _key_kind(bytes.fromhex(m[0])) if len(m[0]) % 2 == 0 else None
+        if kind:
+            spans.append((m.start(), m.end(), kind))
     spans.sort(key=lambda s: (s[0], s[2], s[1]))
     return spans
 
