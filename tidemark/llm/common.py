@@ -55,6 +55,34 @@ def name128(*cols: Column) -> Column:
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(SECOND), *cols).alias("b"))
 
 
+#: Parts that the rows of one group are dealt to where they are joined with what is known of their group.
+PARTS = 32
+
+
+def part_of(*cols: str) -> Column:
+    """The part of a row, by a hash."""
+    return F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
+
+
+def _bit(part: Column) -> Column:
+    return F.element_at(F.array(*(F.lit(1 << i) for i in range(PARTS))).cast("array<bigint>"), part + 1)
+
+
+def parts_met(part: Column | str) -> Column:
+    """Aggregate of a group: the parts that its rows are in, a bit each, as ``parts``."""
+    return F.bit_or(_bit(F.col(part) if isinstance(part, str) else part)).alias("parts")
+
+
+def dealt(groups: DataFrame) -> DataFrame:
+    """A row of the group for each part in ``parts``, as ``part``.
+
+    Rows joined by group and part are spread over the parts, however many of them one group has; a group
+    costs no more rows than it has itself.
+    """
+    met = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.col("parts").bitwiseAND(_bit(i)) != 0)
+    return groups.withColumn("part", F.explode(met)).drop("parts")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that all machines share. Where none is set, a temporary one, on one machine only, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -1,22 +1,27 @@
-"""Line dedup: repeated runs of lines, found by counting names of windows of lines.
-
-Documents become sequences of line ids. The window of 1, 2, 3, ... lines that starts at each place is named
-from the names of two shorter ones, up to ``min_lines``. Windows of ``min_lines`` lines, and shorter ones of over
-``long_words`` words, are grouped by name; the first of a group (by document, then line) stays and the lines
-under later ones are deleted. Overlapping and adjacent windows join to runs.
-
-A run that repeats an earlier one counts if it has ``min_lines`` lines or over ``long_words`` words. Every such run is
-covered by such windows, each of which repeats an earlier one too, and every window is such a run: so the lines
-deleted are those under maximal repeated runs. No suffix array is made: neither the order of suffixes nor the
-match length of a run with each of its copies is known.
+"""Line dedup: repeated runs of lines, by distributed prefix doubling over sequences of line ids.
+
+1. A document is a sequence of line ids. Documents with equal sequences are one class, of which the first alone goes
+   on; the others repeat it from end to end.
+2. Prefix doubling. A suffix of the leaders' sequences is a (document, place). Suffixes that begin with the same
+   2^k lines form an interval with that common prefix, named by 128 bits. The names of 2^(k+1) lines come from the
+   names at a place and 2^k lines further; suffixes alone in their interval leave. The rounds end when none is left.
+3. An interval knows its first suffix. A suffix after it repeats it; the longest common prefix with the first of the
+   deepest interval is found by going down the levels again. Repeats that no other contains are the maximal runs.
+4. Later copies are deleted: all lines under intervals of ``min_lines`` lines, or of fewer with over ``long_words`` words.
+
+Suffixes aren't sorted across intervals: names stand for ranks, and deletion needs intervals and their first suffixes only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from .common import dealt, name128, packed, part_of, parts_met, written
 
-from .common import name128, packed
+_WORDS = r"[^\x20\x09-\x0D]+"
+_PLACE = ["id", "th", "at"]
 
 
 def solid_lines(text: Column) -> Column:
@@ -24,101 +29,141 @@ def solid_lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _doubled(names: Column, step: int) -> Column:
-    """Names of runs from the names of their halves, ``step`` lines apart; shorter by ``step``."""
-    count = F.greatest(F.size(names) - step, F.lit(0))
-    second = F.slice(names, step + 1, F.greatest(F.size(names), F.lit(1)))
-    return F.slice(F.zip_with(names, second, lambda x, y: name128(x["a"], x["b"], y["a"], y["b"])), 1, count)
-
-
-def _windows(docs: DataFrame, text_col: str, min_lines: int, long_words: int) -> DataFrame:
-    """Adds ``windows``: (at, end, name) of all windows of ``min_lines`` lines, and of shorter ones of over ``long_words`` words."""
-    lines = solid_lines(F.col(text_col))
-    d = docs.withColumn("lines", lines).withColumn("sizes", F.transform("lines", lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+"))))
-    d = d.withColumn("names_1", F.transform("lines", lambda x: name128(x))).drop("lines")
-    parts = []
-    for length in range(1, min_lines + 1):
-        if length > 1:
-            d = d.withColumn(f"names_{length}", _doubled(F.col(f"names_{length - 1}"), 1))
-        name = F.col(f"names_{length}")
-        window = F.transform(name, lambda x, i: F.struct(i.alias("at"), (i + length).alias("end"), x.alias("name")))  # noqa: B023
-        if length < min_lines:
-            words = lambda w: F.aggregate(F.slice("sizes", w["at"] + 1, F.lit(length)), F.lit(0), lambda acc, x: acc + x)  # noqa: E731, B023
-            window = F.filter(window, lambda w: words(w) > long_words)  # noqa: B023
-        parts.append(window)
-    return d.withColumn("windows", F.concat(*parts))
-
-
-def suffix_names(docs: DataFrame, text_col: str, min_lines: int) -> DataFrame:
-    """Adds ``names``: for each line that ``min_lines`` lines start at, the name of that prefix of its suffix."""
-    d = docs.withColumn("names", F.transform(solid_lines(F.col(text_col)), lambda x: name128(x)))
-    length = 1
-    while length < min_lines:
-        step = min(length, min_lines - length)
-        d = d.withColumn("names", _doubled(F.col("names"), step))
-        length += step
-    return d
-
-
-def repeated_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
-    """(id, text_hash, at, end): windows, counted in lines with a word, that an earlier place has too; None for ``long_words`` leaves out the shorter ones.
-
-    Groups are found by a pre-aggregated count, so a line that fills a third of the corpus costs one
-    row per task; the join back is one that Spark can split where it is skewed.
+def _same_text(x: str, y: str) -> Column:
+    return F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.th") == F.col(f"{y}.th"))
+
+
+def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, names, sizes, first): line ids and numbers of words of each text, and the first text of its class if it has copies."""
+    d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), solid_lines(F.col(text_col)).alias("lines"))
+    d = d.select("id", "th", F.transform("lines", lambda x: name128(x)).alias("names"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORDS))).alias("sizes"))
+    d = written(d.filter(F.size("names") > 0).select("*", name128(F.col("names")).alias("whole"), part_of("id", "th").alias("part")))
+    classes = d.groupBy("whole").agg(F.count("*").alias("n"), F.min(F.struct("id", "th")).alias("first"), parts_met("part")).filter("n > 1").drop("n")
+    return written(d.join(dealt(classes), ["whole", "part"], "left").drop("whole", "part"))
+
+
+def _intervals(suffixes: DataFrame) -> DataFrame:
+    """The suffixes (id, th, at, a, b, ...) whose name another place has too, with the ``first`` of each interval.
+
+    A name that fills a third of the corpus costs one row per task in the count, and is dealt to parts in the join.
     """
-    key = [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash")]
-    texts = docs.select(*key, F.col(text_col).alias("text"))
-    if long_words is None:
-        suffixes = suffix_names(texts, "text", min_lines).select("id", "text_hash", F.posexplode_outer("names").alias("at", "name")).filter("at IS NOT NULL")
-        place = F.struct("id", "text_hash", "at", (F.col("at") + min_lines).alias("end"))
-    else:
-        suffixes = _windows(texts, "text", min_lines, long_words).select("id", "text_hash", F.explode_outer("windows").alias("w")).filter("w IS NOT NULL")
-        suffixes = suffixes.select("id", "text_hash", "w.at", "w.end", "w.name")
-        place = F.struct("id", "text_hash", "at", "end")
-    suffixes = suffixes.select(place.alias("place"), F.col("name.a").alias("a"), F.col("name.b").alias("b"))
-    intervals = suffixes.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("place").alias("first")).filter("n > 1")
-    later = suffixes.join(intervals, ["a", "b"]).filter(F.col("place") > F.col("first"))
-    return later.select("place.id", "place.text_hash", "place.at", "place.end")
+    s = suffixes.withColumn("part", part_of(*_PLACE))
+    groups = s.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first"), parts_met("part")).filter("n > 1").drop("n")
+    return written(s.join(dealt(groups), ["a", "b", "part"]).drop("part"))
 
 
-def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
-    """(id, text_hash, runs): per document with repeats, its maximal repeated runs as (start, end) of lines with a word."""
+def _joined(level: DataFrame, step: int) -> DataFrame:
+    """Suffixes named by their own prefix and that of the suffix ``step`` lines further, where that is in an interval too."""
+    ahead = Window.partitionBy("id", "th").orderBy("at").rangeBetween(step, step)
+    d = level.select(*_PLACE, "a", "b", "from_word", F.first(F.struct("a", "b", "to_word")).over(ahead).alias("next")).filter("next IS NOT NULL")
+    name = name128(F.col("a"), F.col("b"), F.col("next.a"), F.col("next.b"))
+    return d.select(*_PLACE, "from_word", F.col("next.to_word").alias("to_word"), name.alias("name")).select(*_PLACE, "name.a", "name.b", "from_word", "to_word")
+
 
-    def join(acc: Column, w: Column) -> Column:
-        at, end = w["at"], w["end"]
-        last = F.element_at(acc, -1)
-        meets = (F.size(acc) > 0) & (at <= F.get(acc, F.size(acc) - 1)["end"])
-        new = F.array(F.struct(at.alias("start"), end.alias("end")))
-        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end")))
-        return F.when(meets, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, new))
+def prefix_doubling(seqs: DataFrame) -> list[DataFrame]:
+    """Intervals of 1, 2, 4, ... lines as (id, th, at, a, b, from_word, to_word, first), up to the last that repeats."""
+    leaders = seqs.filter(F.col("first").isNull() | F.col("first").eqNullSafe(F.struct("id", "th"))).groupBy("id", "th").agg(F.first("names").alias("names"), F.first("sizes").alias("sizes"))
+    lines = leaders.select("id", "th", F.posexplode(F.arrays_zip("names", "sizes")).alias("at", "line"))
+    words = F.sum("line.sizes").over(Window.partitionBy("id", "th").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.select(*_PLACE, "line.names.a", "line.names.b", (words - F.col("line.sizes")).alias("from_word"), words.alias("to_word"))
+    levels = [_intervals(lines)]
+    while not levels[-1].isEmpty():
+        levels.append(_intervals(_joined(levels[-1], 1 << (len(levels) - 1))))
+    return levels
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    places = repeated_suffixes(docs, id_col, text_col, min_lines, long_words).groupBy("id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("at", "end"))).alias("places"))
-    return places.select("id", "text_hash", F.aggregate("places", none, join).alias("runs"))
+
+def _of_length(levels: list[DataFrame], n: int) -> DataFrame:
+    """Intervals of exactly ``n`` lines, from those of the greatest power of two within."""
+    k = min(n.bit_length(), len(levels)) - 1
+    return levels[k] if n == 1 << k else _intervals(_joined(levels[k], n - (1 << k)))
+
+
+def _later(level: DataFrame) -> DataFrame:
+    return level.filter(F.struct(*_PLACE) > F.col("first"))
+
+
+def maximal_runs(levels: list[DataFrame]) -> DataFrame:
+    """(id, th, at, end, source): runs that repeat the run at an earlier place, none within another of the same text.
+
+    Of each suffix, the deepest interval with an earlier suffix counts. A suffix that goes on where the one
+    before it stands, in itself and in its source, is within that one's run.
+    """
+    every = [_later(d).select(*_PLACE, F.lit(k).alias("k"), "first") for k, d in enumerate(levels)]
+    deepest = every[0]
+    for d in every[1:]:
+        deepest = deepest.unionByName(d)
+    deepest = deepest.groupBy(*_PLACE).agg(F.max("k").alias("k"), F.max_by("first", "k").alias("source"))
+    before = Window.partitionBy("id", "th").orderBy("at")
+    old = F.lag(F.struct("at", "source")).over(before)
+    goes_on = F.coalesce((old["at"] + 1 == F.col("at")) & old["source"]["id"].eqNullSafe(F.col("source.id")) & (old["source"]["th"] == F.col("source.th")) & (old["source"]["at"] + 1 == F.col("source.at")), F.lit(False))
+    runs = written(deepest.withColumn("goes_on", goes_on).filter("NOT goes_on").select(*_PLACE, "source", "k", F.pow(F.lit(2), F.col("k")).cast("int").alias("length")))
+    for k in range(len(levels) - 2, -1, -1):
+        names = levels[k].select(*_PLACE, "a", "b")
+        x, y, r = names.alias("x"), names.alias("y"), runs.alias("r")
+        here = F.col("r.id").eqNullSafe(F.col("x.id")) & (F.col("r.th") == F.col("x.th")) & (F.col("r.at") + F.col("r.length") == F.col("x.at"))
+        there = F.col("r.source.id").eqNullSafe(F.col("y.id")) & (F.col("r.source.th") == F.col("y.th")) & (F.col("r.source.at") + F.col("r.length") == F.col("y.at"))
+        same = F.coalesce((F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("r.k") > k), F.lit(False))
+        longer = F.when(same, F.col("r.length") + (1 << k)).otherwise(F.col("r.length"))
+        runs = written(r.join(x, here, "left").join(y, there, "left").select("r.id", "r.th", "r.at", "r.source", "r.k", longer.alias("length")))
+    d = runs.select("id", "th", "at", (F.col("at") + F.col("length")).alias("end"), "source")
+    inside = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("end"), F.lit(False))
+    return d.withColumn("inside", inside).filter("NOT inside").drop("inside")
+
+
+def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
+    """(id, text_hash, runs, longest): per text with repeats, what is deleted as (start, end) of lines with a word, and the
+    lines of its longest run that repeats an earlier place."""
+    seqs = sequences(docs, id_col, text_col)
+    levels = prefix_doubling(seqs)
+    found = [_later(_of_length(levels, min_lines)).select(*_PLACE, F.lit(min_lines).alias("length"))]
+    for n in range(1, min_lines) if long_words is not None else ():
+        found.append(_later(_of_length(levels, n)).filter(F.col("to_word") - F.col("from_word") > long_words).select(*_PLACE, F.lit(n).alias("length")))
+    windows = found[0]
+    for d in found[1:]:
+        windows = windows.unionByName(d)
+
+    # Windows that meet make one run: a window begins one if none before it reaches its start.
+    before = Window.partitionBy("id", "th").orderBy("at", "end")
+    w = windows.select("id", "th", "at", (F.col("at") + F.col("length")).alias("end"))
+    begins = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) < F.col("at"), F.lit(True))
+    w = w.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(before))
+    runs = w.groupBy("id", "th", "run").agg(F.struct(F.min("at").alias("start"), F.max("end").alias("end")).alias("r")).groupBy("id", "th").agg(F.sort_array(F.collect_list("r")).alias("runs"))
+    longest = maximal_runs(levels).groupBy("id", "th").agg(F.max(F.col("end") - F.col("at")).alias("longest"))
+    x, y = runs.alias("x"), longest.alias("y")
+    leaders = x.join(y, _same_text("x", "y"), "left").select("x.id", "x.th", "x.runs", "y.longest")
+
+    n, words = F.size("names"), F.aggregate("sizes", F.lit(0), lambda a, v: a + v)
+    long = n >= min_lines if long_words is None else (n >= min_lines) | (words > long_words)
+    copies = seqs.filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.struct("id", "th"))).filter(long)
+    copies = copies.select("id", "th", F.array(F.struct(F.lit(0).alias("start"), n.alias("end"))).alias("runs"), n.alias("longest")).dropDuplicates(["id", "th"])
+    return leaders.unionByName(copies).withColumnRenamed("th", "text_hash")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
-    """Every row of ``docs`` with ``text`` less its later copies, and ``n_lines``, ``n_removed``, ``n_runs`` added.
+    """Every row of ``docs`` with ``text`` less its later copies, and ``n_lines``, ``n_removed``, ``n_runs``, ``longest_run`` added.
 
     A run is consecutive lines with a word, ``min_lines`` or more of them or with over ``long_words`` words together, down
-    to a single line; None for ``long_words`` leaves only the count of lines. Blank lines between them don't count and go
-    with the run. Order is by id (nulls first), then text hash, then line. Rows that repeat an id and its
-    text count as one document. A null text stays null and has no lines. Columns of ``docs`` that bear one of the added names are replaced; an empty
-    table gives an empty result.
+    to a single line; None for ``long_words`` leaves only the count of lines. ``n_runs`` counts what is deleted in one
+    piece; ``longest_run`` is the number of lines of the longest one that repeats an earlier place as a whole. Blank
+    lines between them don't count and go with the run. Order is by id (nulls first), then text hash, then line.
+    Rows that repeat an id and its text count as one document. A null text stays null and has no lines. Columns of
+    ``docs`` that bear one of the added names are replaced; an empty table gives an empty result.
     """
-    made = ["n_lines", "n_removed", "n_runs"]
-    runs = line_runs(docs, id_col, text_col, min_lines, long_words).withColumnsRenamed({"id": "l_id", "text_hash": "l_hash", "runs": "l_runs"})
+    made = ["n_lines", "n_removed", "n_runs", "longest_run"]
+    runs = line_runs(docs, id_col, text_col, min_lines, long_words).withColumnsRenamed({"id": "l_id", "text_hash": "l_hash", "runs": "l_runs", "longest": "l_longest"})
     d = packed(docs, made, l_doc=F.col(id_col), l_text=F.col(text_col), l_text_hash=F.xxhash64(text_col))
     d = d.join(runs, F.col("l_doc").eqNullSafe(F.col("l_id")) & (F.col("l_text_hash") == F.col("l_hash")), "left")
 
-    # Runs as places among all lines, for texts that lose some.
+    # Runs as places among all lines, for texts that lose some; what stays are the slices between them.
     lines = F.split(F.coalesce(F.col("l_text"), F.lit("")), "\n")
     solid = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
     d = d.withColumns({"l_lines": F.when(F.col("l_runs").isNotNull(), lines), "l_at": F.when(F.col("l_runs").isNotNull(), solid)})
     d = d.withColumn("l_gone", F.transform("l_runs", lambda r: F.struct(F.get(F.col("l_at"), r["start"]).alias("start"), F.get(F.col("l_at"), r["end"] - 1).alias("end"))))
-    stays = F.filter("l_lines", lambda _, i: ~F.exists("l_gone", lambda r: i.between(r["start"], r["end"])))
-    text = F.when(F.col("l_runs").isNull(), F.col("l_text")).otherwise(F.array_join(stays, "\n"))
+    d = d.withColumn("l_edges", F.concat(F.array(F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))), F.col("l_gone")))
+    upto = lambda j: F.coalesce(F.get(F.col("l_gone"), j)["start"], F.size("l_lines"))
+    pieces = F.transform("l_edges", lambda e, j: F.slice("l_lines", e["end"] + 2, upto(j) - e["end"] - 1))
+    text = F.when(F.col("l_runs").isNull(), F.col("l_text")).otherwise(F.array_join(F.flatten(pieces), "\n"))
     removed = F.coalesce(F.aggregate("l_runs", F.lit(0), lambda acc, r: acc + r["end"] - r["start"]), F.lit(0))
-    counts = {"n_lines": F.size(solid_lines(F.col("l_text"))), "n_removed": removed, "n_runs": F.coalesce(F.size("l_runs"), F.lit(0))}
+    counts = {"n_lines": F.size(solid_lines(F.col("l_text"))), "n_removed": removed, "n_runs": F.coalesce(F.size("l_runs"), F.lit(0)), "longest_run": F.coalesce("l_longest", F.lit(0))}
     given = [c for c in docs.columns if c not in made]
     return d.select(*(text.alias(c) if c == text_col else F.col(f"row_.`{c}`") for c in given), *(c.cast("long").alias(n) for n, c in counts.items()))

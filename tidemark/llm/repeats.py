@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import packed, written
+from .common import dealt, packed, part_of, parts_met, written
 
 _KEEP = "id {id}, th long"
 
@@ -245,29 +245,6 @@ def _index(p: Repeats):
     return run
 
 
-#: Parts that the rows of one group, or of one context, are dealt to where they are joined.
-PARTS = 32
-
-
-def _part(*cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(PARTS)).cast("int")
-
-
-def _bit(part: Column) -> Column:
-    return F.element_at(F.array(*(F.lit(1 << i) for i in range(PARTS))).cast("array<bigint>"), part + 1)
-
-
-def _parts(part: str) -> Column:
-    """Aggregate of the parts met, a bit each."""
-    return F.bit_or(_bit(F.col(part))).alias("parts")
-
-
-def _dealt(d: DataFrame) -> DataFrame:
-    """A row for each bit of ``parts``, as ``part``."""
-    met = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.col("parts").bitwiseAND(_bit(i)) != 0)
-    return d.withColumn("part", F.explode(met)).drop("parts")
-
-
 def _judge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows (grp, hull, id, th, pos, ...): those whose hull repeats, and one row of each hull in a group with others.
 
@@ -275,14 +252,14 @@ def _judge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows are joined with their group, a part of ``PARTS`` by hull is in the key, and with their hull a part by id and
     place: a group's aggregate has a bit for each part that its rows are in, and a row for each such bit goes to the join.
     """
-    rows = rows.withColumn("part", _part("hull"))
-    repeated = rows.groupBy("grp").agg(F.count("*").alias("rows"), _parts("part")).filter("rows > 1")
-    live = written(rows.join(_dealt(repeated).select("grp", "part"), ["grp", "part"]))
-    copy = _part("id", "th", "pos")
-    hulls = live.groupBy("grp", "hull", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("place"), F.bit_or(_bit(copy)).alias("copies"))
-    sizes = hulls.groupBy("grp").agg(F.count("*").alias("size"), _parts("part"))
-    judged = written(hulls.join(_dealt(sizes), ["grp", "part"]).filter("n > 1 OR size > 1"))
-    several = _dealt(judged.filter("n > 1").select("grp", "hull", F.col("copies").alias("parts")))
+    rows = rows.withColumn("part", part_of("hull"))
+    repeated = rows.groupBy("grp").agg(F.count("*").alias("rows"), parts_met("part")).filter("rows > 1")
+    live = written(rows.join(dealt(repeated).select("grp", "part"), ["grp", "part"]))
+    copy = part_of("id", "th", "pos")
+    hulls = live.groupBy("grp", "hull", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("place"), parts_met(copy).alias("copies"))
+    sizes = hulls.groupBy("grp").agg(F.count("*").alias("size"), parts_met("part"))
+    judged = written(hulls.join(dealt(sizes), ["grp", "part"]).filter("n > 1 OR size > 1"))
+    several = dealt(judged.filter("n > 1").select("grp", "hull", F.col("copies").alias("parts")))
     whole = live.withColumn("part", copy).join(several, ["grp", "hull", "part"], "left_semi")
     unclear = judged.filter("size > 1").select("grp", "hull", "size", (F.col("n") == 1).alias("single"), "place.id", "place.th", "place.pos")
     return whole, unclear
