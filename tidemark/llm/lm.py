@@ -4,7 +4,7 @@ Two bigram models are counted over the same documents with one vocabulary: the t
 documents, the background model over all. A document's score is its loss per token under the target model less that
 under the background model; the lower, the more it reads like the target.
 
-1. Documents are rewritten as blocks of token numbers, some four million to a block. The blocks are a table bucketed by
+1. Documents are rewritten as blocks of token numbers, some three million to a block. The blocks are a table bucketed by
    block, written once; in what follows only answers travel to them.
 2. Every word that occurs ``min_count`` times over all documents is in the vocabulary, however many there are; the
    rest are one unknown word.
@@ -39,7 +39,7 @@ class Bigrams:
     vocabulary: int | None = None
     word_bytes: int = 64
     min_count: int = 2
-    block_tokens: int = 4_000_000
+    block_tokens: int = 3_000_000
     #: Bytes of text to a bucket of the table of blocks.
     bucket_bytes: int = 16_000_000
 
@@ -89,9 +89,8 @@ def _steps(names: np.ndarray) -> np.ndarray:
 def _block(block: int, ids: pa.Array, targets: pa.Array, sizes: np.ndarray, hashes: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
     """One row: documents with their sizes; names of the block's words, sorted; each token's place among them."""
     one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-    known = targets.to_numpy(zero_copy_only=False).astype(bool)
     row = [pa.array([block], pa.int64()), one(ids), one(targets), one(pa.array(sizes, pa.int32())), pa.array([_pack(_steps(hashes))], pa.binary()), pa.array([_pack(tokens.astype(np.uint32))], pa.binary())]
-    return pa.RecordBatch.from_arrays([*row, pa.array([int(sizes.sum())], pa.int64()), pa.array([int(sizes[known].sum())], pa.int64())], names=["block", "ids", "targets", "sizes", "words", "tokens", "n_all", "n_target"])
+    return pa.RecordBatch.from_arrays([*row, pa.array([int(sizes.sum())], pa.int64())], names=["block", "ids", "targets", "sizes", "words", "tokens", "n_all"])
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +202,7 @@ class _Counted:
     words: np.ndarray
 
     @classmethod
-    def of(cls, targets: pa.Array, sizes: np.ndarray, words: np.ndarray, x: np.ndarray) -> _Counted:
+    def of(cls, target: np.ndarray, sizes: np.ndarray, words: np.ndarray, x: np.ndarray) -> _Counted:
         names = np.append(words, np.uint64(START))
         pair = np.zeros(len(x), np.int64)
         pair[1:] = x[:-1]
@@ -212,7 +211,7 @@ class _Counted:
         pair |= x
         del x
         pair, which, n = _distinct(pair)
-        n_target = np.bincount(which[np.repeat(targets.to_numpy(zero_copy_only=False).astype(bool), sizes)], minlength=len(pair))
+        n_target = np.bincount(which[np.repeat(target, sizes)], minlength=len(pair))
         left, right = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
         del pair
         name = rolling.mix(rolling.mix(names[left] * _LEFT + _RIGHT) + names[right] * _RIGHT)
@@ -249,7 +248,10 @@ def _counted(row: pa.RecordBatch | pa.Table, answers: pa.Table, min_count: int)
     (n,) = _answers(_about(answers, "words"), 1, 0)
     if len(n):
         words, tokens = _known(words, tokens, n >= min_count)
-    return sizes, _Counted.of(row.column("targets")[0].values, sizes, words, tokens)
+    target = row.column("targets")[0].values.to_numpy(zero_copy_only=False).astype(bool)
+    for places in _about(answers, "targets").column("places"):
+        target[places.values.to_numpy()] = True
+    return sizes, _Counted.of(target, sizes, words, tokens)
 
 
 def _about(answers: pa.Table, what: str) -> pa.Table:
@@ -302,10 +304,23 @@ def _losses(size: int, n_all: int, n_target: int, min_count: int):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target: str = "target", p: Bigrams = Bigrams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _targets(blocks: DataFrame, target: str | DataFrame) -> tuple[DataFrame, int]:
+    """Places of target documents in each block, as an answer to it, and how many tokens they have."""
+    rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "targets", "sizes")).alias("at", "x"))
+    if isinstance(target, str):
+        rows = rows.filter("x.targets")
+    else:
+        rows = rows.join(target.select(F.col(target.columns[0]).alias("target_id")).distinct(), F.col("x.ids") == F.col("target_id"), "left_semi")
+    found = written(rows.groupBy("block").agg(F.collect_list("at").alias("places"), F.sum("x.sizes").alias("n")))
+    answer = found.select("block", F.lit(0).cast("long").alias("shard"), F.lit(None).cast("binary").alias("payload"), F.lit(0).cast("long").alias("names"), F.lit("targets").alias("about"), "places")
+    return answer, int(found.agg(F.sum("n")).first()[0] or 0)
+
+
+def cross_entropy_difference(docs: DataFrame, target: str | DataFrame = "target", p: Bigrams = Bigrams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``n_tokens``, ``target_loss``, ``background_loss`` (bits a token), ``score`` (their difference).
 
-    ``target`` names a boolean column that marks target documents; null counts as false. Words are what stands
+    ``target`` names a boolean column that marks target documents (null counts as false), or is a table whose first
+    column has their ids: then ids are shuffled to the blocks, and texts aren't. Words are what stands
     between white space, A-Z lower-cased. Texts that are null or without words have null losses. Without any
     target document the target model is uniform. Repeated rows count as often as they occur. Other columns
     are ignored; an empty table gives an empty result.
@@ -315,23 +330,24 @@ def cross_entropy_difference(docs: DataFrame, target: str = "target", p: Bigrams
     of tokens, so a shard's entries are about as many as a block's, at any size of the input.
     """
     id_type = dict(docs.dtypes)[id_col]
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(target), F.lit(False)).alias("target"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), (F.coalesce(F.col(target), F.lit(False)) if isinstance(target, str) else F.lit(False)).alias("target"), F.col(text_col).alias("text"))
     words = None if p.vocabulary is None else vocabulary(source, p, "text")
-    schema = f"block long, ids array<{id_type}>, targets array<boolean>, sizes array<int>, words binary, tokens binary, n_all long, n_target long"
+    schema = f"block long, ids array<{id_type}>, targets array<boolean>, sizes array<int>, words binary, tokens binary, n_all long"
     n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = bucketed(source.mapInArrow(_blocks(words, p), schema), "block", -(-n_bytes // p.bucket_bytes))
-    n_all, n_target = (int(n or 0) for n in blocks.agg(F.sum("n_all"), F.sum("n_target")).first())
+    n_all = int(blocks.agg(F.sum("n_all")).first()[0] or 0)
     shards = max(1, -(-n_all // p.block_tokens))
 
     def totals(asked: DataFrame, width: int, about: str) -> DataFrame:
-        return written(asked.groupBy("shard").applyInArrow(_totals(width), _ANSWER)).withColumn("about", F.lit(about))
+        return written(asked.groupBy("shard").applyInArrow(_totals(width), _ANSWER)).withColumns({"about": F.lit(about), "places": F.lit(None).cast("array<int>")})
 
     def meet(answers: DataFrame, f: Callable, out: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, out)
 
-    answers = totals(blocks.mapInArrow(_ask_words(shards), _REQUEST), 1, "words")
-    if words is not None:  # all others are unknown already
-        answers = answers.limit(0)
+    targets, n_target = _targets(blocks, target)
+    answers = targets
+    if words is None:  # else all others are unknown already
+        answers = answers.unionByName(totals(blocks.mapInArrow(_ask_words(shards), _REQUEST), 1, "words"))
     answers = answers.unionByName(totals(meet(answers, _ask_bigrams(shards, p.min_count), _REQUEST), 2, "bigrams"))
     contexts = totals(meet(answers, _ask_contexts(shards, p.min_count), _REQUEST), 6, "contexts")
     size = FIRST + int(contexts.agg(F.sum("names")).first()[0] or 0)

@@ -52,10 +52,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target documents are those labelled good."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    docs = docs.join(good, F.col("doc_id") == F.col("good_id"), "left")
-    return lm.cross_entropy_difference(docs.withColumn("target", F.col("good_id").isNotNull()))
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm.cross_entropy_difference(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
