@@ -6,23 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def buhlmann_straub(df: DataFrame, group: str, y: str = "y") -> DataFrame:
-    """One row: number of groups, mean, expected process variance, variance of the group means, and K = EPV / VHM.
+def credibility(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Bühlmann-Straub constants of groups with counts n and k: (by, groups, mean, epv, vhm, kappa).
 
-    K is 1e9 where the means hardly vary.
+    The process variance is divided by the sum of n - 1; kappa = EPV / VHM is 1e9 where the means don't vary more than chance.
     """
-    g = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(y).alias("p"))
-    s = g.agg(
-        F.count("*").alias("groups"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * F.col("n")).alias("nn"),
-        (F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("mean"),
-        (F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))) / F.sum("n")).alias("epv"),
-        F.sum(F.col("n") * F.col("p") * F.col("p")).alias("npp"),
-    )
-    between = (F.col("npp") - F.col("n") * F.col("mean") * F.col("mean") - (F.col("groups") - 1) * F.col("epv")) / (F.col("n") - F.col("nn") / F.col("n"))
-    s = s.withColumn("vhm", F.greatest(F.lit(0.0), between))
-    return s.select("groups", "mean", "epv", "vhm", F.when(F.col("vhm") <= 1e-10, 1e9).otherwise(F.col("epv") / F.col("vhm")).alias("K"))
+    n, k = F.col("n").cast("double"), F.col("k").cast("double")
+    s = groups.groupBy(*by).agg(F.count("*").alias("groups"), F.sum(n).alias("N"), F.sum(k).alias("k"), F.sum(n * n).alias("nn"), F.sum(k - k * k / n).alias("within"), F.sum(k * k / n).alias("kk"))
+    mean = F.col("k") / F.col("N")
+    s = s.withColumns({"mean": mean, "epv": F.col("within") / F.greatest(F.lit(1.0), F.col("N") - F.col("groups"))})
+    between = (F.col("kk") - F.col("k") * F.col("mean") - (F.col("groups") - 1) * F.col("epv")) / F.greatest(F.lit(1.0), F.col("N") - F.col("nn") / F.col("N"))
+    s = s.withColumn("vhm", between)
+    return s.select(*by, "groups", "mean", "epv", "vhm", F.when(F.col("vhm") > 1e-10, F.col("epv") / F.col("vhm")).otherwise(1e9).alias("kappa"))
+
+
+def credible_logit() -> Column:
+    """Logit of the group's rate (n, k) shrunk to ``mean`` with weight kappa, kept within 0.001 and 0.999."""
+    p = F.col("mean") + F.col("n") / (F.col("n") + F.col("kappa")) * (F.col("k") / F.col("n") - F.col("mean"))
+    p = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), p))
+    return F.ln(p / (1 - p))
+
+
+def prefix_counts(cells: DataFrame, entity: str = "entity", season: str = "season") -> DataFrame:
+    """(entity, season, n, k): counts over all seasons strictly before, for every season with an earlier one and the one after the last.
+
+    Seasons are few; an entity counts in all later ones, whether it has rows in them or not.
+    """
+    met = cells.select(season).distinct()
+    targets = met.union(met.agg((F.max(season) + 1).alias(season))).withColumnRenamed(season, "_t")
+    j = cells.join(F.broadcast(targets), F.col(season) < F.col("_t"))
+    return j.groupBy(entity, F.col("_t").alias(season)).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
 def shrunk_means(df: DataFrame, keys: list[str], k: float, y: str = "y") -> DataFrame:

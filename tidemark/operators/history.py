@@ -66,13 +66,29 @@ def season_increment(ends: DataFrame, entity: str = "entity", season: str = "sea
 def in_season_split(rows: DataFrame, K: float = 100.0, prefix: str = "is") -> DataFrame:
     """Splits career counters (n, k) by the season-end base (base_n_end, base_k_end) into this season's part.
 
-    Adds n and k since the base, the rate shrunk to one half with weight K, its difference to the career rate, and the share of the career.
+    Adds n and k since the base (k within 0 and n), log(1 + n), the rate shrunk to one half with weight K, its difference
+    to the career rate shrunk with weight 500, and the share of the career.
     """
-    n, k = F.col("n") - F.col("base_n_end"), F.greatest(F.lit(0), F.col("k") - F.col("base_k_end"))
-    d = rows.withColumns({f"{prefix}_n": F.greatest(F.lit(0), n), f"{prefix}_k": k})
+    n = F.greatest(F.lit(0), F.col("n") - F.col("base_n_end"))
+    d = rows.withColumns({f"{prefix}_n": n, f"{prefix}_k": F.least(n, F.greatest(F.lit(0), F.col("k") - F.col("base_k_end")))})
     rate = (F.col(f"{prefix}_k") + K / 2) / (F.col(f"{prefix}_n") + K)
-    career = F.when(F.col("n") > 0, F.col("k") / F.col("n")).otherwise(0.5)
-    return d.withColumns({f"{prefix}_rate": rate, f"{prefix}_delta": rate - career, f"{prefix}_share": F.when(F.col("n") > 0, F.col(f"{prefix}_n") / F.col("n")).otherwise(0.0)})
+    career = (F.col("k") + 250.0) / (F.col("n") + 500.0)
+    return d.withColumns({f"{prefix}_logn": F.log1p(f"{prefix}_n"), f"{prefix}_rate": rate, f"{prefix}_delta": rate - career, f"{prefix}_share": F.col(f"{prefix}_n") / F.greatest(F.col("n"), F.lit(1))})
+
+
+def in_season_block(rows: DataFrame, counts: list[str], K: float, prefix: str) -> DataFrame:
+    """The in-season split of several counters at once (k_<name> beside n, bases base_n_end and base_k_<name>).
+
+    Adds <prefix>_logn and _share, and for each counter its level <prefix>_<name>_sm (this season's rate shrunk to one half with
+    weight K) and its departure _d from the career rate shrunk alike.
+    """
+    n = F.greatest(F.lit(0), F.col("n") - F.col("base_n_end"))
+    out = {f"{prefix}_logn": F.log1p(n), f"{prefix}_share": n / F.greatest(F.col("n"), F.lit(1))}
+    for c in counts:
+        k = F.least(n, F.greatest(F.lit(0), F.col(f"k_{c}") - F.col(f"base_k_{c}")))
+        level = (k + K / 2) / (n + K)
+        out |= {f"{prefix}_{c}_sm": level, f"{prefix}_{c}_d": level - (F.col(f"k_{c}") + K / 2) / (F.col("n") + K)}
+    return rows.withColumns(out)
 
 
 def freeze_at(df: DataFrame, cutoff: int, entity: str = "entity", season: str = "season", y: str = "y", k: float = 50.0, mean: float = 0.2) -> DataFrame:
@@ -83,9 +99,12 @@ def freeze_at(df: DataFrame, cutoff: int, entity: str = "entity", season: str =
 
 
 def leave_one_out(df: DataFrame, key: str | list[str], K: float = 20.0, mean: float = 0.2, y: str = "y") -> DataFrame:
-    """Adds the shrunk rate of the key's other rows."""
-    w = Window.partitionBy(key)
-    return df.withColumn("loo_rate", (F.sum(y).over(w) - F.col(y) + K * mean) / (F.count("*").over(w) - 1 + K))
+    """Adds the shrunk rate of the key's other rows. Keys are aggregated and joined back, so a key with many rows isn't gathered."""
+    keys = [key] if isinstance(key, str) else key
+    sums = df.groupBy(*keys).agg(F.sum(y).alias("_k"), F.count("*").alias("_n")).withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    d = df.join(sums, on).drop(*(f"_{k}" for k in keys))
+    return d.withColumn("loo_rate", (F.col("_k") - F.col(y) + K * mean) / (F.col("_n") - 1 + K)).drop("_k", "_n")
 
 
 def earlier_seasons(df: DataFrame, keys: list[str], season: str = "season", y: str = "y") -> DataFrame:

@@ -58,15 +58,19 @@ def mutual_nearest(pairs: DataFrame, ratio: float | None = None) -> DataFrame:
     return m
 
 
-def margins(pairs: DataFrame) -> DataFrame:
-    """Gap between the best and the second-best cost of each id, in both directions."""
+def margins(pairs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(a, b, margin_row, margin_col) of assigned pairs (a, b): the least cost of any other partner, less the pair's own.
 
-    def side(s: str) -> DataFrame:
-        w = Window.partitionBy(s).orderBy("cost")
-        d = pairs.withColumns({"r": F.row_number().over(w), "second": F.lead("cost").over(w)}).filter("r = 1")
-        return d.select(F.lit(s).alias("side"), F.col(s).alias("id"), (F.col("second") - F.col("cost")).alias("margin"))
+    Negative where another partner would be cheaper; NULL where there is no other. Minima are combined before the shuffle.
+    """
+    own = pairs.join(assigned.select("a", "b"), ["a", "b"]).select("a", "b", F.col("cost").alias("own"))
+
+    def side(s: str, other: str, out: str) -> DataFrame:
+        mine = own.select(s, F.col(other).alias("_mine"))
+        return pairs.join(mine, s).filter(F.col(other) != F.col("_mine")).groupBy(s, F.col("_mine").alias(other)).agg(F.min("cost").alias(out))
 
-    return side("a").unionByName(side("b"))
+    d = own.join(side("a", "b", "_row"), ["a", "b"], "left").join(side("b", "a", "_col"), ["a", "b"], "left")
+    return d.select("a", "b", (F.col("_row") - F.col("own")).alias("margin_row"), (F.col("_col") - F.col("own")).alias("margin_col"))
 
 
 def ordered_realign(sample: DataFrame, scores: DataFrame, key: str, value: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bhattacharyya
@@ -126,22 +126,26 @@ def antimode(df: DataFrame, value: str, points: int) -> DataFrame:
     return spark.createDataFrame([(float(grid[a + int(np.argmin(density[a : b + 1]))]), True)], "threshold double, bimodal boolean")
 
 
-def greedy_match(a: DataFrame, b: DataFrame, keys: list[str], a_id: str, b_id: str, size: str) -> DataFrame:
-    """One-to-one pairs within each key, closest sizes first: (keys, a, b, gap). Each key is one cogrouped task, to be kept small by the keys."""
-
-    def match(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame(columns=[*keys, "a", "b", "gap"])
-        x, y = x.sort_values([size, a_id], kind="stable"), y.sort_values([size, b_id], kind="stable").reset_index(drop=True)
-        free, sizes, out = np.ones(len(y), bool), y[size].to_numpy(), []
-        for _, r in x.iterrows():
-            gap = np.where(free, np.abs(sizes - r[size]), np.inf)
-            if len(gap) and np.isfinite(gap.min()):
-                j = int(gap.argmin())
-                free[j] = False
-                out.append((*(r[k] for k in keys), r[a_id], y[b_id][j], gap[j]))
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "gap"])
-
-    kinds = dict(a.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"a {kinds[a_id]}", f"b {dict(b.dtypes)[b_id]}", "gap double"])
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(match, schema)
+def set_score(pairs: DataFrame, a: DataFrame, b: DataFrame, block: list[str], entity: str, key: str, size: str, order: str, scale: float = 10.0) -> DataFrame:
+    """(a, b, block, score): how much of b's sessions in a block is found among a's.
+
+    In order, each session of b takes the nearest unused one of a with the same ``key``, if sizes differ by less than ``scale``; a
+    match counts 1 - difference / scale, and the score is their sum over the number of b's sessions. Pairs are candidates
+    (a, b); a block without sessions of either has no row. An entity's sessions in a block are one array, so the
+    matching is an expression over two arrays and no group is gathered beyond them.
+    """
+
+    def sets(d: DataFrame, s: str) -> DataFrame:
+        rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(key).alias("key"), F.col(size).cast("double").alias("n"))))
+        return d.groupBy(F.col(entity).alias(s), *block).agg(rows.alias(f"set_{s}"))
+
+    def take(acc: Column, y: Column) -> Column:
+        gain = F.transform(acc["free"], lambda x: F.when(x["key"] == y["key"], F.greatest(F.lit(0.0), 1 - F.abs(x["n"] - y["n"]) / scale)).otherwise(0.0))
+        best = F.coalesce(F.array_max(gain), F.lit(0.0))
+        at = F.array_position(gain, best).cast("int")
+        left = F.filter(acc["free"], lambda x, i: i != at - 1)
+        return F.struct(F.when(best > 0, left).otherwise(acc["free"]).alias("free"), (acc["total"] + best).alias("total"))
+
+    j = pairs.select("a", "b").join(sets(a, "a"), "a").join(sets(b, "b"), ["b", *block])
+    start = F.struct(F.col("set_a").alias("free"), F.lit(0.0).alias("total"))
+    return j.select("a", "b", *block, (F.aggregate("set_b", start, take)["total"] / F.size("set_b")).alias("score"))

@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import logit
+from ..sources.files import materialised
 
 
 def innovation(rows: DataFrame, kappa: float, league: float) -> DataFrame:
-    """Of in-season counters (is_n, is_k) and a base: prior rate, posterior rate, their difference and its reliability."""
+    """Of in-season counters (is_n, is_k within 0 and is_n) and a base: prior rate, posterior rate, their difference, its reliability, log(1 + is_n)."""
     prior = F.when(F.col("base_n_end") > 0, F.col("base_k_end") / F.col("base_n_end")).otherwise(league)
     d = rows.withColumn("q_prior", prior)
     d = d.withColumn("q_post", (F.col("is_k") + kappa * F.col("q_prior")) / (F.col("is_n") + kappa))
-    return d.withColumns({"innovation": (F.col("is_k") - F.col("is_n") * F.col("q_prior")) / (F.col("is_n") + kappa), "reliability": F.col("is_n") / (F.col("is_n") + kappa)})
+    return d.withColumns({"innovation": F.col("q_post") - F.col("q_prior"), "reliability": F.col("is_n") / (F.col("is_n") + kappa), "log_dn": F.log1p("is_n")})
 
 
 def log_ratio_mix(df: DataFrame, counts: list[str], prior: dict[str, float], strength: float, floor: float = 1e-4) -> DataFrame:
@@ -23,21 +24,54 @@ def log_ratio_mix(df: DataFrame, counts: list[str], prior: dict[str, float], str
     return df.withColumns({f"lr_{c}": F.ln(post[c] / post[counts[0]]) for c in counts[1:]})
 
 
-def season_prior(increments: DataFrame, target: DataFrame, rho: float, K: float, league: float, entity: str = "entity", season: str = "season") -> DataFrame:
-    """A prior for each (entity, target season) from all seasons before it: ``prior``, ``weight``, ``spread``.
+def season_prior(increments: DataFrame, target: DataFrame, rho: float, K: float, default: float, least: float = 25.0, most: float = 800.0, entity: str = "entity", season: str = "season") -> DataFrame:
+    """A prior for each (entity, target season) from the seasons before it: ``prior``, ``variance``, ``strength``, ``trend``, ``seasons``, ``league``.
 
-    A season s counts with rho ** (target - s) * sqrt(dn / (dn + K)). Seasons are few per entity, so the
-    join fans out by at most their number.
+    A season's rate is shrunk with K rows of the league's rate over all seasons before the target (``default`` if there are
+    none). Season s weighs rho ** (target - 1 - s) * sqrt(n / (n + K)). The variance is that of the season rates plus
+    that of observing them; ``strength`` is the Beta's that has this mean and variance, within ``least`` and ``most``;
+    ``trend`` is the last season's rate less the mean of those before, or less the league's. An entity without a
+    season has the league's rate with the least strength.
+
+    Scale: an entity's seasons are few, so the join fans out by at most their number.
     """
-    t = target.select(F.col(entity).alias("_e"), F.col(season).alias("target_season"))
-    j = t.join(increments, (F.col("_e") == F.col(entity)) & (F.col(season) < F.col("target_season")), "left")
+    seen = increments.filter("dn > 0")
+    levels = seen.groupBy(F.col(season).alias("_s")).agg(F.sum("dn").alias("_n"), F.sum("dk").alias("_k"))
+    targets = target.select(F.col(season).alias("target_season")).distinct()
+    league = targets.join(levels, F.col("_s") < F.col("target_season"), "left").groupBy("target_season").agg(F.sum("_n").alias("_n"), F.sum("_k").alias("_k"))
+    level = F.when(F.col("_n") > 0, F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col("_k") / F.col("_n")))).otherwise(default)
+    league = league.select("target_season", level.alias("league"))
+
+    t = target.select(F.col(entity).alias("_e"), F.col(season).alias("target_season")).join(F.broadcast(league), "target_season")  # one row a season
+    j = t.join(seen, (F.col("_e") == F.col(entity)) & (F.col(season) < F.col("target_season")), "left")
     n = F.col("dn")
-    w = F.when(n > 0, F.pow(F.lit(rho), F.col("target_season") - F.col(season)) * F.sqrt(n / (n + K))).otherwise(0.0)
-    rate = F.coalesce(F.try_divide(F.col("dk"), n), F.lit(0.0))
-    g = j.groupBy("_e", "target_season").agg(F.sum(w).alias("weight"), F.sum(w * rate).alias("wr"), F.sum(w * rate * rate).alias("wrr"))
-    mean = F.when(F.col("weight") > 0, F.col("wr") / F.col("weight")).otherwise(league)
-    spread = F.when(F.col("weight") > 0, F.greatest(F.lit(0.0), F.col("wrr") / F.col("weight") - mean * mean)).otherwise(0.0)
-    return g.select(F.col("_e").alias(entity), "target_season", mean.alias("prior"), "weight", spread.alias("spread"))
+    j = j.withColumns({"_m": (F.col("dk") + K * F.col("league")) / (n + K), "_w": F.pow(F.lit(rho), F.greatest(F.lit(0), F.col("target_season") - 1 - F.col(season))) * F.sqrt(n / (n + K))})
+    m, w = F.col("_m"), F.col("_w")
+    g = j.groupBy("_e", "target_season", "league").agg(
+        F.count("dn").alias("seasons"), F.sum(w).alias("W"), F.sum(w * m).alias("Wm"), F.sum(w * m * m).alias("Wmm"), F.sum(w * m * (1 - m) / (n + K + 1)).alias("Wo"), F.max_by(F.struct("_w", "_m"), season).alias("last")
+    )
+    mean, lone = F.col("Wm") / F.col("W"), F.col("seasons") == 0
+    variance = F.greatest(F.lit(1e-5), F.greatest(F.lit(0.0), F.col("Wmm") / F.col("W") - mean * mean) + F.col("Wo") / F.col("W"))
+    g = g.withColumns({"prior": F.when(lone, F.col("league")).otherwise(mean), "variance": F.when(lone, F.col("league") * (1 - F.col("league")) / (least + 1)).otherwise(variance)})
+    implied = F.col("prior") * (1 - F.col("prior")) / F.col("variance") - 1
+    earlier = F.when(F.col("seasons") > 1, (F.col("Wm") - F.col("last._w") * F.col("last._m")) / (F.col("W") - F.col("last._w"))).otherwise(F.col("league"))
+    return g.select(
+        F.col("_e").alias(entity),
+        "target_season",
+        "prior",
+        "variance",
+        F.when(lone, F.lit(least)).otherwise(F.greatest(F.lit(least), F.least(F.lit(most), implied))).alias("strength"),
+        F.when(lone, F.lit(0.0)).otherwise(F.col("last._m") - earlier).alias("trend"),
+        "seasons",
+        "league",
+    )
+
+
+def transform_state(rows: DataFrame) -> DataFrame:
+    """Of rows with an artifact's columns and in-season counters (is_n, is_k): posterior rate, its innovation, variance and reliability."""
+    total = F.col("strength") + F.col("is_n")
+    d = rows.withColumn("post", (F.col("prior") * F.col("strength") + F.col("is_k")) / total)
+    return d.withColumns({"innov": F.col("post") - F.col("prior"), "post_var": F.col("post") * (1 - F.col("post")) / (total + 1), "rel": F.col("is_n") / total, "logdn": F.log1p("is_n")})
 
 
 def apply_artifact(rows: DataFrame, artifact: DataFrame, season: str = "season", entity: str = "entity") -> DataFrame:
@@ -49,25 +83,33 @@ def apply_artifact(rows: DataFrame, artifact: DataFrame, season: str = "season",
     return checked.join(artifact.withColumnRenamed("target_season", season), [entity, season], "left")
 
 
-def residual_effects(rows: DataFrame, keys: list[str], residual: str, lam: float, passes: int = 2) -> dict[str, DataFrame]:
-    """Effects per key by repeated backfitting: effect = sum(r) / (n + lambda), subtracted before the next key.
+def residual_effects(rows: DataFrame, spec: list[tuple[str, list[str], float]], residual: str, weight: str | None = None, passes: int = 2) -> list[tuple[str, list[str], DataFrame]]:
+    """Effects of (composite) keys by backfitting: of each component (name, keys, shrink), in each pass, what is left is learnt and taken off.
+
+    effect = sum(w * r) / (sum(w) + shrink). A later pass adds to the former ones: there are as many tables as
+    components times passes, (name + pass, keys, table of keys and effect), and their effects are summed.
 
-    Returns a table (key, effect) for each key. The work is one aggregation over distinct key combinations (made
-    once) per key and pass, not over rows.
+    Rows are aggregated once, to the distinct combinations of all keys; each step works on these and is written, so
+    that a step's lineage isn't repeated in all later ones.
     """
-    cells = rows.groupBy(*keys).agg(F.sum(residual).alias("_s"), F.count("*").alias("_n"))
-    effects: dict[str, DataFrame] = {}
-    for _ in range(passes):
-        for k in keys:
-            # What the other keys explain of a cell is its size times their effects.
-            d = cells
-            other = F.lit(0.0)
-            for o, table in effects.items():
-                if o != k:
-                    d = d.join(table.withColumnRenamed("effect", f"_e_{o}"), o, "left")
-                    other = other + F.coalesce(F.col(f"_e_{o}"), F.lit(0.0))
-            effects[k] = d.groupBy(k).agg((F.sum(F.col("_s") - F.col("_n") * other) / (F.sum("_n") + lam)).alias("effect"))
-    return effects
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    every = sorted({k for _, keys, _ in spec for k in keys})
+    cells = materialised(rows.groupBy(*every).agg(F.sum(w * F.col(residual)).alias("_s"), F.sum(w).alias("_w")))
+    out = []
+    for number in range(1, passes + 1):
+        for name, keys, shrink in spec:
+            table = materialised(cells.groupBy(*keys).agg((F.sum("_s") / (F.sum("_w") + shrink)).alias("effect")))
+            out.append((f"{name}{number}", keys, table))
+            cells = materialised(cells.join(table, keys).withColumn("_s", F.col("_s") - F.col("_w") * F.col("effect")).drop("effect"))
+    return out
+
+
+def apply_effects(rows: DataFrame, components: list[tuple[str, list[str], DataFrame]]) -> DataFrame:
+    """Rows with ``correction``: the sum of all components' effects; a key that wasn't met has none."""
+    d = rows.withColumn("correction", F.lit(0.0))
+    for _, keys, table in components:
+        d = d.join(table, keys, "left").withColumn("correction", F.col("correction") + F.coalesce("effect", F.lit(0.0))).drop("effect")
+    return d
 
 
 def log5(p: Column, b: Column, g: Column) -> Column:

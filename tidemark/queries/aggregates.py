@@ -16,24 +16,50 @@ def agg1(spark, d):
     return line_log(spark, d).groupBy("season", "grp").agg(r6(F.avg("y")).alias("rate"))
 
 
-@query("agg3_buhlmann_straub", f"""WITH {LI}, g AS (SELECT entity, count(*) AS n, avg(y) AS p FROM li GROUP BY entity),
-s AS (SELECT count(*) AS groups, sum(n) AS n, sum(n * n) AS nn, sum(n * p) / sum(n) AS mean, sum(n * p * (1 - p)) / sum(n) AS epv, sum(n * p * p) AS npp FROM g),
-v AS (SELECT *, greatest(0.0, (npp - n * mean * mean - (groups - 1) * epv) / (n - nn / n)) AS vhm FROM s)
-SELECT groups, round(mean, 6) AS mean, round(epv, 6) AS epv, round(vhm, 8) AS vhm, round(CASE WHEN vhm <= 1e-10 THEN 1e9 ELSE epv / vhm END, 1) AS "K" FROM v""")
+#: Bühlmann-Straub from rows: process variance over the sum of n - 1, moment estimate of the variance between groups.
+_STRAUB = """SELECT {by} count(*) AS groups, any_value(m) AS mean, sum(n * p * (1 - p)) / greatest(sum(n - 1), 1) AS epv,
+  (sum(n * power(p - m, 2)) - (count(*) - 1) * (sum(n * p * (1 - p)) / greatest(sum(n - 1), 1))) / greatest(sum(n) - sum(n * n) / sum(n), 1) AS vhm FROM g {group}"""
+_ROUNDED = "groups, round(mean, 6) AS mean, round(epv, 6) AS epv, round(vhm, 8) AS vhm, round(CASE WHEN vhm > 1e-10 THEN epv / vhm ELSE 1e9 END, 1) AS K"
+_GROUPS = LI + ", c AS (SELECT entity, count(*)::DOUBLE AS n, sum(y) AS k FROM li GROUP BY entity), g AS (SELECT *, k / n AS p, sum(k) OVER () / sum(n) OVER () AS m FROM c), v AS (" + _STRAUB.format(by="", group="") + ")"
+_PREFIX = LI + """, t AS (SELECT DISTINCT season AS s FROM li UNION SELECT max(season) + 1 FROM li), c AS (SELECT s AS season, entity, count(*)::DOUBLE AS n, sum(y) AS k FROM li JOIN t ON li.season < s GROUP BY ALL),
+g AS (SELECT *, k / n AS p, sum(k) OVER (PARTITION BY season) / sum(n) OVER (PARTITION BY season) AS m FROM c), v AS (""" + _STRAUB.format(by="season,", group="GROUP BY season") + ")"
+_LOGIT = "greatest(0.001, least(0.999, m + n / (n + CASE WHEN vhm > 1e-10 THEN epv / vhm ELSE 1e9 END) * (p - m)))"
+
+
+def _constants(c, *more):
+    return c.select(*more, "groups", r6("mean").alias("mean"), r6("epv").alias("epv"), F.round("vhm", 8).alias("vhm"), F.round("kappa", 1).alias("K"))
+
+
+def _entities(spark, d):
+    return line_log(spark, d).groupBy("entity").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+
+
+def _prefixes(spark, d):
+    return A.prefix_counts(line_log(spark, d).groupBy("entity", "season").agg(F.count("*").alias("n"), F.sum("y").alias("k")))
+
+
+@query("agg3_buhlmann_straub", f"WITH {_GROUPS} SELECT {_ROUNDED} FROM v")
 def agg3(spark, d):
-    s = A.buhlmann_straub(line_log(spark, d), "entity")
-    return s.select("groups", r6("mean").alias("mean"), r6("epv").alias("epv"), F.round("vhm", 8).alias("vhm"), F.round("K", 1).alias("K"))
+    return _constants(A.credibility(_entities(spark, d), []))
+
 
+@query("agg3b_shrunk_logits", f"WITH {_GROUPS} SELECT entity, round(ln({_LOGIT} / (1 - {_LOGIT})), 5) AS z FROM g, v")
+def agg3b(spark, d):
+    g = _entities(spark, d)
+    return g.crossJoin(F.broadcast(A.credibility(g, []))).select("entity", F.round(A.credible_logit(), 5).alias("z"))
 
-@query("agg4_prefix_variance", f"""WITH {LI}, c AS (SELECT entity, season, count(*) AS n, sum(y) AS k FROM li GROUP BY ALL),
-p AS (SELECT entity, season, sum(n) OVER w AS n, sum(k) OVER w AS k FROM c WINDOW w AS (PARTITION BY entity ORDER BY season ROWS UNBOUNDED PRECEDING))
-SELECT season, count(*) AS groups, round(sum(k) / sum(n), 6) AS mean, round(sum(k * (1 - k / n)) / sum(n), 6) AS epv FROM p GROUP BY season""")
+
+@query("agg4_prefix_variance", f"WITH {_PREFIX} SELECT season, {_ROUNDED} FROM v")
 def agg4(spark, d):
-    c = line_log(spark, d).groupBy("entity", "season").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    w = Window.partitionBy("entity").orderBy("season").rowsBetween(Window.unboundedPreceding, 0)
-    p = c.select("season", F.sum("n").over(w).alias("n"), F.sum("k").over(w).alias("k"))
-    n, k = F.col("n"), F.col("k")
-    return p.groupBy("season").agg(F.count("*").alias("groups"), r6(F.sum("k") / F.sum("n")).alias("mean"), r6(F.sum(k * (1 - k / n)) / F.sum("n")).alias("epv"))
+    """The constants that each season could know: over all seasons strictly before."""
+    return _constants(A.credibility(_prefixes(spark, d), ["season"]), "season")
+
+
+@query("agg4b_prefix_logits", f"WITH {_PREFIX} SELECT entity, season, round(ln({_LOGIT} / (1 - {_LOGIT})), 5) AS z FROM g JOIN v USING (season)")
+def agg4b(spark, d):
+    g = _prefixes(spark, d)
+    constants = A.credibility(g, ["season"])  # one row a season
+    return g.join(F.broadcast(constants), "season").select("entity", "season", F.round(A.credible_logit(), 5).alias("z"))
 
 
 @query("agg6_league_rate", f"WITH {LI} SELECT season, round(greatest(0.01, least(0.99, sum(y) / count(*))), 6) AS rate FROM li GROUP BY season")

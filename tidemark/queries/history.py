@@ -24,32 +24,65 @@ def jn1(spark, d):
     return H.as_of_season(log, H.season_end(log)).select("row_id", "entity", "season", "base_n_end", "base_k_end")
 
 
-def _split_sql(K: float) -> str:
-    return f"""WITH {BASED}, s AS (SELECT *, greatest(0, n - base_n) AS is_n, greatest(0, k - base_k) AS is_k, CASE WHEN n > 0 THEN k / n ELSE 0.5 END AS career FROM based)
-SELECT row_id, is_n, is_k, round((is_k + {K / 2}) / (is_n + {K}), 6) AS is_rate, round((is_k + {K / 2}) / (is_n + {K}) - career, 6) AS is_delta,
-  round(CASE WHEN n > 0 THEN is_n / n ELSE 0.0 END, 6) AS is_share FROM s"""
+def _split_sql(K: float, entity: str = "entity") -> str:
+    """From the formulas: counts since the base, k clipped to n, shrunk rate, difference to the career rate with weight 500."""
+    based = BASED if entity == "entity" else BASED.replace("PARTITION BY entity", f"PARTITION BY {entity}").replace("ends AS (SELECT entity", f"ends AS (SELECT {entity}").replace("l.entity = e.entity", f"l.{entity} = e.{entity}")
+    return f"""WITH {based}, c AS (SELECT row_id, n, k, CASE WHEN n < base_n THEN 0 ELSE n - base_n END AS m, k - base_k AS j FROM based),
+s AS (SELECT row_id, n, k, m AS is_n, CASE WHEN j < 0 THEN 0 WHEN j > m THEN m ELSE j END AS is_k FROM c)
+SELECT row_id, is_n, is_k, round(ln(1 + is_n), 6) AS is_logn, round((is_k + {K / 2}) / (is_n + {K}), 6) AS is_rate,
+  round((is_k + {K / 2}) / (is_n + {K}) - (k + 250.0) / (n + 500.0), 6) AS is_delta, round(is_n / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS is_share FROM s"""
+
+
+def _split_columns(s):
+    return s.select("row_id", "is_n", "is_k", *(r6(c).alias(c) for c in ("is_logn", "is_rate", "is_delta", "is_share")))
 
 
 @query("dom1_inseason_split", _split_sql(100.0))
 def dom1(spark, d):
     log = counted_log(spark, d)
-    s = H.in_season_split(H.as_of_season(log, H.season_end(log)), 100.0)
-    return s.select("row_id", "is_n", "is_k", r6("is_rate").alias("is_rate"), r6("is_delta").alias("is_delta"), r6("is_share").alias("is_share"))
+    return _split_columns(H.in_season_split(H.as_of_season(log, H.season_end(log)), 100.0))
 
 
-@query(
-    "dom3_partner_inseason",
-    _split_sql(40.0).replace("PARTITION BY entity ORDER BY row_id", "PARTITION BY partner ORDER BY row_id").replace("ends AS (SELECT entity", "ends AS (SELECT partner").replace("PARTITION BY entity, season", "PARTITION BY partner, season").replace("l.entity = e.entity", "l.partner = e.partner"),
-)
+@query("dom3_partner_inseason", _split_sql(40.0, "partner"))
 def dom3(spark, d):
     log = counted_log(spark, d, "partner")
-    s = H.in_season_split(H.as_of_season(log, H.season_end(log, "partner"), "partner"), 40.0)
-    return s.select("row_id", "is_n", "is_k", r6("is_rate").alias("is_rate"), r6("is_delta").alias("is_delta"), r6("is_share").alias("is_share"))
+    return _split_columns(H.in_season_split(H.as_of_season(log, H.season_end(log, "partner"), "partner"), 40.0))
+
+
+KINDS = ("click", "view", "purchase")
+
+
+def _block_sql(K: float) -> str:
+    counts = ", ".join(f"coalesce(sum((kind = '{c}')::INT) OVER w, 0) AS k_{c}" for c in KINDS)
+    ends = ", ".join(f"k_{c} + (kind = '{c}')::INT AS e_{c}" for c in KINDS)
+    out = []
+    for c in KINDS:
+        k = f"greatest(0, least(k_{c} - b_{c}, m))"
+        out += [f"round(({k} + {K / 2}) / (m + {K}), 6) AS isp_{c}_sm", f"round(({k} + {K / 2}) / (m + {K}) - (k_{c} + {K / 2}) / (n + {K}), 6) AS isp_{c}_d"]
+    return f"""WITH {EV}, l AS (SELECT row_id, entity, season, kind, count(*) OVER w AS n, {counts} FROM ev WINDOW w AS (PARTITION BY entity ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+e AS (SELECT entity, season, n + 1 AS n_end, {ends} FROM l QUALIFY row_number() OVER (PARTITION BY entity, season ORDER BY n DESC, row_id) = 1),
+j AS (SELECT l.*, coalesce(n_end, 0) AS b, {", ".join(f"coalesce(e_{c}, 0) AS b_{c}" for c in KINDS)} FROM l ASOF LEFT JOIN e ON l.entity = e.entity AND l.season > e.season),
+x AS (SELECT *, greatest(0, n - b) AS m FROM j)
+SELECT row_id, round(ln(1 + m), 6) AS isp_logn, round(m / greatest(n, 1), 6) AS isp_share, {", ".join(out)} FROM x"""
+
+
+@query("dom2_inseason_block", _block_sql(100.0))
+def dom2(spark, d):
+    """The split of several counters over one entity: level and departure of each."""
+    hit = {c: (F.col("kind") == c).cast("int") for c in KINDS}
+    w = Window.partitionBy("entity").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    log = event_log(spark, d).withColumns({"n": F.count("*").over(w)} | {f"k_{c}": F.coalesce(F.sum(h).over(w), F.lit(0)) for c, h in hit.items()})
+    top = Window.partitionBy("entity", "season").orderBy(F.desc("n"), "row_id")
+    ends = log.withColumn("r", F.row_number().over(top)).filter("r = 1").select("entity", "season", (F.col("n") + 1).alias("n_end"), *((F.col(f"k_{c}") + h).alias(f"k_{c}_end") for c, h in hit.items()))
+    rows = H.as_of_season(log, ends.withColumnsRenamed({f"k_{c}_end": f"e_{c}" for c in KINDS}), values=("n_end", *(f"e_{c}" for c in KINDS)))
+    rows = rows.withColumnsRenamed({f"base_e_{c}": f"base_k_{c}" for c in KINDS})
+    s = H.in_season_block(rows, list(KINDS), 100.0, "isp")
+    return s.select("row_id", *(r6(c).alias(c) for c in ("isp_logn", "isp_share", *(f"isp_{k}_{x}" for k in KINDS for x in ("sm", "d")))))
 
 
 @query(
     "dom1k_split_weight_grid",
-    f"""WITH {BASED}, s AS (SELECT greatest(0, n - base_n) AS is_n, greatest(0, k - base_k) AS is_k, y FROM based)
+    f"""WITH {BASED}, s AS (SELECT greatest(0, n - base_n) AS is_n, greatest(0, least(k - base_k, n - base_n)) AS is_k, y FROM based)
 SELECT weight, round(avg(power(y - (is_k + weight / 2) / (is_n + weight), 2)), 6) AS brier FROM s, (VALUES (25.0::DOUBLE), (50.0), (100.0), (200.0)) g(weight) GROUP BY weight""",
 )
 def dom1k(spark, d):

@@ -93,14 +93,19 @@ def jn11(spark, d):
 
 
 #: Two id spaces: suppliers in one channel, and re-keyed suppliers in the other.
-COST = LI + """, va AS (SELECT entity, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM li WHERE grp = 'F' GROUP BY ALL), vb AS (SELECT entity + 1000000 AS entity, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM li WHERE grp = 'O' GROUP BY ALL),
-p AS (SELECT a.entity AS a, b.entity AS b, sum(1.0 * abs(a.q - b.q) + 2.0 * abs(a.c - b.c)) AS cost FROM va a JOIN vb b USING (season) GROUP BY ALL)"""
+COST = LI + """, lin AS (SELECT li.*, s_nationkey AS nation FROM li JOIN supplier ON s_suppkey = entity), va AS (SELECT entity, nation, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM lin WHERE grp = 'F' GROUP BY ALL), vb AS (SELECT entity + 1000000 AS entity, nation, season, avg(quantity) AS q, avg(discount) * 100 AS c FROM lin WHERE grp = 'O' GROUP BY ALL),
+p AS (SELECT a.entity AS a, b.entity AS b, sum(1.0 * abs(a.q - b.q) + 2.0 * abs(a.c - b.c)) AS cost FROM va a JOIN vb b USING (season, nation) GROUP BY ALL)"""
+
+
+def _nations(spark, d):
+    """Block of each entity: only those of one nation are held against each other."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("nation"))
 
 
 def _pairs(spark, d):
-    v = line_log(spark, d).groupBy("entity", "season", "grp").agg(F.avg("quantity").alias("q"), (F.avg("discount") * 100).alias("c"))
+    v = line_log(spark, d).groupBy("entity", "season", "grp").agg(F.avg("quantity").alias("q"), (F.avg("discount") * 100).alias("c")).join(_nations(spark, d), "entity")
     other = v.filter("grp = 'O'").withColumn("entity", F.col("entity") + 1_000_000)
-    return J.pair_cost(v.filter("grp = 'F'"), other, ["season"], "entity", "entity", {"q": 1.0, "c": 2.0})
+    return J.pair_cost(v.filter("grp = 'F'"), other, ["season", "nation"], "entity", "entity", {"q": 1.0, "c": 2.0})
 
 
 @query("jn12_pair_cost", f"WITH {COST} SELECT a, b, round(cost, 6) AS cost FROM p")
@@ -114,10 +119,16 @@ def jn14(spark, d):
     return J.mutual_nearest(_pairs(spark, d)).select("a", "b", r6("cost").alias("cost"))
 
 
-@query("srt7_margins", f"""WITH {COST}, x AS (SELECT 'a' AS side, a AS id, cost, row_number() OVER (PARTITION BY a ORDER BY cost) AS r, lead(cost) OVER (PARTITION BY a ORDER BY cost) AS s FROM p UNION ALL SELECT 'b', b, cost, row_number() OVER (PARTITION BY b ORDER BY cost), lead(cost) OVER (PARTITION BY b ORDER BY cost) FROM p)
-SELECT side, id, round(s - cost, 6) AS margin FROM x WHERE r = 1""")
+@query("srt7_margins", f"""WITH {COST} SELECT a, b, round((SELECT min(cost) FROM p x WHERE x.a = p.a AND x.b <> p.b) - cost, 6) AS margin_row,
+  round((SELECT min(cost) FROM p x WHERE x.b = p.b AND x.a <> p.a) - cost, 6) AS margin_col FROM p WHERE b = a + 1000000""")
 def srt7(spark, d):
-    return J.margins(_pairs(spark, d)).select("side", "id", r6("margin").alias("margin"))
+    """Margins of the pairs that belong together; they aren't always the cheapest."""
+    return J.margins(*_assigned(spark, d)).select("a", "b", r6("margin_row").alias("margin_row"), r6("margin_col").alias("margin_col"))
+
+
+def _assigned(spark, d):
+    pairs = _pairs(spark, d)
+    return pairs, pairs.filter("b = a + 1000000").select("a", "b")
 
 
 @query("jn15_ordered_realign", f"WITH {EV} SELECT row_id, round(value / 100, 6) AS p FROM ev WHERE season = 3")
@@ -151,27 +162,28 @@ def srt5(spark, d):
 
 
 SIGNATURE = LI + """, m AS (SELECT entity + CASE WHEN grp = 'O' THEN 1000000 ELSE 0 END AS entity, season, grp, avg(quantity) AS q, avg((discount < 0.05)::INT) AS h FROM li GROUP BY ALL),
-r AS (SELECT *, (rank() OVER (PARTITION BY season, grp ORDER BY q) + (count(*) OVER (PARTITION BY season, grp, q) - 1) / 2) / count(*) OVER (PARTITION BY season, grp) AS pct FROM m)"""
+r AS (SELECT *, (rank() OVER (PARTITION BY season, grp ORDER BY q) + (count(*) OVER (PARTITION BY season, grp, q) - 1) / 2) / count(*) OVER (PARTITION BY season, grp) AS pct FROM m JOIN (SELECT s_suppkey, s_nationkey AS nation FROM supplier) ON s_suppkey = entity % 1000000)"""
 
 
 @query("er3_rank_cost", f"""WITH {SIGNATURE} SELECT a.entity AS a, b.entity AS b, round(sum(abs(a.pct - b.pct) + 0.5 * sqrt(greatest(0.0, 1 - (sqrt(a.h * b.h) + sqrt((1 - a.h) * (1 - b.h)))))), 6) AS cost, count(*) AS blocks
-FROM r a JOIN r b USING (season) WHERE a.grp = 'F' AND b.grp = 'O' GROUP BY ALL""")
+FROM r a JOIN r b USING (season, nation) WHERE a.grp = 'F' AND b.grp = 'O' GROUP BY ALL""")
 def er3(spark, d):
-    return E.signature_cost(*_signatures(spark, d), ["season"]).select("a", "b", r6("cost").alias("cost"), "blocks")
+    return E.signature_cost(*_signatures(spark, d), ["season", "nation"]).select("a", "b", r6("cost").alias("cost"), "blocks")
 
 
 def _signatures(spark, d):
     key = F.col("entity") + F.when(F.col("grp") == "O", 1_000_000).otherwise(0)
     m = line_log(spark, d).groupBy(key.alias("entity"), "season", "grp").agg(F.avg("quantity").alias("q"), F.avg((F.col("discount") < 0.05).cast("int")).alias("h"))
     r = S.average_rank(m, "q", ["season", "grp"]).withColumn("hist", F.array(F.col("h"), 1 - F.col("h")))
+    r = r.join(_nations(spark, d).withColumnRenamed("entity", "_own"), F.col("entity") % 1_000_000 == F.col("_own")).drop("_own")
     return r.filter("grp = 'F'"), r.filter("grp = 'O'")
 
 
 @query("er4_assignment")
 def er4(spark, d):
     """One-to-one pairs of least total cost between the two id spaces."""
-    pairs = E.signature_cost(*_signatures(spark, d), ["season"])
-    return E.assign(pairs.withColumn("block", F.lit(0)), "block").select("a", "b", r6("cost").alias("cost"))
+    pairs = E.signature_cost(*_signatures(spark, d), ["season", "nation"]).join(_nations(spark, d), F.col("a") == F.col("entity"))
+    return E.assign(pairs, "nation").select("a", "b", r6("cost").alias("cost"))
 
 
 @query("er5_tiers", f"""WITH {COST}, ra AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r, lead(cost) OVER (PARTITION BY a ORDER BY cost, b) AS nxt FROM p), rb AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY cost, a) AS r FROM p),
@@ -198,13 +210,14 @@ def er11(spark, d):
 
 @query("er9_antimode_threshold")
 def er9(spark, d):
-    margins = J.margins(_pairs(spark, d)).filter("side = 'a'").select("margin")
-    return E.antimode(margins, "margin", 50)
+    return E.antimode(J.margins(*_assigned(spark, d)), "margin_row", 50)
 
 
 @query("jn13_greedy_match")
 def jn13(spark, d):
-    s = sessions_of(spark, d).groupBy("entity", "session", "season").agg(F.count("*").alias("n"))
-    return E.greedy_match(s, s.filter("season <> 1").withColumn("entity", F.col("entity") + 1_000_000), ["season"], "entity", "entity", "n")
-
-
+    """How much of an entity's sessions each of two candidates of the other id space has: its own, and a neighbour."""
+    s = sessions_of(spark, d).groupBy("entity", "session", "season").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
+    other = s.filter("session % 2 = 0").select((F.col("entity") + 1_000_000).alias("entity"), "session", "season", (F.col("n") + F.col("session") % 3).alias("n"), "kind")
+    ids = s.select(F.col("entity").alias("a")).distinct()
+    pairs = ids.select("a", (F.col("a") + 1_000_000).alias("b")).union(ids.select("a", (F.col("a") + 1_000_001).alias("b")))
+    return E.set_score(pairs, s, other, ["season"], "entity", "kind", "n", "session").select("a", "b", "season", r6("score").alias("score"))

@@ -51,11 +51,10 @@ def prj12(spark, d):
 
 @query("src7_keyed_cache", f"WITH {EV} SELECT season, count(*) AS n FROM ev GROUP BY season")
 def src7(spark, d):
-    """A table that is computed once per key and read again; the folder is temporary here."""
-    import tempfile
+    """A table that is computed once per key and read again."""
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    folder = files.shared_folder(spark)
     counts = event_log(spark, d).groupBy("season").agg(F.count("*").alias("n"))
     key = f"counts-{uuid.uuid4().hex}"
     files.cached(counts, folder, key)

@@ -15,13 +15,13 @@ def _split(spark, d, K=100.0):
     return H.in_season_split(H.as_of_season(log, H.season_end(log)), K)
 
 
-IS = BASED + ", s AS (SELECT *, greatest(0, n - base_n) AS is_n, greatest(0, k - base_k) AS is_k FROM based)"
+IS = BASED + ", s AS (SELECT *, greatest(0, n - base_n) AS is_n, greatest(0, least(k - base_k, n - base_n)) AS is_k FROM based)"
 
 
 @query("dom4_innovation", f"""WITH {IS}, q AS (SELECT *, CASE WHEN base_n > 0 THEN base_k / base_n ELSE 0.2 END AS q0 FROM s)
-SELECT row_id, round(q0, 6) AS q_prior, round((is_k + 30.0 * q0) / (is_n + 30.0), 6) AS q_post, round((is_k - is_n * q0) / (is_n + 30.0), 6) AS innovation, round(is_n / (is_n + 30.0), 6) AS reliability FROM q""")
+SELECT row_id, round(q0, 6) AS q_prior, round((is_k + 30.0 * q0) / (is_n + 30.0), 6) AS q_post, round((is_k + 30.0 * q0) / (is_n + 30.0) - q0, 6) + 0.0 AS innovation, round(is_n / (is_n + 30.0), 6) AS reliability, round(ln(1 + is_n), 6) AS log_dn FROM q""")
 def dom4(spark, d):
-    return D.innovation(_split(spark, d), 30.0, 0.2).select("row_id", *(r6(c).alias(c) for c in ("q_prior", "q_post", "innovation", "reliability")))
+    return D.innovation(_split(spark, d), 30.0, 0.2).select("row_id", (r6("innovation") + F.lit(0.0)).alias("innovation"), *(r6(c).alias(c) for c in ("q_prior", "q_post", "reliability", "log_dn")))
 
 
 @query("dom5_mix_log_ratio", f"""WITH {EV}, c AS (SELECT entity, season, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'view') AS b, count(*) FILTER (kind = 'purchase') AS c FROM ev GROUP BY ALL),
@@ -34,11 +34,22 @@ def dom5(spark, d):
     return m.select("entity", "season", r6("lr_b").alias("lr_b"), r6("lr_c").alias("lr_c"))
 
 
-PRIOR = ENDS + """, inc AS (SELECT entity, season, n_end - coalesce(lag(n_end) OVER w, 0) AS dn, k_end - coalesce(lag(k_end) OVER w, 0) AS dk FROM ends WINDOW w AS (PARTITION BY entity ORDER BY season)),
+#: From the formulas: season increments, the league's rate over all seasons before, weights normalised first, then moments by list.
+PRIOR = ENDS + """, i0 AS (SELECT *, coalesce(lag(n_end) OVER w, 0) AS pn, coalesce(lag(k_end) OVER w, 0) AS pk FROM ends WINDOW w AS (PARTITION BY entity ORDER BY season)),
+i1 AS (SELECT entity, season, CASE WHEN n_end < pn THEN n_end ELSE n_end - pn END AS dn, CASE WHEN n_end < pn THEN k_end ELSE k_end - pk END AS dk0 FROM i0),
+inc AS (SELECT entity, season, dn, greatest(0, least(dk0, dn)) AS dk FROM i1 WHERE dn > 0),
 t AS (SELECT DISTINCT entity, season AS target_season FROM log),
-j AS (SELECT t.entity, t.target_season, power(0.7, t.target_season - i.season) * sqrt(i.dn / (i.dn + 20.0)) AS w, i.dk / i.dn AS r FROM t LEFT JOIN inc i ON i.entity = t.entity AND i.season < t.target_season),
-g AS (SELECT entity, target_season, coalesce(sum(w), 0) AS weight, sum(w * r) AS wr, sum(w * r * r) AS wrr FROM j GROUP BY ALL),
-p AS (SELECT entity, target_season, weight, CASE WHEN weight > 0 THEN wr / weight ELSE 0.2 END AS prior, CASE WHEN weight > 0 THEN greatest(0.0, wrr / weight - power(wr / weight, 2)) ELSE 0 END AS spread FROM g)"""
+lr AS (SELECT s.season, (SELECT sum(dk) / sum(dn) FROM inc WHERE inc.season < s.season) AS r FROM (SELECT DISTINCT season FROM log) s),
+lg AS (SELECT season AS target_season, CASE WHEN r IS NULL THEN 0.2 WHEN r < 1e-4 THEN 1e-4 WHEN r > 1 - 1e-4 THEN 1 - 1e-4 ELSE r END AS league FROM lr),
+h AS (SELECT t.entity, t.target_season, league, i.season, (i.dk + 20 * league) / (i.dn + 20) AS m, power(0.7, t.target_season - 1 - i.season) * sqrt(i.dn / (i.dn + 20)) AS w, i.dn + 21 AS v
+  FROM t JOIN lg USING (target_season) JOIN inc i ON i.entity = t.entity AND i.season < t.target_season),
+hn AS (SELECT *, w / sum(w) OVER g AS u, row_number() OVER (PARTITION BY entity, target_season ORDER BY season DESC) AS back FROM h WINDOW g AS (PARTITION BY entity, target_season)),
+mean AS (SELECT entity, target_season, sum(u * m) AS prior FROM hn GROUP BY ALL),
+mom AS (SELECT entity, target_season, prior, count(*) AS seasons, greatest(1e-5, sum(u * power(m - prior, 2)) + sum(u * m * (1 - m) / v)) AS variance,
+  any_value(league) AS league, sum(m) FILTER (back = 1) AS last, sum(u * m) FILTER (back > 1) / sum(u) FILTER (back > 1) AS earlier FROM hn JOIN mean USING (entity, target_season) GROUP BY ALL),
+p AS (SELECT t.entity, t.target_season, lg.league, coalesce(prior, lg.league) AS prior, coalesce(variance, lg.league * (1 - lg.league) / 26) AS variance,
+  CASE WHEN prior IS NULL THEN 25.0 ELSE greatest(25.0, least(800.0, prior * (1 - prior) / variance - 1)) END AS strength, CASE WHEN prior IS NULL THEN 0.0 ELSE last - coalesce(earlier, mom.league) END AS trend, coalesce(seasons, 0) AS seasons
+  FROM t JOIN lg USING (target_season) LEFT JOIN mom USING (entity, target_season))"""
 
 
 def _prior(spark, d):
@@ -46,17 +57,19 @@ def _prior(spark, d):
     return D.season_prior(H.season_increment(H.season_end(log)), log.select("entity", "season").distinct(), 0.7, 20.0, 0.2)
 
 
-@query("agg7_season_prior", f"WITH {PRIOR} SELECT entity, target_season, round(prior, 6) AS prior, round(weight, 6) AS weight, round(spread, 6) AS spread FROM p")
+@query("agg7_season_prior", f"WITH {PRIOR} SELECT entity, target_season, seasons, round(prior, 6) AS prior, round(variance, 6) AS variance, round(strength, 3) AS strength, round(trend, 6) AS trend, round(league, 6) AS league FROM p")
 def agg7(spark, d):
-    return _prior(spark, d).select("entity", "target_season", *(r6(c).alias(c) for c in ("prior", "weight", "spread")))
+    p = _prior(spark, d)
+    return p.select("entity", "target_season", "seasons", F.round("strength", 3).alias("strength"), *(r6(c).alias(c) for c in ("prior", "variance", "trend", "league")))
 
 
-@query("dom6_state_transform", f"""WITH {PRIOR}, b AS (SELECT l.*, coalesce(e.n_end, 0) AS base_n, coalesce(e.k_end, 0) AS base_k FROM log l ASOF LEFT JOIN ends e ON l.entity = e.entity AND l.season > e.season)
-SELECT row_id, round((greatest(0, k - base_k) + 40 * prior) / (greatest(0, n - base_n) + 40), 6) AS posterior, round((greatest(0, k - base_k) - greatest(0, n - base_n) * prior) / (greatest(0, n - base_n) + 40), 6) + 0.0 AS innovation FROM b JOIN p ON p.entity = b.entity AND p.target_season = b.season""")
+@query("dom6_state_transform", f"""WITH {PRIOR}, b AS (SELECT l.*, coalesce(e.n_end, 0) AS bn, coalesce(e.k_end, 0) AS bk FROM log l ASOF LEFT JOIN ends e ON l.entity = e.entity AND l.season > e.season),
+x AS (SELECT row_id, prior, strength, greatest(0, n - bn) AS dn, greatest(0, least(k - bk, n - bn)) AS dk FROM b JOIN p ON p.entity = b.entity AND p.target_season = b.season),
+q AS (SELECT *, (prior * strength + dk) / (strength + dn) AS post FROM x)
+SELECT row_id, round(post, 6) AS post, round(post - prior, 6) + 0.0 AS innov, round(post * (1 - post) / (strength + dn + 1), 6) AS post_var, round(dn / (strength + dn), 6) AS rel, round(ln(1 + dn), 6) AS logdn FROM q""")
 def dom6(spark, d):
-    s = D.apply_artifact(_split(spark, d), _prior(spark, d))
-    post = (F.col("is_k") + 40 * F.col("prior")) / (F.col("is_n") + 40)
-    return s.select("row_id", r6(post).alias("posterior"), (r6((F.col("is_k") - F.col("is_n") * F.col("prior")) / (F.col("is_n") + 40)) + F.lit(0.0)).alias("innovation"))
+    s = D.transform_state(D.apply_artifact(_split(spark, d), _prior(spark, d)))
+    return s.select("row_id", (r6("innov") + F.lit(0.0)).alias("innov"), *(r6(c).alias(c) for c in ("post", "post_var", "rel", "logdn")))
 
 
 @query("dom8_interactions", f"""WITH {IS}, q AS (SELECT *, (is_k + 30.0 * 0.2) / (is_n + 30.0) - 0.2 AS inn FROM s) SELECT row_id, """ + ", ".join(f"round(CASE WHEN partner % 3 = {i} THEN inn ELSE 0 END, 6) AS x_{i}" for i in range(3)) + ", round(inn * (value - 50) / 50, 6) AS x_value FROM q")
@@ -67,19 +80,25 @@ def dom8(spark, d):
 
 
 def _backfit_sql() -> str:
-    head = f"WITH {LI}, m AS (SELECT avg(y) AS m FROM li), r AS (SELECT entity, partner, y - m AS r FROM li, m), c AS (SELECT entity, partner, sum(r) AS s, count(*) AS n FROM r GROUP BY ALL)"
-    return head + """, e1 AS (SELECT entity, sum(s) / (sum(n) + 100) AS e FROM c GROUP BY entity), p1 AS (SELECT partner, sum(s - n * e) / (sum(n) + 100) AS e FROM c JOIN e1 USING (entity) GROUP BY partner),
-e2 AS (SELECT entity, sum(s - n * e) / (sum(n) + 100) AS e FROM c JOIN p1 USING (partner) GROUP BY entity), p2 AS (SELECT partner, sum(s - n * e) / (sum(n) + 100) AS e FROM c JOIN e2 USING (entity) GROUP BY partner)
-SELECT 'entity' AS what, entity AS id, round(e, 6) AS effect FROM e2 UNION ALL SELECT 'partner', partner, round(e, 6) FROM p2"""
+    """Row by row: each step's effects come off every row's residual, and the row's correction is what came off in all."""
+    steps = [("e1", "entity"), ("g1", "partner, grp"), ("e2", "entity"), ("g2", "partner, grp")]
+    shrink = {"e": 100, "g": 40}
+    sql, last = [f"{LI}, r0 AS (SELECT *, y - (SELECT avg(y) FROM li) AS r, quantity AS w FROM li)"], "r0"
+    for name, keys in steps:
+        sql.append(f"{name} AS (SELECT {keys}, sum(w * r) / (sum(w) + {shrink[name[0]]}) AS e FROM {last} GROUP BY ALL), r_{name} AS (SELECT l.* REPLACE (l.r - e AS r) FROM {last} l JOIN {name} USING ({keys}))")
+        last = f"r_{name}"
+    return f"WITH {', '.join(sql)} SELECT entity, partner, grp, count(*) AS n, round(avg(y - (SELECT avg(y) FROM li) - r), 6) + 0.0 AS correction FROM {last} GROUP BY ALL"
 
 
 @query("dom9_residual_effects", _backfit_sql())
 def dom9(spark, d):
+    """Two passes over an entity and a composite key, weighted, and the sum of their effects for each combination of keys."""
     li = line_log(spark, d)
     mean = F.broadcast(li.agg(F.avg("y").alias("m")))
-    fx = D.residual_effects(li.crossJoin(mean).withColumn("r", F.col("y") - F.col("m")), ["entity", "partner"], "r", 100.0)
-    one = lambda k: fx[k].select(F.lit(k).alias("what"), F.col(k).alias("id"), r6("effect").alias("effect"))
-    return one("entity").unionByName(one("partner"))
+    spec = [("e", ["entity"], 100.0), ("g", ["partner", "grp"], 40.0)]
+    fx = D.residual_effects(li.crossJoin(mean).withColumn("r", F.col("y") - F.col("m")), spec, "r", "quantity")
+    cells = li.groupBy("entity", "partner", "grp").agg(F.count("*").alias("n"))
+    return D.apply_effects(cells, fx).select("entity", "partner", "grp", "n", (r6("correction") + F.lit(0.0)).alias("correction"))
 
 
 @query("dom12_grid_inversion", f"""WITH {LI}, v AS (SELECT entity, avg(quantity) AS q, avg(discount) AS c FROM li GROUP BY entity), g AS (SELECT i * 20 + j AS point, 24 + i * 0.15 AS q, 0.04 + j * 0.001 AS c FROM range(20) a(i), range(20) b(j))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_folder
 from ..sources.tables import event_log
 from ..streaming import twins as T
 from .registry import EV, LOG, query
@@ -20,8 +20,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     return T.drain(stream, f"{at}/out", f"{at}/state")
 
 

@@ -54,22 +54,46 @@ def zip_members(spark: SparkSession, path: str, depth: int = 2, pattern: str = "
     return files.mapInPandas(run, "archive string, member string, size long, sha256 string")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share (``spark.checkpoint.dir``). Where none is set, a temporary one, on one machine only, as in tests."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: made once, its lineage cut."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cached(df: DataFrame, folder: str, key: str) -> DataFrame:
     """``df`` as a Parquet table named by a key and its schema: it is computed the first time and read again afterwards.
 
-    The key must name everything that the rows depend on (fold, feature version); a changed schema is another table.
+    The key must name everything that the rows depend on (fold, feature version); a changed schema is another table. A
+    table that another writer hasn't finished raises instead of being read in part.
     """
     import hashlib
 
-    spark = df.sparkSession
-    path = f"{folder}/{key}-{hashlib.sha256(df.schema.json().encode()).hexdigest()[:16]}"
     from pyspark.errors import AnalysisException
 
+    spark = df.sparkSession
+    path = f"{folder}/{key}-{hashlib.sha256(df.schema.json().encode()).hexdigest()[:16]}"
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_submission(scores: DataFrame, sample: DataFrame, path: str, key: str = "row_id", value: str = "p", order: str = "pos") -> None:
