@@ -3,14 +3,15 @@
 1. Every text's set of word shingles becomes one 128-bit set name and one signature: one-permutation
    hashing, whose empty bins are filled by optimal densification (each empty bin looks at bins drawn by
    a hash of its number and the attempt, until it finds a full one).
-2. Texts with the same set form a class; only its representative, the least id, goes on.
+2. Texts with the same set form a class; only its representative, the first by id, goes on.
 3. Signatures are cut into bands. The representatives in one bucket (band and its value) are linked to the
-   bucket's least id alone: a star, so pairs are bounded by documents times bands.
+   bucket's first alone: a star, so pairs are bounded by documents times bands.
 4. Both texts of each candidate edge are brought together and the link confirmed on full shingle sets.
 5. Confirmed links give components, by alternating star contraction.
-6. A star may miss a link between two of its leaves. So buckets that still hold several components are
-   searched again: pairs across components whose sizes and signatures allow the similarity are confirmed
-   too, and the components joined. Within a component nothing is left to find.
+6. A star may miss a link between two of its leaves. So buckets that still hold several components are keyed anew, each by
+   one more band, and each new bucket makes a star across components around another centre; round after round, with
+   other bands and centres, until no bucket holds two components or the rounds end. A round makes no
+   more edges than documents times bands, however many unlike texts share a bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import checkpointed
+from .common import checkpointed, dealt, part_of, parts_met
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,10 @@ class MinHash:
     #: 32 bands of 6 rows miss a pair at the threshold with probability 3e-7, and then only if no other path links it.
     bands: int = 32
     rows: int = 6
-    #: Bins of the finer sketch that rules out pairs before their texts are read.
+    #: Bins of the finer sketch that rules out pairs before their texts are read, seven standard deviations below the threshold.
     sketch: int = 512
+    #: Rounds over buckets that hold several components.
+    stars: int = 12
     max_rounds: int = 60
 
     @property
@@ -79,11 +82,11 @@ def _sketches(owner: np.ndarray, hashes: np.ndarray, n: int, bins: int) -> np.nd
 
 
 def _describe(p: MinHash):
-    """Arrow function: (id, text) to (id, n, sa, sb, bands, low)."""
+    """Arrow function: (id, th, text) to (id, th, n, sa, sb, bands, low)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, starts in rolling.chunks(batch.column(1)):
+            for first, last, data, starts in rolling.chunks(batch.column(2)):
                 n = last - first
                 owner, h = rolling.shingles(data, starts, p.shingle)
                 count = np.bincount(owner, minlength=n)
@@ -97,13 +100,14 @@ def _describe(p: MinHash):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, n),
+                        batch.column(1).slice(first, n),
                         pa.array(count, pa.int64()),
                         pa.array(sa.view(np.int64)),
                         pa.array(sb.view(np.int64)),
                         pa.FixedSizeListArray.from_arrays(pa.array(bands.reshape(-1).view(np.int64)), p.bands).cast(pa.list_(pa.int64())),
                         pa.FixedSizeListArray.from_arrays(pa.array(low.reshape(-1)), p.sketch).cast(pa.list_(pa.int8())),
                     ],
-                    names=["id", "n", "sa", "sb", "bands", "low"],
+                    names=["id", "th", "n", "sa", "sb", "bands", "low"],
                 )
 
     return run
@@ -175,7 +179,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _may_be_similar(p: MinHash, x: str, y: str) -> Column:
-    """Whether sizes allow the similarity and sketches agree to within five standard deviations of it.
+    """Whether sizes allow the similarity and sketches agree to within seven standard deviations of it.
 
     A bin that either text fills samples one shingle of their union, without replacement.
     """
@@ -186,51 +190,94 @@ def _may_be_similar(p: MinHash, x: str, y: str) -> Column:
     sampled = F.lit(float(p.sketch)) * (1 - F.exp(-union / p.sketch))
     deviation = F.sqrt(F.lit(j * (1 - j)) / sampled * F.greatest(F.lit(0.0), 1 - sampled / union))
     agree = F.size(F.filter(pairs, lambda e: e["a"] == e["b"]))
-    return (small * 100 >= large * p.percent) & (agree + 2 >= F.size(pairs) * (j - 5 * deviation))
+    return (small * 100 >= large * p.percent) & (agree + 2 >= F.size(pairs) * (j - 7 * deviation))
+
+
+def _stars(members: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """(a, b): in each group of ``members`` (id, component, key) with several components, from its first by ``order`` to those of other components.
+
+    A group of any size is aggregated before the shuffle, and dealt to parts where its centre is joined back.
+    """
+    m = members.withColumn("part", part_of("id"))
+    centre = F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "id", "component")).alias("centre")
+    groups = m.groupBy(*key).agg(centre, F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
+    edges = m.join(dealt(groups), [*key, "part"]).filter(F.col("component") != F.col("centre.component"))
+    return edges.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, p: MinHash, node: str) -> DataFrame:
+    """(id, component) after links across components in buckets that hold several; ``found`` where there are none.
+
+    Each round keys a bucket's members by the band ``r`` further on too: similar texts share many bands, texts with a
+    part in common few. Links join components, so only labels go through the contraction.
+    """
+    label = lambda d, f: d.join(f, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    for r in range(1, p.stars + 1):
+        labelled = label(buckets.select("band", "value", "id"), found).withColumn("part", part_of("id"))
+        several = labelled.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
+        members = labelled.join(dealt(several), ["band", "value", "part"]).join(reps.select("id", "bands"), "id")
+        other = F.pmod(F.col("band") + r, F.lit(p.bands))
+        members = members.select("id", "component", F.xxhash64("band", "value", other, F.get("bands", other)).alias("key"))
+        edges = _stars(members, ["key"], [F.xxhash64("component", F.lit(r))])
+        sides = reps.select("id", "n", "low")
+        x, y = sides.select(F.col("id").alias("a"), F.struct("n", "low").alias("x")), sides.select(F.col("id").alias("b"), F.struct("n", "low").alias("y"))
+        edges = edges.join(x, "a").join(y, "b").filter(_may_be_similar(p, "x", "y")).select("a", "b")
+        links = checkpointed(_confirmed(edges, texts, p, node))
+        if links.isEmpty():
+            if members.isEmpty():
+                break
+            continue
+        ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")]
+        joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+        merged = components(joined, p.max_rounds)
+        # What was known moves to the merged label; ids that were alone and the old labels get theirs.
+        moved = found.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        found = checkpointed(moved.union(merged.join(found.select("id"), "id", "left_anti").select("id", "component")))
+    return found
 
 
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles``, ``component_id`` (least id linked with it), ``kept``.
+    """Per row of ``docs``: id, ``text_hash``, ``n_shingles``, ``component_id`` (least id linked with it), ``kept`` (it is its own), ``first``.
 
-    Texts that are null or without words have no shingles and are linked with nothing. Rows with a null id
-    are linked with nothing either: their component is null and they are kept. Rows that repeat an id and a
-    text get the same result each; ids are expected to name one text. Other columns are ignored; an empty
-    table gives an empty result.
+    ``first`` tells whether the row's id and text are those that stand for the component; where no id names two
+    texts, it is the same as ``kept``. Texts that are null or without words have no shingles and are linked with nothing.
+    Rows with a null id are linked with nothing either: their component is null and they are kept. Rows that repeat
+    an id and a text get the same result each; an id may name several texts, each with its own links. Other
+    columns are ignored; an empty table gives an empty result.
 
-    Scale: exact copies cost one row each after step 2. Buckets are never gathered in one task; star
-    centres come from a pre-aggregated minimum, and joins back can be split by Spark where they are skewed.
+    Scale: exact copies cost one row each after step 2. Buckets are never gathered in one task; star centres come
+    from a pre-aggregated minimum, and hot buckets and classes are dealt to parts where they are joined back.
     Needs a checkpoint folder (``spark.checkpoint.dir``) that all machines share.
     """
     id_type = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = checkpointed(rows.mapInArrow(_describe(p), f"id {id_type}, n long, sa long, sb long, bands array<long>, low array<tinyint>"))
-
-    full = sets.filter("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("sa", "sb").agg(F.min("id").alias("rep"))
-    members = checkpointed(full.select("id", "sa", "sb").distinct().join(classes, ["sa", "sb"]).select("id", "rep"))
-    reps = full.join(members.filter("id = rep").select("id").distinct(), "id").dropDuplicates(["id"])
-
-    banded = reps.select("id", F.posexplode("bands").alias("band", "value"))
-    centres = banded.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "value", "centre")
-    buckets = checkpointed(banded.join(centres, ["band", "value"]))
+    node = f"struct<id:{id_type},th:bigint>"
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    sets = checkpointed(rows.mapInArrow(_describe(p), f"id {id_type}, th long, n long, sa long, sb long, bands array<long>, low array<tinyint>"))
+
+    full = sets.filter("n > 0 AND id IS NOT NULL").withColumn("part", part_of("id"))
+    classes = full.groupBy("sa", "sb").agg(F.min(F.struct("id", "th")).alias("node"), parts_met("part"))
+    members = checkpointed(full.select("id", "th", "sa", "sb", "part").distinct().join(dealt(classes), ["sa", "sb", "part"]).select(F.struct("id", "th").alias("doc"), "node"))
+    lead = members.filter("doc = node").select(F.col("node").alias("id"))
+    own = full.select(F.struct("id", "th").alias("id"), "n", "bands", "low")
+    reps = checkpointed(own.join(lead, "id", "left_semi").dropDuplicates(["id"]))
+
+    banded = reps.select("id", F.posexplode("bands").alias("band", "value")).withColumn("part", part_of("id"))
+    centres = banded.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count("*").alias("n"), parts_met("part")).filter("n > 1").drop("n")
+    buckets = checkpointed(banded.join(dealt(centres), ["band", "value", "part"]).drop("part"))
     stars = buckets.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    texts = checkpointed(rows.filter("id IS NOT NULL").join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    links = checkpointed(_confirmed(stars, texts, p, id_type))
-    found = components(links, p.max_rounds)
-
-    # Buckets that hold more than one component: pairs across components, each in its first common band.
-    label = lambda d, f: d.join(f, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = label(buckets, found)
-    mixed = labelled.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("band", "value")
-    open_rows = labelled.join(mixed, ["band", "value"]).join(reps.select("id", "n", "bands", "low"), "id").select("band", "value", "id", "component", "n", "bands", "low")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    first_band = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True) == F.col("x.band") + 1
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component")) & first_band & _may_be_similar(p, "x", "y")
-    rest = x.join(y, across).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = _confirmed(rest, texts, p, id_type)
-    final = components(links.union(more), p.max_rounds)
-
-    groups = label(members.select("id", "rep").withColumnsRenamed({"id": "doc", "rep": "id"}), final).select(F.col("doc").alias("id"), F.col("component").alias("component_id"))
-    out = sets.select("id", F.col("n").alias("n_shingles")).join(groups, "id", "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    nodes = rows.filter("id IS NOT NULL").select(F.struct("id", "th").alias("id"), "text")
+    texts = checkpointed(nodes.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    links = checkpointed(_confirmed(stars, texts, p, node))
+    found = _across(buckets, reps, texts, checkpointed(components(links, p.max_rounds)), p, node)
+
+    groups = members.join(found.withColumnsRenamed({"id": "node"}), "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
+    out = sets.select(F.struct("id", "th").alias("doc"), F.col("n").alias("n_shingles")).join(groups, "doc", "left")
+    component = F.coalesce("component.id", "doc.id")
+    return out.select(
+        F.col("doc.id").alias(id_col),
+        F.col("doc.th").alias("text_hash"),
+        "n_shingles",
+        component.alias("component_id"),
+        F.coalesce(F.col("doc.id") == component, F.lit(True)).alias("kept"),
+        F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("first"),
+    )
