@@ -56,7 +56,7 @@ def name128(*cols: Column) -> Column:
 
 
 #: Parts that the rows of one group are dealt to where they are joined with what is known of their group.
-PARTS = 32
+PARTS = 62
 
 
 def part_of(*cols: str) -> Column:
@@ -102,6 +102,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(made: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` made, once nothing is left to be computed from it."""
+    spark = made.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in made.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` from a table in the shared folder, bucketed by ``key``: what is grouped or joined by it comes to the table, which isn't shuffled."""
     name = f"tidemark_{uuid.uuid4().hex}"

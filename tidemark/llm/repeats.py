@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import dealt, packed, part_of, parts_met, written
+from .common import dealt, discard, packed, part_of, parts_met, written
 
 _KEEP = "id {id}, th long"
 
@@ -254,9 +254,9 @@ def _judge(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     rows = rows.withColumn("part", part_of("hull"))
     repeated = rows.groupBy("grp").agg(F.count("*").alias("rows"), parts_met("part")).filter("rows > 1")
-    live = written(rows.join(dealt(repeated).select("grp", "part"), ["grp", "part"]))
+    live = written(rows.join(dealt(repeated).select("grp", "part"), ["grp", "part"]).drop("part"))
     copy = part_of("id", "th", "pos")
-    hulls = live.groupBy("grp", "hull", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("place"), parts_met(copy).alias("copies"))
+    hulls = live.withColumn("part", part_of("hull")).groupBy("grp", "hull", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("place"), parts_met(copy).alias("copies"))
     sizes = hulls.groupBy("grp").agg(F.count("*").alias("size"), parts_met("part"))
     judged = written(hulls.join(dealt(sizes), ["grp", "part"]).filter("n > 1 OR size > 1"))
     several = dealt(judged.filter("n > 1").select("grp", "hull", F.col("copies").alias("parts")))
@@ -272,6 +272,7 @@ def repeated_bytes(docs: DataFrame, p: Repeats = Repeats(), id_col: str = "doc_i
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= p.length)
     anchors = written(texts.mapInArrow(_find_anchors(p), f"{keep}, pos int, grp long, hull long"))
     whole, unclear = _judge(anchors)
+    discard(anchors)  # what is needed of it has been written
     out = whole.select("id", "th", F.greatest(F.lit(0), F.col("pos") - p.reach).alias("start"), (F.col("pos") + p.length).alias("end"))
 
     places = unclear.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "grp", "single", "size")).alias("places"))
