@@ -39,7 +39,7 @@ class MinHash:
     #: Bins of the finer sketch that rules out pairs before their texts are read, seven standard deviations below the threshold.
     sketch: int = 512
     #: Rounds over buckets that hold several components.
-    stars: int = 12
+    stars: int = 8
     max_rounds: int = 60
 
     @property
@@ -209,23 +209,27 @@ def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFr
     """(id, component) after links across components in buckets that hold several; ``found`` where there are none.
 
     Each round keys a bucket's members by the band ``r`` further on too: similar texts share many bands, texts with a
-    part in common few. Links join components, so only labels go through the contraction.
+    part in common few. Links join components, so only labels go through the contraction. Components only
+    grow, so the buckets that hold several at first are all that need be looked at.
     """
     label = lambda d, f: d.join(f, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = label(buckets.select("band", "value", "id"), found).withColumn("part", part_of("id"))
+    several = labelled.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
+    several = checkpointed(labelled.join(dealt(several), ["band", "value", "part"]).select("band", "value", "id"))
+    if several.isEmpty():
+        return found
+    described = checkpointed(reps.join(several.select("id").distinct(), "id", "left_semi"))
+    further = F.transform(F.sequence(F.lit(1), F.lit(p.stars)), lambda r: F.get("bands", F.pmod(F.col("band") + r, F.lit(p.bands))))
+    several = checkpointed(several.join(described.select("id", "bands"), "id").select("band", "value", "id", further.alias("further")))
+    sides = described.select("id", F.struct("n", "low").alias("x"))
+    texts = checkpointed(texts.join(described.select("id"), "id", "left_semi"))
     for r in range(1, p.stars + 1):
-        labelled = label(buckets.select("band", "value", "id"), found).withColumn("part", part_of("id"))
-        several = labelled.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
-        members = labelled.join(dealt(several), ["band", "value", "part"]).join(reps.select("id", "bands"), "id")
-        other = F.pmod(F.col("band") + r, F.lit(p.bands))
-        members = members.select("id", "component", F.xxhash64("band", "value", other, F.get("bands", other)).alias("key"))
+        members = label(several, found)
+        members = members.select("id", "component", F.xxhash64("band", "value", F.get("further", F.lit(r - 1))).alias("key"))
         edges = _stars(members, ["key"], [F.xxhash64("component", F.lit(r))])
-        sides = reps.select("id", "n", "low")
-        x, y = sides.select(F.col("id").alias("a"), F.struct("n", "low").alias("x")), sides.select(F.col("id").alias("b"), F.struct("n", "low").alias("y"))
-        edges = edges.join(x, "a").join(y, "b").filter(_may_be_similar(p, "x", "y")).select("a", "b")
+        edges = edges.join(sides.withColumnRenamed("id", "a"), "a").join(sides.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").filter(_may_be_similar(p, "x", "y")).select("a", "b")
         links = checkpointed(_confirmed(edges, texts, p, node))
         if links.isEmpty():
-            if members.isEmpty():
-                break
             continue
         ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")]
         joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
@@ -259,7 +263,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     members = checkpointed(full.select("id", "th", "sa", "sb", "part").distinct().join(dealt(classes), ["sa", "sb", "part"]).select(F.struct("id", "th").alias("doc"), "node"))
     lead = members.filter("doc = node").select(F.col("node").alias("id"))
     own = full.select(F.struct("id", "th").alias("id"), "n", "bands", "low")
-    reps = checkpointed(own.join(lead, "id", "left_semi").dropDuplicates(["id"]))
+    reps = own.join(lead, "id", "left_semi").dropDuplicates(["id"])
 
     banded = reps.select("id", F.posexplode("bands").alias("band", "value")).withColumn("part", part_of("id"))
     centres = banded.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count("*").alias("n"), parts_met("part")).filter("n > 1").drop("n")
@@ -268,7 +272,7 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     nodes = rows.filter("id IS NOT NULL").select(F.struct("id", "th").alias("id"), "text")
     texts = checkpointed(nodes.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
     links = checkpointed(_confirmed(stars, texts, p, node))
-    found = _across(buckets, reps, texts, checkpointed(components(links, p.max_rounds)), p, node)
+    found = _across(buckets, reps, texts, components(links, p.max_rounds), p, node)
 
     groups = members.join(found.withColumnsRenamed({"id": "node"}), "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
     out = sets.select(F.struct("id", "th").alias("doc"), F.col("n").alias("n_shingles")).join(groups, "doc", "left")
