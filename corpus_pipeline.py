@@ -16,29 +16,38 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the quality rules.
+    """Keeps the documents that pass the quality rules; null and empty texts don't. Repeated rows stay or go alike.
 
-    The verdict goes through a generator: Spark would push a plain filter below the projections that make it
-    and write their expressions out into each other, which takes the planner forever.
+    The judged table is written before it is filtered: Spark would push the filter below the projections that make
+    the verdict and write their expressions out into each other.
     """
-    judged = quality.quality_rules(docs)
-    return judged.select(*COLUMNS, F.explode_outer(F.array("kept")).alias("stays")).filter("stays").select(*COLUMNS)
+    return written(quality.quality_rules(docs).select(*COLUMNS, "kept")).filter("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of repeated line runs; a document that loses all its lines goes."""
+    """Deletes later copies of repeated line runs; a document that loses all its lines goes, one without any line stays.
+
+    Rows that repeat an id and a text count as one document, so they keep their lines.
+    """
     d = lines.dedup_lines(docs).filter("n_removed < n_lines OR n_lines = 0")
     return d.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates, linked by a similarity of 0.80 or more of five-word shingles."""
-    stays = neardup.near_duplicates(docs, NEAR).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+    """Keeps one document of each group of near duplicates, linked by a similarity of 0.80 or more of five-word shingles: the first by id.
+
+    Rows that repeat an id and a text are one document: of them the least by the other columns stays. Documents without
+    words are linked with nothing and stay; so do those with a null id, one for each text.
+    """
+    found = neardup.near_duplicates(docs, NEAR).filter("first").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    rest = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    one = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text", F.struct(*rest).alias("rest")).groupBy("doc_id", "hash").agg(F.first("text").alias("text"), F.min("rest").alias("rest"))
+    kept = one.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    return kept.select("doc_id", "text", "rest.*").select(*COLUMNS)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents contaminated by the benchmark."""
+    """Drops documents contaminated by the benchmark; documents without words stay."""
     found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
     clean = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_hash")), "left_anti")
@@ -46,7 +55,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left (little-endian unsigned 32-bit integers), with the bytes they decode to."""
+    """Token ids of what is left (little-endian unsigned 32-bit integers), with the text they decode to; a null text has no ids and decodes to an empty one."""
     return bpe.encode(docs.select(*COLUMNS), *tokenizer(), decoded=True).select("doc_id", "lang", "source", "n_tokens", "tokens", F.col("decoded").cast("string").alias("text"))
 
 
@@ -58,7 +67,7 @@ STAGES = [
     ("byte_bpe", token_stage),
 ]
 
-#: Near-duplicate removal and byte-level BPE aren't expressible in SQL; tests hold them against brute force.
+#: Near-duplicate removal and byte-level BPE aren't expressible in SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
