@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +15,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 SECOND = 0x5EED
 
 
-def small_side(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """``df`` as a broadcast table if it has at most ``max_rows`` rows, else as it is.
+def small_side(df: DataFrame, max_rows: int, max_bytes: int = 64_000_000) -> tuple[DataFrame, bool]:
+    """``df`` as a broadcast table if it has at most ``max_rows`` rows and their JSON at most ``max_bytes``, else as it is.
 
-    The rows are fetched once (never more than ``max_rows`` + 1), so the size is known before the
-    broadcast and what made the table isn't computed again. The second value tells which it was.
+    It is written first, so both sizes are known before a row is fetched, and what made it isn't computed again.
+    The second value tells which it was.
     """
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        return df, False
-    spark = df.sparkSession
-    return F.broadcast(spark.createDataFrame(rows, df.schema)), True
+    df = written(df)
+    size = df.agg(F.count("*").alias("rows"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    small = size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes
+    return (F.broadcast(df) if small else df), small
 
 
 def packed(docs: DataFrame, replaced: list[str], **named: Column) -> DataFrame:
@@ -43,11 +43,31 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
-def grams(array: Column, n: int) -> Column:
-    """64-bit hashes of every ``n`` consecutive elements; empty where there are fewer."""
-    count = F.size(array) - n + 1
-    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(array, i, n)))
+def sliding(d: DataFrame, source: str, n: int, out: str, f: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds ``out``: f over every ``n`` consecutive elements of an array, from those over half as many; empty where there are fewer.
+
+    f takes what two runs have, the second some elements further; for most lengths they overlap. Each step is a
+    projection of its own, so an array is made once per row.
+    """
+    length, last, made = 1, source, []
+    while length < n:
+        step = min(length, n - length)
+        x = F.col(last)
+        pairs = F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x), F.lit(1))), f)
+        last = f"{out}_{length + step}"
+        made.append(last)
+        d = d.withColumn(last, F.slice(pairs, 1, F.greatest(F.size(x) - step, F.lit(0))))
+        length += step
+    return d.withColumn(out, F.col(last)).drop(*made)
+
+
+def hash_grams(d: DataFrame, hashes: str, n: int, out: str) -> DataFrame:
+    """Adds ``out``: 64-bit hashes of every ``n`` consecutive words, whose own hashes ``hashes`` has."""
+    return sliding(d, hashes, n, out, lambda x, y: F.xxhash64(x, y))
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def name128(*cols: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grams, lower_ascii, small_side
+from .common import hash_grams, lower_ascii, sliding, small_side, word_hashes
 
 #: ASCII letters (lower case), digits and all characters beyond ASCII make words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -37,11 +37,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def winnow(hashes: Column, w: int) -> Column:
-    """Least hash of every ``w`` consecutive ones, each value once."""
-    count = F.size(hashes) - w + 1
-    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.array_min(F.slice(hashes, i, w))))
+def winnow(d: DataFrame, p: Winnowing) -> DataFrame:
+    """Adds ``hashes`` of ``words`` and ``marks``: the least gram hash of every ``w`` consecutive grams, each value once."""
+    d = hash_grams(d.withColumn("hashes", word_hashes(F.col("words"))), "hashes", p.k, "grams")
+    d = sliding(d, "grams", p.w, "least", lambda x, y: F.least(x, y))
+    return d.withColumn("marks", F.array_distinct("least")).drop("grams", "least")
 
 
 def item_windows(benchmark: DataFrame, p: Winnowing, id_col: str, text_col: str) -> DataFrame:
@@ -74,14 +74,18 @@ def decontaminate(
 
     def prints(d: DataFrame) -> DataFrame:
         """Adds fingerprints: winnowed for windows of full length, all grams of the lengths that short items have."""
-        d = d.withColumn("grams", grams(F.col("words"), p.k))
-        return d.withColumn("prints", F.concat(winnow(F.col("grams"), p.w), *(F.array_distinct(grams(F.col("words"), n)) for n in short))).drop("grams")
+        d = winnow(d, p)
+        for n in short:
+            d = hash_grams(d, "hashes", n, f"of_{n}")
+        return d.withColumn("prints", F.concat("marks", *(F.array_distinct(f"of_{n}") for n in short))).drop("hashes", "marks", *(f"of_{n}" for n in short))
 
     item_words = bench.select(words(F.col(item_text_col)).alias("words"))
     # explode_outer, here and below: for a plain explode Spark would first filter by the array's size, and make the array twice.
-    full = item_words.filter(F.size("words") >= p.span).withColumn("grams", grams(F.col("words"), p.k)).select(F.explode_outer(winnow(F.col("grams"), p.w)).alias("print"))
-    brief = item_words.filter((F.size("words") > 0) & (F.size("words") < p.span)).select(F.xxhash64("words").alias("print"))
-    marks, fits = small_side(full.union(brief).distinct(), p.broadcast_rows)
+    found_prints = winnow(item_words.filter(F.size("words") >= p.span), p).select(F.explode_outer("marks").alias("print"))
+    for n in short:
+        brief = item_words.filter(F.size("words") == n).withColumn("hashes", word_hashes(F.col("words")))
+        found_prints = found_prints.union(hash_grams(brief, "hashes", n, "whole").select(F.get("whole", F.lit(0)).alias("print")))
+    marks, fits = small_side(found_prints.distinct(), p.broadcast_rows)
     with_prints = prints(base)
     if fits:
         found = with_prints.select("id", "text_hash", "words", F.explode_outer("prints").alias("print")).join(marks, "print", "left_semi")

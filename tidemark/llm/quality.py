@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import grams, packed, small_side, words_of
+from .common import hash_grams, packed, small_side, word_hashes, words_of
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Character classes, each taken from what the former ones leave; what is left over is the last class.
@@ -86,9 +86,10 @@ def _base(docs: DataFrame, text_col: str, rules: QualityRules) -> DataFrame:
             "n_words": F.size("q_words").cast("long"),
             "q_solid": F.array_join("q_words", ""),
             "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "q_grams": grams(F.col("q_words"), 8),
+            "q_hashes": word_hashes(F.col("q_words")),
         }
     )
+    d = hash_grams(d, "q_hashes", 8, "q_grams").drop("q_hashes")
     # Only texts with a repeated window sort their windows.
     placed = F.sort_array(F.transform("q_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
