@@ -38,8 +38,9 @@ class MinHash:
     rows: int = 6
     #: Bins of the finer sketch that rules out pairs before their texts are read, seven standard deviations below the threshold.
     sketch: int = 512
-    #: Rounds over buckets that hold several components.
-    stars: int = 8
+    #: Rounds over buckets that hold several components, and stars that a bucket's member may be in, by other bands, in each.
+    rounds: int = 2
+    stars: int = 4
     max_rounds: int = 60
 
     @property
@@ -208,7 +209,7 @@ def _stars(members: DataFrame, key: list[str], order: list[Column]) -> DataFrame
 def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, p: MinHash, node: str) -> DataFrame:
     """(id, component) after links across components in buckets that hold several; ``found`` where there are none.
 
-    Each round keys a bucket's members by the band ``r`` further on too: similar texts share many bands, texts with a
+    Each round keys a bucket's members by one of the next bands too, for each of ``stars`` bands: similar texts share many bands, texts with a
     part in common few. Links join components, so only labels go through the contraction. Components only
     grow, so the buckets that hold several at first are all that need be looked at.
     """
@@ -219,14 +220,15 @@ def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFr
     if several.isEmpty():
         return found
     described = checkpointed(reps.join(several.select("id").distinct(), "id", "left_semi"))
-    further = F.transform(F.sequence(F.lit(1), F.lit(p.stars)), lambda r: F.get("bands", F.pmod(F.col("band") + r, F.lit(p.bands))))
+    further = F.transform(F.sequence(F.lit(1), F.lit(p.rounds * p.stars)), lambda r: F.get("bands", F.pmod(F.col("band") + r, F.lit(p.bands))))
     several = checkpointed(several.join(described.select("id", "bands"), "id").select("band", "value", "id", further.alias("further")))
     sides = described.select("id", F.struct("n", "low").alias("x"))
     texts = checkpointed(texts.join(described.select("id"), "id", "left_semi"))
-    for r in range(1, p.stars + 1):
+    for r in range(p.rounds):
         members = label(several, found)
-        members = members.select("id", "component", F.xxhash64("band", "value", F.get("further", F.lit(r - 1))).alias("key"))
-        edges = _stars(members, ["key"], [F.xxhash64("component", F.lit(r))])
+        members = members.select("id", "component", "band", "value", F.posexplode(F.slice("further", r * p.stars + 1, p.stars)).alias("at", "other"))
+        members = members.select("id", "component", F.xxhash64("band", "value", "at", "other").alias("key"))
+        edges = _stars(members, ["key"], [F.xxhash64("component", "key", F.lit(r))])
         edges = edges.join(sides.withColumnRenamed("id", "a"), "a").join(sides.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").filter(_may_be_similar(p, "x", "y")).select("a", "b")
         links = checkpointed(_confirmed(edges, texts, p, node))
         if links.isEmpty():
