@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered, quantiles
+
 SCALE = 1e5
 
 
@@ -62,10 +64,76 @@ def reliability(df: DataFrame, bins: int = 15, y: str = "y", p: str = "p") -> Da
     return df.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("rate"))
 
 
+def _below(value: str, edges: list[float]) -> Column:
+    """How many of the edges are less than the value."""
+    return sum(((F.lit(e) < F.col(value)).cast("int") for e in edges if e is not None), F.lit(0))
+
+
+def dispersion(df: DataFrame, level: str, y: str = "y", p: str = "p", parts: int = 10, least: int = 1000) -> DataFrame:
+    """One row: the spread of outcomes and of predictions over quantile groups of ``level``, and their ratio.
+
+    Less than 1 means that predictions are shrunk too far. Rows without a level don't count; NULL where fewer than ``least`` are left.
+    """
+    known = df.filter(F.col(level).isNotNull())
+    edges = quantiles(known, level, [i / parts for i in range(1, parts)])
+    g = known.groupBy(_below(level, edges).alias("_b")).agg(F.count("*").alias("n"), F.avg(y).alias("y"), F.avg(p).alias("p"))
+    t = g.agg(F.sum("n").alias("n"), (F.max("y") - F.min("y")).alias("ts"), (F.max("p") - F.min("p")).alias("ps"))
+    enough = lambda c: F.when(F.col("n") >= least, c)
+    return t.select(enough(F.col("ts")).alias("true_spread"), enough(F.col("ps")).alias("predicted_spread"), enough(F.try_divide("ps", "ts")).alias("ratio"))
+
+
+def blend_scores(df: DataFrame, weights: dict[str, dict[str, float]], y: str = "y", level: float | None = None) -> DataFrame:
+    """(blend, score, base, gain) of weighted means of models, from the models' scores and their distances alone.
+
+    A blend's score is the weighted mean of its members' (``base``) plus the gain of disagreement: 1e5 / (2 r (1 - r)) times
+    the sum over pairs of both weights and their mean squared difference. r is the mean of y, or ``level``. One pass over rows.
+    """
+    models = sorted({m for w in weights.values() for m in w})
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    row = df.agg(F.avg(y).alias("r"), *(F.avg(F.pow(F.col(y) - F.col(m), 2)).alias(f"b_{m}") for m in models), *(F.avg(F.pow(F.col(a) - F.col(b), 2)).alias(f"d_{a}_{b}") for a, b in pairs)).first()
+    r = row["r"] if level is None else level
+    out = []
+    for name, w in weights.items():
+        total = sum(w.values())
+        base = sum(v / total * SCALE * (1 - row[f"b_{m}"] / (r * (1 - r))) for m, v in w.items())
+        gain = SCALE / (r * (1 - r)) * sum(w.get(a, 0) * w.get(b, 0) / total**2 * row[f"d_{a}_{b}"] for a, b in pairs)
+        out.append((name, base + gain, base, gain))
+    return df.sparkSession.createDataFrame(out, "blend string, score double, base double, gain double")
+
+
+def unknown_member_score(blend_score: float, known: dict[str, tuple[float, float]], distances: dict[tuple[str, str], float], name: str, r: float) -> float:
+    """The score of the one member that wasn't measured: what it must be for the blend to have its score.
+
+    ``known`` has weight and score of each other member (the rest of the weight is the unknown one's); ``distances`` the mean
+    squared difference of every pair.
+    """
+    w = {m: v for m, (v, _) in known.items()}
+    w[name] = 1 - sum(w.values())
+    if w[name] <= 0:
+        raise ValueError("no weight is left for the unknown member")
+    gain = SCALE / (r * (1 - r)) * sum(w[a] * w[b] * distances.get((a, b), distances.get((b, a), 0.0)) for i, a in enumerate(w) for b in list(w)[i + 1 :])
+    return (blend_score - gain - sum(v * s for v, s in known.values())) / w[name]
+
+
+def fit_pieces(df: DataFrame, knots: list[float], y: str = "y", p: str = "p") -> tuple[dict[str, float], bool]:
+    """Least-squares weights of 1, p and max(p - knot, 0) for each knot, and whether every slope is positive. One pass over rows."""
+    basis = {"one": F.lit(1.0), "p": F.col(p), **{f"k{i}": F.greatest(F.col(p) - k, F.lit(0.0)) for i, k in enumerate(knots)}}
+    g = gram(df.select(*(c.alias(n) for n, c in basis.items()), F.col(y).cast("double").alias("y")), [*basis, "y"])
+    weights = np.linalg.lstsq(g[:-1, :-1], g[:-1, -1], rcond=None)[0]
+    return dict(zip(basis, map(float, weights), strict=True)), bool((np.cumsum(weights[1:]) > 0).all())
+
+
+def apply_pieces(weights: dict[str, float], knots: list[float], p: Column) -> Column:
+    out = F.lit(weights["one"]) + weights["p"] * p
+    for i, k in enumerate(knots):
+        out = out + weights[f"k{i}"] * F.greatest(p - k, F.lit(0.0))
+    return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), out))
+
+
 def brier_parts(df: DataFrame, bins: int = 10, y: str = "y", p: str = "p") -> DataFrame:
     """Reliability, resolution and uncertainty over quantile bins."""
-    edges = F.broadcast(df.agg(F.percentile(p, [i / bins for i in range(1, bins)]).alias("_e")))
-    b = df.crossJoin(edges).withColumn("_b", F.size(F.filter("_e", lambda e: e < F.col(p))))
+    edges = quantiles(df, p, [i / bins for i in range(1, bins)])
+    b = df.withColumn("_b", _below(p, edges))
     g = b.groupBy("_b").agg(F.count("*").alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my"))
     t = g.agg(F.sum("n").alias("all_n"), (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("r"))
     j = g.crossJoin(F.broadcast(t))
@@ -227,8 +295,9 @@ def placebo_swap(profile: DataFrame, entity: str, seed: int = 5, by: list[str] =
     The permutation pairs entities in id order with entities in hash order; both are over distinct entities.
     """
     e = profile.select(*by, entity).distinct()
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    a = e.withColumn("_r", F.row_number().over(w.orderBy(entity)))
-    b = e.withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64(entity, F.lit(seed)), entity))).withColumnRenamed(entity, "_to")
-    swap = a.join(b, [*by, "_r"]).drop("_r")
+    key = F.xxhash64(entity, F.lit(seed))
+    # Groups are consecutive in both orders, so numbers over the whole table pair entities of one group.
+    a = numbered(e, [*by, entity], "_r")
+    b = numbered(e, [*by, key, entity], "_r").select("_r", F.col(entity).alias("_to"))
+    swap = a.join(b, "_r").drop("_r")
     return profile.join(swap, [*by, entity]).drop(entity).withColumnRenamed("_to", entity)

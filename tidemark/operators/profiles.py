@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sessions import average_rank
+
 from .history import before
 
 
@@ -54,3 +56,24 @@ def snapshot(levels: DataFrame, entity: str, season: str, values: list[str], cut
     d = d.select(entity, season, *values, *((F.col(v) - F.lag(v).over(w)).alias(f"d_{v}") for v in values))
     last = d.groupBy(entity).agg(F.max_by(F.struct(season, *values, *(f"d_{v}" for v in values)), season).alias("x"))
     return last.select(entity, (cutoff - F.col(f"x.{season}")).alias("age"), *(F.col(f"x.{v}").alias(v) for v in values), *(F.col(f"x.d_{v}").alias(f"d_{v}") for v in values))
+
+
+def season_profile(cells: DataFrame, entity: str, season: str, group: str, main: str, other: str, least: int, least_level: int) -> DataFrame:
+    """Per entity and season with ``least`` rows: ``sd`` pooled within groups, ``level`` of the main group, ``share`` of the other, and the rank of each in its season.
+
+    Spread comes from within the groups, so how rows are divided among them doesn't count as spread. The level is NULL below
+    ``least_level`` rows; a rank is the average percentile among the season's known values. ``cells`` has n, s (sum) and q (sum of squares).
+    """
+    keys = [entity, season]
+    several = F.col("n") >= 2
+    n_of = lambda g, c: F.sum(F.when(F.col(group) == g, F.col(c)))
+    p = cells.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        (F.sum(F.when(several, F.col("q") - F.col("s") * F.col("s") / F.col("n"))) / F.sum(F.when(several, F.col("n") - 1))).alias("_v"),
+        F.when(n_of(main, "n") >= least_level, n_of(main, "s") / n_of(main, "n")).alias("level"),
+        (F.coalesce(n_of(other, "n"), F.lit(0)) / F.sum("n")).alias("share"),
+    )
+    p = p.filter(F.col("_n") >= least).select(*keys, F.sqrt("_v").alias("sd"), "level", "share")
+    for c in ("sd", "level", "share"):
+        p = average_rank(p, c, [season]).withColumnRenamed("pct", f"rank_{c}")
+    return p

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bhattacharyya
 from .joins import mutual_nearest
+from .ordered import numbered, quantiles
 
 
 def signature_cost(a: DataFrame, b: DataFrame, block: list[str], entity: str = "entity", rank: str = "pct", hist: str = "hist", weight: float = 0.5) -> DataFrame:
@@ -88,17 +89,19 @@ def soft_top_k(pairs: DataFrame, k: int, tau: float) -> DataFrame:
     return d.withColumn("w", F.col("e") / F.sum("e").over(w)).drop("e")
 
 
-def permutation_test(pairs: DataFrame, trait_a: str, trait_b: str, key: str, replicates: int, seed: int = 11) -> DataFrame:
-    """Agreement of two traits over pairs, against agreement when the second is permuted; one row with z.
+def permutation_test(pairs: DataFrame, trait_a: str, trait_b: str, key: str, replicates: int, seed: int = 11, block: list[str] = ()) -> DataFrame:
+    """Agreement of two traits over pairs, against agreement when the second is permuted within blocks; one row with z.
 
-    A replicate's permutation is the order of a seeded hash: no state, the same at any partitioning. Pairs
-    are the matched entities (thousands), so replicates are a broadcast range.
+    A replicate's permutation is the order of a seeded hash: no state, the same at any partitioning. Pairs are
+    numbered over range partitions, in their own order and in each replicate's, and the two joined by number, so
+    that no task holds all pairs; blocks are consecutive in both orders.
     """
-    base = pairs.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key)))
-    reps = pairs.sparkSession.range(replicates).withColumnRenamed("id", "rep")
-    p = base.select("_i", F.col(trait_b).alias("_b"), key).crossJoin(F.broadcast(reps))
-    shuffled = p.withColumn("_i", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(key, "rep", F.lit(seed)), key))).select("rep", "_i", "_b")
-    rates = shuffled.join(base.select("_i", F.col(trait_a).alias("_a")), "_i").groupBy("rep").agg(F.avg((F.col("_a") == F.col("_b")).cast("int")).alias("rate"))
+    base = numbered(pairs.select(*block, key, trait_a, trait_b), [*block, key], "_i").select("_i", *block, F.col(key).alias("_key"), F.col(trait_a).alias("_a"), F.col(trait_b).alias("_b"))
+    n = base.count()
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    many = base.select("_key", *block, "_b", reps)
+    shuffled = numbered(many, ["rep", *block, F.xxhash64("_key", "rep", F.lit(seed)), "_key"], "_j").select("rep", (F.col("_j") - F.col("rep").cast("long") * n).alias("_i"), F.col("_b").alias("_other"))
+    rates = shuffled.join(base.select("_i", "_a"), "_i").groupBy("rep").agg(F.avg((F.col("_a") == F.col("_other")).cast("int")).alias("rate"))
     null = rates.agg(F.avg("rate").alias("mean"), F.stddev_samp("rate").alias("sd"))
     own = pairs.agg(F.avg((F.col(trait_a) == F.col(trait_b)).cast("int")).alias("agreement"))
     return own.crossJoin(null).select("agreement", "mean", "sd", F.try_divide(F.col("agreement") - F.col("mean"), "sd").alias("z"))
@@ -109,7 +112,8 @@ def antimode(df: DataFrame, value: str, points: int) -> DataFrame:
 
     Values are binned to the grid first, so the kernel runs over the grid (points squared), not over rows.
     """
-    s = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n"), F.percentile(value, 0.25).alias("q")).first()
+    s = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.stddev_pop(value).alias("sd"), F.count(value).alias("n")).first().asDict()
+    s["q"] = quantiles(df, value, [0.25])[0]
     spark = df.sparkSession
     if not s["n"] or not s["sd"]:
         return spark.createDataFrame([(s["q"], False)], "threshold double, bimodal boolean")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy, flag, piecewise_linear
+from .ordered import quantiles
 
 
 def count_structure(df: DataFrame, good: str, bad: str) -> DataFrame:
@@ -37,8 +38,8 @@ def one_hot(c: Column, values: list, prefix: str) -> dict[str, Column]:
 
 
 def fit_standard(df: DataFrame, columns: list[str]) -> dict[str, dict[str, float]]:
-    """Median, mean and population deviation (after imputing the median) of each column, in two small aggregates."""
-    med = df.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()
+    """Median, mean and population deviation (after imputing the median) of each column, exact medians by counted values."""
+    med = {c: quantiles(df, c, [0.5])[0] for c in columns}
     filled = df.select(*(F.coalesce(F.col(c), F.lit(med[c])).alias(c) for c in columns))
     row = filled.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
     return {c: {"median": med[c], "mean": row[f"m_{c}"], "sd": row[f"s_{c}"]} for c in columns}
@@ -55,8 +56,7 @@ def standardise(df: DataFrame, fit: dict[str, dict[str, float]]) -> DataFrame:
 
 def fit_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Distinct quantiles of a column at equal shares."""
-    q = df.agg(F.percentile(column, [i / bins for i in range(bins + 1)])).first()[0]
-    return sorted(set(q))
+    return sorted({q for q in quantiles(df, column, [i / bins for i in range(bins + 1)]) if q is not None})
 
 
 def encode_piecewise(df: DataFrame, column: str, edges: list[float], out: str) -> DataFrame:

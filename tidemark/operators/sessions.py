@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import before
+from .ordered import running
 
 
 def sessions(df: DataFrame, entity: str = "entity", order: str = "row_id", changed: list[str] = (), jumps: dict[str, float] | None = None, drops: dict[str, float] | None = None) -> DataFrame:
@@ -34,10 +35,16 @@ def gap_to_previous_other(df: DataFrame, what: str, entity: str = "entity", orde
 
 
 def average_rank(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Adds ``pct``: the rank of the value in its group as a share, ties at their average."""
-    w = Window.partitionBy(*by)
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn("pct", (F.rank().over(w.orderBy(value)) + (ties - 1) / 2) / F.count("*").over(w))
+    """Adds ``pct``: the rank of the value in its group as a share, ties at their average; NULL for a NULL value.
+
+    Distinct values are counted and numbered over range partitions of (group, value), so a group with many rows isn't
+    sorted in one task; a group's first number comes from its least.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    upto = running(counts, [*by, value], "_c", "_upto")
+    groups = upto.groupBy(*by).agg(F.sum("_c").alias("_all"), F.max("_upto").alias("_end"))
+    place = upto.join(groups, by).select(*by, value, ((F.col("_upto") - (F.col("_end") - F.col("_all")) - (F.col("_c") - 1) / 2) / F.col("_all")).alias("pct"))
+    return df.join(place, [*by, value], "left")
 
 
 def anchored_rank(df: DataFrame, reference: DataFrame, value: str) -> DataFrame:

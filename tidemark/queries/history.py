@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..operators import sessions as S
+from ..operators.ordered import quantiles
 from ..sources.tables import counted_log, event_log, line_log
 from .registry import BASED, ENDS, EV, LI, LOG, query, r6
 
@@ -136,8 +137,8 @@ def win5(spark, d):
 SELECT row_id, round(CASE WHEN count(*) OVER w >= 3 THEN stddev_samp(value) OVER w ELSE med END, 4) AS sd FROM ev, m WINDOW w AS (PARTITION BY entity ORDER BY row_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""")
 def win6(spark, d):
     e, w = event_log(spark, d), H.before("entity", rows=30)
-    med = F.broadcast(e.agg(F.percentile("value", 0.5).alias("med")))
-    return e.crossJoin(med).select("row_id", F.round(F.when(F.count("*").over(w) >= 3, F.stddev_samp("value").over(w)).otherwise(F.col("med")), 4).alias("sd"))
+    med = F.lit(quantiles(e, "value", [0.5])[0])
+    return e.select("row_id", F.round(F.when(F.count("*").over(w) >= 3, F.stddev_samp("value").over(w)).otherwise(med), 4).alias("sd"))
 
 
 @query("win7_freeze_at_cutoff", f"WITH {EV} SELECT row_id, round((coalesce(sum(y) FILTER (season < 2) OVER w, 0) + 50 * 0.2) / (count(*) FILTER (season < 2) OVER w + 50), 6) AS frozen_rate FROM ev WINDOW w AS (PARTITION BY entity)")

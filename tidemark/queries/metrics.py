@@ -62,6 +62,43 @@ def met6(spark, d):
     return M.brier_parts(predictions(spark, d)).select(*(r6(c).alias(c) for c in ("rel", "res", "unc")))
 
 
+@query("met7_dispersion", f"""WITH {PRED}, e AS (SELECT quantile_cont(q, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM f), b AS (SELECT y, p, len(list_filter(e, lambda x: x < q)) AS b FROM f, e),
+g AS (SELECT avg(y) AS y, avg(p) AS p FROM b GROUP BY b) SELECT round(max(y) - min(y), 6) AS true_spread, round(max(p) - min(p), 6) AS predicted_spread, round((max(p) - min(p)) / (max(y) - min(y)), 5) AS ratio FROM g""")
+def met7(spark, d):
+    """How far predictions spread over tenths of a level, against outcomes."""
+    t = M.dispersion(predictions(spark, d), "q", least=1)
+    return t.select(r6("true_spread").alias("true_spread"), r6("predicted_spread").alias("predicted_spread"), F.round("ratio", 5).alias("ratio"))
+
+
+#: The blends scored row by row, as the algebra must give them.
+_BLENDS = {"pq": {"p": 1.0, "q": 1.0}, "pqr": {"p": 0.5, "q": 0.3, "r": 0.2}}
+
+
+@query("met9_blend_algebra", f"WITH {PRED}, lv AS (SELECT avg(y) AS lv FROM f) " + " UNION ALL ".join(f"SELECT '{n}' AS blend, round(1e5 * (1 - avg(power(y - ({' + '.join(f'{v / sum(w.values())} * {m}' for m, v in w.items())}), 2)) / any_value(lv * (1 - lv))), 3) AS score FROM f, lv" for n, w in _BLENDS.items()))
+def met9(spark, d):
+    return M.blend_scores(predictions(spark, d), _BLENDS).select("blend", F.round("score", 3).alias("score"))
+
+
+@query("ens7_unknown_member", f"WITH {PRED}, r AS (SELECT avg(y) AS r FROM f) SELECT 'r' AS member, round(1e5 * (1 - avg(power(y - f.r, 2)) / any_value(r.r * (1 - r.r))), 2) AS score FROM f, r")
+def ens7(spark, d):
+    """A member's score from that of a blend it is in, the others' scores and the distances; the SQL scores it directly."""
+    f = predictions(spark, d)
+    alone = {x["blend"]: x["score"] for x in M.blend_scores(f, {"p": {"p": 1.0}, "q": {"q": 1.0}, "all": _BLENDS["pqr"]}).collect()}
+    gaps = {(x["a"], x["b"]): x["rms"] ** 2 for x in M.model_distances(f, ["p", "q", "r"]).collect()}
+    level = f.agg(F.avg("y")).first()[0]
+    s = M.unknown_member_score(alone["all"], {"p": (0.5, alone["p"]), "q": (0.3, alone["q"])}, gaps, "r", level)
+    return spark.createDataFrame([("r", round(s, 2))], "member string, score double")
+
+
+@query("cal6_piecewise", f"""WITH {PRED}, x AS (SELECT y::DOUBLE AS y, q, greatest(q - 0.2, 0) AS k FROM f), m AS (SELECT avg(y) AS my, avg(q) AS mq, avg(k) AS mk, covar_pop(q, q) AS qq, covar_pop(k, k) AS kk, covar_pop(q, k) AS qk, covar_pop(q, y) AS qy, covar_pop(k, y) AS ky FROM x),
+w AS (SELECT *, (qy * kk - ky * qk) / (qq * kk - qk * qk) AS b, (ky * qq - qy * qk) / (qq * kk - qk * qk) AS c FROM m)
+SELECT row_id, round(greatest(1e-6, least(1 - 1e-6, my - b * mq - c * mk + b * q + c * greatest(q - 0.2, 0))), 5) AS p, b > 0 AND b + c > 0 AS monotone FROM f, w""")
+def cal6(spark, d):
+    f = predictions(spark, d)
+    weights, monotone = M.fit_pieces(f, [0.2], p="q")
+    return f.select("row_id", F.round(M.apply_pieces(weights, [0.2], F.col("q")), 5).alias("p"), F.lit(monotone).alias("monotone"))
+
+
 @query("met8_model_distances", f"WITH {PRED} " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(sqrt(avg(power({a} - {b}, 2))), 6) AS rms, round(corr({a}, {b}), 5) AS corr FROM f" for a, b in (("p", "q"), ("p", "r"), ("q", "r"))))
 def met8(spark, d):
     return M.model_distances(predictions(spark, d), ["p", "q", "r"]).select("a", "b", r6("rms").alias("rms"), F.round("corr", 5).alias("corr"))

@@ -21,6 +21,16 @@ def ph1(spark, d):
     return p.select("entity", "season", *(r6(c).alias(c) for c in p.columns[2:]))
 
 
+@query("ph2_season_profile", f"""WITH {CELLS}, p AS (SELECT entity, season, sum(n) AS n, sum((q - s * s / n)) FILTER (n >= 2) / sum(n - 1) FILTER (n >= 2) AS v, sum(s) FILTER (grp = 'F') / sum(n) FILTER (grp = 'F') AS m, sum(n) FILTER (grp = 'F') AS nf, coalesce(sum(n) FILTER (grp = 'O'), 0) / sum(n) AS o FROM c GROUP BY ALL),
+r AS (SELECT entity, season, sqrt(v) AS sd, CASE WHEN nf >= 20 THEN m END AS level, o AS share FROM p WHERE n >= 40)
+SELECT entity, season, round(sd, 6) AS sd, round(level, 6) AS level, round(share, 6) AS share, """ + ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY season ORDER BY {c} NULLS LAST) + (count(*) OVER (PARTITION BY season, {c}) - 1) / 2) / count({c}) OVER (PARTITION BY season) END, 6) AS rank_{c}" for c in ("sd", "level", "share")) + " FROM r")
+def ph2(spark, d):
+    """Raw season profiles and their ranks within the season."""
+    cells = A.cell_moments(line_log(spark, d), ["entity", "season", "grp"], "quantity")
+    p = P.season_profile(cells, "entity", "season", "grp", "F", "O", least=40, least_level=20)
+    return p.select("entity", "season", *(r6(c).alias(c) for c in ("sd", "level", "share", "rank_sd", "rank_level", "rank_share")))
+
+
 @query("ph3_group_mix", f"""WITH {LI}, v AS (SELECT entity, grp, avg(quantity) AS v FROM li WHERE season = 1996 GROUP BY ALL), m AS (SELECT entity, season, avg((grp = 'F')::INT) AS mf, avg((grp = 'O')::INT) AS mo FROM li GROUP BY ALL),
 w AS (SELECT entity, max(v) FILTER (grp = 'F') AS vf, max(v) FILTER (grp = 'O') AS vo FROM v GROUP BY entity)
 SELECT entity, season, round((mf * coalesce(vf, 0) + mo * coalesce(vo, 0)) / nullif(CASE WHEN vf IS NULL THEN 0 ELSE mf END + CASE WHEN vo IS NULL THEN 0 ELSE mo END, 0), 6) AS mixed FROM m LEFT JOIN w USING (entity)""")

@@ -59,3 +59,56 @@ def src7(spark, d):
     key = f"counts-{uuid.uuid4().hex}"
     files.cached(counts, folder, key)
     return files.cached(counts, folder, key)
+
+
+def _folder(spark) -> str:
+    import uuid
+
+    return f"{files.shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("src1_typed_csv", "SELECT o_orderkey, round(CAST(CAST(o_totalprice AS FLOAT) AS DOUBLE), 2) AS price, o_orderstatus AS status FROM orders")
+def src1(spark, d):
+    """A CSV with a header, read by an explicit schema and stored in narrower types."""
+    from pyspark.sql.types import StructType
+
+    at = _folder(spark)
+    table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus").write.option("header", True).csv(at)
+    o = files.read_csv(spark, at, StructType.fromDDL("o_orderkey long, o_totalprice double, o_orderstatus string"), shrink=True)
+    return o.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.round(F.col("o_totalprice").cast("double"), 2).alias("price"), F.col("o_orderstatus").alias("status"))
+
+
+@query("snk1_ordered_csv", f"WITH {EV} SELECT row_id, round(value / 100, 6) AS p, row_number() OVER (ORDER BY row_id DESC) AS place FROM ev WHERE season = 1")
+def snk1(spark, d):
+    """Scores written in the order of a sample, and read back with the place that each row has in the files."""
+    at = _folder(spark)
+    e = event_log(spark, d).filter("season = 1")
+    files.write_submission(e.select("row_id", r6(F.col("value") / 100).alias("p")), e.select("row_id", (-F.col("row_id")).alias("pos")), at)
+    back = spark.read.schema("row_id long, p double").option("header", True).csv(at)
+    back = back.select("row_id", "p", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    from pyspark.sql import Window
+
+    # The files' names are in order, and so are the rows of a file: in both the place is what the sample says.
+    order = back.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most"), F.count("*").alias("n"))
+    start = order.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("row_id")))
+    return back.join(F.broadcast(start.select("file", "start")), "file").withColumn("place", F.col("start") + own).select("row_id", "p", "place")
+
+
+@query("snk3_run_history", "SELECT * FROM (VALUES ('a', 'brier', 0.25::DOUBLE), ('a', 'score', 10.5), ('b', 'score', 12.0)) t(run, metric, value)")
+def snk3(spark, d):
+    at = _folder(spark)
+    for record in ({"run": "a", "score": 10.5, "brier": 0.25, "note": "first"}, {"run": "b", "score": 12}):
+        files.append_run(record, spark, at)
+    return files.run_history(spark, at)
+
+
+@query("snk4_sealed_package", f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS broken, true AS sealed FROM ev WHERE season = 0")
+def snk4(spark, d):
+    """A table as a package with a manifest of its files; what is read back is whole, and no seal is broken."""
+    at = _folder(spark)
+    manifest = files.package(event_log(spark, d).filter("season = 0").select("row_id", "value"), at)
+    manifest = spark.createDataFrame(manifest.collect(), manifest.schema)  # a row per file
+    broken = files.broken_seals(manifest, f"{at}/data").agg(F.count("*").alias("broken"))
+    rows = spark.read.parquet(f"{at}/data").agg(F.count("*").alias("n"))
+    return rows.crossJoin(broken).crossJoin(manifest.agg((F.count("*") > 0).alias("sealed")))
