@@ -125,12 +125,11 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules(), text_co
     d = _base(packed(docs, made, q_text=F.col(text_col), q_lang=F.coalesce(F.col(lang_col), F.lit(""))), "q_text", rules)
     d = d.join(refs, F.col("q_lang") == F.col("ref_lang"), "left")
 
-    # Every word stands between two spaces of its own, so replacing " word " finds each occurrence.
-    spaced = F.concat(F.lit(" "), F.array_join("q_words", "  "), F.lit(" "))
     judged = ~F.col("base_failed") & (F.col("n_words") >= rules.min_words_js) & (F.coalesce("ref_n", F.lit(0)) >= rules.min_reference_words)
-    d = d.withColumns({"q_judged": judged, "q_spaced": F.when(judged, spaced), "q_classes": F.when(judged, class_counts(F.col("q_solid")))})
-    size = F.octet_length("q_spaced")
-    counts = F.transform("ref_words", lambda w: (size - F.octet_length(F.replace(F.col("q_spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2))
+    # Places of the words among the language's common ones, then how often each place occurs.
+    places = F.filter(F.transform("q_words", lambda w: F.array_position("ref_words", w)), lambda i: i > 0)
+    d = d.withColumns({"q_judged": judged, "q_places": F.when(judged, places), "q_classes": F.when(judged, class_counts(F.col("q_solid")))})
+    counts = F.transform(F.sequence(F.lit(1), F.size("ref_words")), lambda i: F.size(F.filter("q_places", lambda x: x == i)))
     d = d.withColumn("q_counts", F.when(F.col("q_judged"), counts))
     common = F.transform("q_counts", lambda c: c / F.col("n_words"))
     d = d.withColumns({"q_common": common, "q_class_p": F.transform("q_classes", lambda c: c / F.col("word_chars"))})
