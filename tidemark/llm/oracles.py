@@ -94,3 +94,31 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS f FROM base) JOIN (SELECT DISTINCT doc_id FROM documents) USING (doc_id)
   LEFT JOIN tot USING (lang)
 """
+
+#: Levels of each language's tree, then of the tree over them; a step of a path is N (alone), or L or R with the sibling on that side.
+ORACLES["op13_merkle_manifest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, v || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || t AS whole, v || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || t AS changed, bad
+  FROM (SELECT *, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS v, coalesce(strlen(text) || ':' || text, '-') AS t,
+    xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 7 = 0 AS bad FROM documents)),
+leaf AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(whole)) - 1 AS place,
+  count(*) OVER (PARTITION BY lang) AS n, sha256(whole) AS h, CASE WHEN coalesce(bad, false) THEN sha256(changed) ELSE sha256(whole) END AS told FROM d),
+node(tree, level, place, n, h) AS (
+  SELECT tree, 0, place, n, h FROM leaf
+  UNION ALL SELECT tree, any_value(level) + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM node WHERE n > 1 GROUP BY tree, place // 2),
+sub AS (SELECT tree, h FROM node WHERE n = 1),
+top(level, place, n, h) AS (
+  SELECT 0, tree, count(*) OVER (), h FROM sub
+  UNION ALL SELECT any_value(level) + 1, place // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM top WHERE n > 1 GROUP BY place // 2),
+step AS (
+  SELECT l.tree, l.place, 0 AS part, a.level, CASE WHEN b.h IS NULL THEN 'N' WHEN b.place < a.place THEN 'L' || b.h ELSE 'R' || b.h END AS s
+  FROM leaf l JOIN node a ON a.tree = l.tree AND a.n > 1 AND a.place = l.place >> a.level LEFT JOIN node b ON b.tree = a.tree AND b.level = a.level AND b.place = xor(a.place, 1)
+  UNION ALL
+  SELECT l.tree, l.place, 1, a.level, CASE WHEN b.h IS NULL THEN 'N' WHEN b.place < a.place THEN 'L' || b.h ELSE 'R' || b.h END
+  FROM leaf l JOIN top a ON a.n > 1 AND a.place = l.tree >> a.level LEFT JOIN top b ON b.level = a.level AND b.place = xor(a.place, 1)),
+path AS (SELECT tree, place, list(s ORDER BY part, level) AS steps FROM step GROUP BY tree, place),
+done AS (SELECT l.*, sub.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(steps, []) AS steps FROM leaf l JOIN sub USING (tree) LEFT JOIN path USING (tree, place))
+SELECT doc_id, h AS leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda s: s[2:]), '')) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM (SELECT *, list_reduce(list_concat([told], steps), lambda a, s: CASE s[1] WHEN 'L' THEN sha256(s[2:] || a) WHEN 'R' THEN sha256(a || s[2:]) ELSE sha256(a) END) AS f FROM done)
+"""

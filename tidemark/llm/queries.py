@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, kneser, lines, lm, neardup, quality, repeats, secrets
+from . import bpe, chat, decontam, kneser, lines, lm, manifest, neardup, quality, repeats, secrets
 from .oracles import ORACLES
 
 
@@ -78,6 +78,16 @@ def op10_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(encoded)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and which rows of a copy it verifies: where 7 divides the checksum of the id, the copy's n_chars is one more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    told = manifest.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), F.when(changed, F.col("n_chars") + 1).otherwise(F.col("n_chars")), F.col("text"))
+    d = manifest.manifest(docs.withColumn("told", told), keep=["told"])
+    d = d.withColumn("folded_root", manifest.folded(F.col("told"), F.col("proof")))
+    return d.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 _ALL = (
     op1_chat_formatting,
     op2_quality_rules,
@@ -89,5 +99,6 @@ _ALL = (
     op8_secret_scan,
     op9_repeated_bytes,
     op10_byte_level_bpe,
+    op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
