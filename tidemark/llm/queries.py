@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, kneser, lines, lm, manifest, neardup, quality, repeats, search, secrets
+from . import bpe, chat, decontam, forest, kneser, lines, lm, manifest, neardup, quality, repeats, search, secrets
 from .oracles import ORACLES
 
 
@@ -82,6 +82,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest, and which rows of a copy it verifies: where 7 divides the checksum of the id, the copy's n_chars is one more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -104,6 +108,7 @@ _ALL = (
     op9_repeated_bytes,
     op10_byte_level_bpe,
     op11_ranked_search,
+    op12_nearest_neighbours,
     op13_merkle_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
