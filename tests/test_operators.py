@@ -96,18 +96,6 @@ def test_scorer_is_row_local_and_the_audit_sees_when_not(spark):
         scoring.check_row_local(s.groupBy("entity").count())
 
 
-def test_assignment_is_optimal(spark):
-    rng = np.random.default_rng(3)
-    cost = rng.random((5, 7))
-    from itertools import permutations
-
-    best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(7), 5))
-    pairs = spark.createDataFrame([(0, i, j, float(cost[i, j])) for i in range(5) for j in range(7)], "block int, a long, b long, cost double")
-    got = E.assign(pairs, "block").collect()
-    assert len({r.a for r in got}) == len({r.b for r in got}) == 5
-    assert abs(sum(r.cost for r in got) - best) < 1e-9
-
-
 def test_ranks_by_range_equal_ranks_by_lookup(spark):
     ref = spark.createDataFrame([(float(i % 7),) for i in range(40)], "v double")
     rows = spark.createDataFrame([(float(i),) for i in range(7)], "v double")

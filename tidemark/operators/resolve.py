@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,57 +19,6 @@ def signature_cost(a: DataFrame, b: DataFrame, block: list[str], entity: str = "
     return j.groupBy("a", "b").agg(F.sum(F.abs(F.col("a_r") - F.col("b_r")) + weight * apart).alias("cost"), F.count("*").alias("blocks"))
 
 
-def _shortest_augmenting(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in the assignment of least total cost; rows must not outnumber columns."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of = np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        row_of[0], at = i, 0
-        least, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while row_of[at]:
-            done[at] = True
-            reduced = cost[row_of[at] - 1] - u[row_of[at]] - v[1:]
-            free = ~done[1:]
-            better = free & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            back[1:][better] = at
-            at_next = 1 + int(np.argmin(np.where(free, least[1:], np.inf)))
-            step = least[at_next]
-            u[row_of[done]] += step
-            v[done] -= step
-            least[~done] -= step
-            at = at_next
-        while at:
-            row_of[at] = row_of[back[at]]
-            at = back[at]
-    out = np.zeros(n, int)
-    for j in range(1, m + 1):
-        if row_of[j]:
-            out[row_of[j] - 1] = j - 1
-    return out
-
-
-def assign(pairs: DataFrame, block: str, most: int = 3000) -> DataFrame:
-    """One-to-one pairs of least total cost within each block (team, hand, ...), one task a block.
-
-    A block may hold at most ``most`` ids a side; a larger one raises, and is to be blocked finer. A missing pair costs 1e6.
-    """
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot_table(index="a", columns="b", values="cost").fillna(1e6)
-        if max(grid.shape) > most:
-            raise ValueError(f"a block has more than {most} ids on a side")
-        cost = grid.to_numpy()
-        flip = cost.shape[0] > cost.shape[1]
-        col = _shortest_augmenting(cost.T if flip else cost)
-        rows = np.arange(len(col))
-        i, j = (col, rows) if flip else (rows, col)
-        return pd.DataFrame({"a": grid.index.to_numpy()[i], "b": grid.columns.to_numpy()[j], "cost": cost[i, j]})
-
-    return pairs.select(block, F.col("a").cast("long"), F.col("b").cast("long"), "cost").groupBy(block).applyInPandas(solve, "a long, b long, cost double")
-
-
 def tiers(pairs: DataFrame, margin: float) -> DataFrame:
     """Each a's cheapest b with its margin, and a tier: 1 if b agrees and the margin is wide, 2 if either, 3 otherwise."""
     w = Window.partitionBy("a").orderBy("cost", "b")

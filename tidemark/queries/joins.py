@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import matching as X
 from ..operators import resolve as E
 from ..operators import sessions as S
 from ..sources.tables import event_log, line_log, table
@@ -181,9 +182,75 @@ def _signatures(spark, d):
 
 @query("er4_assignment")
 def er4(spark, d):
-    """One-to-one pairs of least total cost between the two id spaces."""
+    """One-to-one pairs of least total cost between the two id spaces, nation by nation."""
     pairs = E.signature_cost(*_signatures(spark, d), ["season", "nation"]).join(_nations(spark, d), F.col("a") == F.col("entity"))
-    return E.assign(pairs, "nation").select("a", "b", r6("cost").alias("cost"))
+    return X.auction(pairs, ["nation"]).select("nation", "a", "b", r6("cost").alias("cost"))
+
+
+#: Seasons of the line log, and what a difference of each ranked measure costs.
+YEARS = range(1995, 2002)
+WEIGHTS = X.Weights({"n": 1.0, "mean": 1.2, "discount": 0.8, "q10": 0.4, "q25": 0.4, "q50": 0.5, "q75": 0.4, "q90": 0.4})
+
+
+def _measured(spark, d):
+    """Both id spaces with (entity, season, nation, region, measures), quantile axes among them, and how much of b's months each a has."""
+    own = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = own.select(F.col("s_suppkey").alias("entity"), F.col("s_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    q = F.percentile("quantity", F.array(*(F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9))))
+    li = line_log(spark, d)
+    m = li.groupBy("entity", "season", "grp").agg(F.count("*").cast("double").alias("n"), F.avg("quantity").alias("mean"), F.avg("discount").alias("discount"), q.alias("q"))
+    m = m.join(own, "entity").select("entity", "season", "nation", "region", "grp", "n", "mean", "discount", *(F.col("q")[i].alias(f"q{v}") for i, v in enumerate((10, 25, 50, 75, 90))))
+    far = F.col("entity") + 1_000_000
+    a, b = m.filter("grp = 'F'").drop("grp"), m.filter("grp = 'O'").withColumn("entity", far).drop("grp")
+    months = li.groupBy("entity", "season", "month", "grp").agg(F.count("*").alias("n"))
+    near = a.select(F.col("entity").alias("a"), "nation").distinct().join(b.select(F.col("entity").alias("b"), "nation").distinct(), "nation")
+    sets = E.set_score(near, months.filter("grp = 'F'"), months.filter("grp = 'O'").withColumn("entity", far), ["season"], "entity", "month", "n", "month")
+    return a, b, sets
+
+
+@query("er10_rematch")
+def er10(spark, d):
+    """Three rounds: match, rank both sides anew against the sure pairs, match again."""
+    a, b, sets = _measured(spark, d)
+    _, pairs = X.rematch(a, b, WEIGHTS, ["nation"], ["season", "region"], YEARS, sets)
+    return pairs.select("nation", "a", "b", r6("cost").alias("cost"), "co", r6("margin_row").alias("margin_row"), "anchor", "round")
+
+
+def _voted(spark, d):
+    """The base pairs, and those of 20 jitters, of each season, of two eras and of two cutoffs."""
+    a, b, sets = _measured(spark, d)
+    dist, base = X.rematch(a, b, WEIGHTS, ["nation"], ["season", "region"], YEARS, sets, rounds=2)
+    arms = X.jitters(list(WEIGHTS.axes)) + [X.Arm(f"season{s}", "season", [s]) for s in YEARS] + [X.Arm("early", "era", [1995, 1996, 1997, 1998]), X.Arm("late", "era", [1999, 2000, 2001])]
+    arms += [X.Arm(f"upto{s}", "cutoff", range(1995, s + 1)) for s in (1997, 1999)]
+    return base, X.arm_matches(dist, a, b, WEIGHTS, ["nation"], arms, YEARS)
+
+
+@query("er8_agreement")
+def er8(spark, d):
+    """Each pair's stability under jitters, the partner its seasons choose, whether eras agree, and the tier that follows."""
+    base, votes = _voted(spark, d)
+    agreed = X.agreement(base, votes)
+    return agreed.join(X.sure_tiers(base, agreed, 0.2), ["a", "b"]).select("a", "b", r6("stability").alias("stability"), "season_mode", "n_seasons", "agree", "eras", "same_era", "tier")
+
+
+@query("er12_posterior")
+def er12(spark, d):
+    return X.posterior(*_voted(spark, d)).select("a", "b", r6("p").alias("p"))
+
+
+@query("er14_asof_agreement")
+def er14(spark, d):
+    """Matching again with the seasons up to a cutoff: how many ids keep their partner."""
+    base, votes = _voted(spark, d)
+    return X.asof_agreement(votes, base).select("arm", "common", "same", r6("agreement").alias("agreement"))
+
+
+@query("er6_polarity")
+def er6(spark, d):
+    """Regions as they are, and two of them exchanged on one side."""
+    a, b, _ = _measured(spark, d)
+    w = X.Weights({"n": 1.0, "mean": 1.2, "discount": 0.8}, sets=0.0)
+    return X.polarity(a, b, w, [], "region", {"own": {i: i for i in range(5)}, "exchanged": {0: 1, 1: 0, 2: 2, 3: 3, 4: 4}}, YEARS).select("polarity", "pairs", r6("total").alias("total"), r6("ratio").alias("ratio"))
 
 
 @query("er5_tiers", f"""WITH {COST}, ra AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r, lead(cost) OVER (PARTITION BY a ORDER BY cost, b) AS nxt FROM p), rb AS (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY cost, a) AS r FROM p),

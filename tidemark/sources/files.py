@@ -55,7 +55,7 @@ def zip_members(spark: SparkSession, path: str, depth: int = 2, pattern: str = "
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share (``spark.checkpoint.dir``). Where none is set, a temporary one, on one machine only, as in tests."""
+    """The folder that all machines share (``spark.checkpoint.dir``). Where none is set, one temporary folder for the session, on one machine only, as in tests."""
     import tempfile
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -63,7 +63,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return tempfile.mkdtemp(prefix="tidemark-")
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def materialised(df: DataFrame) -> DataFrame:
@@ -75,6 +77,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*made: DataFrame) -> None:
+    """Deletes the files of tables that ``materialised`` made, once nothing is left to be computed from them."""
+    for df in made:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cached(df: DataFrame, folder: str, key: str) -> DataFrame:
     """``df`` as a Parquet table named by a key and its schema: it is computed the first time and read again afterwards.
 
