@@ -37,26 +37,26 @@ def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.05) -> Dat
     offers = materialised(raw.join(size, "k").select("k", x.alias("x"), y.alias("y"), "cost", "eps", "stay", "forward"))
     spark, ids, keys = offers.sparkSession, dict(offers.dtypes)["x"], dict(offers.dtypes)["k"]
     bidders = materialised(offers.select("k", "x").distinct())
-    owners = spark.createDataFrame([], f"k {keys}, y {ids}, x {ids}, price double")
-    alone = spark.createDataFrame([], f"k {keys}, x {ids}")
-    waiting, old = bidders, []
+    n_bidders, n_settled = bidders.count(), 0
+    # Who has whom at what price; a null partner is an id that stays alone.
+    state, old = spark.createDataFrame([], f"k {keys}, x {ids}, y {ids}, price double"), []
     best = Window.partitionBy("k", "x").orderBy("total", "y")
-    while True:
-        asked = offers.join(waiting, ["k", "x"]).join(owners.select("k", "y", "price"), ["k", "y"], "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
+    at = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
+    while n_settled < n_bidders:
+        waiting = bidders.join(state, ["k", "x"], "left_anti")
+        asked = offers.join(waiting, ["k", "x"], "left_semi").join(state.select("k", "y", "price"), ["k", "y"], "left").withColumn("price", F.coalesce("price", F.lit(0.0)))
         two = asked.withColumn("total", F.col("cost") + F.col("price")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= 2)
-        at = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
         bids = two.groupBy("k", "x").agg(at(1, "y").alias("y"), at(1, "total").alias("t1"), at(2, "total").alias("t2"), at(1, "price").alias("price"), F.max("eps").alias("eps"), F.max("stay").alias("stay"))
         second = F.least(F.coalesce("t2", "stay"), "stay")
-        bids = materialised(bids.select("k", "x", "y", (F.col("t1") >= F.col("stay")).alias("leaves"), (F.col("price") + second - F.col("t1") + F.col("eps")).alias("bid")))
-        won = bids.filter("NOT leaves").groupBy("k", "y").agg(F.max_by("x", F.struct("bid", F.struct("x"))).alias("x"), F.max("bid").alias("price"))
-        held = materialised(owners.join(won.select("k", "y"), ["k", "y"], "left_anti").unionByName(won))
-        alone = materialised(alone.unionByName(bids.filter("leaves").select("k", "x")))
-        rest = materialised(bidders.join(held.select("k", "x").unionByName(alone), ["k", "x"], "left_anti"))
+        leaves = F.col("t1") >= F.col("stay")
+        bids = materialised(bids.select("k", "x", F.when(~leaves, F.col("y")).alias("y"), (F.col("price") + second - F.col("t1") + F.col("eps")).alias("price")))
+        won = bids.filter("y IS NOT NULL").groupBy("k", "y").agg(F.max_by("x", F.struct("price", F.struct("x"))).alias("x"), F.max("price").alias("price"))
+        held = state.join(won.select("k", "y"), ["k", "y"], "left_anti").select("k", "x", "y", "price")
+        now = materialised(held.unionByName(won).unionByName(bids.filter("y IS NULL")))
+        n_settled = now.count()
         discard(*old)
-        old, owners, waiting = [bids, held, alone, rest], held, rest
-        if waiting.isEmpty():
-            break
-    found = offers.join(owners.select("k", "x", "y"), ["k", "x", "y"])
+        state, old = now, [bids, now]
+    found = offers.join(state.select("k", "x", "y"), ["k", "x", "y"])
     a, b = F.when(F.col("forward"), F.col("x")).otherwise(F.col("y")), F.when(F.col("forward"), F.col("y")).otherwise(F.col("x"))
     out = materialised(found.select("k.*", a.alias("a"), b.alias("b"), "cost"))
     discard(raw, offers, bidders, *old)
