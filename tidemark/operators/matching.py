@@ -14,7 +14,7 @@ from .joins import margins
 from .ordered import quantiles
 
 
-def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.05) -> DataFrame:
+def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.25) -> DataFrame:
     """One-to-one pairs (by, a, b, cost) of each group: their total cost exceeds the least by ``tolerance`` times the group's spread of costs at most.
 
     The smaller side bids. In a round every id without a partner bids for the partner of least cost plus price, by as much
@@ -49,13 +49,14 @@ def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.05) -> Dat
         bids = two.groupBy("k", "x").agg(at(1, "y").alias("y"), at(1, "total").alias("t1"), at(2, "total").alias("t2"), at(1, "price").alias("price"), F.max("eps").alias("eps"), F.max("stay").alias("stay"))
         second = F.least(F.coalesce("t2", "stay"), "stay")
         leaves = F.col("t1") >= F.col("stay")
-        bids = materialised(bids.select("k", "x", F.when(~leaves, F.col("y")).alias("y"), (F.col("price") + second - F.col("t1") + F.col("eps")).alias("price")))
-        won = bids.filter("y IS NOT NULL").groupBy("k", "y").agg(F.max_by("x", F.struct("price", F.struct("x"))).alias("x"), F.max("price").alias("price"))
-        held = state.join(won.select("k", "y"), ["k", "y"], "left_anti").select("k", "x", "y", "price")
-        now = materialised(held.unionByName(won).unionByName(bids.filter("y IS NULL")))
+        bids = bids.select("k", "x", F.when(~leaves, F.col("y")).alias("y"), (F.col("price") + second - F.col("t1") + F.col("eps")).alias("price"))
+        # A bid is above the partner's price, so the highest of what it has and what is bid is who gets it.
+        highest = F.max_by("x", F.struct("price", F.struct("x")))
+        every = state.unionByName(bids).withColumn("stays", F.when(F.col("y").isNull(), F.col("x")))
+        now = materialised(every.groupBy("k", "y", "stays").agg(highest.alias("x"), F.max("price").alias("price")).select("k", "x", "y", "price"))
         n_settled = now.count()
         discard(*old)
-        state, old = now, [bids, now]
+        state, old = now, [now]
     found = offers.join(state.select("k", "x", "y"), ["k", "x", "y"])
     a, b = F.when(F.col("forward"), F.col("x")).otherwise(F.col("y")), F.when(F.col("forward"), F.col("y")).otherwise(F.col("x"))
     out = materialised(found.select("k.*", a.alias("a"), b.alias("b"), "cost"))
@@ -144,7 +145,7 @@ def arm_costs(dist: DataFrame, a: DataFrame, b: DataFrame, w: Weights, block: Se
     return pair.select("arm", "kind", *block, "a", "b", (F.col("cost") + lone).alias("cost"), "co")
 
 
-def rematch(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], cell: Sequence[str], seasons: Sequence[int], sets: DataFrame | None = None, rounds: int = 3, tolerance: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def rematch(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], cell: Sequence[str], seasons: Sequence[int], sets: DataFrame | None = None, rounds: int = 3, tolerance: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Matches two id spaces, ranks both anew against the sure pairs, and matches again, ``rounds`` times.
 
     ``a`` and ``b`` have (entity, season, block and cell columns, axes), one row an entity and season. Returns the last round's
@@ -170,7 +171,7 @@ def rematch(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], cell:
     return dist, out
 
 
-def arm_matches(dist: DataFrame, a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], arms: Sequence[Arm], seasons: Sequence[int], tolerance: float = 0.05) -> DataFrame:
+def arm_matches(dist: DataFrame, a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], arms: Sequence[Arm], seasons: Sequence[int], tolerance: float = 0.25) -> DataFrame:
     """(arm, kind, block, a, b, cost, co): the one-to-one pairs of every arm, all matched in one auction."""
     cost = materialised(arm_costs(dist, a, b, w, block, arms, seasons))
     found = auction(cost, ["arm", *block], tolerance)
@@ -232,7 +233,7 @@ def asof_agreement(votes: DataFrame, base: DataFrame) -> DataFrame:
     return g.withColumn("agreement", F.col("same") / F.col("common"))
 
 
-def polarity(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], side: str, maps: dict[str, dict], seasons: Sequence[int], tolerance: float = 0.05) -> DataFrame:
+def polarity(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], side: str, maps: dict[str, dict], seasons: Sequence[int], tolerance: float = 0.25) -> DataFrame:
     """(polarity, pairs, total, ratio): the total cost of the assignment under each mapping of a's sides to b's, and its ratio to the least.
 
     Ids are matched within mapped sides only. A ratio near 1 for the other mapping means that signatures don't tell sides apart.
