@@ -197,41 +197,6 @@ def orthogonalise(df: DataFrame, block: list[str], on: list[str], fit: Column) -
     return df.withColumns(less)
 
 
-def fit_recalibration(df: DataFrame, y: str = "y", p: str = "p", steps: int = 8) -> tuple[float, float]:
-    """(a, b) of sigmoid(a + b * logit(p)) with least squared error, by damped Gauss-Newton on aggregated gradients."""
-    from ..functions.scalars import logit, sigmoid
-
-    z = df.select(F.col(y).cast("double").alias("y"), logit(F.col(p)).alias("z")).groupBy("y", F.round("z", 4).alias("z")).agg(F.count("*").alias("n"))
-    z = z.cache()
-    a, b = 0.0, 1.0
-    for _ in range(steps):
-        s = sigmoid(a + b * F.col("z"))
-        j = s * (1 - s)
-        r = F.col("y") - s
-        n = F.col("n")
-        g = z.agg(F.sum(n * j * j), F.sum(n * j * j * F.col("z")), F.sum(n * j * j * F.col("z") * F.col("z")), F.sum(n * j * r), F.sum(n * j * r * F.col("z"))).first()
-        if g[0] is None:
-            break
-        h = np.array([[g[0], g[1]], [g[1], g[2]]]) + 1e-6 * g[0] * np.eye(2)
-        step = np.linalg.solve(h, np.array([g[3], g[4]]))
-        a, b = a + float(np.clip(step[0], -1, 1)), b + float(np.clip(step[1], -1, 1))
-    z.unpersist()
-    return a, b
-
-
-def isotonic_map(df: DataFrame, y: str = "y", p: str = "p", bins: int = 200) -> list[tuple[float, float]]:
-    """A non-decreasing step map as (mean p, rate), by pooling adjacent violators over ``bins`` quantile-free equal bins."""
-    cells = df.groupBy(F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.avg(p).alias("p"), F.avg(y).alias("y")).orderBy("b").collect()
-    pools: list[list[float]] = []
-    for r in cells:
-        pools.append([r["n"], r["p"], r["y"]])
-        while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
-            n1, p1, y1 = pools.pop()
-            n0, p0, y0 = pools.pop()
-            pools.append([n0 + n1, (n0 * p0 + n1 * p1) / (n0 + n1), (n0 * y0 + n1 * y1) / (n0 + n1)])
-    return [(p_, y_) for _, p_, y_ in pools]
-
-
 def model_distances(df: DataFrame, models: list[str]) -> DataFrame:
     """Root mean squared difference and correlation of every pair of prediction columns, in one pass."""
     pairs = list(combinations(models, 2))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fitting as T
 from ..operators import joins as J
 from ..operators import matching as X
 from ..operators import resolve as E
@@ -277,7 +278,11 @@ def er11(spark, d):
 
 @query("er9_antimode_threshold")
 def er9(spark, d):
-    return E.antimode(J.margins(*_assigned(spark, d)), "margin_row", 50)
+    """The least dense place between two groups of margins: by a kernel estimate and by a mixture of two normal components."""
+    margins = J.margins(*_assigned(spark, d))
+    kernel = E.antimode(margins, "margin_row", 50).withColumn("method", F.lit("kernel"))
+    mixture = T.mixture_threshold(margins, "margin_row").withColumn("method", F.lit("mixture"))
+    return kernel.unionByName(mixture).select("method", r6("threshold").alias("threshold"), "bimodal")
 
 
 @query("jn13_greedy_match")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
+from ..operators import fitting as T
 from ..operators import history as H
 from ..operators import metrics as M
 from ..sources.tables import counted_log, line_log
@@ -119,16 +120,37 @@ def cal3(spark, d):
     return M.affine_grid(predictions(spark, d), [0.8, 1.0, 1.2], [-0.02, 0.0, 0.02], p="q").select("slope", "shift", r6("brier").alias("brier"))
 
 
+def _level(f):
+    """Entity and level terms of the recalibration: the entity's rate so far as a logit, and the day's distance from the middle."""
+    z = F.ln((F.col("k") + 2.0) / (F.col("n") - F.col("k") + 8.0))
+    return f.withColumns({"z": z, "t": (F.dayofmonth("ts") - 15) / 30.0})
+
+
 @query("cal4_recalibration")
 def cal4(spark, d):
-    f = predictions(spark, d)
-    a, b = M.fit_recalibration(f)
-    return spark.createDataFrame([(round(a, 4), round(b, 4))], "a double, b double")
+    """Four bounded parameters fitted on one season, and on all before the last, pooled, each with its own centres."""
+    f = _level(predictions(spark, d))
+    centres = {r["season"]: (r["z"], r["t"]) for r in f.groupBy("season").agg(F.avg("z").alias("z"), F.avg("t").alias("t")).collect()}
+    one = T.recalibrate([(f.filter("season = 3"), *centres[3])])
+    pooled = T.recalibrate([(f.filter(F.col("season") == s), *centres[s]) for s in (1, 2, 3)])
+    rows = [(name, *(round(w[k], 4) for k in "abcd"), round(w["brier"], 6)) for name, w in (("season", one), ("pooled", pooled))]
+    return spark.createDataFrame(rows, "fit string, a double, b double, c double, d double, brier double")
 
 
 @query("cal5_isotonic")
 def cal5(spark, d):
-    return spark.createDataFrame(M.isotonic_map(predictions(spark, d), p="q"), "p double, rate double")
+    pools = T.isotonic_pools(predictions(spark, d), p="q")
+    return pools.select("lo", "hi", "n", r6("rate").alias("rate"))
+
+
+@query("cal5b_isotonic_scores")
+def cal5b(spark, d):
+    """The map of one season applied to the next, with and without the shift between their base rates (of the seasons before)."""
+    f = predictions(spark, d)
+    rates = {r["season"]: r["r"] for r in f.groupBy("season").agg(F.avg("y").alias("r")).collect()}
+    fit = f.filter("season = 2")
+    at = T.isotonic_apply(f.filter("season = 3").select("row_id", "q"), T.isotonic_pools(fit, p="q"), "q")
+    return at.select("row_id", r6("c").alias("c"), r6(T.prior_shift(F.col("c"), rates[1], rates[2])).alias("shifted"))
 
 
 @query("cal7_segment_offset", f"WITH {PRED}, s AS (SELECT avg((kind = 'click')::INT) AS m FROM f) SELECT row_id, round(p + 0.05 * ((kind = 'click')::INT - m), 6) AS c FROM f, s")
@@ -222,3 +244,49 @@ def val6(spark, d):
     return s.groupBy("model").agg(*(r6(F.max(F.when(F.col("season") == i, F.col("brier")))).alias(f"s{i}") for i in range(5)), r6(F.avg("brier")).alias("mean"))
 
 
+#: Prediction q against p: each after its own affine fit, then both together.
+GEOMETRY = PRED + """, m AS (SELECT avg(y) AS r, 1e5 / (avg(y) * (1 - avg(y))) AS k, regr_slope(y, p) AS sp, regr_intercept(y, p) AS ip, regr_slope(y, q) AS sq, regr_intercept(y, q) AS iq,
+  var_pop(p) AS vp, var_pop(q) AS vq, covar_pop(p, q) AS cpq, covar_pop(p, y) AS cpy, covar_pop(q, y) AS cqy FROM f),
+x AS (SELECT m.*, y, ip + sp * p AS a, iq + sq * q AS b FROM f, m),
+s AS (SELECT any_value(k) AS k, 1e5 - any_value(k) * avg(power(a - y, 2)) AS score_a, 1e5 - any_value(k) * avg(power(b - y, 2)) AS score_b, avg(power(b - a, 2)) AS d2,
+  covar_pop(a, b - a) AS h, var_pop(a) AS va, any_value(k) * ((any_value(cpy) * (any_value(cpy) * any_value(vq) - any_value(cqy) * any_value(cpq)) + any_value(cqy) * (any_value(cqy) * any_value(vp) - any_value(cpy) * any_value(cpq)))
+    / (any_value(vp) * any_value(vq) - power(any_value(cpq), 2)) - power(any_value(cpy), 2) / any_value(vp)) AS refit_gain FROM x),
+g AS (SELECT *, greatest(0.0, least(1.0, 0.5 + (score_b - score_a) / (2 * k * d2))) AS w FROM s)"""
+
+
+@query("lin5_geometry", f"WITH {GEOMETRY} SELECT round(score_a, 3) AS score_a, round(score_b, 3) AS score_b, round(sqrt(d2), 6) AS distance, round(sqrt(d2 - h * h / va), 6) AS apart, round(w, 5) AS weight, round(w * (score_b - score_a) + k * w * (1 - w) * d2, 3) AS gain, round(refit_gain, 3) AS refit_gain FROM g")
+def lin5_geometry(spark, d):
+    """How far two models stand apart, and what mixing or refitting both would add."""
+    g = T.model_geometry(predictions(spark, d), "y", "p", "q")
+    digits = {"score_a": 3, "score_b": 3, "distance": 6, "apart": 6, "weight": 5, "gain": 3, "refit_gain": 3}
+    return spark.createDataFrame([tuple(round(g[k], n) for k, n in digits.items())], ", ".join(f"{k} double" for k in digits))
+
+
+@query("lin5b_joint_gain", f"WITH {PRED} SELECT round(1e5 / (avg(y) * (1 - avg(y))) * power(avg((q - 0.2) * (p - y)), 2) / avg(power(q - 0.2, 2)), 3) AS gain FROM f")
+def lin5b(spark, d):
+    f = predictions(spark, d).withColumn("z", F.col("q") - 0.2)
+    return spark.createDataFrame([(round(T.joint_gain(f, "y", "p", ["z"]), 3),)], "gain double")
+
+
+@query("lin5c_canonical")
+def lin5c(spark, d):
+    """Canonical correlations of two blocks of measures, angles between their spans, and the correlation of two partitions."""
+    f = predictions(spark, d).withColumns({"u": F.col("value") / 100, "v": F.col("partner") / 100.0, "m": F.log1p("n")})
+    rows = [("canonical", i, round(v, 5)) for i, v in enumerate(T.canonical_correlations(f, ["p", "m"], ["u", "v", "y"]))]
+    rows += [("angle", i, round(v, 5)) for i, v in enumerate(T.subspace_angles(f, ["p", "m"], ["u", "v"]))]
+    rows.append(("partition", 0, round(T.partition_correlation(f, "kind", "season"), 5)))
+    return spark.createDataFrame(rows, "measure string, i int, v double")
+
+
+@query("ens3_stacking")
+def ens3(spark, d):
+    """Stacks of three ridge members, fitted on predictions from out of each pair of months, applied to the next year."""
+    li = line_log(spark, d).select("season", F.floor((F.col("month") - 1) / 2).cast("int").alias("block"), (F.col("quantity") / 50).alias("quantity"), (F.col("price") / 1e5).alias("price"), (F.col("discount") * 10).alias("discount"), (F.col("partner") % 13 / 13).alias("part"), "y")
+    out, _ = T.stack_by_blocks(li, {"size": ["quantity", "price"], "rebate": ["discount"], "part": ["part", "quantity"]}, "y", "season", "block", [1.0, 100.0, 10000.0])
+    return out.select("fit", "target", "lam", "n", *(r6(c).alias(c) for c in ("brier", "fixed", "gain")), F.transform("weights", lambda w: F.round(w, 4)).alias("weights"))
+
+
+@query("ml4_one_hot_member")
+def ml4(spark, d):
+    w = T.one_hot_member(predictions(spark, d).withColumn("month_third", F.floor(F.dayofmonth("ts") / 10)), ["kind", "season", "month_third"])
+    return w.select("column", "value", F.round("weight", 4).alias("weight"))
