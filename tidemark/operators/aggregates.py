@@ -87,12 +87,18 @@ def slope(y: Column, x: Column, least: int = 3) -> Column:
     return F.when((n >= least) & (F.var_pop(F.when(both, x)) > 1e-12), F.regr_slope(F.when(both, y), F.when(both, x)))
 
 
-def transition_shares(df: DataFrame, entity: list[str], order: str, category: str) -> DataFrame:
-    """Share of each (previous, current) pair of categories among an entity's steps."""
-    w = Window.partitionBy(*entity).orderBy(order)
-    steps = df.select(*entity, F.lag(category).over(w).alias("prev"), F.col(category).alias("cur")).filter("prev IS NOT NULL")
-    cells = steps.groupBy(*entity, "prev", "cur").agg(F.count("*").alias("n"))
-    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*entity)))
+def trend(y: Column, x: Column, least: int = 3) -> Column:
+    """Slope of y over x: NULL for fewer than ``least`` points that have both, 0 where x doesn't vary."""
+    both = y.isNotNull() & x.isNotNull()
+    return F.when(F.count(F.when(both, F.lit(1))) >= least, F.coalesce(slope(y, x, least), F.lit(0.0)))
+
+
+def transition_shares(df: DataFrame, by: list[str], within: list[str], order: str, category: str) -> DataFrame:
+    """Share of each (previous, current) pair of categories among the steps of each ``by``; a step stays ``within`` its keys (an entity's game, say)."""
+    w = Window.partitionBy(*within).orderBy(order)
+    steps = df.select(*by, F.lag(category).over(w).alias("prev"), F.col(category).alias("cur")).filter("prev IS NOT NULL")
+    cells = steps.groupBy(*by, "prev", "cur").agg(F.count("*").alias("n"))
+    return cells.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
 def gate(df: DataFrame, arm: str, delta: str) -> DataFrame:

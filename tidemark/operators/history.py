@@ -63,6 +63,31 @@ def season_increment(ends: DataFrame, entity: str = "entity", season: str = "sea
     return d.select(entity, season, "dn", F.greatest(F.lit(0), F.least("dk", "dn")).alias("dk"))
 
 
+def completed_seasons(ends: DataFrame, weight: float = 200.0, least: int = 50, entity: str = "entity", season: str = "season") -> DataFrame:
+    """What is known once a season is over, per (entity, season): of its increment log(1 + n) as ``ps_logn`` and the rate shrunk to one
+    half as ``ps_sm``, the rate's change to the season before as ``ps_trend``, and the deviation of all seasons' own rates so far as ``ps_vol``.
+
+    A season counts by what it adds to the one before, so an entity's first has no value. Own rates need ``least`` rows, the deviation two of them.
+    """
+    w = Window.partitionBy(entity).orderBy(season)
+    n, k = F.col("n_end") - F.lag("n_end").over(w), F.col("k_end") - F.lag("k_end").over(w)
+    d = ends.withColumns({"_n": F.when(n >= 1, n), "_k": k}).withColumns({"ps_sm": (F.col("_k") + weight / 2) / (F.col("_n") + weight), "_own": F.when(F.col("_n") >= least, F.col("_k") / F.col("_n"))})
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    spread = F.when(F.count("_own").over(upto) >= 2, F.stddev_samp("_own").over(upto))
+    return d.select(entity, season, F.log1p("_n").alias("ps_logn"), "ps_sm", (F.col("ps_sm") - F.lag("ps_sm").over(w)).alias("ps_trend"), spread.alias("ps_vol"))
+
+
+def latest_before(rows: DataFrame, table: DataFrame, values: list[str], entity: str = "entity", season: str = "season") -> DataFrame:
+    """Rows with the values of the entity's last season in ``table`` before their own; NULL without one.
+
+    The table is laid out over the grid of entities and seasons and joined by equal keys.
+    """
+    seasons = rows.select(season).union(table.select(season)).distinct()
+    grid = table.select(entity).distinct().crossJoin(F.broadcast(seasons)).join(table.select(entity, season, F.struct(*values).alias("_v")), [entity, season], "left")
+    last = grid.select(entity, season, F.last("_v", True).over(before(entity, season)).alias("_v"))
+    return rows.join(last, [entity, season], "left").select(*rows.columns, *(F.col(f"_v.{v}").alias(v) for v in values))
+
+
 def in_season_split(rows: DataFrame, K: float = 100.0, prefix: str = "is") -> DataFrame:
     """Splits career counters (n, k) by the season-end base (base_n_end, base_k_end) into this season's part.
 

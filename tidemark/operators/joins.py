@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def on_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on equal keys, where null equals null; the keys are the left's."""
+    r = right.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & left[k].eqNullSafe(r[f"_key{i}"])
+    return left.join(r, same, how).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
 def season_offset(rows: DataFrame, profile: DataFrame, values: list[str], offset: int = 1, entity: str = "entity", season: str = "season") -> DataFrame:
     """Each row with its entity's profile of ``offset`` seasons before, as ``prev<offset>_<value>``; NULL if it has none."""
     p = profile.select(entity, (F.col(season) + offset).alias(season), *(F.col(v).alias(f"prev{offset}_{v}") for v in values))

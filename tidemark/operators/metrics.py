@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import on_keys
 from .ordered import numbered, quantiles
 
 SCALE = 1e5
@@ -265,4 +266,4 @@ def placebo_swap(profile: DataFrame, entity: str, seed: int = 5, by: list[str] =
     a = numbered(e, [*by, entity], "_r")
     b = numbered(e, [*by, key, entity], "_r").select("_r", F.col(entity).alias("_to"))
     swap = a.join(b, "_r").drop("_r")
-    return profile.join(swap, [*by, entity]).drop(entity).withColumnRenamed("_to", entity)
+    return on_keys(profile, swap, [*by, entity]).drop(entity).withColumnRenamed("_to", entity)

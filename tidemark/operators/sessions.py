@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import before
+from .joins import on_keys
 from .ordered import running
 
 
@@ -90,12 +91,19 @@ def ranked_by_range(counts: DataFrame, value: str, n: str) -> DataFrame:
     return own.join(F.broadcast(start), "_p").select(value, ((2 * (F.col("_start") + F.col("_upto")) - F.col(n)) / (2.0 * F.col("_total"))).alias("pct"))
 
 
-def bands(counts: DataFrame, entity: str = "entity", order: str = "session", a: float = 2.0, k: float = 10.0) -> DataFrame:
-    """Adds shrunk rates over one, two to three and four to five sessions back; NULL if one of them is missing."""
-    w = Window.partitionBy(entity).orderBy(order)
-    lag = lambda c, i: F.lag(c, i).over(w)
-    rate = lambda i: (sum((lag("k", j) for j in i[1:]), lag("k", i[0])) + a) / (sum((lag("n", j) for j in i[1:]), lag("n", i[0])) + k)
-    return counts.withColumns({"band1": rate([1]), "band23": rate([2, 3]), "band45": rate([4, 5])})
+def bands(counts: DataFrame, by: list[str] = ("entity", "season"), order: str = "session", weight: float = 20.0) -> DataFrame:
+    """Adds what the last five sessions of the same group (entity and season) were: bands of one, two to three and four to five back.
+
+    Of each band log(1 + n) and the rate shrunk to one half, with ``weight`` for one session and twice that for two; ``trend`` is the
+    first band's rate less the last's, ``workload`` the last session's n less the mean of five. NULL where a session is missing.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    total = lambda c, i: sum((F.lag(c, j).over(w) for j in i[1:]), F.lag(c, i[0]).over(w))
+    spans = {"1": [1], "23": [2, 3], "45": [4, 5]}
+    n = {b: total("n", i) for b, i in spans.items()}
+    rate = {b: (total("k", i) + weight * len(i) / 2) / (n[b] + weight * len(i)) for b, i in spans.items()}
+    out = {f"log{b}": F.log1p(n[b]) for b in spans} | {f"band{b}": rate[b] for b in spans}
+    return counts.withColumns(out | {"trend": rate["1"] - rate["45"], "workload": n["1"] - (n["1"] + n["23"] + n["45"]) / 5.0})
 
 
 def prefix_profile(cells: DataFrame, keys: list[str], sums: list[str], season: str = "season", ahead: int = 0) -> DataFrame:
@@ -105,17 +113,17 @@ def prefix_profile(cells: DataFrame, keys: list[str], sums: list[str], season: s
         seasons = seasons.union(seasons.agg(F.max(season).alias(season)).select(F.explode(F.sequence(F.col(season) + 1, F.col(season) + ahead))))
     grid = cells.select(*keys).distinct().crossJoin(F.broadcast(seasons))
     w = before(keys, season)
-    d = grid.join(cells, [*keys, season], "left")
+    d = on_keys(grid, cells.select(*keys, season, *sums), [*keys, season], "left")
     return d.select(*keys, season, *(F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in sums))
 
 
 def z_in_group(df: DataFrame, value: str, by: list[str], out: str = "z") -> DataFrame:
-    """Adds the value's distance from its group's mean in sample standard deviations; NULL where that is 0 or unknown.
+    """Adds the value's distance from its group's mean in sample standard deviations; NULL where that is 0 or unknown; a null key is a group.
 
     Groups are aggregated and joined back, so a group with a third of the rows isn't sorted in one task.
     """
     stats = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    return df.join(stats, by).withColumn(out, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
+    return on_keys(df, stats, by).withColumn(out, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s"))).drop("_m", "_s")
 
 
 def double_centred(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
@@ -123,7 +131,7 @@ def double_centred(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
     ma = df.groupBy(a).agg(F.avg(value).alias("_a"))
     mb = df.groupBy(b).agg(F.avg(value).alias("_b"))
     m = df.agg(F.avg(value).alias("_m"))
-    d = df.join(ma, a).join(mb, b).crossJoin(F.broadcast(m))
+    d = on_keys(on_keys(df, ma, [a]), mb, [b]).crossJoin(F.broadcast(m))
     return d.withColumn("centred", F.col(value) - F.col("_a") - F.col("_b") + F.col("_m")).drop("_a", "_b", "_m")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import logit
 from ..sources.files import materialised
+from .joins import on_keys
 
 
 def innovation(rows: DataFrame, kappa: float, league: float) -> DataFrame:
@@ -17,11 +18,17 @@ def innovation(rows: DataFrame, kappa: float, league: float) -> DataFrame:
     return d.withColumns({"innovation": F.col("q_post") - F.col("q_prior"), "reliability": F.col("is_n") / (F.col("is_n") + kappa), "log_dn": F.log1p("is_n")})
 
 
-def log_ratio_mix(df: DataFrame, counts: list[str], prior: dict[str, float], strength: float, floor: float = 1e-4) -> DataFrame:
-    """Dirichlet posterior of category counts, as log ratios to the first category."""
-    total = sum((F.col(c) for c in counts[1:]), F.col(counts[0]))
-    post = {c: F.greatest(F.lit(floor), (F.col(c) + strength * prior[c]) / (total + strength)) for c in counts}
-    return df.withColumns({f"lr_{c}": F.ln(post[c] / post[counts[0]]) for c in counts[1:]})
+def log_ratio_mix(df: DataFrame, counts: list[str], league: dict[str, float], kappa: float, floor: float = 1e-4) -> DataFrame:
+    """A season's mix so far as a Dirichlet posterior around the entity's own base mix, as log ratios to the first category.
+
+    Rows have what the season has added (dn, d_<count>) and the base before it (base_n, base_<count>). Without a base the prior is
+    the league's mix. Adds lr_<count> for all but the first, ``reliability`` dn / (dn + kappa) and ``innovation``, the first one's departure from its prior.
+    """
+    prior = {c: F.when(F.col("base_n") > 0, F.col(f"base_{c}") / F.col("base_n")).otherwise(F.lit(league[c])) for c in counts}
+    post = {c: (F.least("dn", F.greatest(F.lit(0), F.col(f"d_{c}"))) + kappa * prior[c]) / (F.col("dn") + kappa) for c in counts}
+    at = {c: F.least(F.lit(1.0), F.greatest(F.lit(floor), post[c])) for c in counts}
+    first = counts[0]
+    return df.withColumns({f"lr_{c}": F.ln(at[c] / at[first]) for c in counts[1:]} | {"reliability": F.col("dn") / (F.col("dn") + kappa), "innovation": post[first] - prior[first]})
 
 
 def season_prior(increments: DataFrame, target: DataFrame, rho: float, K: float, default: float, least: float = 25.0, most: float = 800.0, entity: str = "entity", season: str = "season") -> DataFrame:
@@ -86,7 +93,7 @@ def apply_artifact(rows: DataFrame, artifact: DataFrame, season: str = "season",
 def residual_effects(rows: DataFrame, spec: list[tuple[str, list[str], float]], residual: str, weight: str | None = None, passes: int = 2) -> list[tuple[str, list[str], DataFrame]]:
     """Effects of (composite) keys by backfitting: of each component (name, keys, shrink), in each pass, what is left is learnt and taken off.
 
-    effect = sum(w * r) / (sum(w) + shrink). A later pass adds to the former ones: there are as many tables as
+    effect = sum(w * r) / (sum(w) + shrink); a null key is a key like others. A later pass adds to the former ones: there are as many tables as
     components times passes, (name + pass, keys, table of keys and effect), and their effects are summed.
 
     Rows are aggregated once, to the distinct combinations of all keys; each step works on these and is written, so
@@ -100,7 +107,7 @@ def residual_effects(rows: DataFrame, spec: list[tuple[str, list[str], float]],
         for name, keys, shrink in spec:
             table = materialised(cells.groupBy(*keys).agg((F.sum("_s") / (F.sum("_w") + shrink)).alias("effect")))
             out.append((f"{name}{number}", keys, table))
-            cells = materialised(cells.join(table, keys).withColumn("_s", F.col("_s") - F.col("_w") * F.col("effect")).drop("effect"))
+            cells = materialised(on_keys(cells, table, keys).withColumn("_s", F.col("_s") - F.col("_w") * F.col("effect")).drop("effect"))
     return out
 
 
@@ -108,7 +115,7 @@ def apply_effects(rows: DataFrame, components: list[tuple[str, list[str], DataFr
     """Rows with ``correction``: the sum of all components' effects; a key that wasn't met has none."""
     d = rows.withColumn("correction", F.lit(0.0))
     for _, keys, table in components:
-        d = d.join(table, keys, "left").withColumn("correction", F.col("correction") + F.coalesce("effect", F.lit(0.0))).drop("effect")
+        d = on_keys(d, table, keys, "left").withColumn("correction", F.col("correction") + F.coalesce("effect", F.lit(0.0))).drop("effect")
     return d
 
 
@@ -125,15 +132,33 @@ def shrunk_logit(df: DataFrame, K: float, rho: float, league: float) -> Column:
     return rho * logit(p) + (1 - rho) * logit(F.lit(league))
 
 
-def extrapolate(levels: DataFrame, by: list[str], season: str, rate: str, ahead: int, last: int = 3, lo: float = 0.30, hi: float = 0.70) -> DataFrame:
-    """A linear forecast from the last seasons of each group, clipped; the last level where there are fewer than ``last``."""
-    w = Window.partitionBy(*by).orderBy(F.desc(season))
-    d = levels.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= last)
-    g = d.groupBy(*by).agg(F.count("*").alias("m"), F.max(season).alias("s"), F.max_by(rate, season).alias("level"), F.regr_slope(rate, season).alias("b"), F.regr_intercept(rate, season).alias("a"))
-    f = F.when(F.col("m") >= last, F.col("a") + F.col("b") * (F.col("s") + ahead)).otherwise(F.col("level"))
+def extrapolate(levels: DataFrame, by: list[str], season: str, rate: str, target: int, last: int = 3, lo: float = 0.30, hi: float = 0.70) -> DataFrame:
+    """(by, forecast): each group's rate in ``target`` by the line through the ``last`` seasons directly before it, clipped.
+
+    Where one of these is missing, the last level that is known (before the target).
+    """
+    d = levels.filter((F.col(season) < target) & F.col(rate).isNotNull())
+    near = F.col(season) >= target - last
+    x, y = F.when(near, F.col(season)), F.when(near, F.col(rate))
+    g = d.groupBy(*by).agg(F.count(x).alias("m"), F.max_by(rate, season).alias("level"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    f = F.when(F.col("m") == last, F.col("a") + F.col("b") * target).otherwise(F.col("level"))
     return g.select(*by, F.greatest(F.lit(lo), F.least(F.lit(hi), f)).alias("forecast"))
 
 
+def segment_forecasts(levels: DataFrame, segment: str, base: str, season: str, rate: str, target: int, weight: float = 0.5, last: int = 3, lo: float = 0.30, hi: float = 0.70) -> DataFrame:
+    """(segment, forecast): the base segment by its line, each other by the base's forecast plus ``weight`` times how far it stood from the base in the season before.
+
+    A segment without that season, or whose base lacks it, has the base's forecast.
+    """
+    own = F.broadcast(extrapolate(levels.filter(F.col(segment) == base), [], season, rate, target, last, lo, hi))
+    before = F.when(F.col(season) == target - 1, F.col(rate))
+    at = levels.groupBy(segment).agg(F.max(before).alias("_last"))
+    ref = F.broadcast(levels.filter(F.col(segment) == base).agg(F.max(before).alias("_ref")))
+    moved = F.greatest(F.lit(lo), F.least(F.lit(hi), F.col("forecast") + weight * (F.col("_last") - F.col("_ref"))))
+    d = at.crossJoin(own).crossJoin(ref)
+    return d.select(segment, F.when((F.col(segment) == base) | F.col("_last").isNull() | F.col("_ref").isNull(), F.col("forecast")).otherwise(moved).alias("forecast"))
+
+
 def nearest_grid_point(rows: DataFrame, grid: DataFrame, id_col: str, measures: dict[str, float], point: str) -> DataFrame:
     """(id, point): the grid point nearest to each row in scaled measures. The grid is small and broadcast (at most 10,000 points, checked)."""
     if grid.limit(10_001).count() > 10_000:

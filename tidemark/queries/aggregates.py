@@ -139,17 +139,18 @@ def agg18(spark, d):
     return line_log(spark, d).filter("discount > 0.02").groupBy("entity", "grp").agg(F.round(A.slope(F.col("price"), F.col("quantity"), 5), 4).alias("slope"))
 
 
-@query("agg19_trend_slope", f"WITH {LI}, s AS (SELECT entity, season, avg(y) AS rate FROM li GROUP BY ALL) SELECT entity, round(coalesce(CASE WHEN count(*) >= 3 THEN regr_slope(rate, season) END, 0), 6) AS trend FROM s GROUP BY entity")
+@query("agg19_trend_slope", f"WITH {LI}, s AS (SELECT entity, grp, season, avg(y) AS rate FROM li GROUP BY ALL) SELECT entity, grp, round(CASE WHEN count(*) >= 3 THEN regr_slope(rate, season) END, 6) AS trend FROM s GROUP BY entity, grp")
 def agg19(spark, d):
-    s = line_log(spark, d).groupBy("entity", "season").agg(F.avg("y").alias("rate"))
-    return s.groupBy("entity").agg(r6(F.coalesce(A.slope(F.col("rate"), F.col("season")), F.lit(0.0))).alias("trend"))
+    s = line_log(spark, d).groupBy("entity", "grp", "season").agg(F.avg("y").alias("rate"))
+    return s.groupBy("entity", "grp").agg(r6(A.trend(F.col("rate"), F.col("season"))).alias("trend"))
 
 
-@query("agg20_transition_shares", f"""WITH {EV}, t AS (SELECT entity, lag(kind) OVER (PARTITION BY entity ORDER BY row_id) AS prev, kind AS cur FROM ev),
-c AS (SELECT entity, prev, cur, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY ALL)
-SELECT entity, prev, cur, n, round(n / sum(n) OVER (PARTITION BY entity), 6) AS share FROM c""")
+@query("agg20_transition_shares", f"""WITH {EV}, t AS (SELECT entity, season, lag(kind) OVER (PARTITION BY entity, CAST(ts AS DATE) ORDER BY row_id) AS prev, kind AS cur FROM ev),
+c AS (SELECT entity, season, prev, cur, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY ALL)
+SELECT entity, season, prev, cur, n, round(n / sum(n) OVER (PARTITION BY entity, season), 6) AS share FROM c""")
 def agg20(spark, d):
-    return A.transition_shares(event_log(spark, d), ["entity"], "row_id", "kind").select("entity", "prev", "cur", "n", r6("share").alias("share"))
+    e = event_log(spark, d).withColumn("day", F.to_date("ts"))
+    return A.transition_shares(e, ["entity", "season"], ["entity", "day"], "row_id", "kind").select("entity", "season", "prev", "cur", "n", r6("share").alias("share"))
 
 
 @query("agg21_share_entropy", f"WITH {EV}, c AS (SELECT entity, kind, count(*) AS n FROM ev GROUP BY ALL), p AS (SELECT entity, n / sum(n) OVER (PARTITION BY entity) AS p FROM c) SELECT entity, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY entity")

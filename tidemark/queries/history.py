@@ -241,22 +241,31 @@ def win20(spark, d):
     return H.recover_events(counted_log(spark, d)).select("row_id", "recovered")
 
 
-@query("win21_session_bands", f"""WITH {SESSION}, c AS (SELECT entity, session, count(*) AS n, sum(y) AS k FROM s GROUP BY ALL)
-SELECT entity, session, round((lag(k, 1) OVER w + 2.0) / (lag(n, 1) OVER w + 10.0), 6) AS band1, round((lag(k, 2) OVER w + lag(k, 3) OVER w + 2.0) / (lag(n, 2) OVER w + lag(n, 3) OVER w + 10.0), 6) AS band23,
-  round((lag(k, 4) OVER w + lag(k, 5) OVER w + 2.0) / (lag(n, 4) OVER w + lag(n, 5) OVER w + 10.0), 6) AS band45 FROM c WINDOW w AS (PARTITION BY entity ORDER BY session)""")
+@query("win21_session_bands", f"""WITH {SESSION}, c AS (SELECT entity, season, session, count(*) AS n, sum(y) AS k FROM s GROUP BY ALL),
+l AS (SELECT *, lag(n, 1) OVER w AS n1, lag(k, 1) OVER w AS k1, lag(n, 2) OVER w + lag(n, 3) OVER w AS n23, lag(k, 2) OVER w + lag(k, 3) OVER w AS k23,
+  lag(n, 4) OVER w + lag(n, 5) OVER w AS n45, lag(k, 4) OVER w + lag(k, 5) OVER w AS k45 FROM c WINDOW w AS (PARTITION BY entity, season ORDER BY session))
+SELECT entity, season, session, round(ln(1 + n1), 6) AS log1, round(ln(1 + n23), 6) AS log23, round(ln(1 + n45), 6) AS log45, round((k1 + 10.0) / (n1 + 20.0), 6) AS band1, round((k23 + 20.0) / (n23 + 40.0), 6) AS band23,
+  round((k45 + 20.0) / (n45 + 40.0), 6) AS band45, round((k1 + 10.0) / (n1 + 20.0) - (k45 + 20.0) / (n45 + 40.0), 6) + 0.0 AS trend, round(n1 - (n1 + n23 + n45) / 5.0, 6) + 0.0 AS workload FROM l""")
 def win21(spark, d):
-    c = sessions_of(spark, d).groupBy("entity", "session").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    return S.bands(c).select("entity", "session", *(r6(b).alias(b) for b in ("band1", "band23", "band45")))
-
-
-@query("win22_completed_seasons", f"""WITH {ENDS}, i AS (SELECT entity, season, n_end - coalesce(lag(n_end) OVER w, 0) AS dn, k_end - coalesce(lag(k_end) OVER w, 0) AS dk FROM ends WINDOW w AS (PARTITION BY entity ORDER BY season)),
-r AS (SELECT *, CASE WHEN dn >= 5 THEN dk / dn END AS rate FROM i)
-SELECT entity, season, round(lag(rate) OVER w, 6) AS last, round(lag(rate, 1) OVER w - lag(rate, 3) OVER w, 6) AS trend,
-  round(CASE WHEN count(rate) OVER p >= 2 THEN stddev_samp(rate) OVER p END, 6) AS volatility FROM r WINDOW w AS (PARTITION BY entity ORDER BY season), p AS (PARTITION BY entity ORDER BY season {PRE})""")
+    c = sessions_of(spark, d).groupBy("entity", "season", "session").agg(F.count("*").alias("n"), F.sum("y").alias("k"))
+    b = S.bands(c)
+    return b.select("entity", "season", "session", *(r6(c).alias(c) for c in ("log1", "log23", "log45", "band1", "band23", "band45")), *((r6(c) + F.lit(0.0)).alias(c) for c in ("trend", "workload")))
+
+
+#: Seasons of five rows or more count for the volatility here, since the event log's are short; the operator's default is 50.
+@query("win22_completed_seasons", f"""WITH {ENDS}, i AS (SELECT *, lag(n_end) OVER w AS pn, lag(k_end) OVER w AS pk FROM ends WINDOW w AS (PARTITION BY entity ORDER BY season)),
+r AS (SELECT *, CASE WHEN n_end - pn >= 1 THEN n_end - pn END AS dn, k_end - pk AS dk, CASE WHEN n_end - pn >= 5 THEN (k_end - pk) / (n_end - pn) END AS own FROM i),
+t AS (SELECT *, (dk + 100.0) / (dn + 200.0) AS sm FROM r),
+s AS (SELECT entity, season, max(season) OVER w AS last_season, sm, dn, own, lag(sm) OVER w AS sm0 FROM t WINDOW w AS (PARTITION BY entity ORDER BY season)),
+lg AS (SELECT l.row_id, l.entity, l.season, l.n, l.k, e.sm, e.dn, e.sm - e.sm0 AS trend, (SELECT CASE WHEN count(own) >= 2 THEN stddev_samp(own) END FROM s x WHERE x.entity = l.entity AND x.season < l.season) AS vol
+  FROM log l ASOF LEFT JOIN s e ON l.entity = e.entity AND l.season > e.season)
+SELECT row_id, round(ln(1 + dn), 6) AS ps_logn, round(sm, 6) AS ps_sm, round(sm - (k + 250.0) / (n + 500.0), 6) + 0.0 AS ps_delta, round(trend, 6) + 0.0 AS ps_trend, round(vol, 6) AS ps_vol FROM lg""")
 def win22(spark, d):
-    i = H.season_increment(H.season_end(counted_log(spark, d))).withColumn("rate", F.when(F.col("dn") >= 5, F.col("dk") / F.col("dn")))
-    w, p = Window.partitionBy("entity").orderBy("season"), H.before("entity", "season")
-    return i.select("entity", "season", r6(F.lag("rate").over(w)).alias("last"), r6(F.lag("rate").over(w) - F.lag("rate", 3).over(w)).alias("trend"), r6(F.when(F.count("rate").over(p) >= 2, F.stddev_samp("rate").over(p))).alias("volatility"))
+    log = counted_log(spark, d)
+    c = H.completed_seasons(H.season_end(log), least=5)
+    out = H.latest_before(log, c, ["ps_logn", "ps_sm", "ps_trend", "ps_vol"])
+    out = out.withColumn("ps_delta", F.col("ps_sm") - (F.col("k") + 250.0) / (F.col("n") + 500.0))
+    return out.select("row_id", *((r6(c) + F.lit(0.0)).alias(c) for c in ("ps_logn", "ps_sm", "ps_delta", "ps_trend", "ps_vol")))
 
 
 @query("win23_prefix_profile", f"""WITH {LI}, c AS (SELECT entity, grp, season, count(*) AS n, sum(quantity) AS s FROM li GROUP BY ALL),

@@ -12,12 +12,24 @@ from .registry import EV, LI, query, r6
 CELLS = LI + ", c AS (SELECT entity, season, grp, count(*) AS n, sum(quantity) AS s, sum(quantity * quantity) AS q FROM li GROUP BY ALL)"
 
 
-@query("ph1_career_prefix", f"""WITH {CELLS}, w AS (SELECT entity, season, """ + ", ".join(f"sum({c}) FILTER (grp = '{g}') AS {c}_{g}" for g in "FO" for c in "nsq") + """ FROM c GROUP BY ALL),
-p AS (SELECT entity, season, """ + ", ".join(f"coalesce(sum({c}_{g}) OVER (PARTITION BY entity ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {c}_{g}" for g in "FO" for c in "nsq") + """ FROM w)
-SELECT entity, season, """ + ", ".join(f'round(CASE WHEN n_{g} >= 100 THEN s_{g} / n_{g} END, 6) AS "mean_{g}", round(CASE WHEN n_{g} >= 100 THEN sqrt(greatest(0.0, (q_{g} - s_{g} * s_{g} / n_{g}) / (n_{g} - 1))) END, 6) AS "sd_{g}"' for g in "FO") + " FROM p")
+#: z of three measures within (season, group), and their cells.
+Z = LI + """, z AS (SELECT *, """ + ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) AS z_{c}" for c in ("quantity", "price", "discount")) + """ FROM li WINDOW w AS (PARTITION BY season, grp)),
+zc AS (SELECT entity, season, grp, """ + ", ".join(f"count(z_{c}) AS n_{c}, sum(z_{c}) AS s_{c}, CASE WHEN count(z_{c}) >= 2 THEN sum(z_{c} * z_{c}) - sum(z_{c}) * sum(z_{c}) / count(z_{c}) ELSE 0 END AS ss_{c}, CASE WHEN count(z_{c}) >= 2 THEN count(z_{c}) - 1 ELSE 0 END AS df_{c}" for c in ("quantity", "price", "discount")) + """, count(*) AS rows, sum(y) AS flagged FROM z GROUP BY ALL),
+seasons AS (SELECT DISTINCT season FROM li UNION SELECT max(season) + 1 FROM li)"""
+
+
+def _cells(spark, d):
+    return P.measured_cells(line_log(spark, d), "entity", "season", "grp", ["quantity", "price", "discount"], "y")
+
+
+@query("ph1_career_prefix", f"""WITH {Z}, p AS (SELECT e.entity, q.season, sum(ss_quantity) AS ss, sum(df_quantity) AS df, sum(ss_price + ss_discount) AS ms, sum(df_price + df_discount) AS md, sum(n_quantity) FILTER (grp = 'F') AS vn, sum(s_quantity) FILTER (grp = 'F') AS vs,
+  sum(n_price) FILTER (grp = 'F') AS pn, sum(s_price) FILTER (grp = 'F') AS ps, sum(n_quantity) FILTER (grp = 'O') AS o_n, sum(s_quantity) FILTER (grp = 'O') AS o_s, sum(n_quantity) AS tn, sum(rows) AS rn, sum(flagged) AS rf
+  FROM (SELECT DISTINCT entity FROM li) e CROSS JOIN seasons q LEFT JOIN zc ON zc.entity = e.entity AND zc.season < q.season GROUP BY ALL)
+SELECT entity, season, """ + ", ".join(f"round(CASE WHEN tn >= 100 THEN {v} END, 6) AS {k}" for k, v in {
+    "sd_speed": "sqrt(greatest(0.0, ss / nullif(df, 0)))", "sd_move": "sqrt(greatest(0.0, ms / nullif(md, 0)))", "speed_main": "CASE WHEN vn >= 30 THEN vs / vn END", "spin_main": "CASE WHEN pn >= 30 THEN ps / pn END",
+    "separation": "CASE WHEN vn >= 30 THEN vs / vn END - CASE WHEN o_n >= 30 THEN o_s / o_n END", "share": "rf / nullif(rn, 0)"}.items()) + " FROM p")
 def ph1(spark, d):
-    cells = A.cell_moments(line_log(spark, d), ["entity", "season", "grp"], "quantity")
-    p = P.career_prefix(cells, "entity", "season", "grp", ["F", "O"], 100)
+    p = P.career_prefix(_cells(spark, d), "entity", "season", "grp", "F", "O", "quantity", "price", ["price", "discount"], ahead=1)
     return p.select("entity", "season", *(r6(c).alias(c) for c in p.columns[2:]))
 
 
@@ -41,17 +53,27 @@ def ph3(spark, d):
     return P.group_mix(mix, profile, "entity", {"F": "share_F", "O": "share_O"}).select("entity", "season", r6("mixed").alias("mixed"))
 
 
-@query("ph4_conditional_delta", f"""WITH {LI}, c AS (SELECT entity, grp, month, count(*) AS n, sum(quantity) AS s FROM li GROUP BY ALL)
-SELECT entity, grp, month, n, round((s / n - sum(s) OVER w / sum(n) OVER w) * n / (n + 30.0), 6) AS delta FROM c WINDOW w AS (PARTITION BY entity, grp)""")
+@query("ph4_conditional_delta", f"""WITH {Z}, c AS (SELECT entity, season, grp, month, count(z_quantity) AS n, coalesce(sum(z_quantity), 0) AS s FROM z GROUP BY ALL),
+k AS (SELECT entity, grp, month, q.season, sum(n) AS n, sum(s) AS s FROM seasons q JOIN c ON c.season < q.season GROUP BY ALL HAVING sum(n) > 0), b AS (SELECT entity, grp, q.season, sum(n) AS bn, sum(s) AS bs FROM seasons q JOIN c ON c.season < q.season GROUP BY ALL)
+SELECT entity, season, grp, month, CAST(n AS BIGINT) AS n, round(CASE WHEN bn >= 30 THEN (s / n - bs / bn) * n / (n + 30.0) ELSE 0 END, 6) + 0.0 AS delta FROM k JOIN b USING (entity, grp, season)""")
 def ph4(spark, d):
-    return P.conditional_delta(line_log(spark, d), "entity", "grp", "month", "quantity", 30.0).select("entity", "grp", "month", "n", r6("delta").alias("delta"))
+    return P.conditional_delta(line_log(spark, d), "entity", "season", "grp", "month", "quantity", ahead=1).select("entity", "season", "grp", "month", "n", (r6("delta") + F.lit(0.0)).alias("delta"))
 
 
-@query("ph5_posterior_tilt", f"""WITH {EV}, c AS (SELECT entity, season, kind, count(*) AS n FROM ev GROUP BY ALL), o AS (SELECT entity, kind, sum(n) / sum(sum(n)) OVER (PARTITION BY entity) AS p0 FROM c GROUP BY entity, kind)
-SELECT entity, season, kind, round((n + 30 * p0) / (sum(n) OVER (PARTITION BY entity, season) + 30) - p0, 6) + 0.0 AS tilt FROM c JOIN o USING (entity, kind)""")
+@query("ph5_posterior_tilt", f"""WITH {EV}, w AS (SELECT DISTINCT season FROM ev UNION SELECT max(season) + 1 FROM ev), c AS (SELECT entity, q.season, partner % 4 AS cond, kind, count(*) AS n FROM w q JOIN ev ON ev.season < q.season GROUP BY ALL),
+o AS (SELECT entity, season, kind, sum(n) AS own, sum(sum(n)) OVER (PARTITION BY entity, season) AS total FROM c GROUP BY entity, season, kind), m AS (SELECT entity, season, cond, sum(n) AS m FROM c GROUP BY ALL)
+SELECT entity, season, cond, kind, round((coalesce(n, 0) + 30 * own / total) / (m + 30) / (own / total) + 1e-9, 6) AS tilt FROM o JOIN m USING (entity, season) LEFT JOIN c USING (entity, season, cond, kind) WHERE total >= 30""")
 def ph5(spark, d):
-    t = P.posterior_tilt(event_log(spark, d), "entity", "season", "kind", 30.0)
-    return t.select("entity", "season", "kind", (r6("tilt") + F.lit(0.0)).alias("tilt"))
+    e = event_log(spark, d).withColumn("cond", F.col("partner") % 4)
+    t = P.posterior_tilt(e, "entity", "season", "cond", "kind", ahead=1)
+    return t.select("entity", "season", "cond", "kind", r6(F.col("tilt") + 1e-9).alias("tilt"))
+
+
+@query("ph5b_prefix_dispersion", f"""WITH {Z} SELECT entity, q.season, grp, round(sqrt(greatest(0.0, sum(ss_quantity) / sum(df_quantity))), 6) AS sd_speed, round(sqrt(greatest(0.0, sum(ss_price + ss_discount) / nullif(sum(df_price + df_discount), 0))), 6) AS sd_move
+FROM seasons q JOIN zc ON zc.season < q.season GROUP BY ALL HAVING sum(df_quantity) >= 29""")
+def ph5b(spark, d):
+    p = P.prefix_dispersion(_cells(spark, d), "entity", "season", "grp", "quantity", ["price", "discount"], ahead=1)
+    return p.select("entity", "season", "grp", r6("sd_speed").alias("sd_speed"), r6("sd_move").alias("sd_move"))
 
 
 @query("ph6_snapshot", f"""WITH {LI}, l AS (SELECT entity, season, avg(quantity) AS q, avg(y) AS r FROM li WHERE season < 2000 GROUP BY ALL), x AS (SELECT *, q - lag(q) OVER w AS d_q, r - lag(r) OVER w AS d_r, row_number() OVER (PARTITION BY entity ORDER BY season DESC) AS i FROM l WINDOW w AS (PARTITION BY entity ORDER BY season))

@@ -24,14 +24,23 @@ def dom4(spark, d):
     return D.innovation(_split(spark, d), 30.0, 0.2).select("row_id", (r6("innovation") + F.lit(0.0)).alias("innovation"), *(r6(c).alias(c) for c in ("q_prior", "q_post", "reliability", "log_dn")))
 
 
-@query("dom5_mix_log_ratio", f"""WITH {EV}, c AS (SELECT entity, season, count(*) FILTER (kind = 'click') AS a, count(*) FILTER (kind = 'view') AS b, count(*) FILTER (kind = 'purchase') AS c FROM ev GROUP BY ALL),
-p AS (SELECT *, greatest(1e-4, (a + 10 * 0.4) / (a + b + c + 10)) AS pa, greatest(1e-4, (b + 10 * 0.4) / (a + b + c + 10)) AS pb, greatest(1e-4, (c + 10 * 0.2) / (a + b + c + 10)) AS pc FROM c)
-SELECT entity, season, round(ln(pb / pa), 6) AS lr_b, round(ln(pc / pa), 6) AS lr_c FROM p""")
+@query("dom5_mix_log_ratio", f"""WITH {EV}, b AS (SELECT row_id, """ + ", ".join(f"count(*) FILTER (kind = '{v}') OVER s AS d_{k}, count(*) FILTER (kind = '{v}') OVER e - count(*) FILTER (kind = '{v}') OVER s AS base_{k}" for k, v in {"a": "click", "b": "view", "c": "purchase"}.items()) + f""", kind IN ('click', 'view', 'purchase') AS met FROM ev
+  WINDOW e AS (PARTITION BY entity ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s AS (PARTITION BY entity, season ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+n AS (SELECT *, d_a + d_b + d_c AS dn, base_a + base_b + base_c AS base_n FROM b), l AS (SELECT """ + ", ".join(f"avg((kind = '{v}')::INT) AS l_{k}" for k, v in {"a": "click", "b": "view", "c": "purchase"}.items()) + """ FROM ev WHERE kind IN ('click', 'view', 'purchase')),
+q AS (SELECT *, """ + ", ".join(f"CASE WHEN base_n > 0 THEN base_{k} / base_n ELSE l_{k} END AS p_{k}" for k in "abc") + """ FROM n, l), t AS (SELECT *, """ + ", ".join(f"(d_{k} + 10.0 * p_{k}) / (dn + 10.0) AS q_{k}" for k in "abc") + """ FROM q)
+SELECT row_id, """ + ", ".join(f"round(ln(least(1.0, greatest(1e-4, q_{k})) / least(1.0, greatest(1e-4, q_a))), 6) + 0.0 AS lr_{k}" for k in "bc") + """, round(dn / (dn + 10.0), 6) AS reliability, round(q_a - p_a, 6) + 0.0 AS innovation FROM t""")
 def dom5(spark, d):
     kinds = {"a": "click", "b": "view", "c": "purchase"}
-    c = event_log(spark, d).groupBy("entity", "season").agg(*(F.count_if(F.col("kind") == v).alias(k) for k, v in kinds.items()))
-    m = D.log_ratio_mix(c, list(kinds), {"a": 0.4, "b": 0.4, "c": 0.2}, 10.0)
-    return m.select("entity", "season", r6("lr_b").alias("lr_b"), r6("lr_c").alias("lr_c"))
+    e = event_log(spark, d)
+    hit = lambda v: (F.col("kind") == v).cast("int")
+    whole, own = H.before("entity"), H.before(["entity", "season"])
+    add = {f"d_{k}": F.coalesce(F.sum(hit(v)).over(own), F.lit(0)) for k, v in kinds.items()}
+    add |= {f"base_{k}": F.coalesce(F.sum(hit(v)).over(whole), F.lit(0)) - F.coalesce(F.sum(hit(v)).over(own), F.lit(0)) for k, v in kinds.items()}
+    total = lambda p: F.col(f"{p}_a") + F.col(f"{p}_b") + F.col(f"{p}_c")
+    rows = e.withColumns(add).withColumns({"dn": total("d"), "base_n": total("base")})
+    of = e.filter(F.col("kind").isin(*kinds.values())).agg(*(F.avg(hit(v)).alias(k) for k, v in kinds.items())).first()
+    m = D.log_ratio_mix(rows, list(kinds), {k: float(of[k] or 0.0) for k in kinds}, 10.0)
+    return m.select("row_id", *((r6(c) + F.lit(0.0)).alias(c) for c in ("lr_b", "lr_c")), r6("reliability").alias("reliability"), (r6("innovation") + F.lit(0.0)).alias("innovation"))
 
 
 #: From the formulas: season increments, the league's rate over all seasons before, weights normalised first, then moments by list.
@@ -109,11 +118,21 @@ def dom12(spark, d):
     return D.nearest_grid_point(v, grid, "entity", {"q": 2.0, "c": 0.01}, "point").select("entity", "point", r6("distance").alias("distance"))
 
 
-@query("dom13_extrapolation", f"""WITH {LI}, m AS (SELECT grp, season, avg(y) AS r, row_number() OVER (PARTITION BY grp ORDER BY season DESC) AS i FROM li GROUP BY ALL)
-SELECT grp, round(greatest(0.3, least(0.7, regr_intercept(r, season) + regr_slope(r, season) * (max(season) + 1))), 5) AS forecast FROM m WHERE i <= 3 GROUP BY grp""".replace("row_number() OVER (PARTITION BY grp ORDER BY season DESC) AS i FROM li GROUP BY ALL)", "2001 - season + 1 AS i FROM li GROUP BY ALL)"))
+@query("dom13_extrapolation", f"""WITH {LI}, m AS (SELECT partner % 7 AS seg, season, avg(y) AS r FROM li WHERE NOT (partner % 7 = 3 AND season = 1999) GROUP BY ALL)
+SELECT seg, round(greatest(0.3, least(0.7, CASE WHEN count(r) FILTER (season >= 1998) = 3 THEN regr_intercept(r, season) FILTER (season >= 1998) + regr_slope(r, season) FILTER (season >= 1998) * 2001 ELSE max_by(r, season) END)), 5) AS forecast FROM m WHERE season < 2001 GROUP BY seg""")
 def dom13(spark, d):
-    m = line_log(spark, d).groupBy("grp", "season").agg(F.avg("y").alias("r"))
-    return D.extrapolate(m, ["grp"], "season", "r", 1).select("grp", F.round("forecast", 5).alias("forecast"))
+    """One segment lacks a season before the target, so its last level stands."""
+    li = line_log(spark, d).withColumn("seg", F.col("partner") % 7).filter("NOT (seg = 3 AND season = 1999)")
+    m = li.groupBy("seg", "season").agg(F.avg("y").alias("r"))
+    return D.extrapolate(m, ["seg"], "season", "r", 2001).select("seg", F.round("forecast", 5).alias("forecast"))
+
+
+@query("dom13b_segment_forecasts", f"""WITH {LI}, m AS (SELECT partner % 7 AS seg, season, avg(y) AS r FROM li GROUP BY ALL), b AS (SELECT greatest(0.3, least(0.7, regr_intercept(r, season) + regr_slope(r, season) * 2001)) AS f FROM m WHERE seg = 0 AND season BETWEEN 1998 AND 2000),
+l AS (SELECT seg, max(r) FILTER (season = 2000) AS last FROM m GROUP BY seg)
+SELECT seg, round(CASE WHEN seg = 0 OR last IS NULL THEN f ELSE greatest(0.3, least(0.7, f + 0.5 * (last - (SELECT last FROM l WHERE seg = 0)))) END, 5) AS forecast FROM l, b""")
+def dom13b(spark, d):
+    m = line_log(spark, d).groupBy((F.col("partner") % 7).alias("seg"), "season").agg(F.avg("y").alias("r"))
+    return D.segment_forecasts(m, "seg", 0, "season", "r", 2001).select("seg", F.round("forecast", 5).alias("forecast"))
 
 
 @query("dom14_log5", f"""WITH {LI}, e AS (SELECT entity, (sum(y) + 30 * 0.333) / (count(*) + 30) AS p FROM li GROUP BY entity), b AS (SELECT partner, (sum(y) + 30 * 0.333) / (count(*) + 30) AS q FROM li GROUP BY partner), x AS (SELECT DISTINCT entity, partner FROM li)
