@@ -8,10 +8,12 @@
    bucket's first alone: a star, so pairs are bounded by documents times bands.
 4. Both texts of each candidate edge are brought together and the link confirmed on full shingle sets.
 5. Confirmed links give components, by alternating star contraction.
-6. A star may miss a link between two of its leaves. So buckets that still hold several components are keyed anew, each by
-   one more band, and each new bucket makes a star across components around another centre; round after round, with
-   other bands and centres, until no bucket holds two components or the rounds end. A round makes no
-   more edges than documents times bands, however many unlike texts share a bucket.
+6. A star may miss a link between two of its leaves. So buckets that still hold several components make more stars, around
+   ``stars`` centres of different hash orders each, to members of other components. What holds more than ``stars`` + 1
+   members is keyed anew by further bands, in several orders of bands, level after level, until no bucket with several
+   components is larger or all bands are used: then its members agree in all of them. A small bucket is thereby
+   searched whole; similar texts share many bands and stay together down to one, texts with a part in common part soon.
+   A level makes no more edges than members times stars, however many unlike texts share a bucket.
 """
 
 from __future__ import annotations
@@ -38,9 +40,9 @@ class MinHash:
     rows: int = 6
     #: Bins of the finer sketch that rules out pairs before their texts are read, seven standard deviations below the threshold.
     sketch: int = 512
-    #: Rounds over buckets that hold several components, and stars that a bucket's member may be in, by other bands, in each.
-    rounds: int = 2
-    stars: int = 4
+    #: Centres of a bucket that holds several components, and the orders in which further bands are taken (steps around the bands).
+    stars: int = 8
+    steps: tuple[int, ...] = (1, 5, 11)
     max_rounds: int = 60
 
     @property
@@ -146,10 +148,11 @@ def _confirm(p: MinHash):
 
 
 def _confirmed(edges: DataFrame, texts: DataFrame, p: MinHash, id_type: str) -> DataFrame:
-    """The edges (a, b) that hold on full sets. Texts are shuffled by id; a hub's text isn't copied in the shuffle."""
-    member = edges.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    pairs = member.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(p), f"a {id_type}, b {id_type}")
+    """The edges (a, b) that hold on full sets. Leaves of one centre are dealt to parts, and its text goes to each part once."""
+    e = edges.withColumn("part", part_of("b"))
+    centres = dealt(e.groupBy("a").agg(parts_met("part"))).join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    member = e.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return member.join(centres, ["a", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm(p), f"a {id_type}, b {id_type}")
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -194,51 +197,51 @@ def _may_be_similar(p: MinHash, x: str, y: str) -> Column:
     return (small * 100 >= large * p.percent) & (agree + 2 >= F.size(pairs) * (j - 7 * deviation))
 
 
-def _stars(members: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """(a, b): in each group of ``members`` (id, component, key) with several components, from its first by ``order`` to those of other components.
-
-    A group of any size is aggregated before the shuffle, and dealt to parts where its centre is joined back.
-    """
-    m = members.withColumn("part", part_of("id"))
-    centre = F.min(F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)), "id", "component")).alias("centre")
-    groups = m.groupBy(*key).agg(centre, F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
-    edges = m.join(dealt(groups), [*key, "part"]).filter(F.col("component") != F.col("centre.component"))
-    return edges.select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()
-
-
 def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFrame, p: MinHash, node: str) -> DataFrame:
     """(id, component) after links across components in buckets that hold several; ``found`` where there are none.
 
-    Each round keys a bucket's members by one of the next bands too, for each of ``stars`` bands: similar texts share many bands, texts with a
-    part in common few. Links join components, so only labels go through the contraction. Components only
-    grow, so the buckets that hold several at first are all that need be looked at.
+    Links join components, so only labels go through the contraction. Components only grow, so the buckets that hold
+    several at first, and what they are cut into, are all that need be looked at.
     """
     label = lambda d, f: d.join(f, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    labelled = label(buckets.select("band", "value", "id"), found).withColumn("part", part_of("id"))
-    several = labelled.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
-    several = checkpointed(labelled.join(dealt(several), ["band", "value", "part"]).select("band", "value", "id"))
-    if several.isEmpty():
+
+    def several(d: DataFrame, *more: Column) -> DataFrame:
+        """Groups (key) of (id, component, key, part) with more than one component: aggregated before the shuffle, and a row for each part met."""
+        g = d.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"), parts_met("part"), *more)
+        return dealt(g.filter("c0 <> c1").drop("c0", "c1"))
+
+    members = buckets.select("id", "band", F.xxhash64("band", "value").alias("key"), F.lit(0).alias("step"))
+    labelled = label(members, found).withColumn("part", part_of("id"))
+    members = checkpointed(labelled.join(several(labelled).drop("size"), ["key", "part"]).select(*members.columns))
+    if members.isEmpty():
         return found
-    described = checkpointed(reps.join(several.select("id").distinct(), "id", "left_semi"))
-    further = F.transform(F.sequence(F.lit(1), F.lit(p.rounds * p.stars)), lambda r: F.get("bands", F.pmod(F.col("band") + r, F.lit(p.bands))))
-    several = checkpointed(several.join(described.select("id", "bands"), "id").select("band", "value", "id", further.alias("further")))
+    described = checkpointed(reps.join(members.select("id").distinct(), "id", "left_semi"))
     sides = described.select("id", F.struct("n", "low").alias("x"))
     texts = checkpointed(texts.join(described.select("id"), "id", "left_semi"))
-    for r in range(p.rounds):
-        members = label(several, found)
-        members = members.select("id", "component", "band", "value", F.posexplode(F.slice("further", r * p.stars + 1, p.stars)).alias("at", "other"))
-        members = members.select("id", "component", F.xxhash64("band", "value", "at", "other").alias("key"))
-        edges = _stars(members, ["key"], [F.xxhash64("component", "key", F.lit(r))])
+    for level in range(p.bands):
+        labelled = label(members, found).withColumn("part", part_of("id"))
+        centres = [F.min(F.struct(F.xxhash64("id", "key", F.lit(i)).alias("o"), "id", "component")).alias(f"s{i}") for i in range(p.stars)]
+        groups = several(labelled, *centres).withColumn("centres", F.array_distinct(F.transform(F.array(*(f"s{i}" for i in range(p.stars))), lambda c: F.struct(c["id"].alias("id"), c["component"].alias("component")))))
+        met = checkpointed(labelled.join(groups.select("key", "part", "size", "centres"), ["key", "part"]))
+        edges = met.select("id", "component", F.explode("centres").alias("c")).filter(F.col("component") != F.col("c.component"))
+        edges = edges.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
         edges = edges.join(sides.withColumnRenamed("id", "a"), "a").join(sides.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").filter(_may_be_similar(p, "x", "y")).select("a", "b")
         links = checkpointed(_confirmed(edges, texts, p, node))
-        if links.isEmpty():
-            continue
-        ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")]
-        joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-        merged = components(joined, p.max_rounds)
-        # What was known moves to the merged label; ids that were alone and the old labels get theirs.
-        moved = found.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        found = checkpointed(moved.union(merged.join(found.select("id"), "id", "left_anti").select("id", "component")))
+        if not links.isEmpty():
+            ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")]
+            joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+            merged = components(joined, p.max_rounds)
+            # What was known moves to the merged label; ids that were alone and the old labels get theirs.
+            moved = found.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            found = checkpointed(moved.union(merged.join(found.select("id"), "id", "left_anti").select("id", "component")))
+        # What isn't searched whole goes on, cut by one more band; at first in each order of bands.
+        rest = met.filter(F.col("size") > p.stars + 1).select("id", "band", "key", "step").join(described.select("id", "bands"), "id")
+        if level == 0:
+            rest = rest.withColumn("step", F.explode(F.array(*(F.lit(s) for s in p.steps))))
+        further = F.get("bands", F.pmod(F.col("band") + F.col("step") * (level + 1), F.lit(p.bands)))
+        members = checkpointed(rest.select("id", "band", F.xxhash64("key", "step", further).alias("key"), "step"))
+        if members.isEmpty():
+            break
     return found
 
 
