@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import discard  # noqa: F401  (operators take it from here)
+
 #: White space as the word rules of this subpackage see it; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Seed of the second of two 64-bit hashes, which together name a text with 128 bits.
@@ -122,14 +124,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(made: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` made, once nothing is left to be computed from it."""
-    spark = made.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in made.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` from a table in the shared folder, bucketed by ``key``: what is grouped or joined by it comes to the table, which isn't shuffled."""
     name = f"tidemark_{uuid.uuid4().hex}"

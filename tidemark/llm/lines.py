@@ -5,9 +5,11 @@
 2. Prefix doubling. A suffix of the leaders' sequences is a (document, place). Suffixes that begin with the same
    2^k lines form an interval with that common prefix, named by 128 bits. The names of 2^(k+1) lines come from the
    names at a place and 2^k lines further; suffixes alone in their interval leave. The rounds end when none is left.
-3. An interval knows its first suffix. A suffix after it repeats it; the longest common prefix with the first of the
-   deepest interval is found by going down the levels again. Repeats that no other contains are the maximal runs.
-4. Later copies are deleted: all lines under intervals of ``min_lines`` lines, or of fewer with over ``long_words`` words.
+3. An interval knows its first suffix; a suffix after it repeats it. What lies under intervals of ``min_lines`` lines, or of fewer with
+   over ``long_words`` words, is deleted, except at its first place.
+4. How long a document's longest repeated run is: from its deepest interval, the levels are gone down again; at each, suffixes of
+   an interval that go on alike for so many lines more form intervals within it, and a document follows where it still
+   repeats an earlier suffix.
 
 Suffixes aren't sorted across intervals: names stand for ranks, and deletion needs intervals and their first suffixes only.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import dealt, name128, packed, part_of, parts_met, written
+from .common import dealt, discard, name128, packed, part_of, parts_met, written
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _PLACE = ["id", "th", "at"]
@@ -82,37 +84,57 @@ def _later(level: DataFrame) -> DataFrame:
     return level.filter(F.struct(*_PLACE) > F.col("first"))
 
 
-def maximal_runs(levels: list[DataFrame]) -> DataFrame:
-    """(id, th, at, end, source): runs that repeat the run at an earlier place, none within another of the same text.
+def longest_runs(levels: list[DataFrame]) -> DataFrame:
+    """(id, th, longest): the lines of each text's longest run that an earlier place has too.
 
-    Of each suffix, the deepest interval with an earlier suffix counts. A suffix that goes on where the one
-    before it stands, in itself and in its source, is within that one's run.
+    Those that ask are the places in a text's deepest interval; they and the others of their intervals are the rows of each
+    step. Intervals within an interval get names of their own, and a text whose places part goes on with the longer ones.
     """
-    every = [_later(d).select(*_PLACE, F.lit(k).alias("k"), "first") for k, d in enumerate(levels)]
-    deepest = every[0]
-    for d in every[1:]:
-        deepest = deepest.unionByName(d)
-    deepest = deepest.groupBy(*_PLACE).agg(F.max("k").alias("k"), F.max_by("first", "k").alias("source"))
-    before = Window.partitionBy("id", "th").orderBy("at")
-    old = F.lag(F.struct("at", "source")).over(before)
-    goes_on = F.coalesce((old["at"] + 1 == F.col("at")) & old["source"]["id"].eqNullSafe(F.col("source.id")) & (old["source"]["th"] == F.col("source.th")) & (old["source"]["at"] + 1 == F.col("source.at")), F.lit(False))
-    runs = written(deepest.withColumn("goes_on", goes_on).filter("NOT goes_on").select(*_PLACE, "source", "k", F.pow(F.lit(2), F.col("k")).cast("int").alias("length")))
-    for k in range(len(levels) - 2, -1, -1):
-        names = levels[k].select(*_PLACE, "a", "b")
-        x, y, r = names.alias("x"), names.alias("y"), runs.alias("r")
-        here = F.col("r.id").eqNullSafe(F.col("x.id")) & (F.col("r.th") == F.col("x.th")) & (F.col("r.at") + F.col("r.length") == F.col("x.at"))
-        there = F.col("r.source.id").eqNullSafe(F.col("y.id")) & (F.col("r.source.th") == F.col("y.th")) & (F.col("r.source.at") + F.col("r.length") == F.col("y.at"))
-        same = F.coalesce((F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b")) & (F.col("r.k") > k), F.lit(False))
-        longer = F.when(same, F.col("r.length") + (1 << k)).otherwise(F.col("r.length"))
-        runs = written(r.join(x, here, "left").join(y, there, "left").select("r.id", "r.th", "r.at", "r.source", "r.k", longer.alias("length")))
-    d = runs.select("id", "th", "at", (F.col("at") + F.col("length")).alias("end"), "source")
-    inside = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("end"), F.lit(False))
-    return d.withColumn("inside", inside).filter("NOT inside").drop("inside")
+    text = ["id", "th"]
+    deep = None
+    for k, d in enumerate(levels):
+        found = _later(d).select(*text, F.lit(k).alias("k"))
+        deep = found if deep is None else deep.unionByName(found)
+    deep = written(deep.groupBy(*text).agg(F.max("k").alias("k")))
+    made: list[DataFrame] = []
+    state = None
+
+    def with_any(rows: DataFrame, flag: str, by: list[str]) -> DataFrame:
+        """The rows of groups in which a row is flagged; rows of a large group are dealt to parts."""
+        d = rows.withColumn("part", part_of(*_PLACE))
+        groups = d.groupBy(*by).agg(F.max(flag).alias("any"), parts_met("part")).filter("any").drop("any")
+        return d.join(dealt(groups), [*by, "part"]).drop("part")
+
+    done = deep.filter("k = 0").select(*text, F.lit(1).alias("longest"))
+    for j in range(len(levels) - 2, -1, -1):
+        x, y = levels[j + 1].alias("x"), deep.filter(F.col("k") == j + 1).alias("y")
+        own = x.join(y, _same_text("x", "y"), "left").select("x.*", F.col("y.k").alias("k"))
+        own = own.select("a", "b", *_PLACE, F.lit(1 << (j + 1)).alias("length"), (F.col("k").isNotNull() & (F.struct(*_PLACE) > F.col("first"))).alias("asks"))
+        own = with_any(own, "asks", ["a", "b"])
+        rows = own if state is None else state.unionByName(own.select(*state.columns))
+        r, n = rows.alias("r"), levels[j].select(*_PLACE, "a", "b").alias("n")
+        ahead = F.col("r.id").eqNullSafe(F.col("n.id")) & (F.col("r.th") == F.col("n.th")) & (F.col("r.at") + F.col("r.length") == F.col("n.at"))
+        name = F.when(F.col("n.a").isNotNull(), name128(F.col("r.a"), F.col("r.b"), F.col("n.a"), F.col("n.b")))
+        named = written(r.join(n, ahead, "left").select("r.*", name.alias("next")).withColumn("part", part_of(*_PLACE)))
+        inner = named.filter("next IS NOT NULL").groupBy("next").agg(F.min(F.struct(*_PLACE)).alias("first"), parts_met("part"))
+        rows = named.join(dealt(inner), ["next", "part"], "left").withColumn("moves", F.coalesce(F.col("asks") & (F.struct(*_PLACE) > F.col("first")), F.lit(False))).drop("first", "part")
+        gone = rows.filter("moves").select(*text).distinct().withColumn("gone", F.lit(True)).alias("g")
+        r = rows.alias("r")
+        rows = written(r.join(gone, _same_text("r", "g"), "left").select("r.*", (F.col("r.asks") & F.col("g.gone").isNull()).alias("stays")))
+        columns = ["a", "b", *_PLACE, "length", "asks"]
+        longer = with_any(rows.filter("next IS NOT NULL"), "moves", ["next"]).select("next.a", "next.b", *_PLACE, (F.col("length") + (1 << j)).alias("length"), F.col("moves").alias("asks"))
+        same = with_any(rows, "stays", ["a", "b"]).select("a", "b", *_PLACE, "length", F.col("stays").alias("asks"))
+        state = written(longer.unionByName(same).select(*columns))
+        discard(*made, named, rows)
+        made = [state]
+    if state is not None:
+        done = done.unionByName(state.filter("asks").select(*text, F.col("length").alias("longest")))
+    return done.groupBy(*text).agg(F.max("longest").alias("longest"))
 
 
 def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
-    """(id, text_hash, runs, longest): per text with repeats, what is deleted as (start, end) of lines with a word, and the
-    lines of its longest run that repeats an earlier place."""
+    """(id, text_hash, runs, longest): per text with repeats, what is deleted as (start, end) of lines with a word (null for nothing), and
+    the lines of its longest run that repeats an earlier place, deleted or not."""
     seqs = sequences(docs, id_col, text_col)
     levels = prefix_doubling(seqs)
     found = [_later(_of_length(levels, min_lines)).select(*_PLACE, F.lit(min_lines).alias("length"))]
@@ -128,14 +150,14 @@ def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     begins = F.coalesce(F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)) < F.col("at"), F.lit(True))
     w = w.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(before))
     runs = w.groupBy("id", "th", "run").agg(F.struct(F.min("at").alias("start"), F.max("end").alias("end")).alias("r")).groupBy("id", "th").agg(F.sort_array(F.collect_list("r")).alias("runs"))
-    longest = maximal_runs(levels).groupBy("id", "th").agg(F.max(F.col("end") - F.col("at")).alias("longest"))
+    longest = longest_runs(levels)
     x, y = runs.alias("x"), longest.alias("y")
-    leaders = x.join(y, _same_text("x", "y"), "left").select("x.id", "x.th", "x.runs", "y.longest")
+    leaders = x.join(y, _same_text("x", "y"), "full_outer").select(F.coalesce("x.id", "y.id").alias("id"), F.coalesce("x.th", "y.th").alias("th"), "x.runs", "y.longest")
 
     n, words = F.size("names"), F.aggregate("sizes", F.lit(0), lambda a, v: a + v)
     long = n >= min_lines if long_words is None else (n >= min_lines) | (words > long_words)
-    copies = seqs.filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.struct("id", "th"))).filter(long)
-    copies = copies.select("id", "th", F.array(F.struct(F.lit(0).alias("start"), n.alias("end"))).alias("runs"), n.alias("longest")).dropDuplicates(["id", "th"])
+    copies = seqs.filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.struct("id", "th")))
+    copies = copies.select("id", "th", F.when(long, F.array(F.struct(F.lit(0).alias("start"), n.alias("end")))).alias("runs"), n.alias("longest")).dropDuplicates(["id", "th"])
     return leaders.unionByName(copies).withColumnRenamed("th", "text_hash")
 
 
@@ -144,7 +166,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A run is consecutive lines with a word, ``min_lines`` or more of them or with over ``long_words`` words together, down
     to a single line; None for ``long_words`` leaves only the count of lines. ``n_runs`` counts what is deleted in one
-    piece; ``longest_run`` is the number of lines of the longest one that repeats an earlier place as a whole. Blank
+    piece; ``longest_run`` is the number of lines of the longest run, of any length, that an earlier place has as a whole. Blank
     lines between them don't count and go with the run. Order is by id (nulls first), then text hash, then line.
     Rows that repeat an id and its text count as one document. A null text stays null and has no lines. Columns of
     ``docs`` that bear one of the added names are replaced; an empty table gives an empty result.

@@ -46,17 +46,22 @@ WITH l AS (
   SELECT doc_id, t.i AS raw, t.x AS line, regexp_matches(t.x, '[^\x20\x09-\x0D]') AS solid
   FROM (SELECT doc_id, unnest(list_zip(range(len(string_split(coalesce(text, ''), chr(10)))), string_split(coalesce(text, ''), chr(10)))) AS z FROM documents),
   LATERAL (SELECT z[1] AS i, z[2] AS x) t),
-s AS (SELECT doc_id, raw, line, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS n FROM l WHERE solid),
-w AS (SELECT a.doc_id, a.n, a.raw AS raw0, c.raw AS raw2, row_number() OVER (PARTITION BY a.line, b.line, c.line ORDER BY a.doc_id, a.n) AS k
-  FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN s c ON a.doc_id = c.doc_id AND c.n = a.n + 2),
-bad AS (SELECT DISTINCT doc_id, unnest(range(n, n + 3)) AS n FROM w WHERE k > 1),
+s AS (SELECT doc_id, raw, line, row_number() OVER (PARTITION BY doc_id ORDER BY raw) - 1 AS n, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l WHERE solid),
+w AS (SELECT doc_id, n, 1 AS m, words, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS k FROM s
+  UNION ALL SELECT a.doc_id, a.n, 2, a.words + b.words, row_number() OVER (PARTITION BY a.line, b.line ORDER BY a.doc_id, a.n) FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.n = a.n + 1
+  UNION ALL SELECT a.doc_id, a.n, 3, 51, row_number() OVER (PARTITION BY a.line, b.line, c.line ORDER BY a.doc_id, a.n) FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN s c ON a.doc_id = c.doc_id AND c.n = a.n + 2),
+bad AS (SELECT DISTINCT doc_id, unnest(range(n, n + m)) AS n FROM w WHERE k > 1 AND words > 50),
+pair AS (SELECT a.doc_id, b.doc_id AS other, a.n, a.n - b.n AS diagonal, a.n - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.n - b.n ORDER BY a.n) AS island
+  FROM s a JOIN s b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.n < a.n)),
+long AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, count(*) AS c FROM pair GROUP BY doc_id, other, diagonal, island) GROUP BY doc_id),
 run AS (SELECT doc_id, min(n) AS n0, max(n) AS n1 FROM (SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS g FROM bad) GROUP BY doc_id, g),
 gone AS (SELECT r.doc_id, a.raw AS raw0, b.raw AS raw1 FROM run r JOIN s a ON a.doc_id = r.doc_id AND a.n = r.n0 JOIN s b ON b.doc_id = r.doc_id AND b.n = r.n1),
 stay AS (SELECT l.doc_id, raw, line FROM l WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = l.doc_id AND l.raw BETWEEN g.raw0 AND g.raw1)),
 text AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY raw) AS t FROM stay GROUP BY doc_id)
 SELECT d.doc_id, coalesce((SELECT count(*) FROM s WHERE s.doc_id = d.doc_id), 0) AS n_lines,
   coalesce((SELECT count(*) FROM bad WHERE bad.doc_id = d.doc_id), 0) AS n_removed,
-  coalesce((SELECT count(*) FROM run WHERE run.doc_id = d.doc_id), 0) AS n_runs, sha256(coalesce(t, '')) AS kept_sha256
+  coalesce((SELECT count(*) FROM run WHERE run.doc_id = d.doc_id), 0) AS n_runs, coalesce((SELECT longest FROM long WHERE long.doc_id = d.doc_id), 0) AS longest_run,
+  sha256(coalesce(t, '')) AS kept_sha256
 FROM documents d LEFT JOIN text USING (doc_id)
 """
 

@@ -45,9 +45,9 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rule of its SQL, runs of three lines or more; the operator and the pipeline also take shorter ones of over 50 words."""
-    d = lines.dedup_lines(table(spark, sf_dir, "documents"), long_words=None)
-    return d.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    """Later copies of runs of three lines or more, or of fewer with over 50 words, are deleted."""
+    d = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_removed", "n_runs", "longest_run", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
