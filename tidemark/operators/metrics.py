@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import materialised
 from .joins import on_keys
 from .ordered import numbered, quantiles
 
@@ -267,3 +269,18 @@ def placebo_swap(profile: DataFrame, entity: str, seed: int = 5, by: list[str] =
     b = numbered(e, [*by, key, entity], "_r").select("_r", F.col(entity).alias("_to"))
     swap = a.join(b, "_r").drop("_r")
     return on_keys(profile, swap, [*by, entity]).drop(entity).withColumnRenamed("_to", entity)
+
+
+def successive_halving(score: Callable[[DataFrame, list[int]], DataFrame], arms: DataFrame, fold_list: list[int], anchor: str, keep: float = 0.6) -> DataFrame:
+    """(arm, loss, folds, delta, beats): the latest fold screens all arms, the best ``keep`` of them and the anchor are scored on all folds.
+
+    ``score(arms, folds)`` gives (arm, fold, loss). Arms (arm, ...) are few; ties go to the smaller name. ``delta`` is an arm's mean loss less the
+    anchor's, and it ``beats`` the anchor where that is below -1e-4.
+    """
+    first = score(arms, fold_list[-1:])
+    order = Window.orderBy("loss", "arm")  # a row for each arm
+    alive = materialised(first.withColumns({"_r": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy())}).filter((F.col("_r") <= F.ceil(F.lit(keep) * F.col("_n"))) | (F.col("arm") == anchor)).select("arm"))
+    final = score(arms.join(F.broadcast(alive), "arm"), fold_list).groupBy("arm").agg(F.avg("loss").alias("loss"), F.count("*").alias("folds"))
+    at = final.filter(F.col("arm") == anchor).select(F.col("loss").alias("_anchor"))
+    d = final.crossJoin(F.broadcast(at)).withColumn("delta", F.col("loss") - F.col("_anchor"))
+    return d.select("arm", "loss", "folds", "delta", (F.col("delta") < -1e-4).alias("beats"))

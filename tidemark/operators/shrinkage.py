@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from dataclasses import dataclass
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import logit
+from ..functions.scalars import logit, marcum_q1, normal_cdf_series
 from ..sources.files import materialised
 from .joins import on_keys
 
@@ -167,3 +171,43 @@ def nearest_grid_point(rows: DataFrame, grid: DataFrame, id_col: str, measures:
     cost = sum((F.pow((F.col(m) - F.col(f"g_{m}")) / s, 2) for m, s in measures.items()), F.lit(0.0))
     pairs = rows.crossJoin(F.broadcast(g)).select(id_col, point, cost.alias("_d"))
     return pairs.groupBy(id_col).agg(F.min_by(point, F.struct("_d", point)).alias(point), F.min("_d").alias("distance"))
+
+
+@dataclass(frozen=True)
+class Geometry:
+    """Radii at which a league's aim (deviation 1, offset 0) is in the middle, outside, or reversed, from the shares of each."""
+
+    middle: float
+    outside: float
+    reversed: float
+
+    def parts(self, sigma: Column, a: Column) -> dict[str, Column]:
+        """Chances of middle, outside, reversed and success for an aim of deviation ``sigma`` and offset ``a``."""
+        r0, r1 = (-2 * math.log(1 - self.middle)) ** 0.5, (-2 * math.log(self.outside)) ** 0.5
+        limit = NormalDist().inv_cdf(self.reversed)
+        offset = F.abs(a) / sigma
+        middle, outside, turned = 1 - marcum_q1(offset, F.lit(r0) / sigma), marcum_q1(offset, F.lit(r1) / sigma), normal_cdf_series(F.lit(limit) / sigma)
+        return {"p_mid": middle, "p_out": outside, "p_rev": turned, "p_success": 1 - middle - outside - turned}
+
+
+def geometry_grid(spark: SparkSession, g: Geometry, n_sigma: int = 48, n_a: int = 64, low: float = 0.45, high: float = 2.2, most: float = 2.4) -> DataFrame:
+    """(i, j, sigma, a, p): chance of success at deviations in equal steps of their logarithm and offsets in equal steps, clipped to [0, 1]."""
+    i, j = F.floor(F.col("id") / n_a), F.col("id") % n_a
+    d = spark.range(n_sigma * n_a).select(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    step = (math.log(high) - math.log(low)) / (n_sigma - 1)
+    d = d.withColumns({"sigma": F.exp(F.lit(math.log(low)) + F.col("i") * step), "a": F.col("j") * (most / (n_a - 1))})
+    return d.withColumn("p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), g.parts(F.col("sigma"), F.col("a"))["p_success"])))
+
+
+def grid_lookup(rows: DataFrame, grid: DataFrame, sigma: str, a: str, n_sigma: int = 48, n_a: int = 64, low: float = 0.45, high: float = 2.2, most: float = 2.4) -> DataFrame:
+    """Adds ``p`` between the four grid points around (log sigma, a), at the grid's edge for what lies beyond. The grid is a fixed few thousand rows."""
+    table = F.broadcast(grid.groupBy().agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", "p"))), lambda x: x["p"]).alias("_g")))
+    x = (F.ln(F.greatest(F.lit(low), F.least(F.lit(high), F.col(sigma)))) - math.log(low)) / (math.log(high) - math.log(low)) * (n_sigma - 1)
+    y = F.greatest(F.lit(0.0), F.least(F.lit(most), F.abs(F.col(a)))) / most * (n_a - 1)
+    d = rows.crossJoin(table).withColumns({"_x": x, "_y": y})
+    i, j = F.least(F.floor("_x"), F.lit(n_sigma - 2)), F.least(F.floor("_y"), F.lit(n_a - 2))
+    d = d.withColumns({"_i": i.cast("int"), "_j": j.cast("int")})
+    fx, fy = F.col("_x") - F.col("_i"), F.col("_y") - F.col("_j")
+    at = lambda k, m: F.get("_g", (F.col("_i") + k) * n_a + F.col("_j") + m)
+    p = (1 - fx) * ((1 - fy) * at(0, 0) + fy * at(0, 1)) + fx * ((1 - fy) * at(1, 0) + fy * at(1, 1))
+    return d.withColumn("p", p).drop("_g", "_x", "_y", "_i", "_j")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import affine_clip, blend, linear
+from ..sources.files import materialised
 
 
 def score_rows(rows: DataFrame, lookup: DataFrame, key: str, members: dict[str, dict[str, float]], weights: dict[str, float], slope: float = 1.0, shift: float = 0.0, terms: list[tuple[Column, float]] = (), safety: float | None = None, max_lookup: int = 1_000_000) -> DataFrame:
@@ -45,32 +46,43 @@ def check_row_local(df: DataFrame) -> DataFrame:
 
 
 def flatten_json(df: DataFrame, text: str, name: str) -> DataFrame:
-    """(name, path, value) of every scalar of JSON documents, nested to any depth."""
-    import json
+    """(name, path, value) of every scalar of JSON documents, nested to any depth; a null is an empty value, a broken document has none.
 
-    def walk(path: str, x) -> list[tuple[str, str]]:
-        if isinstance(x, dict):
-            return [r for k, v in x.items() for r in walk(f"{path}.{k}" if path else str(k), v)]
-        if isinstance(x, list):
-            return [r for i, v in enumerate(x) for r in walk(f"{path}[{i}]", v)]
-        return [(path, "" if x is None else json.dumps(x) if not isinstance(x, str) else x)]
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            rows = [(n, p, v) for n, t in zip(b[name], b[text], strict=True) if t for p, v in walk("", json.loads(t))]
-            yield pd.DataFrame(rows, columns=["name", "path", "value"])
-
-    return df.select(name, text).mapInPandas(run, "name string, path string, value string")
-
-
-def provenance(leaves: DataFrame, keys: str, constants: list[float], tolerance: float = 1e-9) -> DataFrame:
-    """Per document BLOCK (a forbidden constant), REVIEW (a suspicious key) or CLEAN."""
-    number = F.try_to_number("value", F.lit("S999999999.999999999999")).cast("double")
-    number = F.coalesce(number, F.expr("try_cast(value AS DOUBLE)"))
+    Objects and arrays are exploded level by level, as long as a document has deeper ones: paths are ``a.b[0].c``.
+    """
+    level = df.select(F.col(name).alias("name"), F.lit("").alias("path"), F.try_parse_json(text).alias("v")).filter("v IS NOT NULL")
+    kind = F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0)
+    out, spark = None, df.sparkSession
+    while True:
+        level = materialised(level.withColumn("kind", kind))
+        leaves = level.filter("kind NOT IN ('OBJECT', 'ARRAY')").select("name", "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.lit("")).alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        nested = level.filter("kind IN ('OBJECT', 'ARRAY')")
+        if nested.isEmpty():
+            return out
+        nested.createOrReplaceTempView("_tidemark_nested")
+        at = "CASE WHEN n.kind = 'ARRAY' THEN concat(n.path, '[', x.pos, ']') WHEN n.path = '' THEN x.key ELSE concat(n.path, '.', x.key) END"
+        level = spark.sql(f"SELECT n.name, {at} AS path, x.value AS v FROM _tidemark_nested n, LATERAL variant_explode(n.v) AS x(pos, key, value)")
+
+
+#: A match that stands within so many characters after a denial isn't one.
+DENIALS = r"(?i)\b(not|no|never|without|non)\b[^.;]{0,24}$"
+
+
+def provenance(leaves: DataFrame, constants: list[float], block: str, review: str, context: str, tolerance: float = 1e-9) -> DataFrame:
+    """Per document BLOCK, REVIEW or CLEAN.
+
+    A forbidden constant blocks, and so does a text that matches ``block``; ``review`` matches are looked at only where the leaf's path matches
+    ``context``. A match that follows a denial ("not ...", "without ...") in its text doesn't count.
+    """
+    number = F.expr("try_cast(value AS DOUBLE)")
     hit = F.lit(False)
     for c in constants:
         hit = hit | F.coalesce(F.abs(number - c) <= tolerance * abs(c), F.lit(False))
-    g = leaves.groupBy("name").agg(F.bool_or(hit).alias("b"), F.bool_or(F.col("path").rlike(keys)).alias("r"))
+
+    def met(pattern: str) -> Column:
+        before = F.regexp_extract("value", f"(?s)^(.*?)({pattern})", 1)
+        return F.col("value").rlike(pattern) & ~before.rlike(DENIALS)
+
+    g = leaves.groupBy("name").agg(F.bool_or(hit | met(block)).alias("b"), F.bool_or(met(review) & F.col("path").rlike(context)).alias("r"))
     return g.select("name", F.when(F.col("b"), "BLOCK").when(F.col("r"), "REVIEW").otherwise("CLEAN").alias("verdict"))

@@ -290,3 +290,21 @@ def ens3(spark, d):
 def ml4(spark, d):
     w = T.one_hot_member(predictions(spark, d).withColumn("month_third", F.floor(F.dayofmonth("ts") / 10)), ["kind", "season", "month_third"])
     return w.select("column", "value", F.round("weight", 4).alias("weight"))
+
+
+@query("val5_successive_halving", f"""WITH {LOG}, a AS (SELECT * FROM (VALUES ('k05', 5.0::DOUBLE), ('k10', 10.0), ('k20', 20.0), ('k50', 50.0), ('k100', 100.0), ('k200', 200.0), ('k500', 500.0)) t(arm, w)),
+s AS (SELECT arm, season, -avg(y * ln((k + w * 0.2) / (n + w)) + (1 - y) * ln(1 - (k + w * 0.2) / (n + w))) AS loss FROM log, a GROUP BY ALL),
+alive AS (SELECT arm FROM (SELECT *, row_number() OVER (ORDER BY loss, arm) AS r FROM s WHERE season = 4) WHERE r <= 5 OR arm = 'k05'), f AS (SELECT arm, avg(loss) AS loss, count(*) AS folds FROM s JOIN alive USING (arm) WHERE season >= 1 GROUP BY arm)
+SELECT arm, round(loss, 7) AS loss, folds, round(loss - (SELECT loss FROM f WHERE arm = 'k05'), 7) + 0.0 AS delta, loss - (SELECT loss FROM f WHERE arm = 'k05') < -1e-4 AS beats FROM f""")
+def val5(spark, d):
+    """Seven weights of the shrinkage, halved on the latest week, then held against the lightest on all."""
+    log = counted_log(spark, d)
+    arms = spark.createDataFrame([("k05", 5.0), ("k10", 10.0), ("k20", 20.0), ("k50", 50.0), ("k100", 100.0), ("k200", 200.0), ("k500", 500.0)], "arm string, w double")
+
+    def score(few, folds):
+        p = (F.col("k") + F.col("w") * 0.2) / (F.col("n") + F.col("w"))
+        rows = log.filter(F.col("season").isin(folds)).crossJoin(F.broadcast(few))
+        return rows.groupBy("arm", F.col("season").alias("fold")).agg((-F.avg(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("loss"))
+
+    out = M.successive_halving(score, arms, [1, 2, 3, 4], "k05")
+    return out.select("arm", F.round("loss", 7).alias("loss"), "folds", (F.round("delta", 7) + F.lit(0.0)).alias("delta"), "beats")

@@ -25,10 +25,15 @@ def srv1(spark, d):
     return s.select("row_id", r6("score").alias("score"))
 
 
-@query("cmp1_provenance", f"WITH {EV} SELECT CAST(row_id AS VARCHAR) AS name, CASE WHEN partner = 42 THEN 'BLOCK' WHEN true THEN 'REVIEW' END AS verdict FROM ev")
+@query("cmp1_provenance", f"""WITH {EV} SELECT CAST(row_id AS VARCHAR) AS name, CASE WHEN partner = 42 OR (kind = 'refund' AND partner % 5 <> 0) THEN 'BLOCK' WHEN kind = 'purchase' AND partner % 3 <> 0 THEN 'REVIEW' ELSE 'CLEAN' END AS verdict FROM ev""")
 def cmp1(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("name"), "props")
-    return S.provenance(S.flatten_json(e, "props", "name"), "^k$", [42.0])
+    """Documents made of events: a constant, a word that blocks, and one that matters in remarks only, denied in some."""
+    e = event_log(spark, d)
+    remark = F.concat(F.when(F.col("partner") % 3 == 0, "not a ").otherwise("a "), "kind")
+    note = F.when(F.col("kind") == "refund", F.concat(F.when(F.col("partner") % 5 == 0, "without a ").otherwise("with a "), "kind")).otherwise("nothing")
+    body = F.to_json(F.struct(F.struct(F.col("partner").alias("k"), F.array(F.struct(remark.alias("remark")), F.struct(F.lit("plain").alias("remark"))).alias("said")).alias("meta"), F.col("kind").alias("purchase_kind"), note.alias("note")))
+    docs = e.select(F.col("row_id").cast("string").alias("name"), body.alias("body"))
+    return S.provenance(S.flatten_json(docs, "body", "name"), [42.0], r"with(out)? a refund", "purchase", r"remark$")
 
 
 @query("src3_cleansing", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CAST(least(month(o_orderdate), 10) AS INTEGER) AS month, CASE WHEN o_totalprice > 1000 THEN o_totalprice END AS price, replace(lower(o_orderpriority), 'not specified', 'none') AS priority FROM orders WHERE o_orderstatus <> 'P'")

@@ -161,3 +161,28 @@ def shr2(spark, d):
     p = (F.col("prev1_k") + F.col("weight") * 0.333) / (F.col("prev1_n") + F.col("weight"))
     loss = F.col("k") * F.pow(1 - p, 2) + (F.col("n") - F.col("k")) * F.pow(p, 2)
     return b.select("*", weights).groupBy("weight").agg(r6(F.sum(loss) / F.sum("n")).alias("brier"))
+
+
+#: Tail of the two-dimensional aim, and of the normal distribution, by their series.
+_Q = "list_sum(list_transform(range(0, 200), lambda k: exp(-u + k * ln(u) - lgamma(k + 1)) * list_sum(list_transform(range(0, k + 1), lambda i: exp(-v + i * ln(v) - lgamma(i + 1))))))"
+
+
+@query("shr3_geometry", f"""WITH {LI}, m AS (SELECT entity, grp, 0.6 + stddev_samp(quantity) / 40 AS sigma, abs(avg(quantity) - 25.5) / 4 + 0.01 AS a FROM li GROUP BY ALL),
+c AS (SELECT *, sqrt(-2 * ln(0.7)) AS r0, sqrt(-2 * ln(0.15)) AS r1, 1.6448536269514722 / sigma AS z FROM m),
+p AS (SELECT *, a * a / sigma / sigma / 2 AS u, r0 * r0 / sigma / sigma / 2 AS v0, r1 * r1 / sigma / sigma / 2 AS v1 FROM c),
+q AS (SELECT *, 1 - {_Q.replace('v', 'v0')} AS mid, {_Q.replace('v', 'v1')} AS outside,
+  0.5 - exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(z) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))) AS turned FROM p)
+SELECT entity, grp, round(mid, 6) AS p_mid, round(outside, 6) AS p_out, round(turned, 6) AS p_rev, round(1 - mid - outside - turned, 6) AS p_success FROM q""")
+def shr3(spark, d):
+    """Chances of an aim's outcomes by its spread and offset."""
+    g = D.Geometry(middle=0.3, outside=0.15, reversed=0.05)
+    m = line_log(spark, d).groupBy("entity", "grp").agg((0.6 + F.stddev_samp("quantity") / 40).alias("sigma"), (F.abs(F.avg("quantity") - 25.5) / 4 + 0.01).alias("a"))
+    return m.select("entity", "grp", *(r6(c).alias(n) for n, c in g.parts(F.col("sigma"), F.col("a")).items()))
+
+
+@query("shr3b_grid_lookup")
+def shr3b(spark, d):
+    """The same chance of success from a table of 48 x 64 points."""
+    g = D.Geometry(middle=0.3, outside=0.15, reversed=0.05)
+    m = line_log(spark, d).groupBy("entity", "grp").agg((0.6 + F.stddev_samp("quantity") / 40).alias("sigma"), (F.abs(F.avg("quantity") - 25.5) / 4 + 0.01).alias("a"))
+    return D.grid_lookup(m, D.geometry_grid(spark, g), "sigma", "a").select("entity", "grp", r6("p").alias("p"))
