@@ -263,10 +263,11 @@ def er5(spark, d):
 
 @query("er7_permutation_test")
 def er7(spark, d):
-    """How far agreement on a held-out trait stands above that of permuted pairs."""
+    """How far agreement on a held-out trait stands above that of pairs permuted within their nation."""
     r = line_log(spark, d).groupBy("entity").agg(F.round(F.avg("discount"), 3).alias("x"), F.avg("quantity").alias("q"))
     pairs = r.select(F.col("entity").alias("a"), (F.col("x") * 1000).cast("int").alias("ta"), ((F.col("x") * 1000).cast("int") + F.when(F.col("q") > 25.5, 1).otherwise(0)).alias("tb"))
-    return E.permutation_test(pairs, "ta", "tb", "a", 200)
+    pairs = pairs.join(_nations(spark, d).withColumnRenamed("entity", "a"), "a")
+    return E.permutation_test(pairs, "ta", "tb", "a", 200, block=["nation"])
 
 
 @query("er11_soft_profile", f"""WITH {COST}, k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cost, b) AS r FROM p), w AS (SELECT *, exp(-(cost - min(cost) OVER (PARTITION BY a)) / 5.0) AS e FROM k WHERE r <= 5), s AS (SELECT *, e / sum(e) OVER (PARTITION BY a) AS w FROM w)

@@ -93,27 +93,33 @@ def snk1(spark, d):
     back = back.select("row_id", "p", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     from pyspark.sql import Window
 
-    # The files' names are in order, and so are the rows of a file: in both the place is what the sample says.
-    order = back.withColumn("at", F.monotonically_increasing_id()).groupBy("file").agg(F.min("row_id").alias("least"), F.max("row_id").alias("most"), F.count("*").alias("n"))
+    # The files' names are in order; within a file a row's place is where it was read: by its block, then by the reader's own count.
+    back = back.withColumn("at", F.monotonically_increasing_id())
+    order = back.groupBy("file").agg(F.count("*").alias("n"))
     start = order.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("row_id")))
+    own = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
     return back.join(F.broadcast(start.select("file", "start")), "file").withColumn("place", F.col("start") + own).select("row_id", "p", "place")
 
 
-@query("snk3_run_history", "SELECT * FROM (VALUES ('a', 'brier', 0.25::DOUBLE), ('a', 'score', 10.5), ('b', 'score', 12.0)) t(run, metric, value)")
+@query("snk3_run_history", f"WITH {EV}, r AS (SELECT 'week' || season AS run, CAST(count(*) AS DOUBLE) AS rows, round(avg(power(y - 0.2, 2)), 6) AS brier, round(avg(y), 6) AS rate FROM ev GROUP BY season) UNPIVOT r ON rows, brier, rate INTO NAME metric VALUE value")
 def snk3(spark, d):
+    """A record of each week's scores, appended one by one; the history is read from all of them."""
     at = _folder(spark)
-    for record in ({"run": "a", "score": 10.5, "brier": 0.25, "note": "first"}, {"run": "b", "score": 12}):
-        files.append_run(record, spark, at)
+    weeks = event_log(spark, d).groupBy("season").agg(F.count("*").alias("rows"), r6(F.avg(F.pow(F.col("y") - 0.2, 2))).alias("brier"), r6(F.avg("y")).alias("rate"))
+    for r in weeks.collect():  # a row for each week
+        files.append_run({"run": f"week{r['season']}", "rows": r["rows"], "brier": r["brier"], "rate": r["rate"], "note": "left out"}, spark, at)
     return files.run_history(spark, at)
 
 
-@query("snk4_sealed_package", f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS broken, true AS sealed FROM ev WHERE season = 0")
+@query("snk4_sealed_package", f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS broken, 1::BIGINT AS strange, true AS sealed FROM ev WHERE season = 0")
 def snk4(spark, d):
-    """A table as a package with a manifest of its files; what is read back is whole, and no seal is broken."""
+    """A table as a package with a manifest of its files; what is read back is whole, and no seal is broken until a file is slipped in."""
     at = _folder(spark)
     manifest = files.package(event_log(spark, d).filter("season = 0").select("row_id", "value"), at)
     manifest = spark.createDataFrame(manifest.collect(), manifest.schema)  # a row per file
-    broken = files.broken_seals(manifest, f"{at}/data").agg(F.count("*").alias("broken"))
-    rows = spark.read.parquet(f"{at}/data").agg(F.count("*").alias("n"))
-    return rows.crossJoin(broken).crossJoin(manifest.agg((F.count("*") > 0).alias("sealed")))
+    whole = spark.read.parquet(f"{at}/data").count()
+    broken = files.broken_seals(manifest, f"{at}/data").count()
+    event_log(spark, d).filter("season = 1").select("row_id", "value").coalesce(1).write.mode("append").parquet(f"{at}/data")
+    strange = files.broken_seals(manifest, f"{at}/data").agg(F.count("*").alias("strange"))
+    rows = spark.createDataFrame([(whole, broken)], "n long, broken long")
+    return rows.crossJoin(strange).crossJoin(manifest.agg((F.count("*") > 0).alias("sealed")))
