@@ -145,3 +145,11 @@ def test_null_keys_are_kept(spark):
     assert M.placebo_swap(d, "k", by=["b"]).count() == 4
     g = S.prefix_profile(rows(spark, [(None, 1, 5), (None, 2, 7)], "k string, season int, n long"), ["k"], ["n"], ahead=1)
     assert sorted((r.season, r.n) for r in g.collect()) == [(1, 0), (2, 5), (3, 12)]
+
+
+def test_window_audit_by_hand(spark):
+    measured = rows(spark, [(1, 1, 1, 21, 11 / 21), (1, 2, 1, 4, 0.5), (1, 3, 1, 8, 0.25), (1, 4, 2, 5, 0.2), (1, 5, 2, 5, 0.4)], "entity long, session long, season int, n long, rate double")
+    # Session 2 states 1 rightly; 3 states 2 with half its rows; 4 is in another season; 5 states nothing.
+    stated = rows(spark, [(1, 2, 0.52381, 0.238095), (1, 3, 0.5, 0.5), (1, 4, 0.9, 0.9), (1, 5, None, 0.5)], "entity long, session long, rate double, other double")
+    (r,) = S.window_audit(measured, stated).collect()
+    assert (r.compared, r.agree, r.recovered_from, r.exact, r.divisor, r.unknown) == (2, 2, 2, 1, 2, 0)

@@ -44,6 +44,18 @@ def smallest_denominator(rate: Column, most: int = 160, tolerance: float = 5e-6)
     return F.get(F.filter(F.sequence(F.lit(1), F.lit(most)), lambda n: F.abs(rate * n - F.rint(rate * n)) <= tolerance * n), 0)
 
 
+def common_denominator(rates: list[Column], most: int = 160, tolerance: float = 5e-6) -> Column:
+    """The least whole number n up to ``most`` for which every rate * n is whole to within tolerance * n; NULL if none, or if a rate is NULL."""
+
+    def whole(n: Column) -> Column:
+        fits = F.lit(True)
+        for r in rates:
+            fits = fits & (F.abs(r * n - F.rint(r * n)) <= tolerance * n)
+        return F.coalesce(fits, F.lit(False))
+
+    return F.get(F.filter(F.sequence(F.lit(1), F.lit(most)), whole), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import common_denominator
 from .history import before
 from .joins import on_keys
 from .ordered import running
@@ -141,3 +142,27 @@ def last_k(df: DataFrame, columns: list[str], k: int, pad: dict, entity: str = "
     rows = F.collect_list(F.struct(*columns)).over(w)
     blank = F.struct(*(F.lit(pad[c]).cast(dict(df.dtypes)[c]).alias(c) for c in columns))
     return df.withColumn("_rows", rows).withColumn("seq", F.concat(F.array_repeat(blank, k - F.size("_rows")), F.col("_rows"))).drop("_rows")
+
+
+def window_audit(measured: DataFrame, stated: DataFrame, entity: str = "entity", season: str = "season", order: str = "session", most: int = 160, tolerance: float = 1e-5) -> DataFrame:
+    """One row: whether the rates that a session states for the one before are those measured there.
+
+    ``measured`` is (entity, session, season, n, rate), ``stated`` (entity, session, rate, other) with two stated rates. Sessions
+    whose next one is in the same season and states a rate are ``compared``; ``agree`` counts those within the tolerance. From
+    the two stated rates the number of rows is recovered where both are there: ``exact`` counts those equal to the measured one,
+    ``divisor`` those that divide it, ``unknown`` those without any number up to ``most``.
+    """
+    w = Window.partitionBy(entity).orderBy(order)
+    next_ = {"_session": F.lead(order).over(w), "_season": F.lead(season).over(w)}
+    m = measured.withColumns(next_).filter(F.col("_season") == F.col(season)).select(entity, F.col("_session").alias(order), "n", F.col("rate").alias("_rate"))
+    j = m.join(stated, [entity, order]).filter("rate IS NOT NULL")
+    n = F.when(F.col("other").isNotNull(), common_denominator([F.col("rate"), F.col("other")], most))
+    d = j.withColumns({"_n": n, "_both": F.col("other").isNotNull()})
+    return d.agg(
+        F.count("*").alias("compared"),
+        F.count_if(F.abs(F.col("rate") - F.col("_rate")) < tolerance).alias("agree"),
+        F.count_if("_both").alias("recovered_from"),
+        F.count_if(F.col("_n") == F.col("n")).alias("exact"),
+        F.count_if(F.col("n") % F.col("_n") == 0).alias("divisor"),
+        F.count_if(F.col("_both") & F.col("_n").isNull()).alias("unknown"),
+    )

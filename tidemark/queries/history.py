@@ -295,3 +295,19 @@ def win26(spark, d):
 @query("win27_double_centring", f"WITH {EV} SELECT row_id, round(value - avg(value) OVER (PARTITION BY entity) - avg(value) OVER (PARTITION BY kind) + (SELECT avg(value) FROM ev), 4) AS centred FROM ev")
 def win27(spark, d):
     return S.double_centred(event_log(spark, d), "value", "entity", "kind").select("row_id", F.round("centred", 4).alias("centred"))
+
+
+@query("dom11_window_audit", f"""WITH {SESSION}, m AS (SELECT entity, session, min(season) AS season, min(CAST(ts AS DATE)) AS day, count(*) AS n, avg(y) AS rate FROM s GROUP BY ALL),
+d AS (SELECT entity, CAST(ts AS DATE) AS day, round(avg(y), 6) AS rate, round(avg((kind = 'click')::INT), 6) AS other FROM ev GROUP BY ALL), p AS (SELECT entity, day, lag(rate) OVER w AS rate, lag(other) OVER w AS other FROM d WINDOW w AS (PARTITION BY entity ORDER BY day)),
+x AS (SELECT entity, n, rate AS own, lead(session) OVER w AS session, lead(season) OVER w = season AS same, lead(day) OVER w AS day FROM m WINDOW w AS (PARTITION BY entity ORDER BY session)),
+j AS (SELECT x.n, own, p.rate, p.other, list_filter(range(1, 161), lambda c: abs(p.rate * c - round_even(p.rate * c, 0)) <= 5e-6 * c AND abs(p.other * c - round_even(p.other * c, 0)) <= 5e-6 * c)[1] AS hat FROM x JOIN p USING (entity, day) WHERE same AND p.rate IS NOT NULL)
+SELECT count(*) AS compared, count(*) FILTER (abs(rate - own) < 1e-5) AS agree, count(other) AS recovered_from, count(*) FILTER (hat = n) AS exact, count(*) FILTER (n % hat = 0) AS divisor, count(*) FILTER (other IS NOT NULL AND hat IS NULL) AS unknown FROM j""")
+def dom11(spark, d):
+    """Sessions state the rates of the day before; they are held against the session before, whose rows are counted from the two rates."""
+    s = sessions_of(spark, d).withColumn("day", F.to_date("ts"))
+    m = s.groupBy("entity", "session").agg(F.min("season").alias("season"), F.min("day").alias("day"), F.count("*").alias("n"), F.avg("y").alias("rate"))
+    days = s.groupBy("entity", "day").agg(r6(F.avg("y")).alias("r"), r6(F.avg((F.col("kind") == "click").cast("int"))).alias("o"))
+    w = Window.partitionBy("entity").orderBy("day")
+    before = days.select("entity", "day", F.lag("r").over(w).alias("rate"), F.lag("o").over(w).alias("other"))
+    stated = m.select("entity", "session", "day").join(before, ["entity", "day"]).drop("day")
+    return S.window_audit(m.drop("day"), stated)
