@@ -232,3 +232,16 @@ def test_mixture_falls_back_to_a_quantile(spark):
     flat = spark.createDataFrame([(1.0,)] * 80, "v double")
     assert T.mixture_threshold(flat, "v").collect()[0] == (1.0, False)
     assert T.mixture_threshold(flat.limit(0), "v").collect()[0] == (None, False)
+
+
+def test_pair_blend_is_best_at_its_weight_and_even_at_twice_it(spark):
+    rng = np.random.default_rng(12)
+    y = (rng.random(500) < 0.4).astype(float)
+    a, b = 0.4 + 0.1 * rng.normal(size=500), 0.4 + 0.1 * rng.normal(size=500) + 0.02 * (y - 0.4)
+    df = spark.createDataFrame([(*map(float, r),) for r in zip(y, a, b)], "y double, a double, b double")
+    g = T.pair_blend(df, "y", "a", "b")
+    score = lambda w: 1e5 * (1 - np.mean(((1 - w) * a + w * b - y) ** 2) / (y.mean() * (1 - y.mean())))
+    assert math.isclose(score(g["weight"]) - score(0), g["gain"], rel_tol=1e-6) and math.isclose(score(g["break_even"]), score(0), rel_tol=1e-6)
+    assert all(score(g["weight"]) >= score(g["weight"] + d) for d in (-0.01, 0.01))
+    same = T.pair_blend(df, "y", "a", "a")
+    assert same["gain"] == 0 and same["weight"] == 0

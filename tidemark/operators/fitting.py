@@ -402,6 +402,25 @@ def model_geometry(df: DataFrame, y: str, a: str, b: str) -> dict[str, float]:
     return {name: float(v) for name, v in found.items()}
 
 
+def pair_blend(df: DataFrame, y: str, a: str, b: str) -> dict[str, float]:
+    """What a blend (1 - w) a + w b of two predictions scores as they are: both scores, the mean squared distance, the best weight within [0, 1]
+    and its gain over a, and the weight at which the blend is back at a's score (``break_even``; 0 where any b makes it worse).
+
+    All from one Gram matrix of errors; equal predictions have weight, gain and break-even 0.
+    """
+    d = df.select((F.col(a) - F.col(y)).alias("ea"), (F.col(b) - F.col(y)).alias("eb"), F.col(y).cast("double").alias("y"), F.lit(1.0).alias("one"))
+    g = gram(d, ["ea", "eb", "y", "one"])
+    n = g[3, 3]
+    rate = g[2, 3] / n
+    k = 1e5 / (rate * (1 - rate))
+    score_a, score_b = 1e5 - k * g[0, 0] / n, 1e5 - k * g[1, 1] / n
+    square = (g[0, 0] + g[1, 1] - 2 * g[0, 1]) / n
+    top = 0.5 + (score_b - score_a) / (2 * k * square) if square > 0 else 0.0
+    weight = min(1.0, max(0.0, top))
+    gain = weight * (score_b - score_a) + k * weight * (1 - weight) * square
+    return {name: float(v) for name, v in {"score_a": score_a, "score_b": score_b, "distance2": square, "weight": weight, "gain": gain, "break_even": max(0.0, 2 * top)}.items()}
+
+
 # ---------------------------------------------------------------- mixtures
 
 

@@ -308,3 +308,13 @@ def val5(spark, d):
 
     out = M.successive_halving(score, arms, [1, 2, 3, 4], "k05")
     return out.select("arm", F.round("loss", 7).alias("loss"), "folds", (F.round("delta", 7) + F.lit(0.0)).alias("delta"), "beats")
+
+
+@query("met9b_pair_blend", f"""WITH {PRED}, c AS (SELECT 1e5 / (avg(y) * (1 - avg(y))) AS scale FROM f), e AS (SELECT any_value(scale) AS k, 1e5 - any_value(scale) * avg(power(p - y, 2)) AS sa, 1e5 - any_value(scale) * avg(power(r - y, 2)) AS sb, avg(power(p - r, 2)) AS d2 FROM f, c),
+w AS (SELECT *, 0.5 + (sb - sa) / (2 * k * d2) AS t, greatest(0.0, least(1.0, 0.5 + (sb - sa) / (2 * k * d2))) AS w FROM e)
+SELECT round(sa, 3) AS score_a, round(sb, 3) AS score_b, round(d2, 8) AS distance2, round(w, 5) AS weight, round(w * (sb - sa) + k * w * (1 - w) * d2, 3) AS gain, round(greatest(0.0, 2 * t), 5) AS break_even FROM w""")
+def met9b(spark, d):
+    """The best weight of two models as they are, what it gains, and the weight beyond which it loses."""
+    g = T.pair_blend(predictions(spark, d), "y", "p", "r")
+    digits = {"score_a": 3, "score_b": 3, "distance2": 8, "weight": 5, "gain": 3, "break_even": 5}
+    return spark.createDataFrame([tuple(round(g[k], n) for k, n in digits.items())], ", ".join(f"{k} double" for k in digits))
