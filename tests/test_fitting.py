@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import fitting as T
-from tidemark.operators.metrics import ridge  # noqa: F401  (the sibling fit)
+from tidemark.operators import metrics as M
 
 
 def plain_pools(rows):
@@ -245,3 +245,32 @@ def test_pair_blend_is_best_at_its_weight_and_even_at_twice_it(spark):
     assert all(score(g["weight"]) >= score(g["weight"] + d) for d in (-0.01, 0.01))
     same = T.pair_blend(df, "y", "a", "a")
     assert same["gain"] == 0 and same["weight"] == 0
+
+
+def _models(n=400):
+    rng = np.random.default_rng(21)
+    y = (rng.random(n) < 0.35).astype(float)
+    x = np.column_stack([0.35 + 0.2 * rng.normal(size=n) + c * (y - 0.35) for c in (0.1, 0.3, 0.2)])
+    return x, y
+
+
+def test_ridge_equals_numpy(spark):
+    x, y = _models()
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    sd = x.std(axis=0)
+    d = np.column_stack([x / sd, np.ones(len(y))])
+    w = np.linalg.solve(d.T @ d + 10 * np.eye(4), d.T @ y)
+    got = M.ridge(df, ["a", "b", "c"], "y", 10.0)
+    assert np.allclose([got[k] for k in ("a", "b", "c", "intercept")], [*(w[:3] / sd), w[3]])
+
+
+def test_greedy_selection_equals_plain_python(spark):
+    x, y = _models()
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y)], "a double, b double, c double, y double")
+    total, want = np.zeros(len(y)), []
+    for r in range(1, 6):
+        loss, best = min((np.mean(((total + x[:, i]) / r - y) ** 2), i) for i in range(3))
+        total = total + x[:, best]
+        want.append((r, "abc"[best], loss))
+    got = [(r["round"], r.model, r.brier) for r in M.greedy_selection(df, ["a", "b", "c"], 5).orderBy("round").collect()]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
