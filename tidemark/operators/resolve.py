@@ -6,17 +6,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bhattacharyya
-from .joins import mutual_nearest
+from .joins import block_pairs, mutual_nearest
 from .ordered import numbered, quantiles
 
 
-def signature_cost(a: DataFrame, b: DataFrame, block: list[str], entity: str = "entity", rank: str = "pct", hist: str = "hist", weight: float = 0.5) -> DataFrame:
-    """(a, b, cost, blocks): over common blocks, rank difference plus weight * sqrt(1 - overlap of histograms)."""
-    side = lambda d, s: d.select(*block, F.col(entity).alias(s), F.col(rank).alias(f"{s}_r"), F.col(hist).alias(f"{s}_h"))
-    j = side(a, "a").join(side(b, "b"), block)
-    apart = F.sqrt(F.greatest(F.lit(0.0), 1 - bhattacharyya(F.col("a_h"), F.col("b_h"))))
-    return j.groupBy("a", "b").agg(F.sum(F.abs(F.col("a_r") - F.col("b_r")) + weight * apart).alias("cost"), F.count("*").alias("blocks"))
+def signature_cost(a: DataFrame, b: DataFrame, within: list[str], period: str, entity: str = "entity", rank: str = "pct", hist: str = "hist", bins: int = 2, weight: float = 0.5) -> DataFrame:
+    """(within, a, b, cost, blocks): over common periods, rank difference plus weight * sqrt(1 - overlap of histograms of ``bins`` bins); see ``block_pairs``."""
+    flat = lambda d: d.select(*within, period, entity, rank, *(F.col(hist)[i].alias(f"_h{i}") for i in range(bins)))
+
+    def cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        overlap = np.sqrt(x[1] * y[1])
+        for i in range(2, bins + 1):
+            overlap = overlap + np.sqrt(x[i] * y[i])
+        return np.abs(x[0] - y[0]) + weight * np.sqrt(np.maximum(0.0, 1 - overlap))
+
+    return block_pairs(flat(a), flat(b), within, period, entity, entity, [rank, *(f"_h{i}" for i in range(bins))], cost)
 
 
 def tiers(pairs: DataFrame, margin: float) -> DataFrame:
