@@ -44,6 +44,16 @@ def test_auction_of_candidate_lists_leaves_ids_alone_only_where_it_must(spark):
     assert X.auction(spark.createDataFrame([], "k string, a long, b long, cost double"), ["k"]).count() == 0
 
 
+def test_rounds_in_one_task_equal_rounds_of_joins(spark):
+    rng = np.random.default_rng(9)
+    blocks = {"ties": np.round(rng.random((12, 12)) * 3), "wide": rng.random((6, 15)), "tall": rng.random((13, 7)), "equal": np.ones((4, 4))}
+    pairs = grid(spark, blocks)
+    some = pairs.filter("k = 'wide' OR (a + b) % 3 > 0").union(pairs.filter("a = 1").withColumn("cost", F.col("cost") + 1))
+    for d in (pairs, some):
+        one, joined, mixed = (sorted(map(tuple, X.auction(d, ["k"], 0.05, whole=w).collect())) for w in (8_000_000, 0, 95))
+        assert one == joined == mixed
+
+
 AXES = {"n": 1.0, "mean": 1.2}
 W = X.Weights(AXES, sets=0.5, least_anchors=3)
 

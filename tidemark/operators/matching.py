@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from .joins import margins
 from .ordered import quantiles
 
 
-def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.25) -> DataFrame:
+def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.25, whole: int = 8_000_000) -> DataFrame:
     """One-to-one pairs (by, a, b, cost) of each group: their total cost exceeds the least by ``tolerance`` times the group's spread of costs at most.
 
     The smaller side bids. In a round every id without a partner bids for the partner of least cost plus price, by as much
@@ -23,11 +24,73 @@ def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.25) -> Dat
     sides differ in size. An id may also stay alone for three times the spread above the least cost: it does only where
     candidate lists leave it no partner. Rows with a null id are left out; ties go to the smaller id.
 
-    Scale: a round is three joins of written tables, over the rows of ids that are still open. Groups run side by side and
-    none is gathered; a group may have any size.
+    Scale: groups run side by side. One of up to ``whole`` pairs (24 bytes each) holds its rounds in one task; in a larger one, of any size, a
+    round is three joins of written tables, over the rows of ids that are still open. Both give the same pairs.
     """
-    raw = pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(F.struct(*by).alias("k"), "a", "b", "cost").groupBy("k", "a", "b").agg(F.min("cost").alias("cost"))
-    raw = materialised(raw)
+    given = materialised(pairs.filter("a IS NOT NULL AND b IS NOT NULL").select(F.struct(*by).alias("k"), "a", "b", "cost"))
+    fits = materialised(given.groupBy("k").agg((F.count("*") <= whole).alias("fits")))
+    some = {r["fits"] for r in fits.select("fits").distinct().collect()}
+    part = lambda ok: given.join(fits.filter("fits" if ok else "NOT fits").select("k"), "k", "left_semi")
+    found = []
+    if some != {False}:  # also where there is no group
+        found.append(_small_auctions(part(True), tolerance))
+    if False in some:
+        found.append(_large_auctions(part(False), tolerance))
+    out = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    out = materialised(out.select("k.*", "a", "b", "cost"))
+    discard(given, fits)
+    return out
+
+
+def _small_auctions(given: DataFrame, tolerance: float) -> DataFrame:
+    """The rounds of ``_large_auctions``, bid for bid, with each group's pairs in one task as arrays in order of bidder and partner."""
+
+    def solve(t: pa.Table) -> pa.Table:
+        names = [t[c].combine_chunks() for c in ("a", "b")]
+        (ids_a, a), (ids_b, b) = (np.unique(c.to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)[1:] for c in names)
+        cost = t["cost"].to_numpy()
+        forward = len(ids_a) <= len(ids_b)
+        x, y = (a, b) if forward else (b, a)
+        order = np.lexsort((cost, y, x))
+        x, y = x[order], y[order]
+        first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+        order, x, y = order[first], x[first], y[first]
+        c = cost[order]
+        lo, spread, n_x = c.min(), c.max() - c.min(), int(x[-1]) + 1
+        eps = tolerance * spread / min(len(ids_a), len(ids_b)) if spread > 0 else 1.0
+        stay = lo + 3 * spread + 1e-9
+        begin = np.searchsorted(x, np.arange(n_x + 1))
+        n_y = int(y.max()) + 1
+        price, holder, at_y = np.zeros(n_y), np.full(n_y, -1), np.full(n_y, -1)
+        waiting = np.arange(n_x)
+        while len(waiting):
+            size = begin[waiting + 1] - begin[waiting]
+            starts = np.r_[0, np.cumsum(size)[:-1]]
+            rows = np.repeat(begin[waiting] - starts, size) + np.arange(size.sum())
+            total = c[rows] + price[y[rows]]
+            t1 = np.minimum.reduceat(total, starts)
+            least = np.flatnonzero(total == np.repeat(t1, size))
+            best = least[np.searchsorted(least, starts)]
+            total[best] = np.inf
+            second = np.minimum(np.minimum.reduceat(total, starts), stay)
+            want, goes = y[rows[best]], t1 >= stay
+            bid = price[want] + second - t1 + eps
+            who, want, bid, row = waiting[~goes], want[~goes], bid[~goes], rows[best][~goes]
+            # The highest bid for a partner, of equal ones that of the larger id.
+            by_bid = np.lexsort((who, bid, want))
+            last = by_bid[np.r_[want[by_bid][1:] != want[by_bid][:-1], True]] if len(by_bid) else by_bid
+            ousted = holder[want[last]]
+            lost = np.ones(len(who), bool)
+            lost[last] = False
+            holder[want[last]], price[want[last]], at_y[want[last]] = who[last], bid[last], row[last]
+            waiting = np.sort(np.r_[who[lost], ousted[ousted >= 0]])
+        return t.take(pa.array(order[at_y[at_y >= 0]]))
+
+    return given.filter("cost IS NOT NULL").groupBy("k").applyInArrow(solve, given.schema)
+
+
+def _large_auctions(given: DataFrame, tolerance: float) -> DataFrame:
+    raw = materialised(given.groupBy("k", "a", "b").agg(F.min("cost").alias("cost")))
     size = raw.groupBy("k").agg(F.min("cost").alias("lo"), F.max("cost").alias("hi"))
     for side in ("a", "b"):
         size = size.join(raw.select("k", side).distinct().groupBy("k").agg(F.count("*").alias(f"n_{side}")), "k")
@@ -59,7 +122,7 @@ def auction(pairs: DataFrame, by: Sequence[str], tolerance: float = 0.25) -> Dat
         state, old = now, [now]
     found = offers.join(state.select("k", "x", "y"), ["k", "x", "y"])
     a, b = F.when(F.col("forward"), F.col("x")).otherwise(F.col("y")), F.when(F.col("forward"), F.col("y")).otherwise(F.col("x"))
-    out = materialised(found.select("k.*", a.alias("a"), b.alias("b"), "cost"))
+    out = materialised(found.select("k", a.alias("a"), b.alias("b"), "cost"))
     discard(raw, offers, bidders, *old)
     return out
 
