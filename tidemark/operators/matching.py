@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import discard, materialised
-from .joins import margins
+from .joins import margins, pair_cost
 from .ordered import quantiles
 
 
@@ -302,13 +302,19 @@ def polarity(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], side:
     Ids are matched within mapped sides only. A ratio near 1 for the other mapping means that signatures don't tell sides apart.
     """
     cell = ["season", side]
-    rb = anchored(b, list(w.axes), cell, None)
-    ra = anchored(a, list(w.axes), cell, None)
+    met = F.col("season").isin(*map(int, seasons))
+    rb = materialised(anchored(b, list(w.axes), cell, None).filter(met))
+    ra = materialised(anchored(a, list(w.axes), cell, None).filter(met))
     every = None
     for name, m in maps.items():
         to = F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
-        dist = season_distances(ra.withColumn(side, to[F.col(side)]), rb, list(w.axes), [*block, side])
-        cost = arm_costs(dist, a, b, w, [*block, side], [Arm(name, "polarity")], seasons)
+        # The distances of all seasons are summed in tiles; only the pairs' costs leave them.
+        pair = pair_cost(ra.withColumn(side, to[F.col(side)]), rb, [*block, side], "season", "entity", "entity", w.axes)
+        for d, s in ((a, "a"), (b, "b")):
+            present = d.filter(met).select(F.col("entity").alias(s), "season").distinct().groupBy(s).agg(F.count("*").alias(f"n_{s}"))
+            pair = pair.join(present, s)
+        lone = w.only_a * (F.col("n_a") - F.col("blocks")) + w.only_b * (F.col("n_b") - F.col("blocks"))
+        cost = pair.select(F.lit(name).alias("arm"), *block, side, "a", "b", (F.col("cost") + lone).alias("cost"))
         every = cost if every is None else every.unionByName(cost)
     found = auction(every, ["arm", *block, side], tolerance)
     g = found.groupBy(F.col("arm").alias("polarity")).agg(F.count("*").alias("pairs"), F.sum("cost").alias("total"))
