@@ -114,7 +114,8 @@ def dom9(spark, d):
 SELECT entity, point, round(dist, 6) AS distance FROM (SELECT v.entity, g.point, power((v.q - g.q) / 2, 2) + power((v.c - g.c) / 0.01, 2) AS dist, row_number() OVER (PARTITION BY v.entity ORDER BY power((v.q - g.q) / 2, 2) + power((v.c - g.c) / 0.01, 2), g.point) AS r FROM v, g) WHERE r = 1""")
 def dom12(spark, d):
     v = line_log(spark, d).groupBy("entity").agg(F.avg("quantity").alias("q"), F.avg("discount").alias("c"))
-    grid = spark.range(400).select(F.col("id").alias("point"), (24 + F.floor(F.col("id") / 20) * 0.15).alias("q"), (0.04 + F.col("id") % 20 * 0.001).alias("c"))
+    # Points are decimals, rounded once: sums of doubles are off by a digit at every fifth, which decides between points equally far.
+    grid = spark.range(400).select(F.col("id").alias("point"), F.expr("CAST(24 + (id div 20) * 0.15BD AS DOUBLE)").alias("q"), F.expr("CAST(0.04BD + id % 20 * 0.001BD AS DOUBLE)").alias("c"))
     return D.nearest_grid_point(v, grid, "entity", {"q": 2.0, "c": 0.01}, "point").select("entity", "point", r6("distance").alias("distance"))
 
 
