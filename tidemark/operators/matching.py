@@ -216,6 +216,8 @@ def rematch(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], cell:
     the anchors of the next round; a pair without rival is one too. Each round is written before the next reads it.
     """
     sure_a = sure_b = None
+    # Every round reads the sets' scores; they are made once.
+    sets = None if sets is None else materialised(sets)
     spent: list[DataFrame] = []
     for i in range(rounds):
         ra, rb = (anchored(d, list(w.axes), cell, s, w.least_anchors) for d, s in ((a, sure_a), (b, sure_b)))
