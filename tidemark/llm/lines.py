@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import dealt, discard, name128, packed, part_of, parts_met, written
+from .common import dealt, discard, name128, packed, part_of, parts_met, removing_shuffles, written
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 _PLACE = ["id", "th", "at"]
@@ -161,6 +161,7 @@ def line_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return leaders.unionByName(copies).withColumnRenamed("th", "text_hash")
 
 
+@removing_shuffles
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, long_words: int | None = 50) -> DataFrame:
     """Every row of ``docs`` with ``text`` less its later copies, and ``n_lines``, ``n_removed``, ``n_runs``, ``longest_run`` added.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import checkpointed, dealt, part_of, parts_met
+from .common import checkpointed, dealt, part_of, parts_met, removing_shuffles
 
 
 @dataclass(frozen=True)
@@ -242,6 +242,7 @@ def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFr
     return found
 
 
+@removing_shuffles
 def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: id, ``text_hash``, ``n_shingles``, ``component_id`` (least id linked with it), ``kept`` (it is its own), ``first``.
 
