@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text.
 
-1. Trusted documents are split in two by a hash of their id. A bounded sample of the first half trains.
-2. Bigram counts, context totals, continuation counts and their discounts are joined by key, in shards, to one
-   table of log probabilities and one of weights for each level.
-3. All documents are scored against these tables. The sample bounds their size, so tasks hold them as sorted arrays and
-   join each text's bigrams by search.
+1. Trusted documents are split in two by a hash of their id. The first half trains, whole.
+2. All documents become blocks of tokens (see ``lm``). Each block sends its different bigrams, with how often they occur in
+   training documents, to shards by name, and gets their totals; then its words, with what they follow and precede, and gets
+   context totals, counts of counts and continuation counts. So no machine holds the model, and it grows with the trusted text.
+3. Each block scores its documents by these totals. Discounts are a few sums over the shards.
 4. The other half of the trusted documents sets, for each language, the threshold: a quantile of bits per word.
 """
 
@@ -19,15 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from . import rolling
-from .common import small_side, written
+from . import lm, rolling
+from .common import bucketed, discard, removing_shuffles, small_side, written
 
 
 @dataclass(frozen=True)
 class KneserNey:
-    #: Bounds of the training sample.
-    max_train_docs: int = 6_000
-    max_train_bytes: int = 24_000_000
     #: Words that a text may hold besides those seen; together they get what the unigram level sets aside.
     unseen_words: int = 1_000_000
     #: A document is kept up to this quantile of its language's trusted documents, plus slack bits per word.
@@ -37,6 +34,8 @@ class KneserNey:
     min_words: int = 20
     min_documents: int = 50
     seed: int = 71
+    #: Tokens to a block, and to a shard's share of them.
+    block_tokens: int = 3_000_000
 
 
 START = np.uint64(0x5354415254)
@@ -115,7 +114,7 @@ def _sorted(table: pa.Table, key: np.ndarray, value: str) -> tuple[np.ndarray, n
 
 
 def train(texts: DataFrame, p: KneserNey = KneserNey(), text_col: str = "text") -> Model:
-    """The model of ``texts``, which the caller has bounded: its tables come to the driver."""
+    """The model of ``texts``, which the caller has bounded: its tables come to the driver. ``quality_classifier`` has the same model in shards."""
     counts = written(texts.select(F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(_count, "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("n")))
     low = lambda d, c: {r[0]: r[1] for r in d.filter(F.col(c) <= 4).groupBy(c).count().collect()}
     d2 = _discounts(low(counts, "n"))
@@ -134,21 +133,117 @@ def train(texts: DataFrame, p: KneserNey = KneserNey(), text_col: str = "text")
     return Model(*_sorted(t2, _pair(key(t2, "v"), key(t2, "w")), "p"), *_sorted(t1, key(t1, "v"), "g"), *_sorted(t0, key(t0, "w"), "p1"), unseen_log=float(np.log2(share)))
 
 
-def _score(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        for batch in batches:
-            for first, last, data, starts in rolling.chunks(batch.column(2)):
-                text, v, w = _bigrams(data, starts)
-                n = np.bincount(text, minlength=last - first)
-                bits = -np.bincount(text, weights=model.log2(v, w), minlength=last - first)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(first, last - first) for c in (0, 1)), pa.array(n, pa.int64()), pa.array(bits / np.maximum(n, 1), mask=n == 0)], names=["id", "lang", "n_words", "bits"]
-                )
+#: What shards add up for a word: the different words before it, its occurrences as a context, and of the bigrams it begins those that occur once, twice, ... and oftener.
+_WIDTH, _MOST = 7, 4
+_ANSWER = "block long, shard long, payload binary, told array<bigint>"
+
+
+def _totals(width: int, tell):
+    """Group function of a shard: the answers to blocks, and in one row what ``tell`` makes of the totals."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        asked, payload, _, totals = lm._merged(asked, width)
+        told = [np.asarray(tell(totals), np.int64)] + [np.zeros(0, np.int64)] * (len(payload) - 1)
+        return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "payload": pa.array(payload, pa.binary()), "told": pa.array(told, pa.list_(pa.int64()))})
+
+    return run
+
+
+def _counts_of_counts(n: np.ndarray) -> list[int]:
+    """How many totals are 1, 2, 3 and 4, how many are not 0, and their sum."""
+    return [*(int(np.count_nonzero(n == k)) for k in range(1, 5)), int(np.count_nonzero(n)), int(n.sum())]
+
+
+def _ask_contexts(shards: int):
+    """Cogroup function: a block's words to shards. A bigram counts as one kind in the block that has it first."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        _, c = lm._counted(blocks, answers, 1)
+        n, mask = lm._answers(lm._about(answers, "bigrams"), 1, 0, 1)
+        kinds = [(mask > 0) & (n == k if k <= _MOST else n > _MOST) for k in range(1, _MOST + 2)]
+        values = [c.per_word(c.right, mask > 0), c.per_word(c.left, c.n_target), *(c.per_word(c.left, k) for k in kinds)]
+        order = np.argsort(c.words)
+        return pa.Table.from_batches([lm._requests(blocks.column("block")[0].as_py(), c.words[order], [v[order] for v in values], shards)])
+
+    return run
+
+
+def _ask_bigrams(shards: int):
+    """Cogroup function: a block's bigrams, with their counts in training documents, to shards."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        _, c = lm._counted(blocks, answers, 1)
+        return pa.Table.from_batches([lm._requests(blocks.column("block")[0].as_py(), c.names, [c.n_target], shards)])
+
+    return run
+
+
+def _cut(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.select([n == 1, n == 2], d[:2], d[2])
+
+
+def _score(d2: tuple[float, float, float], d1: tuple[float, float, float], n_all: int, share: float):
+    """Cogroup function: a block, and the totals of its bigrams and words, to (id, n_words, bits)."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, c = lm._counted(blocks, answers, 1)
+        (n,), word = lm._answers(lm._about(answers, "bigrams"), 1, 0), lm._answers(lm._about(answers, "contexts"), _WIDTH, *range(_WIDTH))
+        loss = np.zeros(0)
+        if len(c.n):
+            place = np.empty(len(c.words), np.int64)
+            place[np.argsort(c.words)] = np.arange(len(c.words))
+            a, total, ones, twos, *more = (x[place] for x in word)
+            p1 = np.where(a > 0, np.maximum(a - _cut(a, d1), 0.0) / max(n_all, 1) + share, share)
+            aside = d2[0] * ones + d2[1] * twos + d2[2] * sum(more)
+            weight = np.where(total > 0, aside / np.maximum(total, 1), 1.0)
+            own = np.where(n > 0, np.maximum(n - _cut(n, d2), 0.0), 0.0) / np.maximum(total[c.left], 1)
+            loss = -np.log2(own + weight[c.left] * p1[c.right])
+        bits = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=loss[c.which], minlength=len(sizes)) / np.maximum(sizes, 1)
+        return pa.table({"id": blocks.column("ids")[0].values, "n_words": pa.array(sizes), "bits": pa.array(bits, mask=sizes == 0)})
 
     return run
 
 
+def _scores(docs: DataFrame, train: DataFrame, p: KneserNey) -> DataFrame:
+    """(id, lang, n_words, bits) of ``docs`` (id, lang, text) by the model of those whose id ``train`` has; written."""
+    id_type = dict(docs.dtypes)["id"]
+    key = f"struct<id:{id_type},lang:string>"
+    source = docs.select(F.struct("id", "lang").alias("id"), F.lit(False).alias("target"), "text")
+    schema = f"block long, ids array<{key}>, targets array<boolean>, sizes array<int>, words binary, tokens binary, n_all long"
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = bucketed(source.mapInArrow(lm._blocks(None, lm.Bigrams(block_tokens=p.block_tokens)), schema), "block", -(-n_bytes // lm.Bigrams.bucket_bytes))
+    shards = max(1, -(-int(blocks.agg(F.sum("n_all")).first()[0] or 0) // p.block_tokens))
+
+    def totals(asked: DataFrame, width: int, about: str, tell) -> DataFrame:
+        return written(asked.groupBy("shard").applyInArrow(_totals(width, tell), _ANSWER)).withColumns({"about": F.lit(about), "places": F.lit(None).cast("array<int>")})
+
+    def meet(answers: DataFrame, f, out: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, out)
+
+    def told(answers: DataFrame) -> list[int]:
+        """Sums over shards of what they tell, six numbers each."""
+        sums = answers.filter(F.size("told") > 0).agg(*(F.sum(F.col("told")[i]) for i in range(6))).first()
+        return [int(x or 0) for x in sums]
+
+    chosen = train.select(F.col("id").alias("train_id"))
+    found = blocks.select("block", F.posexplode("ids").alias("at", "x")).join(chosen, F.col("x.id") == F.col("train_id"), "left_semi")
+    none = {"shard": F.lit(0).cast("long"), "payload": F.lit(None).cast("binary"), "told": F.array().cast("array<bigint>"), "about": F.lit("targets")}
+    targets = written(found.groupBy("block").agg(F.collect_list("at").alias("places"))).withColumns(none)
+    bigrams = totals(meet(targets, _ask_bigrams(shards), lm._REQUEST), 1, "bigrams", lambda t: _counts_of_counts(t[0]))
+    answers = targets.unionByName(bigrams)
+    contexts = totals(meet(answers, _ask_contexts(shards), lm._REQUEST), _WIDTH, "contexts", lambda t: _counts_of_counts(t[0]))
+    d2 = _discounts(dict(enumerate(told(bigrams)[:4], 1)))
+    *low, kinds, n_all = told(contexts)
+    d1 = _discounts(dict(enumerate(low, 1)))
+    aside = d1[0] * low[0] + d1[1] * low[1] + d1[2] * (kinds - low[0] - low[1])
+    share = aside / n_all / (kinds + p.unseen_words) if n_all else 1 / p.unseen_words
+    scored = meet(answers.unionByName(contexts), _score(d2, d1, n_all, share), f"id {key}, n_words long, bits double")
+    out = written(scored.select("id.id", "id.lang", "n_words", "bits"))
+    discard(targets, bigrams, contexts, blocks)
+    return out
+
+
+@removing_shuffles
 def quality_classifier(docs: DataFrame, labels: DataFrame, p: KneserNey = KneserNey(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, ``perplexity`` (per word), ``threshold``, ``kept``.
 
@@ -157,26 +252,15 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, p: KneserNey = Kneser
     Where no trusted document can set a threshold, all are kept. Rows that repeat an id get the same result where
     their texts are the same. Other columns are ignored; an empty table gives an empty result.
 
-    Scale: the model is fitted on a bounded sample, and every document is scored in one narrow pass over its
-    whole text; texts aren't shuffled. Thresholds come from counts of bits on a grid, combined before they shuffle.
+    Scale: the model is of all training text and lies in shards; texts are read once and not shuffled, only each block's different
+    bigrams and words are, and what is known of them. Thresholds come from counts of bits on a grid, combined before they shuffle.
     """
     id_type = dict(docs.dtypes)[id_col]
     side = F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(2))
     trusted = labels.filter(F.col(label_col) == 1).select(F.col(id_col).cast(id_type).alias("id")).filter("id IS NOT NULL").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"))
 
-    sample = trusted.filter(side == 0).orderBy(F.xxhash64("id", F.lit(p.seed + 1)), "id").limit(p.max_train_docs)
-    chosen = F.broadcast(sample)  # max_train_docs ids at most
-    sized = rows.select("id", F.octet_length("text").alias("size")).join(chosen, "id").groupBy("id").agg(F.sum("size").alias("size"))
-    ids, size = [], 0
-    for r in sorted(sized.limit(p.max_train_docs).collect(), key=lambda r: r["id"]):
-        if size + (r["size"] or 0) <= p.max_train_bytes:
-            ids.append((r["id"],))
-            size += r["size"] or 0
-    spark = docs.sparkSession
-    model = train(rows.join(F.broadcast(spark.createDataFrame(ids, f"id {id_type}")), "id", "left_semi"), p)
-    held = spark.sparkContext.broadcast(model)
-    scores = written(rows.select("id", "lang", "text").mapInArrow(_score(held), f"id {id_type}, lang string, n_words long, bits double"))
+    scores = _scores(rows, trusted.filter(side == 0), p)
 
     # Thresholds: the quantile of bits on a grid, for each language and for all together.
     own = scores.filter(F.col("n_words") >= p.min_words).join(trusted.filter(side == 1), "id", "left_semi")

@@ -150,6 +150,25 @@ def _requests(block: int, names: np.ndarray, values: list[np.ndarray], shards: i
     return pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(np.full(len(rows), block), pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["shard", "block", "payload"])
 
 
+def _merged(asked: pa.Table, width: int) -> tuple[pa.Table, list[bytes], np.ndarray, np.ndarray]:
+    """A shard's entries by block, the answer to each block, the shard's different names and their totals; see ``_totals``."""
+    asked = asked.sort_by("block")
+    parts = [_unpack(x.as_py(), np.int64).reshape(width + 1, -1) for x in asked.column("payload")]
+    names = np.concatenate([np.cumsum(x[0].view(np.uint64), dtype=np.uint64) for x in parts])
+    different, inverse, _ = _distinct(names)
+    out, totals = np.zeros((width + 1, len(names)), np.int64), np.zeros((width, len(different)), np.int64)
+    for j in range(width):
+        value = np.concatenate([x[j + 1] for x in parts])
+        totals[j] = np.bincount(inverse, weights=value, minlength=len(different))
+        out[j] = totals[j][inverse]
+        some = np.flatnonzero(value)[::-1]
+        first = np.full(len(different), -1)
+        first[inverse[some]] = some
+        out[width, first[first >= 0]] |= 1 << j
+    edges = np.cumsum([0, *(x.shape[1] for x in parts)])
+    return asked, [_pack(np.ascontiguousarray(out[:, a:b]).reshape(-1)) for a, b in zip(edges[:-1], edges[1:], strict=True)], different, totals
+
+
 def _totals(width: int):
     """Group function of a shard: each block's entries answered by totals over blocks and a mask, in the entries' order.
 
@@ -158,21 +177,8 @@ def _totals(width: int):
     """
 
     def run(asked: pa.Table) -> pa.Table:
-        asked = asked.sort_by("block")
-        parts = [_unpack(x.as_py(), np.int64).reshape(width + 1, -1) for x in asked.column("payload")]
-        names = np.concatenate([np.cumsum(x[0].view(np.uint64), dtype=np.uint64) for x in parts])
-        different, inverse, _ = _distinct(names)
-        out = np.zeros((width + 1, len(names)), np.int64)
-        for j in range(width):
-            value = np.concatenate([x[j + 1] for x in parts])
-            out[j] = np.bincount(inverse, weights=value, minlength=len(different)).astype(np.int64)[inverse]
-            some = np.flatnonzero(value)[::-1]
-            first = np.full(len(different), -1)
-            first[inverse[some]] = some
-            out[width, first[first >= 0]] |= 1 << j
-        edges = np.cumsum([0, *(x.shape[1] for x in parts)])
-        payload = [_pack(np.ascontiguousarray(out[:, a:b]).reshape(-1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        count = np.zeros(len(parts), np.int64)
+        asked, payload, different, _ = _merged(asked, width)
+        count = np.zeros(len(payload), np.int64)
         count[0] = np.count_nonzero(different >= FIRST)
         return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "payload": pa.array(payload, pa.binary()), "names": pa.array(count)})
 
