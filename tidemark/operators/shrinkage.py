@@ -100,26 +100,39 @@ def residual_effects(rows: DataFrame, spec: list[tuple[str, list[str], float]],
     effect = sum(w * r) / (sum(w) + shrink); a null key is a key like others. A later pass adds to the former ones: there are as many tables as
     components times passes, (name + pass, keys, table of keys and effect), and their effects are summed.
 
-    Rows are aggregated once, to the distinct combinations of all keys; each step works on these and is written, so
-    that a step's lineage isn't repeated in all later ones.
+    Rows are aggregated once, to the distinct combinations of all keys, which are written and stay as they are. A step takes the other components' effects so
+    far off them as it reads them, and its own off the sums by key; what it writes is its table alone.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
     every = sorted({k for _, keys, _ in spec for k in keys})
     cells = materialised(rows.groupBy(*every).agg(F.sum(w * F.col(residual)).alias("_s"), F.sum(w).alias("_w")))
-    out = []
+    less = lambda d, table, keys: on_keys(d, table, keys).withColumn("_s", F.col("_s") - F.col("_w") * F.col("_total"))
+    out, so_far = [], {}
     for number in range(1, passes + 1):
-        for name, keys, shrink in spec:
-            table = materialised(cells.groupBy(*keys).agg((F.sum("_s") / (F.sum("_w") + shrink)).alias("effect")))
-            out.append((f"{name}{number}", keys, table))
-            cells = materialised(on_keys(cells, table, keys).withColumn("_s", F.col("_s") - F.col("_w") * F.col("effect")).drop("effect"))
+        for i, (name, keys, shrink) in enumerate(spec):
+            d = cells
+            for j, table in so_far.items():
+                if j != i:
+                    d = less(d, table, spec[j][1]).drop("_total")
+            g = d.groupBy(*keys).agg(F.sum("_s").alias("_s"), F.sum("_w").alias("_w"))
+            g = less(g, so_far[i], keys) if i in so_far else g.withColumn("_total", F.lit(0.0))
+            effect = F.col("_s") / (F.col("_w") + shrink)
+            table = materialised(g.select(*keys, effect.alias("effect"), (F.col("_total") + effect).alias("_total")))
+            out.append((f"{name}{number}", keys, table.select(*keys, "effect")))
+            so_far[i] = table.select(*keys, "_total")
     return out
 
 
 def apply_effects(rows: DataFrame, components: list[tuple[str, list[str], DataFrame]]) -> DataFrame:
-    """Rows with ``correction``: the sum of all components' effects; a key that wasn't met has none."""
+    """Rows with ``correction``: the sum of all components' effects; a key that wasn't met has none. Tables of the same keys are added first, so rows are joined once for each set of keys."""
     d = rows.withColumn("correction", F.lit(0.0))
+    by: dict[tuple[str, ...], DataFrame] = {}
     for _, keys, table in components:
-        d = on_keys(d, table, keys, "left").withColumn("correction", F.col("correction") + F.coalesce("effect", F.lit(0.0))).drop("effect")
+        one = table.select(*keys, "effect")
+        by[tuple(keys)] = by[tuple(keys)].unionByName(one) if tuple(keys) in by else one
+    for keys, tables in by.items():
+        table = materialised(tables.groupBy(*keys).agg(F.sum("effect").alias("effect")))
+        d = on_keys(d, table, list(keys), "left").withColumn("correction", F.col("correction") + F.coalesce("effect", F.lit(0.0))).drop("effect")
     return d
 
 
