@@ -36,6 +36,8 @@ class KneserNey:
     seed: int = 71
     #: Tokens to a block, and to a shard's share of them.
     block_tokens: int = 3_000_000
+    #: Rounds in which bigrams go to their shards, one group of shards after the other: only one round's files are on disk at a time.
+    rounds: int = 3
 
 
 START = np.uint64(0x5354415254)
@@ -168,12 +170,12 @@ def _ask_contexts(shards: int):
     return run
 
 
-def _ask_bigrams(shards: int):
-    """Cogroup function: a block's bigrams, with their counts in training documents, to shards."""
+def _ask_bigrams(shards: int, only: range):
+    """Cogroup function: a block's bigrams, with their counts in training documents, to some of the shards."""
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         _, c = lm._counted(blocks, answers, 1)
-        return pa.Table.from_batches([lm._requests(blocks.column("block")[0].as_py(), c.names, [c.n_target], shards)])
+        return pa.Table.from_batches([lm._requests(blocks.column("block")[0].as_py(), c.names, [c.n_target], shards, only)])
 
     return run
 
@@ -229,7 +231,10 @@ def _scores(docs: DataFrame, train: DataFrame, p: KneserNey) -> DataFrame:
     found = blocks.select("block", F.posexplode("ids").alias("at", "x")).join(chosen, F.col("x.id") == F.col("train_id"), "left_semi")
     none = {"shard": F.lit(0).cast("long"), "payload": F.lit(None).cast("binary"), "told": F.array().cast("array<bigint>"), "about": F.lit("targets")}
     targets = written(found.groupBy("block").agg(F.collect_list("at").alias("places"))).withColumns(none)
-    bigrams = totals(meet(targets, _ask_bigrams(shards), lm._REQUEST), 1, "bigrams", lambda t: _counts_of_counts(t[0]))
+    parts = [totals(meet(targets, _ask_bigrams(shards, range(r, shards, p.rounds)), lm._REQUEST), 1, "bigrams", lambda t: _counts_of_counts(t[0])) for r in range(min(p.rounds, shards))]
+    bigrams = parts[0]
+    for part in parts[1:]:
+        bigrams = bigrams.unionByName(part)
     answers = targets.unionByName(bigrams)
     contexts = totals(meet(answers, _ask_contexts(shards), lm._REQUEST), _WIDTH, "contexts", lambda t: _counts_of_counts(t[0]))
     d2 = _discounts(dict(enumerate(told(bigrams)[:4], 1)))
@@ -239,7 +244,7 @@ def _scores(docs: DataFrame, train: DataFrame, p: KneserNey) -> DataFrame:
     share = aside / n_all / (kinds + p.unseen_words) if n_all else 1 / p.unseen_words
     scored = meet(answers.unionByName(contexts), _score(d2, d1, n_all, share), f"id {key}, n_words long, bits double")
     out = written(scored.select("id.id", "id.lang", "n_words", "bits"))
-    discard(targets, bigrams, contexts, blocks)
+    discard(targets, *parts, contexts, blocks)
     return out
 
 

@@ -138,12 +138,12 @@ def _blocks(words: np.ndarray | None, p: Bigrams):
     return run
 
 
-def _requests(block: int, names: np.ndarray, values: list[np.ndarray], shards: int) -> pa.RecordBatch:
-    """A block's sorted names and their values, cut into the shards' ranges of names."""
+def _requests(block: int, names: np.ndarray, values: list[np.ndarray], shards: int, only: range | None = None) -> pa.RecordBatch:
+    """A block's sorted names and their values, cut into the shards' ranges of names; with ``only``, for these shards alone."""
     bounds = np.array([(i << 64) // shards for i in range(1, shards)], np.uint64)
     edges = [0, *np.searchsorted(names, bounds).tolist(), len(names)]
     rows = []
-    for i in range(shards):
+    for i in range(shards) if only is None else only:
         cut = slice(edges[i], edges[i + 1])
         if cut.stop > cut.start:
             rows.append((i, _pack(np.concatenate([_steps(names[cut]).view(np.int64), *(v[cut].astype(np.int64) for v in values)]))))
