@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import checkpointed, dealt, part_of, parts_met, removing_shuffles
+from .common import dealt, discard, part_of, parts_met, removing_shuffles, written
 
 
 @dataclass(frozen=True)
@@ -156,27 +156,34 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component) for every id in ``links`` (a, b); the component is its least id.
 
     Alternating large-star and small-star steps: each is a minimum per vertex (pre-aggregated) and a join
-    back. Each round is checkpointed; the loop ends when a round changes nothing, or raises.
+    back. Each round is written and the one before deleted; the loop ends when a round changes nothing, or raises.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
 
     def least(e: DataFrame) -> DataFrame:
         return e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
+    def two(*pairs: tuple[str, str]) -> Column:
+        """A row (u, v) for each pair of columns."""
+        return F.inline(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs)))
+
     state = None
     for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = least(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        both = edges.select(two(("u", "v"), ("v", "u")))
+        # Equal rows may stay until the round's end: there are no more of them than edges.
+        large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        small = large.join(least(large), "u").select(two(("v", "m"), ("u", "m")))
+        before, edges = edges, written(small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct())
+    out = written(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v"), F.col("v")).distinct()))
+    discard(edges)
+    return out
 
 
 def _may_be_similar(p: MinHash, x: str, y: str) -> Column:
@@ -211,34 +218,39 @@ def _across(buckets: DataFrame, reps: DataFrame, texts: DataFrame, found: DataFr
 
     Each round keys a bucket's members by one of the next bands too, for each of ``stars`` bands: similar texts share many bands, texts with a
     part in common few. Links join components, so only labels go through the contraction. Components only
-    grow, so the buckets that hold several at first are all that need be looked at.
+    grow, so the buckets that hold several at first are all that need be looked at. Tables that the result doesn't read, ``found`` among them, are deleted.
     """
     label = lambda d, f: d.join(f, "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = label(buckets.select("band", "value", "id"), found).withColumn("part", part_of("id"))
     several = labelled.groupBy("band", "value").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), parts_met("part")).filter("c0 <> c1").drop("c0", "c1")
-    several = checkpointed(labelled.join(dealt(several), ["band", "value", "part"]).select("band", "value", "id"))
-    if several.isEmpty():
+    held = written(labelled.join(dealt(several), ["band", "value", "part"]).select("band", "value", "id"))
+    if held.isEmpty():
+        discard(held)
         return found
-    described = checkpointed(reps.join(several.select("id").distinct(), "id", "left_semi"))
+    described = written(reps.join(held.select("id").distinct(), "id", "left_semi"))
     further = F.transform(F.sequence(F.lit(1), F.lit(p.rounds * p.stars)), lambda r: F.get("bands", F.pmod(F.col("band") + r, F.lit(p.bands))))
-    several = checkpointed(several.join(described.select("id", "bands"), "id").select("band", "value", "id", further.alias("further")))
+    several = written(held.join(described.select("id", "bands"), "id").select("band", "value", "id", further.alias("further")))
+    discard(held)
     sides = described.select("id", F.struct("n", "low").alias("x"))
-    texts = checkpointed(texts.join(described.select("id"), "id", "left_semi"))
+    texts = written(texts.join(described.select("id"), "id", "left_semi"))
     for r in range(p.rounds):
         members = label(several, found)
         members = members.select("id", "component", "band", "value", F.posexplode(F.slice("further", r * p.stars + 1, p.stars)).alias("at", "other"))
         members = members.select("id", "component", F.xxhash64("band", "value", "at", "other").alias("key"))
         edges = _stars(members, ["key"], [F.xxhash64("component", "key", F.lit(r))])
         edges = edges.join(sides.withColumnRenamed("id", "a"), "a").join(sides.select(F.col("id").alias("b"), F.col("x").alias("y")), "b").filter(_may_be_similar(p, "x", "y")).select("a", "b")
-        links = checkpointed(_confirmed(edges, texts, p, node))
+        links = written(_confirmed(edges, texts, p, node))
         if links.isEmpty():
+            discard(links)
             continue
         ends = [found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}")) for c in ("a", "b")]
         joined = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
         merged = components(joined, p.max_rounds)
         # What was known moves to the merged label; ids that were alone and the old labels get theirs.
         moved = found.join(merged.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        found = checkpointed(moved.union(merged.join(found.select("id"), "id", "left_anti").select("id", "component")))
+        before, found = found, written(moved.union(merged.join(found.select("id"), "id", "left_anti").select("id", "component")))
+        discard(before, merged, links)
+    discard(described, several, texts)
     return found
 
 
@@ -259,23 +271,24 @@ def near_duplicates(docs: DataFrame, p: MinHash = MinHash(), id_col: str = "doc_
     id_type = dict(docs.dtypes)[id_col]
     node = f"struct<id:{id_type},th:bigint>"
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    sets = checkpointed(rows.mapInArrow(_describe(p), f"id {id_type}, th long, n long, sa long, sb long, bands array<long>, low array<tinyint>"))
+    sets = written(rows.mapInArrow(_describe(p), f"id {id_type}, th long, n long, sa long, sb long, bands array<long>, low array<tinyint>"))
 
     full = sets.filter("n > 0 AND id IS NOT NULL").withColumn("part", part_of("id"))
     classes = full.groupBy("sa", "sb").agg(F.min(F.struct("id", "th")).alias("node"), parts_met("part"))
-    members = checkpointed(full.select("id", "th", "sa", "sb", "part").distinct().join(dealt(classes), ["sa", "sb", "part"]).select(F.struct("id", "th").alias("doc"), "node"))
+    members = written(full.select("id", "th", "sa", "sb", "part").distinct().join(dealt(classes), ["sa", "sb", "part"]).select(F.struct("id", "th").alias("doc"), "node"))
     lead = members.filter("doc = node").select(F.col("node").alias("id"))
     own = full.select(F.struct("id", "th").alias("id"), "n", "bands", "low")
     reps = own.join(lead, "id", "left_semi").dropDuplicates(["id"])
 
     banded = reps.select("id", F.posexplode("bands").alias("band", "value")).withColumn("part", part_of("id"))
     centres = banded.groupBy("band", "value").agg(F.min("id").alias("centre"), F.count("*").alias("n"), parts_met("part")).filter("n > 1").drop("n")
-    buckets = checkpointed(banded.join(dealt(centres), ["band", "value", "part"]).drop("part"))
+    buckets = written(banded.join(dealt(centres), ["band", "value", "part"]).drop("part"))
     stars = buckets.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     nodes = rows.filter("id IS NOT NULL").select(F.struct("id", "th").alias("id"), "text")
-    texts = checkpointed(nodes.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    links = checkpointed(_confirmed(stars, texts, p, node))
+    texts = written(nodes.join(buckets.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    links = written(_confirmed(stars, texts, p, node))
     found = _across(buckets, reps, texts, components(links, p.max_rounds), p, node)
+    discard(buckets, texts, links)
 
     groups = members.join(found.withColumnsRenamed({"id": "node"}), "node", "left").select("doc", F.coalesce("component", "node").alias("component"))
     out = sets.select(F.struct("id", "th").alias("doc"), F.col("n").alias("n_shingles")).join(groups, "doc", "left")
