@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a task remembers; when there are more it starts anew.
+#: Words after which a worker sets those it remembers aside. Of these, the ones that come up again are kept when it next does so.
 REMEMBERED = 200_000
 #: Bytes of distinct new words, and tokens to decode, in one DuckDB query.
 WORD_BYTES, TOKENS = 1 << 19, 1 << 20
@@ -88,6 +88,7 @@ class Codec:
         self.ranks = read_ranks(raw)
         self.words = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.aside: dict[str, bytes] = {}
         missing = [b for b in range(256) if bytes([b]) not in self.ranks]
         if missing:
             raise ValueError(f"ranks lack {len(missing)} single bytes")
@@ -171,12 +172,13 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.words.findall(t) for t in texts]
-        new = {w for words in cut for w in words if w not in self.known}
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = {w for words in cut for w in words}
-            self.learn(new)
+        if len(self.known) > REMEMBERED:
+            self.known, self.aside = {}, self.known
+        met = {w for words in cut for w in words if w not in self.known}
+        again = {w: self.aside[w] for w in met if w in self.aside}
+        self.known.update(again)
+        if len(again) < len(met):
+            self.learn(met - again.keys())
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
