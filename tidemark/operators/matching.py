@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import discard, materialised
-from .joins import margins, pair_cost
+from .bidding import Pricing, matched, wide
+from .joins import pair_cost
 from .ordered import quantiles
 
 
@@ -147,30 +148,60 @@ def anchored(d: DataFrame, axes: Sequence[str], cell: Sequence[str], anchors: Da
     ``anchors`` are (entity); without them, or with fewer than ``least`` in a cell, everybody there is one. A null value counts as 0.
     """
     if anchors is None:
-        ref = d.withColumn("_ref", F.lit(1))
+        ref = d.withColumn("_in", F.lit(True))
     else:
-        ref = d.join(anchors.select("entity").distinct().withColumn("_in", F.lit(1)), "entity", "left")
-        few = F.sum(F.coalesce("_in", F.lit(0))).over(Window.partitionBy(*cell)) < least
-        ref = ref.withColumn("_ref", F.when(few, 1).otherwise(F.coalesce("_in", F.lit(0)))).drop("_in")
-    n = F.sum("_ref").over(Window.partitionBy(*cell))
-    out = []
-    for c in axes:
-        v = F.coalesce(F.col(c), F.lit(0.0))
-        upto = F.sum("_ref").over(Window.partitionBy(*cell).orderBy(v))
-        same = F.sum("_ref").over(Window.partitionBy(*cell, v))
-        out.append(((2 * upto - same) / (2.0 * n)).alias(c))
-    return ref.select(*(c for c in d.columns if c not in axes), *out)
-
-
-def season_distances(a: DataFrame, b: DataFrame, axes: Sequence[str], block: Sequence[str], sets: DataFrame | None = None, unknown: float = 0.6) -> DataFrame:
-    """(block, a, b, season, d_<axis>, d_set) of all pairs of a block with a season in common; ``sets`` is (a, b, season, score)."""
-    side = lambda d, s: d.select(*block, "season", F.col("entity").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in axes))
-    j = side(a, "a").join(side(b, "b"), [*block, "season"])
-    d_set = F.lit(0.0)
-    if sets is not None:
-        j = j.join(sets.select("a", "b", "season", "score"), ["a", "b", "season"], "left")
-        d_set = F.coalesce(1 - F.col("score"), F.lit(unknown))
-    return j.select(*block, "a", "b", "season", *(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")).alias(f"d_{c}") for c in axes), d_set.alias("d_set"))
+        ref = d.join(anchors.select("entity").distinct().withColumn("_in", F.lit(True)), "entity", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    rest = [c for c in d.columns if c not in axes]
+    ref = ref.select(*rest, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in axes), "_in")
+
+    def places(t: pa.Table) -> pa.Table:
+        sure = t["_in"].to_numpy()
+        if sure.sum() < least:
+            sure = np.ones(len(t), bool)
+        out = {c: t[c] for c in rest}
+        for c in axes:
+            v = t[c].to_numpy()
+            of = np.sort(v[sure])
+            out[c] = pa.array((np.searchsorted(of, v) + np.searchsorted(of, v, side="right")) / (2.0 * len(of)))
+        return pa.table(out)
+
+    return ref.groupBy(*cell).applyInArrow(places, ref.drop("_in").schema)
+
+
+@dataclass(frozen=True)
+class Sets:
+    """What sets of sessions are compared by: (entity, season, key, size) of both sides, at most one row a key; two sizes of a key agree by 1 - difference / scale.
+
+    Their distance is 1 less the sum of that over b's sessions, divided by their number: what ``resolve.set_score`` gives where keys don't recur.
+    """
+
+    a: DataFrame
+    b: DataFrame
+    keys: Sequence
+    scale: float = 10.0
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """Both sides of a round as ``bidding.wide`` tables, with how their sets are compared."""
+
+    a: DataFrame
+    b: DataFrame
+    sets: Sets | DataFrame | None
+
+
+def _ranked(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], sets: Sets | DataFrame | None) -> Ranked:
+    scores, out = sets if isinstance(sets, DataFrame) else None, []
+    for d, side in ((a, "a"), (b, "b")):
+        columns = list(w.axes)
+        if isinstance(sets, Sets):
+            size = lambda k: F.when(F.col("key") == k, F.col("size"))
+            once = lambda k, c: F.when(F.count(size(k)) > 1, F.raise_error(F.lit("a set has two sessions of a key"))).otherwise(F.max(size(k))).alias(c)
+            more = [f"_set{i}" for i in range(len(sets.keys))]
+            own = getattr(sets, side).groupBy("entity", "season").agg(*(once(k, c) for k, c in zip(sets.keys, more, strict=True)))
+            d, columns = d.join(own, ["entity", "season"], "left"), columns + more
+        out.append(wide(d, block, "season", "entity", columns, scores if side == "a" else None))
+    return Ranked(*out, sets)
 
 
 @dataclass(frozen=True)
@@ -189,58 +220,55 @@ def jitters(axes: Sequence[str], n: int = 20, sd: float = 0.25, seed: int = 0) -
     return [Arm(f"jitter{t}", "jitter", None, dict(zip([*axes, "set"], map(float, np.exp(rng.normal(0, sd, len(axes) + 1))), strict=True))) for t in range(n)]
 
 
-def arm_costs(dist: DataFrame, a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], arms: Sequence[Arm], seasons: Sequence[int]) -> DataFrame:
-    """(arm, kind, block, a, b, cost, co): every arm's cost of every pair, from one reading of the distances.
-
-    ``co`` counts the seasons that both have in the arm; seasons that only one has there cost a penalty.
-    """
-    spark = dist.sparkSession
-    axes = [*w.axes, "set"]
+def _pricing(w: Weights, arms: Sequence[Arm], seasons: Sequence[int], sets: Sets | DataFrame | None) -> Pricing:
+    """Every arm's cost from one reading of the distances: a weight for each axis, and for sets if there are any; seasons that only one side has cost a penalty."""
+    n, axes = len(w.axes), [*w.axes] + ([] if sets is None else ["set"])
     weight = {**w.axes, "set": w.sets}
-    rows = [(m.name, m.kind, int(s), [weight[c] * m.factors.get(c, 1.0) for c in axes]) for m in arms for s in (seasons if m.seasons is None else m.seasons)]
-    table = F.broadcast(spark.createDataFrame(rows, "arm string, kind string, season int, w array<double>"))  # arms times seasons
-    cost = sum((F.col("w")[i] * F.col(f"d_{c}") for i, c in enumerate(axes)), F.lit(0.0))
-    pair = dist.join(table, "season").groupBy("arm", "kind", *block, "a", "b").agg(F.sum(cost).alias("cost"), F.count("*").alias("co"))
-    for d, s in ((a, "a"), (b, "b")):
-        present = d.select(F.col("entity").alias(s), "season").distinct().join(table, "season").groupBy("arm", s).agg(F.count("*").alias(f"n_{s}"))
-        pair = pair.join(present, ["arm", s])
-    lone = w.only_a * (F.col("n_a") - F.col("co")) + w.only_b * (F.col("n_b") - F.col("co"))
-    return pair.select("arm", "kind", *block, "a", "b", (F.col("cost") + lone).alias("cost"), "co")
-
-
-def rematch(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], cell: Sequence[str], seasons: Sequence[int], sets: DataFrame | None = None, rounds: int = 3, tolerance: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    keyed, unknown = (sets.scale if isinstance(sets, Sets) else None), w.unknown_set
+
+    def distances(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        out = list(np.abs(x[:n] - y[:n]))
+        if keyed is not None:
+            has_a, n_b = ~np.isnan(x[n:]).all(axis=0), (~np.isnan(y[n:])).sum(axis=0)
+            # A key that one side lacks adds nothing.
+            found = np.fmax(1 - np.abs(x[n:] - y[n:]) / keyed, 0.0).sum(axis=0)
+            out.append(np.where(has_a & (n_b > 0), 1 - found / np.maximum(n_b, 1), unknown))
+        return out
+
+    weights = np.array([[weight[c] * m.factors.get(c, 1.0) for c in axes] for m in arms])
+    when = [frozenset(map(int, seasons if m.seasons is None else m.seasons)) for m in arms]
+    return Pricing(distances, weights, when, w.only_a, w.only_b, unknown if isinstance(sets, DataFrame) else None, n)
+
+
+def rematch(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], cell: Sequence[str], seasons: Sequence[int], sets: Sets | DataFrame | None = None, rounds: int = 3, tolerance: float = 0.25) -> tuple[Ranked, DataFrame]:
     """Matches two id spaces, ranks both anew against the sure pairs, and matches again, ``rounds`` times.
 
-    ``a`` and ``b`` have (entity, season, block and cell columns, axes), one row an entity and season. Returns the last round's
-    distances and its pairs (block, a, b, cost, co, margin_row, margin_col, anchor, round). Pairs whose margin is at or above the median are
-    the anchors of the next round; a pair without rival is one too. Each round is written before the next reads it.
+    ``a`` and ``b`` have (entity, season, block and cell columns, axes), one row an entity and season; ``sets`` are sessions, or scores of pairs
+    (a, b, season, score). Returns the last round's sides and its pairs (block, a, b, cost, co, margin_row, margin_col, anchor, round). Pairs whose margin is at or above
+    the median are the anchors of the next round; a pair without rival is one too. Pairs are made in tiles (``bidding.matched``); a round writes
+    its sides and what it matched.
     """
     sure_a = sure_b = None
-    # Every round reads the sets' scores; they are made once.
-    sets = None if sets is None else materialised(sets)
     spent: list[DataFrame] = []
     for i in range(rounds):
         ra, rb = (anchored(d, list(w.axes), cell, s, w.least_anchors) for d, s in ((a, sure_a), (b, sure_b)))
-        dist = materialised(season_distances(ra, rb, list(w.axes), block, sets, w.unknown_set))
-        cost = materialised(arm_costs(dist, a, b, w, block, [Arm("base", "base")], seasons).drop("arm", "kind"))
-        found = auction(cost, block, tolerance)
-        edge = margins(cost, found)
-        d = materialised(found.join(cost.select(*block, "a", "b", "co"), [*block, "a", "b"]).join(edge, ["a", "b"], "left"))
-        middle = quantiles(d, "margin_row", [0.5])[0]
+        sides = _ranked(ra, rb, w, block, sets)
+        found = matched(sides.a, sides.b, block, _pricing(w, [Arm("base", "base")], seasons, sets), tolerance, edges=True)
+        middle = quantiles(found, "margin_row", [0.5])[0]
         anchor = F.col("margin_row").isNull() | (F.col("margin_row") >= F.lit(middle))
-        out = materialised(d.withColumns({"anchor": anchor, "round": F.lit(i)}))
+        out = materialised(found.drop("arm").withColumns({"anchor": anchor, "round": F.lit(i)}))
         sure = out.filter("anchor")
         sure_a, sure_b = sure.select(F.col("a").alias("entity")), sure.select(F.col("b").alias("entity"))
-        discard(cost, found, d, *spent)
-        spent = [dist, out]
-    return dist, out
+        discard(found, *spent)
+        spent = [sides.a, sides.b, out]
+    return sides, out
 
 
-def arm_matches(dist: DataFrame, a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], arms: Sequence[Arm], seasons: Sequence[int], tolerance: float = 0.25) -> DataFrame:
-    """(arm, kind, block, a, b, cost, co): the one-to-one pairs of every arm, all matched in one auction."""
-    cost = materialised(arm_costs(dist, a, b, w, block, arms, seasons))
-    found = auction(cost, ["arm", *block], tolerance)
-    return materialised(found.join(cost.select("arm", "kind", *block, "a", "b", "co"), ["arm", *block, "a", "b"]))
+def arm_matches(sides: Ranked, a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], arms: Sequence[Arm], seasons: Sequence[int], tolerance: float = 0.25) -> DataFrame:
+    """(arm, kind, block, a, b, cost, co): the one-to-one pairs of every arm, all matched from one reading of the sides."""
+    found = matched(sides.a, sides.b, block, _pricing(w, arms, seasons, sides.sets), tolerance)
+    names = F.broadcast(found.sparkSession.createDataFrame([(i, m.name, m.kind) for i, m in enumerate(arms)], "_arm int, arm string, kind string"))
+    return found.withColumnRenamed("arm", "_arm").join(names, "_arm").select("arm", "kind", *block, "a", "b", "cost", "co")
 
 
 def agreement(base: DataFrame, votes: DataFrame) -> DataFrame:
