@@ -118,3 +118,13 @@ def test_rounds_write_ids_and_not_pairs(spark, monkeypatch):
     votes = X.arm_matches(last, a, b, W, ["block"], X.jitters(list(AXES), 3), [1, 2, 3])
     assert out.count() == 40 and votes.count() == 120
     assert max(sizes) <= 120
+
+
+def test_assignments_of_sides_write_ids_and_not_pairs(spark, monkeypatch):
+    """er6."""
+    a, b = (d.withColumn("side", F.lit(0)) for d in sides(spark, 4, [(40, 40)]))
+    sizes = spied(monkeypatch)
+    got = X.polarity(a, b, X.Weights(AXES, sets=0.0), ["block"], "side", {"own": {0: 0}, "again": {0: 0}}, [1, 2, 3]).collect()
+    assert got[0].pairs == got[1].pairs > 30 and got[0].total == got[1].total
+    # Rows an id and season, and ids of both mappings.
+    assert max(sizes) <= 250

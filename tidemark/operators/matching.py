@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..sources.files import discard, materialised
 from .bidding import Pricing, matched, wide
-from .joins import pair_cost
 from .ordered import quantiles
 
 
@@ -332,21 +331,19 @@ def polarity(a: DataFrame, b: DataFrame, w: Weights, block: Sequence[str], side:
     Ids are matched within mapped sides only. A ratio near 1 for the other mapping means that signatures don't tell sides apart.
     """
     cell = ["season", side]
-    met = F.col("season").isin(*map(int, seasons))
-    rb = materialised(anchored(b, list(w.axes), cell, None).filter(met))
-    ra = materialised(anchored(a, list(w.axes), cell, None).filter(met))
-    every = None
-    for name, m in maps.items():
-        to = F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
-        # The distances of all seasons are summed in tiles; only the pairs' costs leave them.
-        pair = pair_cost(ra.withColumn(side, to[F.col(side)]), rb, [*block, side], "season", "entity", "entity", w.axes)
-        for d, s in ((a, "a"), (b, "b")):
-            present = d.filter(met).select(F.col("entity").alias(s), "season").distinct().groupBy(s).agg(F.count("*").alias(f"n_{s}"))
-            pair = pair.join(present, s)
-        lone = w.only_a * (F.col("n_a") - F.col("blocks")) + w.only_b * (F.col("n_b") - F.col("blocks"))
-        cost = pair.select(F.lit(name).alias("arm"), *block, side, "a", "b", (F.col("cost") + lone).alias("cost"))
-        every = cost if every is None else every.unionByName(cost)
-    found = auction(every, ["arm", *block, side], tolerance)
-    g = found.groupBy(F.col("arm").alias("polarity")).agg(F.count("*").alias("pairs"), F.sum("cost").alias("total"))
+    rb = materialised(anchored(b, list(w.axes), cell, None))
+    ra = materialised(anchored(a, list(w.axes), cell, None))
+    pricing = _pricing(w, [Arm("base", "base")], seasons, None)
+    sides = []
+    for d, to in ((ra, maps), (rb, {name: None for name in maps})):
+        every = None
+        for name, m in to.items():
+            mapped = F.col(side) if m is None else F.create_map(*(F.lit(x) for kv in m.items() for x in kv))[F.col(side)]
+            one = d.select(F.lit(name).alias("polarity"), *block, mapped.alias(side), "entity", "season", *w.axes)
+            every = one if every is None else every.unionByName(one)
+        sides.append(wide(every, ["polarity", *block, side], "season", "entity", list(w.axes)))
+    found = matched(*sides, ["polarity", *block, side], pricing, tolerance)
+    discard(ra, rb, *sides)
+    g = found.groupBy("polarity").agg(F.count("*").alias("pairs"), F.sum("cost").alias("total"))
     least = F.broadcast(g.agg(F.min("total").alias("least")))
     return g.crossJoin(least).select("polarity", "pairs", "total", (F.col("total") / F.col("least")).alias("ratio"))
