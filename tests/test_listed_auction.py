@@ -128,3 +128,16 @@ def test_assignments_of_sides_write_ids_and_not_pairs(spark, monkeypatch):
     assert got[0].pairs == got[1].pairs > 30 and got[0].total == got[1].total
     # Rows an id and season, and ids of both mappings.
     assert max(sizes) <= 250
+
+
+def test_assignment_by_signatures_writes_ids_and_not_pairs(spark, monkeypatch, tmp_path):
+    """er4, against the auction over all pairs."""
+    rng = np.random.default_rng(6)
+    rows = [(far + e, s, "x", float(rng.random()), [h, 1 - h]) for far in (0, 1000) for e in range(40) for s in (1, 2) for h in [float(rng.random())] if rng.random() < 0.9]
+    d = spark.createDataFrame(rows, "entity long, season int, nation string, pct double, hist array<double>")
+    a, b = d.filter("entity < 1000"), d.filter("entity >= 1000")
+    want = {(r.a, r.b, round(r.cost, 9)) for r in X.auction(E.signature_cost(a, b, ["nation"], "season"), ["nation"]).collect()}
+    sizes = spied(monkeypatch)
+    got = E.assigned(a, b, ["nation"], "season").collect()
+    assert {(r.a, r.b, round(r.cost, 9)) for r in got} == want
+    assert max(sizes) <= 80

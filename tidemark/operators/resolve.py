@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import discard
+from .bidding import Pricing, matched, wide
 from .joins import block_pairs, mutual_nearest
 from .ordered import numbered, quantiles
 
 
-def signature_cost(a: DataFrame, b: DataFrame, within: list[str], period: str, entity: str = "entity", rank: str = "pct", hist: str = "hist", bins: int = 2, weight: float = 0.5) -> DataFrame:
-    """(within, a, b, cost, blocks): over common periods, rank difference plus weight * sqrt(1 - overlap of histograms of ``bins`` bins); see ``block_pairs``."""
-    flat = lambda d: d.select(*within, period, entity, rank, *(F.col(hist)[i].alias(f"_h{i}") for i in range(bins)))
+def _signature(hist: str, bins: int, rank: str, weight: float) -> tuple[list, Callable]:
+    """Measures of a signature, and the cost of two: rank difference plus weight * sqrt(1 - overlap of the histograms)."""
 
     def cost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         overlap = np.sqrt(x[1] * y[1])
@@ -20,7 +23,25 @@ def signature_cost(a: DataFrame, b: DataFrame, within: list[str], period: str, e
             overlap = overlap + np.sqrt(x[i] * y[i])
         return np.abs(x[0] - y[0]) + weight * np.sqrt(np.maximum(0.0, 1 - overlap))
 
-    return block_pairs(flat(a), flat(b), within, period, entity, entity, [rank, *(f"_h{i}" for i in range(bins))], cost)
+    return [F.col(rank), *(F.col(hist)[i] for i in range(bins))], cost
+
+
+def signature_cost(a: DataFrame, b: DataFrame, within: list[str], period: str, entity: str = "entity", rank: str = "pct", hist: str = "hist", bins: int = 2, weight: float = 0.5) -> DataFrame:
+    """(within, a, b, cost, blocks): over common periods, rank difference plus weight * sqrt(1 - overlap of histograms of ``bins`` bins); see ``block_pairs``."""
+    measures, cost = _signature(hist, bins, rank, weight)
+    names = [f"_h{i}" for i in range(len(measures))]
+    flat = lambda d: d.select(*within, period, entity, *(m.alias(c) for m, c in zip(measures, names, strict=True)))
+    return block_pairs(flat(a), flat(b), within, period, entity, entity, names, cost)
+
+
+def assigned(a: DataFrame, b: DataFrame, within: list[str], period: str, entity: str = "entity", rank: str = "pct", hist: str = "hist", bins: int = 2, weight: float = 0.5, tolerance: float = 0.25) -> DataFrame:
+    """(within, a, b, cost): one-to-one pairs by ``signature_cost``, within ``tolerance`` of the least total; pairs aren't written (see ``bidding.matched``)."""
+    measures, cost = _signature(hist, bins, rank, weight)
+    p = Pricing(lambda x, y: [cost(x, y)], np.ones((1, 1)), [None])
+    sides = [wide(d, within, period, entity, measures) for d in (a, b)]
+    found = matched(*sides, within, p, tolerance)
+    discard(*sides)
+    return found.select(*within, "a", "b", "cost")
 
 
 def tiers(pairs: DataFrame, margin: float) -> DataFrame:
